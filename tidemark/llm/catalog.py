@@ -5,11 +5,13 @@ from __future__ import annotations
 from tidemark.llm.bpe import op3_byte_bpe
 from tidemark.llm.lines import OP4_SQL, op4_site_line_dedup
 from tidemark.llm.mixing import OP1_SQL, op1_source_mix
+from tidemark.llm.tokenfile import op8_repair_tokens
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_site_line_dedup": op4_site_line_dedup,
+    "op8_repair_tokens": op8_repair_tokens,
 }
 
 ORACLE_SQL = {
