@@ -5,16 +5,21 @@ from __future__ import annotations
 from tidemark.llm.bpe import op3_byte_bpe
 from tidemark.llm.lines import OP4_SQL, op4_site_line_dedup
 from tidemark.llm.mixing import OP1_SQL, op1_source_mix
+from tidemark.llm.quality import op10_quality_qda
 from tidemark.llm.tokenfile import op8_repair_tokens
+from tidemark.llm.warc import OP9_SQL, op9_warc_segments
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_site_line_dedup": op4_site_line_dedup,
     "op8_repair_tokens": op8_repair_tokens,
+    "op9_warc_segments": op9_warc_segments,
+    "op10_quality_qda": op10_quality_qda,
 }
 
 ORACLE_SQL = {
     "op1_source_mix": OP1_SQL,
     "op4_site_line_dedup": OP4_SQL,
+    "op9_warc_segments": OP9_SQL,
 }
