@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op3_byte_bpe
+from tidemark.llm.lattice import op2_lattice_links
 from tidemark.llm.lines import OP4_SQL, op4_site_line_dedup
 from tidemark.llm.mixing import OP1_SQL, op1_source_mix
 from tidemark.llm.quality import op10_quality_qda
@@ -11,6 +12,7 @@ from tidemark.llm.warc import OP9_SQL, op9_warc_segments
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_lattice_links": op2_lattice_links,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_site_line_dedup": op4_site_line_dedup,
     "op8_repair_tokens": op8_repair_tokens,
