@@ -19,8 +19,10 @@ RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 BUCKETS = 65_521
 #: Longer words are merged with a heap in the task instead: a fold takes time in the square of the length.
 MAX_FOLD_BYTES = 256
-#: Distinct words and pieces that a task remembers before it starts anew.
-MAX_REMEMBERED = 250_000
+#: Distinct words that a task remembers before it starts anew.
+MAX_WORDS = 400_000
+#: Pieces of text between spaces whose split a task remembers; others are split again.
+MAX_PIECES = 120_000
 #: White space as the tokenizer's pattern means it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -55,33 +57,48 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
     return F.from_json(F.lit(text), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
 
-def fold_word(word: Column, merges: Column) -> Column:
+def byte_pair_ranks(ranks: dict[bytes, int]) -> Column:
+    """The ranks of all pairs of single bytes by 256 times the first id plus the second, a literal."""
+    single = {r: t for t, r in ranks.items() if len(t) == 1}
+    pairs = [ranks.get(single[a] + single[b]) for a in range(256) for b in range(256)]
+    return F.from_json(F.lit(json.dumps(pairs)), "array<bigint>")
+
+
+def fold_word(word: Column, merges: Column, byte_pairs: Column) -> Column:
     """Folds ranked merges over one word, an array of ids of single bytes.
 
-    Each step merges the leftmost pair of the lowest rank; there are no more steps than bytes.
+    Steps take turns: one finds the leftmost pair of the lowest rank, the next merges it, so that
+    two steps for each byte are enough.  The state holds the ids, between two sentinels, the
+    ranks of adjacent pairs, of which a merge looks up the two that it changes, and the pair found.
     """
 
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
-    def rank(key: Column) -> Column:
+    def rank(a: Column, b: Column) -> Column:
+        key = a * F.lit(65_536) + b
         return F.try_element_at(F.get(merges, F.pmod(key, F.lit(BUCKETS)).cast("int")), key)
 
-    def step(ids: Column, _: Column) -> Column:
-        left = F.slice(ids, F.lit(1), F.size(ids) - 1)
-        right = F.slice(ids, F.lit(2), F.size(ids) - 1)
-        ranks = F.zip_with(left, right, lambda a, b: let(a * F.lit(65_536) + b, rank))
-
-        def merged(low: Column) -> Column:
-            at = F.array_position(low["ranks"], low["low"]).cast("int")
-            tail = F.slice(ids, at + 2, F.size(ids))
-            return F.when(low["low"].isNull(), ids).otherwise(F.concat(F.slice(ids, F.lit(1), at - 1), F.array(low["low"]), tail))
-
-        return F.when(F.size(ids) < 2, ids).otherwise(
-            let(ranks, lambda r: let(F.struct(r.alias("ranks"), F.array_min(r).alias("low")), merged))
+    def state(ids: Column, ranks: Column, low: Column, at: Column) -> Column:
+        return F.struct(ids.alias("ids"), ranks.alias("ranks"), low.alias("low"), at.alias("at"))
+
+    none, end = F.lit(None).cast("bigint"), F.lit(-1).cast("bigint")
+
+    def step(s: Column, _: Column) -> Column:
+        ids, ranks, low, p = s["ids"], s["ranks"], s["low"], s["at"]
+        least = F.array_min(ranks)
+        found = state(ids, ranks, F.coalesce(least, end), F.array_position(ranks, least).cast("int"))
+        pair = F.array(rank(F.get(ids, p - 2), low), rank(low, F.get(ids, p + 1)))
+        merged = state(
+            F.flatten(F.array(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, F.size(ids)))),
+            F.flatten(F.array(F.slice(ranks, F.lit(1), p - 2), pair, F.slice(ranks, p + 2, F.size(ranks)))),
+            none,
+            F.lit(None).cast("int"),
         )
+        return F.when(low.isNull(), found).when(low < 0, s).otherwise(merged)
 
-    return F.aggregate(word, word, step)
+    ends = F.array(end)
+    inner = F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word)), lambda a, b: F.get(byte_pairs, (a * 256 + b).cast("int")))
+    ranks = F.concat(F.array(none), F.when(F.size(word) > 1, inner).otherwise(F.array().cast("array<bigint>")), F.array(none))
+    start = state(F.concat(ends, word, ends), ranks, none, F.lit(None).cast("int"))
+    return F.aggregate(F.concat(word, word), start, step, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -139,7 +156,7 @@ def _words(ranks_path: str, pattern: str):
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 texts, fresh = batch.column(1).to_pylist(), set()
-                reset = len(seen) + len(known) > MAX_REMEMBERED
+                reset = len(known) > MAX_WORDS
                 if reset:
                     seen, known = set(), set()
                 for text in texts:
@@ -151,7 +168,8 @@ def _words(ranks_path: str, pattern: str):
                     first, *rest = text.split(" ")
                     fresh.update(split.words(first))
                     new = set(rest) - seen
-                    seen |= new
+                    if len(seen) < MAX_PIECES:
+                        seen |= new
                     for piece in new:
                         fresh.update(split.words(" " + piece))
                 fresh -= known
@@ -200,7 +218,7 @@ def _encode(ranks_path: str, pattern: str):
         def piece(c: str) -> bytes:
             if (got := pieces.get(c)) is None:
                 got = joined(" " + c)
-                if len(c) <= MAX_FOLD_BYTES:
+                if len(c) <= MAX_FOLD_BYTES and len(pieces) < MAX_PIECES:
                     pieces[c] = got
             return got
 
@@ -252,8 +270,8 @@ def encode(
 
     Three steps run in one stage, without a shuffle: the task collects the words that are new to
     it, Spark's higher-order functions fold the ranked merges over their bytes by a literal rank
-    map, and the task looks up the words of its texts.  What it remembers is bounded by
-    ``MAX_REMEMBERED`` entries; then it starts anew.  A word that is a token needs no merges, and
+    map, and the task looks up the words of its texts.  It remembers ``MAX_WORDS``
+    words at most and then starts anew.  A word that is a token needs no merges, and
     one longer than ``MAX_FOLD_BYTES`` bytes is merged with a heap, to the same ids.
 
     Returns (id_col, ids array<int>, ids_le binary: the ids as little-endian unsigned 32-bit
@@ -261,10 +279,13 @@ def encode(
     are kept; other columns are left out.  ``ranks_path`` must be readable on the executors.
     """
     ranks_path = ranks_path or public_tokenizers.path(RANK_FILE)
-    merges = rank_map(load_ranks(ranks_path))
+    ranks = load_ranks(ranks_path)
+    if sorted(r for t, r in ranks.items() if len(t) == 1) != list(range(256)):
+        raise ValueError("the ranks 0 to 255 are to be the single bytes")
+    merges, byte_pairs = rank_map(ranks), byte_pair_ranks(ranks)
     rows = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text"))
     worded = rows.mapInArrow(_words(ranks_path, pattern), "row bigint, text string, words array<string>, bytes array<array<bigint>>")
-    folded = worded.select("row", "text", "words", F.transform("bytes", lambda w: fold_word(w, merges)).alias("bytes"))
+    folded = worded.select("row", "text", "words", F.transform("bytes", lambda w: fold_word(w, merges, byte_pairs)).alias("bytes"))
     coded = folded.mapInArrow(_encode(ranks_path, pattern), "row bigint, ids array<int>, ids_le binary")
     return coded.withColumnRenamed("row", id_col)
 
