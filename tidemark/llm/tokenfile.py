@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import new_path, partitions, table
+from tidemark.llm.common import new_path, partitions, stored, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -24,7 +27,7 @@ ROUNDS = 10
 #: Rules made in one round at most, the most frequent pairs first; later rounds take up the rest.
 RULES_A_ROUND = 4096
 #: Pieces of text whose ids a Python worker remembers.
-MAX_REMEMBERED = 250_000
+MAX_REMEMBERED = 400_000
 
 _MAGIC = b"TDRP"
 _HEAD = struct.Struct("<4sHHIIIIQ")  # magic, version, 0, first rule's id, rules, symbols, documents, tokens
@@ -33,6 +36,14 @@ _HEAD = struct.Struct("<4sHHIIIIQ")  # magic, version, 0, first rule's id, rules
 # --- the grammar -----------------------------------------------------------------------------
 
 
+_SLOT_BITS = 16
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
+
+
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over ids below ``base``: (rules as pairs, their expansion lengths, sequence).
 
@@ -57,7 +68,12 @@ def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nda
         if not len(frequent):
             break
         pairs, counts = pairs[frequent], counts[frequent]
-        where = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
+        # A hashed table finds each position's pair; of pairs in one slot the most frequent stays,
+        # and the others wait for a later round.
+        slots = np.zeros(1 << _SLOT_BITS, np.int64)
+        by_count = np.argsort(counts, kind="stable")
+        slots[_slot(pairs[by_count])] = by_count
+        where = slots[_slot(key)]
         weight = np.where(pairs[where] == key, counts[where], 0)
         before = np.concatenate(([0], weight[:-1]))
         after = np.concatenate((weight[1:], [0]))
@@ -164,11 +180,32 @@ def shard_bytes(doc_ids: list[int | None], ids: list[np.ndarray], base: int) ->
 
 _remembered: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
+_SEPARATORS = re.compile(r"[\x1c-\x1f]").search
+
+
+def _pieces(text: str) -> list[str]:
+    """The parts of a text between white space, in lower case.
+
+    The tokenizer normalizes to NFC, lowers each character and drops white space, so the parts
+    have the same ids as in the text.  Texts where that order matters stay as they are.
+    """
+    low = text.lower()
+    if "\u03a3" in text or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+        low = text
+    # Python takes four control characters for white space that the tokenizer does not.
+    return re.split(r"[ \n\r\t]+", low) if _SEPARATORS(low) else low.split()
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: a printable byte for
+    itself, the others for the code points from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
 class _Encoder:
-    """Encodes texts piece by piece: the tokenizer splits at white space and drops it, so pieces
-    between spaces have the same ids wherever they stand.  A worker remembers them across tasks."""
+    """Encodes texts piece by piece; a worker remembers pieces' ids across tasks."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -177,18 +214,27 @@ class _Encoder:
         if path not in _tokenizers:
             _tokenizers[path] = Tokenizer.from_file(path)
         self.tokenizer = _tokenizers[path]
+        # Special tokens are found in the text as it is written, so such a text is encoded whole.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = _remembered.setdefault(path, {})
+        self.letters = dict(enumerate(_byte_letters()))
+        self.model = self.tokenizer.model
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word of lower-case letters: one match of the pattern, for the model alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
-    def _add(self, pieces: list[str]) -> None:
-        for piece, coded in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(coded.ids, "<u4").tobytes()
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > MAX_REMEMBERED:
-            self.known.clear()
         known = self.known
-        split = [t.split(" ") for t in texts]
-        new = set().union(*split) - known.keys()
+        if len(known) > MAX_REMEMBERED:
+            known.clear()
+        split = [None if any(x in t for x in self.special) else _pieces(t) for t in texts]
+        new = set().union(*(parts for parts in split if parts)) - known.keys()
         # A word with closing punctuation is the word and the punctuation, split by the tokenizer too.
         tails: dict[str, tuple[str, str]] = {}
         direct = set()
@@ -199,10 +245,16 @@ class _Encoder:
                 direct.update(tails[piece])
             else:
                 direct.add(piece)
-        self._add(sorted(x for x in direct if x not in known))
+        direct = [x for x in direct if x not in known]
+        words = [x for x in direct if x.isalpha() and x.islower() and unicodedata.is_normalized("NFC", x)]
+        known.update(zip(words, map(self._word, words), strict=True))
+        direct = [x for x in direct if x not in known]
+        known.update(zip(direct, self._ids(direct), strict=True))
         for piece, (core, tail) in tails.items():
             known[piece] = known[core] + known[tail]
-        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4").astype(np.int64) for parts in split]
+        whole = iter(self._ids([t for t, parts in zip(texts, split, strict=True) if parts is None]))
+        raw = (next(whole) if parts is None else b"".join(map(known.__getitem__, parts)) for parts in split)
+        return [np.frombuffer(b, np.uint32).astype(np.int64) for b in raw]
 
 
 def _shards(path: str, end_id: int | None, shard_tokens: int):
@@ -216,18 +268,18 @@ def _shards(path: str, end_id: int | None, shard_tokens: int):
         part, number = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         ids: list[np.ndarray] = []
-        size = 0
+        size = before = 0
 
         def done():
-            nonlocal doc_ids, ids, size, number
+            nonlocal doc_ids, ids, size, before, number
             blob = shard_bytes(doc_ids, ids, base)
-            row = [[part], [number], [len(doc_ids)], [size], [blob]]
+            row = [[part], [number], [len(doc_ids)], [size], [before], [blob]]
             out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=names)
-            doc_ids, ids, size, number = [], [], 0, number + 1
+            doc_ids, ids, size, before, number = [], [], 0, before + size, number + 1
             return out
 
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["part", "shard", "n_docs", "n_tokens", "data"]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["part", "shard", "n_docs", "n_tokens", "before", "data"]
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -258,7 +310,8 @@ def write_tokens(
 
     Texts are dealt out by ranges of id, sorted within each, encoded with the tokenizers library
     without special tokens, and ended by ``end_id`` (None: no end).  Each shard is a row of a
-    Parquet table: (part, shard) give its place, ``data`` its bytes as ``Shard`` reads them.
+    Parquet table: (part, shard) give its place, ``before``
+    the tokens before it in its part, and ``data`` its bytes as ``Shard`` reads them.
     Spark's writer commits whole tasks, so lost executors and repeated tasks leave no stray shards.
 
     Null and empty texts have the end id alone, null ids come first, rows of the same id are
@@ -269,7 +322,7 @@ def write_tokens(
     rows = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tie"))
     dealt = rows.repartitionByRange(partitions(docs.sparkSession), "row", "tie").sortWithinPartitions("row", "tie")
     shards = dealt.select("row", "text").mapInArrow(
-        _shards(tokenizer_path, end_id, shard_tokens), "part int, shard int, n_docs bigint, n_tokens bigint, data binary"
+        _shards(tokenizer_path, end_id, shard_tokens), "part int, shard int, n_docs bigint, n_tokens bigint, before bigint, data binary"
     )
     shards.write.option("compression", "zstd").parquet(path)
 
@@ -277,17 +330,14 @@ def write_tokens(
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """The written shards with ``start``, the number of tokens before each.
 
-    Sums run within each part first; those of the parts, of which there are as many as
-    partitions, are a small table.
+    Each shard has the number of tokens before it in its part; those before a part are summed up
+    in a table of one row for each part, of which there are as many as partitions.
     """
     shards = spark.read.parquet(path)
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("tokens"))
     all_before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("part", F.coalesce(F.sum("tokens").over(all_before), F.lit(0)).alias("offset"))
-    in_part = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "shard", "n_tokens").join(offsets, "part")
-    starts = starts.select("part", "shard", (F.col("offset") + F.coalesce(F.sum("n_tokens").over(in_part), F.lit(0))).alias("start"))
-    return shards.join(starts, ["part", "shard"])
+    return shards.join(stored(offsets, "offsets"), "part").withColumn("start", F.col("offset") + F.col("before"))
 
 
 def _documents(batches) -> Iterator:
