@@ -6,6 +6,7 @@ from tidemark.llm.bpe import op3_byte_bpe
 from tidemark.llm.lattice import op2_lattice_links
 from tidemark.llm.lines import OP4_SQL, op4_site_line_dedup
 from tidemark.llm.mixing import OP1_SQL, op1_source_mix
+from tidemark.llm.mtree import OP7_SQL, op7_mtree_top5
 from tidemark.llm.quality import op10_quality_qda
 from tidemark.llm.tokenfile import op8_repair_tokens
 from tidemark.llm.warc import OP9_SQL, op9_warc_segments
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_lattice_links": op2_lattice_links,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_site_line_dedup": op4_site_line_dedup,
+    "op7_mtree_top5": op7_mtree_top5,
     "op8_repair_tokens": op8_repair_tokens,
     "op9_warc_segments": op9_warc_segments,
     "op10_quality_qda": op10_quality_qda,
@@ -23,5 +25,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_source_mix": OP1_SQL,
     "op4_site_line_dedup": OP4_SQL,
+    "op7_mtree_top5": OP7_SQL,
     "op9_warc_segments": OP9_SQL,
 }
