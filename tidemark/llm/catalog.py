@@ -7,6 +7,7 @@ from tidemark.llm.lattice import op2_lattice_links
 from tidemark.llm.lines import OP4_SQL, op4_site_line_dedup
 from tidemark.llm.mixing import OP1_SQL, op1_source_mix
 from tidemark.llm.mtree import OP7_SQL, op7_mtree_top5
+from tidemark.llm.near import op6_order_minhash
 from tidemark.llm.passages import op5_repeated_passages
 from tidemark.llm.quality import op10_quality_qda
 from tidemark.llm.tokenfile import op8_repair_tokens
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_site_line_dedup": op4_site_line_dedup,
     "op5_repeated_passages": op5_repeated_passages,
+    "op6_order_minhash": op6_order_minhash,
     "op7_mtree_top5": op7_mtree_top5,
     "op8_repair_tokens": op8_repair_tokens,
     "op9_warc_segments": op9_warc_segments,

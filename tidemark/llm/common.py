@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -91,3 +93,57 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     node = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return node.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def sorted_groups(batches: Iterator, keys: int) -> Iterator:
+    """The groups of two rows or more of sorted Arrow batches, as tables.
+
+    Rows are sorted by their first ``keys`` columns, numbers without nulls; a group may go on in
+    the next batch.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []
+    held_key = None
+
+    def whole() -> Iterator:
+        if sum(b.num_rows for b in held) > 1:
+            yield pa.Table.from_batches(held)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)], 1)
+        cuts = (np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist()
+        for a, b in itertools.pairwise([0, *cuts, len(key)]):
+            if held_key is not None and (key[a] != held_key).any():
+                yield from whole()
+                held = []
+            held_key = key[a]
+            held.append(batch.slice(a, b - a))
+    yield from whole()
+
+
+def tiled(rows: DataFrame, bucket: str, node: str, tile: int, target: Column | None = None) -> DataFrame:
+    """Deals rows into tiles of their buckets, so that no group has many more than ``tile`` rows a side.
+
+    Adds ``i``, ``j`` (int), ``query`` and ``target`` (boolean).  Each query of a bucket meets each
+    target in one tile; a bucket of up to ``tile`` rows is one tile, where all rows are queries.
+    ``target`` tells which rows are targets (all, if None).
+    """
+    target = F.lit(True) if target is None else target
+    hot = rows.groupBy(bucket).agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    hot = stored(hot.select(F.col(bucket).alias("hot"), F.ceil(F.col("n") / tile).cast("int").alias("k")), "hot")
+    dealt = rows.join(hot, F.col(bucket) == F.col("hot"), "left").withColumn("is_target", target)
+    own = F.pmod(F.xxhash64(node), F.col("k")).cast("int")
+    yes, no, zero, last = F.lit(True), F.lit(False), F.lit(0), F.col("k") - 1
+
+    def place(i: Column, j: Column, query: Column, targets: Column) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), query.alias("query"), targets.alias("target"))
+
+    across = F.transform(F.sequence(zero, last), lambda j: place(own, j, yes, (j == own) & F.col("is_target")))
+    down = F.transform(F.filter(F.sequence(zero, last), lambda i: (i != own) & F.col("is_target")), lambda i: place(i, own, no, yes))
+    places = F.when(F.col("k").isNull(), F.array(place(zero, zero, yes, F.col("is_target")))).otherwise(F.concat(across, down))
+    out = dealt.withColumn("place", F.explode(places))
+    return out.select(*rows.columns, "place.i", "place.j", "place.query", "place.target")

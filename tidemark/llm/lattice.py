@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, stored, table
+from tidemark.llm.common import connected_components, sorted_groups, stored, table, tiled
 
 MIN_COSINE = 0.9
 #: Tables, neighbouring cells probed in each, and the lattice's scale against unit vectors.  Pairs
@@ -154,37 +154,10 @@ def _links(min_cosine: float, tables: int, probes: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        names = ["cell", "i", "j", "t", "id", "weight", "query", "target"]
-
-        def groups() -> Iterator[dict]:
-            held: list = []
-            for batch in batches:
-                key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], 1)
-                cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1 if len(key) > 1 else np.empty(0, int)
-                if held and len(key) and (key[0] != held[0]).any():
-                    yield joined(held[1])
-                    held = []
-                edges = [0, *cuts.tolist(), len(key)]
-                for a, b in itertools.pairwise(edges):
-                    if a == b:
-                        continue
-                    if a and held:
-                        if len(held[1]) > 1 or held[1][0].num_rows > 1:
-                            yield joined(held[1])
-                        held = []
-                    if held:
-                        held[1].append(batch.slice(a, b - a))
-                    else:
-                        held = [key[a], [batch.slice(a, b - a)]]
-            if held:
-                yield joined(held[1])
-
-        def joined(parts: list) -> dict:
-            whole = pa.Table.from_batches(parts)
-            out = {c: whole.column(c).to_numpy() for c in names}
-            return out | {c: whole.column(c).to_pylist() for c in ("vector", "codes")}
-
-        for rows in groups():
+        names = ["id", "t", "weight", "query", "target"]
+        for group in sorted_groups(batches, 3):
+            rows = {c: group.column(c).to_numpy() for c in names}
+            rows |= {c: group.column(c).to_pylist() for c in ("vector", "codes")}
             if (found := tile(rows)) is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["id", "n", "root"])
 
@@ -237,16 +210,8 @@ def embedding_links(
     coded = distinct.select("id", "weight", "vector").mapInArrow(
         _coded(tables, probes, scale, seed), "cell bigint, t int, home boolean, id bigint, weight bigint, vector binary, codes binary"
     )
-    hot = coded.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    hot = stored(hot.select(F.col("cell").alias("hot"), F.ceil(F.col("n") / tile).cast("int").alias("k")), "hot")
-    dealt = coded.join(hot, F.col("cell") == F.col("hot"), "left")
-    own = F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
-    place = lambda i, j, query, target: F.struct(i.alias("i"), j.alias("j"), query.alias("query"), target.alias("target"))
-    yes, no, zero = F.lit(True), F.lit(False), F.lit(0)
-    across = F.transform(F.sequence(zero, F.col("k") - 1), lambda j: place(own, j, yes, (j == own) & F.col("home")))
-    down = F.transform(F.filter(F.sequence(zero, F.col("k") - 1), lambda i: i != own), lambda i: place(i, own, no, F.col("home")))
-    places = F.when(F.col("k").isNull(), F.array(place(zero, zero, yes, F.col("home")))).otherwise(F.concat(across, F.when(F.col("home"), down).otherwise(F.filter(down, lambda _: no))))
-    tiles = dealt.withColumn("place", F.explode(places)).select("cell", "place.i", "place.j", "t", "id", "weight", "place.query", "place.target", "vector", "codes")
+    tiles = tiled(coded, "cell", "id", tile, F.col("home"))
+    tiles = tiles.select("cell", "i", "j", "t", "id", "weight", "query", "target", "vector", "codes")
     tiles = tiles.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     found = stored(tiles.mapInArrow(_links(min_cosine, tables, probes), "id bigint, n bigint, root bigint"), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "linked")
