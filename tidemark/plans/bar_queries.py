@@ -105,7 +105,7 @@ QUERIES = {
     "train_scaling": train_scaling,
     "rolling_hurst": rolling_hurst,
 } | {
-    name: query(operator, 5 if name == "atr" else 6)
+    name: query(operator, 7 if name == "atr" else 6)
     for name, operator in {
         "returns_volatility": B.returns_volatility, "range_volatility": B.range_volatility, "momentum_averages": B.momentum_averages, "rsi": B.rsi,
         "order_flow": B.order_flow, "illiquidity": B.illiquidity, "forward_targets": B.forward_targets, "time_features": B.time_features, "atr": B.atr,
@@ -172,7 +172,7 @@ ORACLE_SQL = {
         {f"{n}_{f}": f"{f}({_T(x, k)})" for n, x, k in (("hour", "hour(open_time)", 24), ("day", "(isodow(open_time) - 1)", 7), ("month", "month(open_time)", 12)) for f in ("sin", "cos")},
         "bars", plain=("CAST(isodow(open_time) >= 6 AS INTEGER) AS is_weekend", "CAST(hour(open_time) < 8 AS INTEGER) AS asia",
                        "CAST(hour(open_time) BETWEEN 7 AND 15 AS INTEGER) AS europe", "CAST(hour(open_time) BETWEEN 13 AND 21 AS INTEGER) AS us")),
-    "atr": rounded({"tr": "tr"} | {f"atr_{w}": full("avg", "tr", w) for w in (14, 20)} | {f"atr_pct_{w}": f"({full('avg', 'tr', w)}) / close" for w in (14, 20)}, "trs", _TR, digits=5),
+    "atr": rounded({"tr": "tr"} | {f"atr_{w}": full("avg", "tr", w) for w in (14, 20)} | {f"atr_pct_{w}": f"({full('avg', 'tr', w)}) / close" for w in (14, 20)}, "trs", _TR, digits=7),
     "volatility_regime": rounded(
         {"vol_regime": "v10 / nullif(v50, 0)", "vol_z": f"(v10 - ({full('avg', 'v10', 50)})) / nullif({full('stddev_samp', 'v10', 50)}, 0)", "vol_of_vol": full("stddev_samp", "v10", 20)},
         "v", f"{RETS}, v AS (SELECT *, {full('stddev_samp', 'log_ret', 10)} AS v10, {full('stddev_samp', 'log_ret', 50)} AS v50 FROM rets)"),
