@@ -27,7 +27,7 @@ ROUNDS = 10
 #: Rules made in one round at most, the most frequent pairs first; later rounds take up the rest.
 RULES_A_ROUND = 4096
 #: Pieces of text whose ids a Python worker remembers.
-MAX_REMEMBERED = 400_000
+MAX_REMEMBERED = 1_000_000
 
 _MAGIC = b"TDRP"
 _HEAD = struct.Struct("<4sHHIIIIQ")  # magic, version, 0, first rule's id, rules, symbols, documents, tokens
