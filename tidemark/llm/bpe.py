@@ -143,10 +143,11 @@ def _words(ranks_path: str, pattern: str):
     bytes, then a row for each text."""
 
     def run(batches) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         ranks, split = load_ranks(ranks_path), _Splitter(pattern)
-        single = [ranks[bytes([i])] for i in range(256)]
+        single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         seen: set[str] = set()
         known: set[str] = set()
         kinds = pa.schema(
@@ -179,9 +180,12 @@ def _words(ranks_path: str, pattern: str):
                     coded.insert(0, ("", b""))
                 for i in range(0, len(coded), 20_000):
                     part = coded[i : i + 20_000]
-                    yield pa.RecordBatch.from_pylist(
-                        [{"row": None, "text": None, "words": [w for w, _ in part], "bytes": [[single[x] for x in b] for _, b in part]}], schema=kinds
-                    )
+                    ends = np.cumsum([0] + [len(b) for _, b in part]).astype(np.int32)
+                    values = single[np.frombuffer(b"".join(b for _, b in part), np.uint8)]
+                    whole_row = pa.array([0, len(part)], pa.int32())
+                    words = pa.ListArray.from_arrays(whole_row, pa.array([w for w, _ in part], pa.string()))
+                    codes = pa.ListArray.from_arrays(whole_row, pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), words, codes], schema=kinds)
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1).cast(pa.string()), pa.nulls(n, kinds.field(2).type), pa.nulls(n, kinds.field(3).type)], schema=kinds
