@@ -67,14 +67,23 @@ def fold(
 ) -> DataFrame:
     """Runs an order-dependent recursion over each key's rows; one row with all states per input row.
 
-    ``step`` maps (state, row) to the next state, both structs.  Returns key, order, the fields and
-    ``state``.  A key's rows are gathered in one array of the named fields alone, so a key's history
-    must fit in a task; bars, not ticks, are meant for this.
+    ``step`` maps (state, row) to the next state.  Returns key, order, the fields and ``state``.  A
+    key's rows are gathered in one array of the named fields alone, so a key's history must fit in
+    a task: bars, not ticks, are meant for this.  Rows are folded in blocks, so that appending
+    states copies blocks of them and not all.
     """
+    block = 256
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *fields)))
     gathered = df.groupBy(key).agg(rows.alias("rows"))
-    first = F.transform(F.slice("rows", 1, 0), lambda r: step(state, r))
-    states = F.aggregate("rows", first, lambda acc, r: F.concat(acc, F.array(step(F.coalesce(F.try_element_at(acc, F.lit(-1)), state), r))))
+    none = F.transform(F.slice("rows", 1, 0), lambda r: step(state, r))
+    last = F.floor((F.size("rows") - 1) / block).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("rows", i * block + 1, F.lit(block)))
+
+    def through(done: Column, part: Column) -> Column:
+        before = F.coalesce(F.try_element_at(F.try_element_at(done, F.lit(-1)), F.lit(-1)), state)
+        return F.aggregate(part, none, lambda acc, r: F.concat(acc, F.array(step(F.coalesce(F.try_element_at(acc, F.lit(-1)), before), r))))
+
+    states = F.flatten(F.aggregate(blocks, F.slice(F.array(none), 1, 0), lambda done, part: F.concat(done, F.array(through(done, part)))))
     out = gathered.select(key, F.explode(F.arrays_zip(F.col("rows").alias("row"), states.alias("state"))).alias("x"))
     return out.select(key, F.col("x.row.o").alias(order), *[F.col(f"x.row.{f}").alias(f) for f in fields], F.col("x.state").alias("state"))
 
