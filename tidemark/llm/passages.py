@@ -273,7 +273,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
         .groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "parts")).alias("found"))
     )
     dealt = rows.repartition(partitions(spark), "k1", "k2")
-    chosen = dealt.select("k1", "k2", "text", "row").join(candidates.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "found")
+    # All columns stay, so that this exchange of the texts is the one that the last join uses too.
+    chosen = dealt.join(candidates.hint("shuffle_hash"), ["k1", "k2"]).select("k1", "k2", "text", "found", "row")
     kinds = "k1 bigint, k2 bigint, start int, anchor bigint, parts int, segment bigint, words binary"
     segments = (
         chosen.mapInArrow(_segments(window, phrase, True), kinds)
