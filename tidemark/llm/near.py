@@ -175,32 +175,21 @@ def _plausible(q, s, least: float, estimate: float) -> np.ndarray:
     return out
 
 
-def _candidates(least: float, estimate: float, every: bool):
-    """Pairs of a tile that are worth aligning.
+def _stars(least: float, estimate: float):
+    """Pairs of a tile that are worth aligning, at most one for each text.
 
-    ``every``: all pairs whose components differ.  Otherwise at most one pair for each text: in
-    a bucket of one tile the texts that agree with the least of them form a star, then those left.
+    In a bucket of one tile the texts that agree with the least of them form a star, then those left.
     """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for group in sorted_groups(batches, 3):
-            rows = {c: group.column(c).to_numpy() for c in ("id", "n", "component")}
-            rows["signature"] = np.stack([np.frombuffer(x, np.uint8) for x in group.column("signature").to_pylist()])
-            query, target = group.column("query").to_numpy(), group.column("target").to_numpy()
-            one = bool((query & target).all())
-            q = {c: v[query] for c, v in rows.items()}
-            s = {c: v[target] for c, v in rows.items()}
+            q, s, one = _sides(group, ("id", "n"))
             if not len(q["id"]) or not len(s["id"]):
                 continue
-            if every and len(np.unique(rows["component"])) == 1:
-                continue
             fits = _plausible(q, s, least, estimate)
-            if every:
-                a, b = np.nonzero(fits & (q["component"][:, None] != s["component"]))
-                a, b = q["id"][a], s["id"][b]
-            elif one:
+            if one:
                 a, b, left = [], [], np.ones(len(q["id"]), bool)
                 for i in np.argsort(q["id"], kind="stable"):
                     if left[i]:
@@ -219,6 +208,81 @@ def _candidates(least: float, estimate: float, every: bool):
     return run
 
 
+def _sides(group, columns) -> tuple[dict, dict, bool]:
+    """The queries and the targets of a tile, and whether they are the same rows."""
+    rows = {c: group.column(c).to_numpy() for c in columns}
+    rows["signature"] = np.stack([np.frombuffer(x, np.uint8) for x in group.column("signature").to_pylist()])
+    query, target = group.column("query").to_numpy(), group.column("target").to_numpy()
+    rows["row"] = np.arange(group.num_rows)
+    return {c: v[query] for c, v in rows.items()}, {c: v[target] for c, v in rows.items()}, bool((query & target).all())
+
+
+def _apart(least: float, estimate: float):
+    """The texts of a tile that agree with one of another component."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for group in sorted_groups(batches, 3):
+            component = group.column("component").to_numpy()
+            if (component == component[0]).all():
+                continue
+            q, s, _ = _sides(group, ("id", "n", "component"))
+            if not len(q["id"]) or not len(s["id"]):
+                continue
+            fits = _plausible(q, s, least, estimate) & (q["component"][:, None] != s["component"])
+            rows = np.unique(np.concatenate([q["row"][fits.any(1)], s["row"][fits.any(0)]]))
+            if len(rows):
+                yield from group.take(pa.array(rows)).select(["key", "i", "j", "id", "query", "target"]).to_batches()
+
+    return run
+
+
+def _links_apart(least: float, estimate: float):
+    """Aligns the pairs of a tile that agree and are of different components, and returns links alone.
+
+    A pair is aligned in the first bucket that its texts share, unless links found here have joined
+    it meanwhile.
+    """
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for group in sorted_groups(batches, 3):
+            q, s, _ = _sides(group, ("id", "n", "component", "key"))
+            if not len(q["id"]) or not len(s["id"]):
+                continue
+            fits = _plausible(q, s, least, estimate) & (q["component"][:, None] != s["component"])
+            keys = [np.asarray(x) for x in group.column("keys").to_pylist()]
+            own_key = int(q["key"][0])
+            texts: dict[int, list] = {}
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    x = up
+                return x
+
+            a_out, b_out = [], []
+            for i, j in zip(*np.nonzero(fits), strict=True):
+                a, b = int(q["row"][i]), int(s["row"][j])
+                ca, cb = root(int(q["component"][i])), root(int(s["component"][j]))
+                shared = keys[a][keys[a] == keys[b]] if len(keys[a]) == len(keys[b]) else np.intersect1d(keys[a], keys[b])
+                if ca == cb or (len(shared) and shared[0] != own_key):
+                    continue
+                for r in (a, b):
+                    if r not in texts:
+                        texts[r] = group.column("text")[r].as_py().encode().split()
+                if similar(texts[a], texts[b], least):
+                    parent[max(ca, cb)] = min(ca, cb)
+                    a_out.append(int(q["id"][i]))
+                    b_out.append(int(s["id"][j]))
+            if a_out:
+                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _aligned(least: float):
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -256,8 +320,9 @@ def near_duplicates(
     1. Texts of the same words are one text, with the least id.
     2. Within each bucket the texts that agree with the least of them are paired with it, at most
        one pair a text.  Pairs of all buckets are verified, and linked texts form components.
-    3. The pairs of a bucket that agree and are still apart are all verified, so that no link
-       within a bucket is lost; copies are never expanded into all pairs.
+    3. The pairs of a bucket that agree and are still apart are all aligned where the bucket's
+       texts are, so that no link within a bucket is lost; only links leave the task, and copies
+       are never expanded into all pairs.
 
     Buckets of more than ``tile`` texts are dealt into tiles.  Texts are exchanged once, and only
     those of candidates are kept.  Returns (id_col, component_id bigint: the least id of the
@@ -278,34 +343,31 @@ def near_duplicates(
     members = keyed.join(shared, "key")
     buckets = stored(members.join(firsts.select("id", "n", "signature"), "id").select("key", "id", "n", "signature"), "buckets")
 
-    def pairs(components: DataFrame | None) -> DataFrame:
-        own = buckets
-        if components is not None:
-            own = own.join(components, F.col("id") == F.col("node"), "left")
-            own = own.withColumn("component", F.coalesce("component", "id")).drop("node")
-        else:
-            own = own.withColumn("component", F.col("id"))
-        tiles = tiled(own, "key", "id", tile).select("key", "i", "j", "id", "n", "signature", "component", "query", "target")
-        tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = tiles.mapInArrow(_candidates(min_similarity, min_estimate, components is not None), "a bigint, b bigint")
-        return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-
-    def verified(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-        a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return stored(candidates.join(a, "a").join(b, "b").mapInArrow(_aligned(min_similarity), "a bigint, b bigint"), "links")
-
-    def texts_of(candidates: DataFrame) -> DataFrame:
-        ids = stored(candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-        return stored(usable.join(ids, F.col("id") == F.col("node"), "left_semi"), "candidates")
-
-    stars = pairs(None)
-    texts = texts_of(stars)
-    links = verified(stars, texts)
+    def in_tiles(rows: DataFrame, columns: list[str]) -> DataFrame:
+        out = rows.select("key", "i", "j", *columns, "query", "target")
+        return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    tiles = tiled(buckets, "key", "id", tile)
+    found = in_tiles(tiles, ["id", "n", "signature"]).mapInArrow(_stars(min_similarity, min_estimate), "a bigint, b bigint")
+    stars = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ids = stored(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    # In any further pair both texts agree with some other, so the stars have met them.
+    texts = stored(usable.join(ids, F.col("id") == F.col("node"), "left_semi"), "candidates")
+    a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    links = stored(stars.join(a, "a").join(b, "b").mapInArrow(_aligned(min_similarity), "a bigint, b bigint"), "links")
+
     components = stored(connected_components(links), "components")
-    more = pairs(components)
-    # In a further pair both texts agreed with some other, so the first pass has met them.
-    links = links.unionByName(verified(more.join(stars, ["a", "b"], "left_anti"), texts))
+    labelled = tiles.join(components, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    apart = in_tiles(labelled, ["id", "n", "signature", "component"]).mapInArrow(
+        _apart(min_similarity, min_estimate), "key bigint, i int, j int, id bigint, query boolean, target boolean"
+    )
+    apart = stored(apart, "apart")
+    known = stored(firsts.join(apart.select(F.col("id").alias("node")).distinct(), F.col("id") == F.col("node"), "left_semi"), "apart_texts")
+    known = known.join(components, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    more = apart.join(known, "id").join(texts, "id")
+    more = in_tiles(more, ["id", "n", "signature", "component", "keys", "text"]).mapInArrow(_links_apart(min_similarity, min_estimate), "a bigint, b bigint")
+    links = links.unionByName(stored(more, "links"))
     components = connected_components(links)
     classes = sketched.select("id", "h1", "h2").join(least, ["h1", "h2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     classes = classes.join(components, F.col("b") == F.col("node"), "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
