@@ -20,9 +20,9 @@ BUCKETS = 65_521
 #: Longer words are merged with a heap in the task instead: a fold takes time in the square of the length.
 MAX_FOLD_BYTES = 256
 #: Distinct words that a task remembers before it starts anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 #: Pieces of text between spaces whose split a task remembers; others are split again.
-MAX_PIECES = 120_000
+MAX_PIECES = 60_000
 #: White space as the tokenizer's pattern means it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
