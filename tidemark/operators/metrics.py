@@ -148,7 +148,7 @@ def pnl_heatmap(trades: DataFrame) -> DataFrame:
 
 def pnl_pivot(trades: DataFrame) -> DataFrame:
     """Profit by month, a column for each weekday from Monday, 0."""
-    return trades.groupBy(F.month("ts").alias("month")).pivot(F.weekday("ts").alias("w"), list(range(7))).agg(F.sum("pnl")).na.fill(0.0).select("month", *[C(str(i)).alias(f"day_{i}") for i in range(7)])
+    return trades.withColumn("_d", F.weekday("ts")).groupBy(F.month("ts").alias("month")).pivot("_d", list(range(7))).agg(F.sum("pnl")).na.fill(0.0).select("month", *[C(str(i)).alias(f"day_{i}") for i in range(7)])
 
 
 def pnl_histogram(trades: DataFrame, bins: int = 50) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import so_far
 from tidemark.operators import bars as B
 from tidemark.operators import flow as L
 from tidemark.operators import metrics as M
@@ -35,7 +36,7 @@ def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "orders").select(
         C("o_custkey").alias("symbol"), C("o_orderdate").alias("ts"), C("o_orderkey").alias("id"), (C("o_orderkey") % 50).cast("double").alias("qty"),
-        F.when(C("o_orderkey") % 3 == 0, -1).otherwise(1).alias("side"), F.round(C("o_totalprice") / 100, 2).alias("price"),
+        F.when(C("o_orderkey") % 3 == 0, -1).otherwise(1).alias("side"), (C("o_totalprice") / 100).alias("price"),
     )
 
 
@@ -219,14 +220,14 @@ def position_fold(spark, sf_dir):
     """Final position and realised profit of each supplier's fills, closing at the entry price."""
     p = P.positions(_fills(spark, sf_dir))
     last = p.groupBy("symbol").agg(F.count("*").alias("fills"), F.max_by("state", "open_time").alias("s"))
-    return last.select("symbol", "fills", F.round("s.qty", 2).alias("qty"), F.round("s.entry", 3).alias("entry"), F.round("s.realised", 1).alias("realised"))
+    return last.select("symbol", "fills", F.round("s.qty", 2).alias("qty"), F.round("s.entry", 3).alias("entry"), F.round("s.realised", -2).alias("realised"))
 
 
 def position_fold_averaged(spark, sf_dir):
     """The same where a partial close averages into the entry price."""
     p = P.positions(_fills(spark, sf_dir), "reference")
     last = p.groupBy("symbol").agg(F.count("*").alias("fills"), F.max_by("state", "open_time").alias("s"))
-    return last.select("symbol", "fills", F.round("s.qty", 2).alias("qty"), F.round("s.entry", 3).alias("entry"), F.round("s.realised", 1).alias("realised"))
+    return last.select("symbol", "fills", F.round("s.qty", 2).alias("qty"), F.round("s.entry", 3).alias("entry"), F.round("s.realised", -2).alias("realised"))
 
 
 def risk_checks(spark, sf_dir):
@@ -300,7 +301,7 @@ def ks_shift(spark, sf_dir):
     s = B.split(A.bars(spark, sf_dir)).where("part in ('train', 'test')")
     n = s.groupBy(C("symbol").alias("s")).agg(F.count_if(C("part") == "train").alias("a"), F.count_if(C("part") == "test").alias("b"))
     v = s.groupBy("symbol", "volume").agg(F.count_if(C("part") == "train").alias("x"), F.count_if(C("part") == "test").alias("y"))
-    w = B.so_far(B.ordered("symbol", "volume"))
+    w = so_far(B.ordered("symbol", "volume"))
     v = v.withColumn("x", F.sum("x").over(w)).withColumn("y", F.sum("y").over(w)).join(n, C("symbol") == C("s"))
     return tidy(v.groupBy("symbol").agg(F.max(F.abs(C("x") / C("a") - C("y") / C("b"))).alias("ks")))
 
@@ -356,10 +357,10 @@ QUOTES = f"""{TICKS}, quotes AS (SELECT event_id, symbol, ts, price - 0.0005 * p
   CAST(qty + 1 AS DOUBLE) AS bid_size, CAST(100 - qty + 1 AS DOUBLE) AS ask_size FROM ticks)"""
 LOG = """trades AS (SELECT o_orderkey AS id, o_orderpriority AS symbol, o_orderdate AS ts, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority), 2) AS pnl,
   o_totalprice AS notional, o_custkey AS version FROM orders)"""
-FILLS = """fills AS (SELECT l_suppkey AS symbol, l_shipdate AS ts, l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part, round(l_extendedprice / l_quantity, 4) AS price,
+FILLS = """fills AS (SELECT l_suppkey AS symbol, l_shipdate AS ts, l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part, l_extendedprice / l_quantity AS price,
   l_quantity AS qty, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END AS side FROM lineitem)"""
 ORDERS = """o AS (SELECT o_custkey AS symbol, o_orderdate AS ts, o_orderkey AS id, CAST(o_orderkey % 50 AS DOUBLE) AS qty, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END AS side,
-  round(o_totalprice / 100, 2) AS price FROM orders)"""
+  o_totalprice / 100 AS price FROM orders)"""
 PRED = f"{RETS}, pr AS (SELECT symbol, open_time, lead(ret) OVER ({W}) AS y, round(-ret / 10, 8) AS p FROM rets), known AS (SELECT * FROM pr WHERE y IS NOT NULL AND p IS NOT NULL)"
 FEATURES = f"""{TICKS}, im AS (SELECT *, (2 * qty - 99) / 99.0 AS imbalance, ln(price / lag(price) OVER ({V})) AS lr, CAST(row_number() OVER ({V}) AS DOUBLE) AS i FROM ticks),
 fe AS (SELECT event_id, symbol, ts, price, imbalance, ({tick_full('stddev_pop', 'lr', 19)}) * {math.sqrt(252 * 24 * 60)!r} AS volatility, price / lag(price, 9) OVER ({V}) - 1 AS momentum,
@@ -369,7 +370,7 @@ fe AS (SELECT event_id, symbol, ts, price, imbalance, ({tick_full('stddev_pop',
 VBARS = f"""{TICKS}, cum AS (SELECT *, sum(CAST(qty AS DOUBLE)) OVER ({V}) AS e FROM ticks WHERE qty > 0), st AS (SELECT *, e - qty AS s FROM cum),
 ex AS (SELECT *, unnest(range(CAST(floor(s / 1000) AS BIGINT), CAST(ceil(e / 1000) AS BIGINT))) AS bar FROM st), pt AS (SELECT *, least(e, (bar + 1) * 1000) - greatest(s, bar * 1000) AS part FROM ex),
 vb AS (SELECT symbol, bar, min(ts) AS first, max(ts) AS last, sum(part) AS volume, sum(CASE WHEN side = 1 THEN part ELSE 0 END) AS buy, sum(part * price) / sum(part) AS vwap, count(*) AS trades FROM pt GROUP BY ALL)"""
-BT = f"""{BARS}, sg AS (SELECT *, coalesce(sign(({full('avg', 'close', 5)}) - ({full('avg', 'close', 20)})), 0) AS position, coalesce(close / {back('close')} - 1, 0) AS ret FROM bars),
+BT = f"""{BARS}, sg AS (SELECT *, CAST(coalesce(sign(({full('avg', 'close', 5)}) - ({full('avg', 'close', 20)})), 0) AS DOUBLE) AS position, coalesce(close / {back('close')} - 1, 0) AS ret FROM bars),
 bt AS (SELECT *, coalesce(lag(position) OVER ({W}), 0) * ret - abs(position - coalesce(lag(position) OVER ({W}), 0)) * 0.0015 AS strategy FROM sg)"""
 
 
@@ -393,7 +394,7 @@ st AS (SELECT symbol, i, CAST(side * qty AS DOUBLE) AS q, CAST(price AS DOUBLE)
     CASE WHEN s.q = 0 OR sign(s.q) = n.side {avg} THEN (abs(s.q) * s.e + n.qty * n.price) / (abs(s.q) + n.qty) WHEN s.q + n.side * n.qty <> 0 AND sign(s.q + n.side * n.qty) = n.side THEN n.price ELSE s.e END,
     s.r + CASE WHEN s.q = 0 OR sign(s.q) = n.side {avg} THEN 0 ELSE least(abs(s.q), n.qty) * sign(s.q) * (n.price - s.e) END
   FROM st s JOIN nf n ON n.symbol = s.symbol AND n.i = s.i + 1)
-SELECT symbol, max(i) AS fills, round(arg_max(q, i), 2) AS qty, round(arg_max(e, i), 3) AS entry, round(arg_max(r, i), 1) AS realised FROM st GROUP BY symbol"""
+SELECT symbol, max(i) AS fills, round(arg_max(q, i), 2) AS qty, round(arg_max(e, i), 3) AS entry, round(arg_max(r, i), -2) AS realised FROM st GROUP BY symbol"""
 
 ORACLE_SQL = {
     "book_state": f"""WITH {STATE} SELECT symbol, bid_levels, ask_levels, {_r({c: c for c in ('best_bid', 'best_ask', 'bid_size', 'ask_size', 'imbalance', 'weighted_imbalance', 'bid_depth', 'ask_depth', 'pressure')}
