@@ -12,7 +12,11 @@ from tidemark.functions.exprs import log, normal_cdf, ratio
 from tidemark.functions.windows import as_of, back, fold, frame, full, ordered, run_length, so_far
 
 C = F.col
-BY_TS = ordered("symbol", ["ts", "event_id"])
+
+
+def by_ts():
+    """Ticks of a symbol in order."""
+    return ordered("symbol", ["ts", "event_id"])
 
 
 def book_levels(updates: DataFrame, depth: int = 20) -> DataFrame:
@@ -76,12 +80,12 @@ def quotes(ticks: DataFrame) -> DataFrame:
 
 def quote_flow(q: DataFrame) -> DataFrame:
     """Order-flow imbalance of successive quotes: the six cases of moved and kept best prices."""
-    p = lambda c: back(c, 1, BY_TS)
+    p = lambda c: back(c, 1, by_ts())
     bid = F.when(C("bid") > p("bid"), C("bid_size")).when(C("bid") < p("bid"), -p("bid_size")).otherwise(C("bid_size") - p("bid_size"))
     ask = F.when(C("ask") < p("ask"), -C("ask_size")).when(C("ask") > p("ask"), p("ask_size")).otherwise(-(C("ask_size") - p("ask_size")))
     df = q.withColumn("ofi", F.coalesce(bid + ask, F.lit(0.0)))
-    mean, std = F.avg("ofi").over(frame(100, BY_TS)), F.stddev_pop("ofi").over(frame(100, BY_TS))
-    enough = F.count("ofi").over(frame(100, BY_TS)) >= 20
+    mean, std = F.avg("ofi").over(frame(100, by_ts())), F.stddev_pop("ofi").over(frame(100, by_ts()))
+    enough = F.count("ofi").over(frame(100, by_ts())) >= 20
     return df.select("event_id", "symbol", "ts", "ofi", F.when(enough, ratio(C("ofi") - mean, std)).alias("ofi_z"))
 
 
@@ -89,7 +93,7 @@ def spread_impact(q: DataFrame, horizon: int = 5) -> DataFrame:
     """Effective spread, price impact over some quotes and realised spread, in basis points."""
     df = q.withColumn("mid", (C("bid") + C("ask")) / 2)
     effective = ratio(C("ask") - C("bid"), C("mid"))
-    impact = ratio(F.abs(C("mid") - back("mid", horizon, BY_TS)), back("mid", horizon, BY_TS))
+    impact = ratio(F.abs(C("mid") - back("mid", horizon, by_ts())), back("mid", horizon, by_ts()))
     realised = F.when(impact.isNotNull(), F.greatest(effective - 2 * impact, F.lit(0.0)))
     return df.select("event_id", "symbol", "ts", (1e4 * effective).alias("effective_bps"), (1e4 * impact).alias("impact_bps"), (1e4 * realised).alias("realised_bps"))
 
@@ -97,8 +101,8 @@ def spread_impact(q: DataFrame, horizon: int = 5) -> DataFrame:
 def kyle_lambda(ticks: DataFrame, rows: int = 50, least: int = 20, left: int = 10) -> DataFrame:
     """Price impact of signed volume: covariance over variance of the last pairs, outliers left out."""
     volume = F.when(C("side") == 1, C("qty")).otherwise(-C("qty")).cast("double")
-    df = ticks.withColumn("v", volume).withColumn("r", ratio(C("price"), back("price", 1, BY_TS)) - 1)
-    df = df.where(C("r").isNotNull()).withColumn("pairs", F.collect_list(F.struct("v", "r")).over(frame(rows, BY_TS))).withColumn("sd", F.stddev_pop("v").over(frame(rows, BY_TS)))
+    df = ticks.withColumn("v", volume).withColumn("r", ratio(C("price"), back("price", 1, by_ts())) - 1)
+    df = df.where(C("r").isNotNull()).withColumn("pairs", F.collect_list(F.struct("v", "r")).over(frame(rows, by_ts()))).withColumn("sd", F.stddev_pop("v").over(frame(rows, by_ts())))
     df = df.withColumn("kept", F.filter("pairs", lambda x: F.abs(x["v"]) < 3 * C("sd")))
     n = F.size("kept")
     total = lambda f: F.aggregate("kept", F.lit(0.0), lambda a, x: a + f(x))
@@ -110,12 +114,12 @@ def kyle_lambda(ticks: DataFrame, rows: int = 50, least: int = 20, left: int = 1
 def tick_features(ticks: DataFrame, vol: int = 20, mom: int = 10, stats: int = 100) -> DataFrame:
     """Annualised volatility, momentum, and the slope and z-score of the imbalance over recent ticks."""
     imbalance = ratio(2 * C("qty") - 99, F.lit(99.0))
-    df = ticks.withColumn("imbalance", imbalance).withColumn("lr", log(ratio(C("price"), back("price", 1, BY_TS)))).withColumn("i", F.row_number().over(BY_TS).cast("double"))
-    volatility = full(F.stddev_pop, C("lr"), vol - 1, BY_TS) * math.sqrt(252 * 24 * 60)
-    momentum = ratio(C("price"), back("price", mom - 1, BY_TS)) - 1
-    slope = F.when(F.count("imbalance").over(frame(mom, BY_TS)) == mom, F.regr_slope("imbalance", "i").over(frame(mom, BY_TS)))
-    mean, std = F.avg("imbalance").over(frame(stats, BY_TS)), F.stddev_pop("imbalance").over(frame(stats, BY_TS))
-    z = F.when(F.count("imbalance").over(frame(stats, BY_TS)) >= 20, (C("imbalance") - mean) / F.greatest(std, F.lit(0.001))).otherwise(C("imbalance"))
+    df = ticks.withColumn("imbalance", imbalance).withColumn("lr", log(ratio(C("price"), back("price", 1, by_ts())))).withColumn("i", F.row_number().over(by_ts()).cast("double"))
+    volatility = full(F.stddev_pop, C("lr"), vol - 1, by_ts()) * math.sqrt(252 * 24 * 60)
+    momentum = ratio(C("price"), back("price", mom - 1, by_ts())) - 1
+    slope = F.when(F.count("imbalance").over(frame(mom, by_ts())) == mom, F.regr_slope("imbalance", "i").over(frame(mom, by_ts())))
+    mean, std = F.avg("imbalance").over(frame(stats, by_ts())), F.stddev_pop("imbalance").over(frame(stats, by_ts()))
+    z = F.when(F.count("imbalance").over(frame(stats, by_ts())) >= 20, (C("imbalance") - mean) / F.greatest(std, F.lit(0.001))).otherwise(C("imbalance"))
     return df.select("event_id", "symbol", "ts", "price", "imbalance", volatility.alias("volatility"), momentum.alias("momentum"), slope.alias("imbalance_slope"), z.alias("imbalance_z"))
 
 
@@ -198,7 +202,7 @@ def trade_through(ticks: DataFrame, q: DataFrame, rows: int = 100) -> DataFrame:
     j = as_of(ticks.select("symbol", "ts", "event_id", "price", "side"), q.select("symbol", "ts", "bid", "ask"), ["bid", "ask"], strict=True)
     through = F.when(C("side") == 1, C("price") > C("right_ask")).otherwise(C("price") < C("right_bid"))
     j = j.withColumn("through", through.cast("int"))
-    rate = F.when(F.count("through").over(frame(rows, BY_TS)) >= 10, F.avg("through").over(frame(rows, BY_TS)))
+    rate = F.when(F.count("through").over(frame(rows, by_ts())) >= 10, F.avg("through").over(frame(rows, by_ts())))
     return j.select("event_id", "symbol", "ts", "price", C("right_bid").alias("bid"), C("right_ask").alias("ask"), "through", rate.alias("through_rate"))
 
 
