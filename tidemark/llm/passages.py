@@ -97,36 +97,72 @@ def _anchors(window: int, phrase: int):
     return run
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def _range_hashes(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of words: a polynomial in an odd base, whose powers can be undone."""
+    steps = np.full(len(words), _BASE, np.uint64)
+    back = np.full(len(words), _INVERSE, np.uint64)
+    steps[:1] = back[:1] = 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(steps))))
+    out = (sums[ends] - sums[begins]) * np.cumprod(back)[begins] + (ends - begins).astype(np.uint64) * _ODD[0]
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(30))
+
+
 def _segments(window: int, phrase: int, with_text: bool):
     """For each run of windows whose anchor recurs its place and, if asked for, its words."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
         hashes = _WordHashes()
-        kinds = [("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("parts", pa.int32()), ("segment", pa.int64()), ("words", pa.binary())]
-        schema = pa.schema(kinds)
+        names = ["k1", "k2", "start", "anchor", "parts", "segment", "words"]
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
-                columns: list[list] = [[] for _ in kinds]
-                for row in whole.slice(at, 200).to_pylist():
-                    words = row["text"].encode().split()
-                    parts = {x["start"]: x["parts"] for x in row["found"]}
-                    starts, sizes, anchors, _ = anchored(hashes.of(words), window, phrase)
-                    for s, n, a in zip(starts.tolist(), sizes.tolist(), anchors.view(np.int64).tolist(), strict=True):
-                        if s in parts:
-                            own = b" ".join(words[s : s + n + window - 1])
-                            segment = xxhash.xxh3_64_intdigest(own) - 2**63
-                            for c, v in zip(columns, (row["k1"], row["k2"], s, a, parts[s], segment, own if with_text else None), strict=True):
-                                c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], schema=schema)
+                batch = whole.slice(at, 200)
+                found = batch.column(3)
+                lengths = np.asarray(found.value_lengths())
+                flat = found.flatten()
+                places, parts = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
+                anchors, segments, texts, first = [], [], [], 0
+                for text, n in zip(batch.column(2).to_pylist(), lengths.tolist(), strict=True):
+                    own = places[first : first + n]
+                    first += n
+                    words = text.encode().split()
+                    coded = hashes.of(words)
+                    starts, sizes, all_anchors, _ = anchored(coded, window, phrase)
+                    i = np.searchsorted(starts, own)
+                    ends = own + sizes[i] + window - 1
+                    anchors.append(all_anchors[i])
+                    segments.append(_range_hashes(coded, own.astype(np.int64), ends))
+                    if with_text:
+                        texts += [b" ".join(words[a:b]) for a, b in zip(own.tolist(), ends.tolist(), strict=True)]
+                none = np.empty(0, np.uint64)
+                columns = [
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places.astype(np.int32)), pa.array(np.concatenate([none, *anchors]).view(np.int64)),
+                    pa.array(parts.astype(np.int32)), pa.array(np.concatenate([none, *segments]).view(np.int64)),
+                    pa.array(texts, pa.binary()) if with_text else pa.nulls(len(places), pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _window_hashes(words: list[bytes], hashes: _WordHashes, window: int) -> list[int]:
-    return _runs_hash(hashes.of(words), window).view(np.int64).tolist()
+def _window_hashes(texts: list[list[bytes]], hashes: _WordHashes, window: int) -> list[list[int]]:
+    """The hashes of all windows of each text, computed over all texts at once."""
+    if not texts:
+        return []
+    runs = _runs_hash(hashes.of([w for words in texts for w in words]), window).view(np.int64)
+    out, at = [], 0
+    for words in texts:
+        out.append(runs[at : at + len(words) - window + 1].tolist())
+        at += len(words)
+    return out
 
 
 def _windows(window: int):
@@ -138,8 +174,8 @@ def _windows(window: int):
         hashes = _WordHashes()
         for batch in batches:
             anchors, found, times = [], [], []
-            for row in batch.to_pylist():
-                own = _window_hashes(row["words"].split(b" "), hashes, window)
+            rows = batch.to_pylist()
+            for row, own in zip(rows, _window_hashes([row["words"].split(b" ") for row in rows], hashes, window), strict=True):
                 found += own
                 anchors += [row["anchor"]] * len(own)
                 times += [row["times"]] * len(own)
@@ -167,7 +203,8 @@ def _located(window: int):
         windows = []
         for row in rows:
             row["words"] = row["words"].split(b" ")
-            own = [(row["anchor"], h) for h in _window_hashes(row["words"], hashes, window)]
+        for row, found in zip(rows, _window_hashes([row["words"] for row in rows], hashes, window), strict=True):
+            own = [(row["anchor"], h) for h in found]
             windows.append(own)
             if row["parts"] == 1:
                 for w in own:
