@@ -232,13 +232,13 @@ ORACLE_SQL = {
     "feature_validation": f"""WITH {RETS}, f AS (SELECT ret, ({full('stddev_samp', 'log_ret', 20)}) * {ANNUAL!r} AS vol_20, close / {back('close', 10)} - 1 AS ret_10, CAST(1 AS DOUBLE) AS one FROM rets)
       """ + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, CAST(sum(CASE WHEN isinf({c}) THEN 1 ELSE 0 END) AS BIGINT) AS infinite, min({c}) IS NOT DISTINCT FROM max({c}) AS constant, CAST(sum(CASE WHEN abs({c}) > 1e10 THEN 1 ELSE 0 END) AS BIGINT) AS huge FROM f" for c in ("ret", "vol_20", "ret_10", "one")),
     "chronological_split": f"""WITH {BARS}, n AS (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
-      c AS (SELECT *, CAST(floor(n * 0.7) AS BIGINT) AS a, CAST(floor(n * CAST(0.85 AS DOUBLE)) AS BIGINT) AS b FROM n),
+      c AS (SELECT *, CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) AS a, CAST(floor(n * CAST(0.85 AS DOUBLE)) AS BIGINT) AS b FROM n),
       p AS (SELECT *, CASE WHEN i < a - 2 THEN 'train' WHEN i >= a + 2 AND i < b - 2 THEN 'validate' WHEN i >= b + 2 THEN 'test' END AS part FROM c)
       SELECT symbol, part, count(*) AS n, min(open_time) AS first, max(open_time) AS last FROM p GROUP BY ALL""",
     "training_sequences": f"""WITH {BARS}, s AS (SELECT symbol, open_time, trades, count(*) OVER f AS c, sum(close) OVER f AS a, sum(volume) OVER f AS b FROM bars
         WINDOW f AS ({W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
       SELECT symbol, open_time, CAST(c AS INTEGER) AS length, round(a, 4) AS closes, round(b, 4) AS volumes, trades FROM s WHERE c = 10""",
     "train_scaling": f"""WITH {BARS}, n AS (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
-      q AS (SELECT symbol, quantile_cont(volume, 0.25) AS a, quantile_cont(volume, 0.5) AS b, quantile_cont(volume, 0.75) AS c FROM n WHERE i < floor(n * 0.7) GROUP BY symbol)
+      q AS (SELECT symbol, quantile_cont(volume, 0.25) AS a, quantile_cont(volume, 0.5) AS b, quantile_cont(volume, 0.75) AS c FROM n WHERE i < floor(n * CAST(0.7 AS DOUBLE)) GROUP BY symbol)
       SELECT n.symbol, open_time, round((volume - b) / nullif(c - a, 0), 6) AS volume_scaled FROM n LEFT JOIN q ON n.symbol = q.symbol""",
 }

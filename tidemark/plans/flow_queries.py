@@ -505,7 +505,7 @@ ORACLE_SQL = {
     "feature_leakage": f"""WITH {RETS}, t AS (SELECT *, lead(ret) OVER ({W}) AS y FROM rets), u AS (SELECT *, lag(y, 10) OVER ({W}) AS early, lead(y, 10) OVER ({W}) AS late FROM t)
       """ + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, y), 6) AS corr_y, round(corr({c}, early), 6) AS corr_early, round(corr({c}, late), 6) AS corr_late FROM u" for c in ("ret", "volume", "close")),
     "ks_shift": f"""WITH {BARS}, n AS (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
-      p AS (SELECT symbol, volume, CASE WHEN i < floor(n * 0.7) THEN 1 ELSE 0 END AS a, CASE WHEN i >= floor(n * CAST(0.85 AS DOUBLE)) THEN 1 ELSE 0 END AS b FROM n), q AS (SELECT * FROM p WHERE a + b > 0),
+      p AS (SELECT symbol, volume, CASE WHEN i < floor(n * CAST(0.7 AS DOUBLE)) THEN 1 ELSE 0 END AS a, CASE WHEN i >= floor(n * CAST(0.85 AS DOUBLE)) THEN 1 ELSE 0 END AS b FROM n), q AS (SELECT * FROM p WHERE a + b > 0),
       c AS (SELECT symbol, sum(a) OVER (PARTITION BY symbol ORDER BY volume) / sum(a) OVER (PARTITION BY symbol) AS fa, sum(b) OVER (PARTITION BY symbol ORDER BY volume) / sum(b) OVER (PARTITION BY symbol) AS fb FROM q)
       SELECT symbol, round(max(abs(fa - fb)), 6) AS ks FROM c GROUP BY symbol""",
     "purged_folds": f"""WITH {BARS}, n AS (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
