@@ -241,8 +241,8 @@ def _apart(least: float, estimate: float):
 def _links_apart(least: float, estimate: float):
     """Aligns the pairs of a tile that agree and are of different components, and returns links alone.
 
-    A pair is aligned in the first bucket that its texts share, unless links found here have joined
-    it meanwhile.
+    A pair is aligned in one of the buckets that its texts share, dealt by their ids so that a group
+    in many buckets is spread over them, unless links found here have joined it meanwhile.
     """
 
     def run(batches) -> Iterator:
@@ -268,7 +268,7 @@ def _links_apart(least: float, estimate: float):
                 a, b = int(q["row"][i]), int(s["row"][j])
                 ca, cb = root(int(q["component"][i])), root(int(s["component"][j]))
                 shared = keys[a][keys[a] == keys[b]] if len(keys[a]) == len(keys[b]) else np.intersect1d(keys[a], keys[b])
-                if ca == cb or (len(shared) and shared[0] != own_key):
+                if ca == cb or shared[(int(q["id"][i]) + int(s["id"][j])) % len(shared)] != own_key:
                     continue
                 for r in (a, b):
                     if r not in texts:
