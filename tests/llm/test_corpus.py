@@ -134,6 +134,8 @@ def test_edit_distance():
             row = new
         most = random.randint(0, 10)
         assert near.edit_distance(a, b, most) == min(row[-1], most + 1)
+        for least in (0.5, 0.8):
+            assert near.similar(a, b, least) == (row[-1] <= (1 - least) * max(len(a), len(b)) + 1e-9)
 
 
 def test_near_duplicates(spark):

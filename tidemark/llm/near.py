@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,10 +117,33 @@ def edit_distance(a: list, b: list, most: int) -> int:
 
 
 def similar(a: list, b: list, least: float) -> bool:
-    """Whether the words of two texts align: 1 - edits / words of the longer is ``least`` or more."""
+    """Whether the words of two texts align: 1 - edits / words of the longer is ``least`` or more.
+
+    Words that no edit touches stand in both texts, so texts with too few words in common, counted
+    with repeats, need no alignment.
+    """
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
+    if abs(len(a) - len(b)) > most or longer - (Counter(a) & Counter(b)).total() > most:
+        return False
+    return edit_distance(a, b, most) <= most
+
+
+def _coded(texts) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """Texts' words as numbers, their words labelled with occurrences as numbers, and how many of these there are."""
+    words: dict[bytes, int] = {}
+    places: dict[tuple[int, int], int] = {}
+    plain, labelled = [], []
+    for text in texts:
+        own = [words.setdefault(w, len(words)) for w in text.encode().split()]
+        times: dict[int, int] = {}
+        marks = np.empty(len(own), np.int32)
+        for i, w in enumerate(own):
+            times[w] = n = times.get(w, 0) + 1
+            marks[i] = places.setdefault((w, n), len(places))
+        plain.append(np.array(own, np.int32))
+        labelled.append(marks)
+    return plain, labelled, len(places)
 
 
 def _sketched(k: int, sketches: int, kept: int, bins: int):
@@ -242,7 +266,8 @@ def _links_apart(least: float, estimate: float):
     """Aligns the pairs of a tile that agree and are of different components, and returns links alone.
 
     A pair is aligned in one of the buckets that its texts share, dealt by their ids so that a group
-    in many buckets is spread over them, unless links found here have joined it meanwhile.
+    in many buckets is spread over them, unless links found here have joined it meanwhile.  Pairs
+    with too few words in common to align are told from counts of their words.
     """
 
     def run(batches) -> Iterator:
@@ -252,31 +277,39 @@ def _links_apart(least: float, estimate: float):
             q, s, _ = _sides(group, ("id", "n", "component", "key"))
             if not len(q["id"]) or not len(s["id"]):
                 continue
-            fits = _plausible(q, s, least, estimate) & (q["component"][:, None] != s["component"])
-            keys = [np.asarray(x) for x in group.column("keys").to_pylist()]
-            own_key = int(q["key"][0])
-            texts: dict[int, list] = {}
+            fits = _plausible(q, s, least, estimate) & (q["component"][:, None] != s["component"]) & (q["id"][:, None] < s["id"])
+            keys = np.stack([np.asarray(x) for x in group.column("keys").to_pylist()])
+            plain, labelled, n_labels = _coded(x.as_py() for x in group.column("text"))
+            marked = np.zeros(n_labels, bool)
             parent: dict[int, int] = {}
 
-            def root(x: int) -> int:
+            def root(x: int, parent: dict[int, int] = parent) -> int:
                 while (up := parent.get(x, x)) != x:
                     x = up
                 return x
 
             a_out, b_out = [], []
-            for i, j in zip(*np.nonzero(fits), strict=True):
-                a, b = int(q["row"][i]), int(s["row"][j])
-                ca, cb = root(int(q["component"][i])), root(int(s["component"][j]))
-                shared = keys[a][keys[a] == keys[b]] if len(keys[a]) == len(keys[b]) else np.intersect1d(keys[a], keys[b])
-                if ca == cb or shared[(int(q["id"][i]) + int(s["id"][j])) % len(shared)] != own_key:
+            for i in np.flatnonzero(fits.any(1)):
+                a, others = int(q["row"][i]), np.flatnonzero(fits[i])
+                shared = keys[s["row"][others]] == keys[a]
+                count = shared.sum(1)
+                turn = (q["id"][i] % count + s["id"][others] % count) % count
+                dealt = shared & (shared.cumsum(1) == turn[:, None] + 1) & (keys[a] == q["key"][i])
+                others = others[dealt.any(1)]
+                if not len(others):
                     continue
-                for r in (a, b):
-                    if r not in texts:
-                        texts[r] = group.column("text")[r].as_py().encode().split()
-                if similar(texts[a], texts[b], least):
-                    parent[max(ca, cb)] = min(ca, cb)
-                    a_out.append(int(q["id"][i]))
-                    b_out.append(int(s["id"][j]))
+                marked[labelled[a]] = True
+                common = np.array([marked[labelled[r]].sum() for r in s["row"][others]])
+                marked[labelled[a]] = False
+                longer = np.maximum(q["n"][i], s["n"][others])
+                most = ((1 - least) * longer + 1e-9).astype(np.int64)
+                own = plain[a].tolist()
+                for j, edits in zip(others[longer - common <= most], most[longer - common <= most], strict=True):
+                    ca, cb = root(int(q["component"][i])), root(int(s["component"][j]))
+                    if ca != cb and edit_distance(own, plain[int(s["row"][j])].tolist(), int(edits)) <= edits:
+                        parent[max(ca, cb)] = min(ca, cb)
+                        a_out.append(int(q["id"][i]))
+                        b_out.append(int(s["id"][j]))
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
