@@ -152,6 +152,35 @@ def test_near_duplicates(spark):
     assert near.near_duplicates(texts(spark, [])).count() == 0
 
 
+def grouped(rows):
+    """Each text's group by aligning all pairs."""
+    words = [t.split() for _, t in rows]
+    group = {i: i for i, _ in rows}
+    for x in range(len(rows)):
+        for y in range(x):
+            a, b = group[rows[x][0]], group[rows[y][0]]
+            if a != b and near.similar(words[x], words[y], near.MIN_SIMILARITY):
+                group = {i: min(a, b) if g in (a, b) else g for i, g in group.items()}
+    return group
+
+
+def test_near_duplicates_equal_all_pairs(spark):
+    random.seed(8)
+    rows = []
+    for n in (5, 8, 15, 60, 200, 600):
+        for similarity in (0.75, 0.8, 0.8, 0.84, 0.84, 0.88, 0.92, 1.0):
+            base = [f"v{random.randint(0, 20000)}" for _ in range(n)]
+            copy = list(base)
+            for at in random.sample(range(n), round(n * (1 - similarity))):
+                copy[at] = f"u{random.randint(0, 20000)}"
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    base = [f"w{i}" for i in range(100)]
+    rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(w if i % 5 != 2 else "new" for i, w in enumerate(base)))]
+    for tile in (4, 1024):
+        got = {r.doc_id: r.component_id for r in near.near_duplicates(texts(spark, rows), tile=tile).collect()}
+        assert got == grouped(rows)
+
+
 def test_lattice(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 16))

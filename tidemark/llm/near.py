@@ -15,10 +15,14 @@ WORDS = 5
 MIN_SIMILARITY = 0.8
 #: Sketches of a text, and the k-mers that each keeps in text order.
 SKETCHES, KEPT = 16, 2
-#: Bins of the signature that tells which texts in a bucket are worth aligning, and the share of
-#: equal bins that they need: it estimates the Jaccard similarity of the k-mers, which is above
-#: 0.3 for practically all texts whose words align to 0.9, and about 0.7 at 0.97.
-BINS, MIN_ESTIMATE = 128, 0.3
+#: Least k-mers of a text that are keys too, and their words.  A text of n words with n/5 of them
+#: edited keeps 2n/5 three-word k-mers or more wherever the edits are, a Jaccard similarity of 0.25
+#: at least, so that (1 - 0.25) ** 24 = 0.1 % of such pairs share no key; up to 26 words all are keys.
+ANCHORS, ANCHOR_WORDS = 24, 3
+#: Bins of the signature that tells which texts in a bucket are worth aligning.  The share of equal
+#: bins estimates the Jaccard similarity of the words, counted with repeats.  Texts that align have
+#: a least one, and it may be missed by so many standard errors of the estimate.
+BINS, ERRORS = 128, 4.0
 #: Texts of a bucket on each side of a comparison.
 TILE = 1024
 MAX_WORDS = 300_000
@@ -34,12 +38,10 @@ _SEEDS = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C1
 _ODD = _mixed(np.arange(300, 364, dtype=np.uint64)) | np.uint64(1)
 
 
-def order_sketches(words: np.ndarray, k: int, sketches: int, kept: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order MinHash sketches of hashed words, and a signature of ``bins`` bytes (0: empty bin).
+def _labelled(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """K-mers of hashed words, and the same labelled with their occurrence number.
 
-    K-mers are labelled with their occurrence number.  Each sketch takes the ``kept`` labelled
-    k-mers of least hash and hashes them in the order in which they stand in the text.  A text
-    shorter than k words is one k-mer.
+    A text shorter than k words is one k-mer.
     """
     k = min(k, len(words))
     count = len(words) - k + 1
@@ -52,7 +54,17 @@ def order_sketches(words: np.ndarray, k: int, sketches: int, kept: int, bins: in
     first = np.maximum.accumulate(np.where(same, 0, np.arange(count)))
     number = np.empty(count, np.uint64)
     number[order] = (np.arange(count) - first).astype(np.uint64)
-    labelled = _mixed(grams + number * np.uint64(0x9E3779B97F4A7C15))
+    return grams, _mixed(grams + number * np.uint64(0x9E3779B97F4A7C15))
+
+
+def order_sketches(words: np.ndarray, k: int, sketches: int, kept: int) -> np.ndarray:
+    """Order MinHash sketches of hashed words.
+
+    Each sketch takes the ``kept`` labelled k-mers of least hash and hashes them in the order in
+    which they stand in the text.
+    """
+    grams, labelled = _labelled(words, k)
+    count = len(grams)
     kept = min(kept, count)
     chosen = np.empty((sketches, kept), np.uint64)
     for t in range(sketches):
@@ -63,11 +75,29 @@ def order_sketches(words: np.ndarray, k: int, sketches: int, kept: int, bins: in
     out = np.arange(sketches, dtype=np.uint64)
     for column in chosen.T:
         out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
-    place = _mixed(labelled ^ _SEEDS[255])
+    return out
+
+
+def least_kmers(words: np.ndarray, k: int, kept: int) -> np.ndarray:
+    """The ``kept`` labelled k-mers of least hash, or all of a text that has no more.
+
+    A text of 2k - 1 words, which one other word in its middle leaves without a k-mer, has a key of
+    the rest too.
+    """
+    h = _mixed(_labelled(words, k)[1] ^ _SEEDS[254])
+    out = np.partition(h, kept - 1)[:kept] if kept < len(h) else h
+    if len(words) == 2 * k - 1:
+        out = np.append(out, _labelled(np.delete(words, k - 1), len(words))[1] ^ _SEEDS[253])
+    return out
+
+
+def word_signature(words: np.ndarray, bins: int) -> np.ndarray:
+    """A signature of ``bins`` bytes (0: empty bin) of hashed words labelled with their occurrence number."""
+    place = _mixed(_labelled(words, 1)[1] ^ _SEEDS[255])
     signature = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(signature, (place % np.uint64(bins)).astype(np.int64), place >> np.uint64(8))
     filled = signature != np.iinfo(np.uint64).max
-    return out, np.where(filled, 1 + signature % np.uint64(255), 0).astype(np.uint8)
+    return np.where(filled, 1 + signature % np.uint64(255), 0).astype(np.uint8)
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -146,7 +176,7 @@ def _coded(texts) -> tuple[list[np.ndarray], list[np.ndarray], int]:
     return plain, labelled, len(places)
 
 
-def _sketched(k: int, sketches: int, kept: int, bins: int):
+def _sketched(k: int, sketches: int, kept: int, anchors: int, anchor_words: int, bins: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
         import xxhash
@@ -174,9 +204,9 @@ def _sketched(k: int, sketches: int, kept: int, bins: int):
                         signatures.append(b"")
                         continue
                     coded = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                    s, signature = order_sketches(coded, k, sketches, kept, bins)
-                    keys.append(s.view(np.int64))
-                    signatures.append(signature.tobytes())
+                    own = np.concatenate([order_sketches(coded, k, sketches, kept), least_kmers(coded, anchor_words, anchors)])
+                    keys.append(np.unique(own.view(np.int64)))
+                    signatures.append(word_signature(coded, bins).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
                     names=["id", "h1", "h2", "n", "keys", "signature"],
@@ -185,21 +215,26 @@ def _sketched(k: int, sketches: int, kept: int, bins: int):
     return run
 
 
-def _plausible(q, s, least: float, estimate: float) -> np.ndarray:
-    """Which queries and targets agree in enough bins and are of about the same length."""
-    out = np.zeros((len(q["id"]), len(s["id"])), bool)
-    longer = np.maximum(q["n"][:, None], s["n"])
-    lengths = np.minimum(q["n"][:, None], s["n"]) >= least * longer - 1e-9
-    for i in range(len(out)):
-        near = np.flatnonzero(lengths[i] & (s["id"] != q["id"][i]))
-        if len(near):
-            own, others = q["signature"][i], s["signature"][near]
-            filled = ((others != 0) | (own != 0)).sum(1)
-            out[i, near] = ((others == own) & (own != 0)).sum(1) >= estimate * filled
-    return out
-
+def _agreeing(q, i: int, s, among: np.ndarray, least: float) -> np.ndarray:
+    """Those of the targets ``among`` that are of about the length of query i and agree with it in enough bins.
 
-def _stars(least: float, estimate: float):
+    Words that no edit touches are common to two texts, so ``most`` edits leave them a least Jaccard
+    similarity of their words wherever the edits are.
+    """
+    longer, shorter = np.maximum(q["n"][i], s["n"][among]), np.minimum(q["n"][i], s["n"][among])
+    most = ((1 - least) * longer + 1e-9).astype(np.int64)
+    fits = (longer - shorter <= most) & (s["id"][among] != q["id"][i])
+    among, longer, shorter, most = among[fits], longer[fits], shorter[fits], most[fits]
+    if not len(among):
+        return among
+    own, others = q["signature"][i], s["signature"][among]
+    equal = np.count_nonzero((others == own) & (own != 0), axis=1)
+    filled = np.count_nonzero(others | own, axis=1)
+    share = (longer - most) / (shorter + most)
+    return among[equal >= (share - ERRORS * np.sqrt(share * (1 - share) / len(own))) * filled]
+
+
+def _stars(least: float):
     """Pairs of a tile that are worth aligning, at most one for each text.
 
     In a bucket of one tile the texts that agree with the least of them form a star, then those left.
@@ -212,20 +247,25 @@ def _stars(least: float, estimate: float):
             q, s, one = _sides(group, ("id", "n"))
             if not len(q["id"]) or not len(s["id"]):
                 continue
-            fits = _plausible(q, s, least, estimate)
+            a, b = [], []
             if one:
-                a, b, left = [], [], np.ones(len(q["id"]), bool)
+                left = np.ones(len(q["id"]), bool)
                 for i in np.argsort(q["id"], kind="stable"):
                     if left[i]:
                         left[i] = False
-                        own = np.flatnonzero(fits[i] & left)
+                        own = _agreeing(q, i, s, np.flatnonzero(left), least)
                         left[own] = False
                         a += [q["id"][i]] * len(own)
                         b += q["id"][own].tolist()
             else:
-                rank = np.where(fits, s["id"], np.iinfo(np.int64).max)
-                found = fits.any(1)
-                a, b = q["id"][found], rank.min(1)[found]
+                ranked = np.argsort(s["id"], kind="stable")
+                for i in range(len(q["id"])):
+                    for part in (ranked[:32], ranked[32:]):
+                        own = _agreeing(q, i, s, part, least)
+                        if len(own):
+                            a.append(q["id"][i])
+                            b.append(s["id"][own[0]])
+                            break
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -241,7 +281,7 @@ def _sides(group, columns) -> tuple[dict, dict, bool]:
     return {c: v[query] for c, v in rows.items()}, {c: v[target] for c, v in rows.items()}, bool((query & target).all())
 
 
-def _apart(least: float, estimate: float):
+def _apart(least: float):
     """The texts of a tile that agree with one of another component."""
 
     def run(batches) -> Iterator:
@@ -254,15 +294,20 @@ def _apart(least: float, estimate: float):
             q, s, _ = _sides(group, ("id", "n", "component"))
             if not len(q["id"]) or not len(s["id"]):
                 continue
-            fits = _plausible(q, s, least, estimate) & (q["component"][:, None] != s["component"])
-            rows = np.unique(np.concatenate([q["row"][fits.any(1)], s["row"][fits.any(0)]]))
+            met = np.zeros(group.num_rows, bool)
+            for i in range(len(q["id"])):
+                own = _agreeing(q, i, s, np.flatnonzero(s["component"] != q["component"][i]), least)
+                if len(own):
+                    met[q["row"][i]] = True
+                    met[s["row"][own]] = True
+            rows = np.flatnonzero(met)
             if len(rows):
                 yield from group.take(pa.array(rows)).select(["key", "i", "j", "id", "query", "target"]).to_batches()
 
     return run
 
 
-def _links_apart(least: float, estimate: float):
+def _links_apart(least: float):
     """Aligns the pairs of a tile that agree and are of different components, and returns links alone.
 
     A pair is aligned in one of the buckets that its texts share, dealt by their ids so that a group
@@ -277,8 +322,11 @@ def _links_apart(least: float, estimate: float):
             q, s, _ = _sides(group, ("id", "n", "component", "key"))
             if not len(q["id"]) or not len(s["id"]):
                 continue
-            fits = _plausible(q, s, least, estimate) & (q["component"][:, None] != s["component"]) & (q["id"][:, None] < s["id"])
-            keys = np.stack([np.asarray(x) for x in group.column("keys").to_pylist()])
+            held = group.column("keys").to_pylist()
+            none = np.iinfo(np.int64).min
+            keys = np.full((len(held), max(map(len, held))), none)
+            for row, own in zip(keys, held, strict=True):
+                row[: len(own)] = own
             plain, labelled, n_labels = _coded(x.as_py() for x in group.column("text"))
             marked = np.zeros(n_labels, bool)
             parent: dict[int, int] = {}
@@ -289,12 +337,16 @@ def _links_apart(least: float, estimate: float):
                 return x
 
             a_out, b_out = [], []
-            for i in np.flatnonzero(fits.any(1)):
-                a, others = int(q["row"][i]), np.flatnonzero(fits[i])
-                shared = keys[s["row"][others]] == keys[a]
-                count = shared.sum(1)
+            for i in range(len(q["id"])):
+                a = int(q["row"][i])
+                others = _agreeing(q, i, s, np.flatnonzero((s["component"] != q["component"][i]) & (s["id"] > q["id"][i])), least)
+                if not len(others):
+                    continue
+                theirs = keys[s["row"][others]]
+                shared = np.isin(theirs, keys[a]) & (theirs != none)
+                count = np.maximum(shared.sum(1), 1)
                 turn = (q["id"][i] % count + s["id"][others] % count) % count
-                dealt = shared & (shared.cumsum(1) == turn[:, None] + 1) & (keys[a] == q["key"][i])
+                dealt = shared & (shared.cumsum(1) == turn[:, None] + 1) & (theirs == q["key"][i])
                 others = others[dealt.any(1)]
                 if not len(others):
                     continue
@@ -339,16 +391,18 @@ def near_duplicates(
     sketches: int = SKETCHES,
     kept: int = KEPT,
     bins: int = BINS,
-    min_estimate: float = MIN_ESTIMATE,
     tile: int = TILE,
     id_col: str = "doc_id",
     text_col: str = "text",
+    anchors: int = ANCHORS,
+    anchor_words: int = ANCHOR_WORDS,
 ) -> DataFrame:
     """Groups documents whose words align to ``min_similarity`` or more, chained.
 
     Similarity is 1 - edit distance / words of the longer text, over words.  Candidates share an
-    Order MinHash sketch of ``words``-word k-mers, agree in enough bins of a signature, and are
-    of about the same length; banded alignment decides.
+    Order MinHash sketch of ``words``-word k-mers or one of the ``anchors`` least k-mers of
+    ``anchor_words`` words, agree in enough bins of a signature of their words, and are of about
+    the same length; banded alignment decides.
 
     1. Texts of the same words are one text, with the least id.
     2. Within each bucket the texts that agree with the least of them are paired with it, at most
@@ -366,7 +420,7 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     usable = rows.where("id is not null and text is not null")
     sketched = stored(
-        usable.mapInArrow(_sketched(words, sketches, kept, bins), "id bigint, h1 bigint, h2 bigint, n int, keys array<bigint>, signature binary"), "sketches"
+        usable.mapInArrow(_sketched(words, sketches, kept, anchors, anchor_words, bins), "id bigint, h1 bigint, h2 bigint, n int, keys array<bigint>, signature binary"), "sketches"
     )
     least = sketched.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
     firsts = sketched.join(least, ["h1", "h2"]).where("id = rep").dropDuplicates(["id", "h1", "h2"])
@@ -381,7 +435,7 @@ def near_duplicates(
         return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     tiles = tiled(buckets, "key", "id", tile)
-    found = in_tiles(tiles, ["id", "n", "signature"]).mapInArrow(_stars(min_similarity, min_estimate), "a bigint, b bigint")
+    found = in_tiles(tiles, ["id", "n", "signature"]).mapInArrow(_stars(min_similarity), "a bigint, b bigint")
     stars = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = stored(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     # In any further pair both texts agree with some other, so the stars have met them.
@@ -393,13 +447,13 @@ def near_duplicates(
     components = stored(connected_components(links), "components")
     labelled = tiles.join(components, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
     apart = in_tiles(labelled, ["id", "n", "signature", "component"]).mapInArrow(
-        _apart(min_similarity, min_estimate), "key bigint, i int, j int, id bigint, query boolean, target boolean"
+        _apart(min_similarity), "key bigint, i int, j int, id bigint, query boolean, target boolean"
     )
     apart = stored(apart, "apart")
     known = stored(firsts.join(apart.select(F.col("id").alias("node")).distinct(), F.col("id") == F.col("node"), "left_semi"), "apart_texts")
     known = known.join(components, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
     more = apart.join(known, "id").join(texts, "id")
-    more = in_tiles(more, ["id", "n", "signature", "component", "keys", "text"]).mapInArrow(_links_apart(min_similarity, min_estimate), "a bigint, b bigint")
+    more = in_tiles(more, ["id", "n", "signature", "component", "keys", "text"]).mapInArrow(_links_apart(min_similarity), "a bigint, b bigint")
     links = links.unionByName(stored(more, "links"))
     components = connected_components(links)
     classes = sketched.select("id", "h1", "h2").join(least, ["h1", "h2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
