@@ -181,6 +181,15 @@ def test_near_duplicates_equal_all_pairs(spark):
         assert got == grouped(rows)
 
 
+def test_near_duplicates_chains(spark):
+    rows = []
+    for g in range(60):
+        base = [f"g{g}x{i}" for i in range(25)]
+        rows += [(3 * g + k, " ".join(base[: 25 - 4 * k])) for k in range(3)]
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(texts(spark, rows)).collect()}
+    assert got == {i: i - i % 3 for i, _ in rows}
+
+
 def test_lattice(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(300, 16))

@@ -411,8 +411,8 @@ def near_duplicates(
        texts are, so that no link within a bucket is lost; only links leave the task, and copies
        are never expanded into all pairs.
 
-    Buckets of more than ``tile`` texts are dealt into tiles.  Texts are exchanged once, and only
-    those of candidates are kept.  Returns (id_col, component_id bigint: the least id of the
+    Buckets of more than ``tile`` texts are dealt into tiles.  Only texts of candidates are
+    exchanged and kept.  Returns (id_col, component_id bigint: the least id of the
     group, kept boolean: whether it is that id), a row for each input row.  Null texts and ids
     link with nothing (a null id has a null component and is kept); texts without words are
     copies of one another; rows that share an id are one document of all their texts.
@@ -438,7 +438,6 @@ def near_duplicates(
     found = in_tiles(tiles, ["id", "n", "signature"]).mapInArrow(_stars(min_similarity), "a bigint, b bigint")
     stars = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = stored(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    # In any further pair both texts agree with some other, so the stars have met them.
     texts = stored(usable.join(ids, F.col("id") == F.col("node"), "left_semi"), "candidates")
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
@@ -450,7 +449,10 @@ def near_duplicates(
         _apart(min_similarity), "key bigint, i int, j int, id bigint, query boolean, target boolean"
     )
     apart = stored(apart, "apart")
-    known = stored(firsts.join(apart.select(F.col("id").alias("node")).distinct(), F.col("id") == F.col("node"), "left_semi"), "apart_texts")
+    # A text may agree with members of stars alone, so that it is in no star itself.
+    ids = stored(apart.select(F.col("id").alias("node")).distinct(), "nodes")
+    texts = stored(usable.join(ids, F.col("id") == F.col("node"), "left_semi"), "candidates")
+    known = stored(firsts.join(ids, F.col("id") == F.col("node"), "left_semi"), "apart_texts")
     known = known.join(components, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
     more = apart.join(known, "id").join(texts, "id")
     more = in_tiles(more, ["id", "n", "signature", "component", "keys", "text"]).mapInArrow(_links_apart(min_similarity), "a bigint, b bigint")
