@@ -87,11 +87,12 @@ def positions(fills: DataFrame, mode: str = "correct") -> DataFrame:
     return fold(fills, ["price", "qty", "side"], start, step)
 
 
-def risk_checks(orders: DataFrame, max_position: float = 60.0, max_notional: float = 80_000.0, max_loss: float = -50_000.0) -> DataFrame:
+def risk_checks(orders: DataFrame, max_position: float = 60.0, max_notional: float = 80_000.0) -> DataFrame:
     """The first rule that an order breaks, in a fixed order, with the room left where it can be cut down.
 
     Orders need ``symbol``, ``ts``, ``id``, ``qty``, ``side`` and ``price``.  The position before an
-    order sums the earlier ones of its symbol, as if all had been filled.
+    order sums the earlier ones of its symbol, as if all had been filled.  Breaker, rate, balance,
+    drawdown and total exposure are not tested.
     """
     w = ordered("symbol", ["ts", "id"])
     before = F.coalesce(F.sum(C("side") * C("qty")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
