@@ -125,6 +125,32 @@ def sorted_groups(batches: Iterator, keys: int) -> Iterator:
     yield from whole()
 
 
+def whole_groups(batches: Iterator, keys: int) -> Iterator:
+    """Tables of sorted Arrow batches that hold whole groups, many at a time, with the rows at which groups start.
+
+    Rows are sorted by their first ``keys`` columns, numbers without nulls.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if held is not None:
+            table = pa.concat_tables([held, table])
+        key = np.stack([table.column(k).to_numpy() for k in range(keys)], 1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        if len(cuts):
+            yield table.slice(0, cuts[-1]), np.concatenate(([0], cuts[:-1]))
+            held = table.slice(cuts[-1])
+        else:
+            held = table
+    if held is not None:
+        yield held, np.array([0])
+
+
 def tiled(rows: DataFrame, bucket: str, node: str, tile: int, target: Column | None = None) -> DataFrame:
     """Deals rows into tiles of their buckets, so that no group has many more than ``tile`` rows a side.
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, sorted_groups, stored, table, tiled
+from tidemark.llm.common import connected_components, sorted_groups, stored, table, tiled, whole_groups
 
 WORDS = 5
 MIN_SIMILARITY = 0.8
@@ -25,6 +25,8 @@ ANCHORS, ANCHOR_WORDS = 24, 3
 BINS, ERRORS = 128, 4.0
 #: Texts of a bucket on each side of a comparison.
 TILE = 1024
+#: Buckets of up to so many texts are compared many at a time, and pairs whose signatures are held at once.
+SMALL, CHUNK = 64, 50_000
 MAX_WORDS = 300_000
 
 
@@ -66,12 +68,17 @@ def order_sketches(words: np.ndarray, k: int, sketches: int, kept: int) -> np.nd
     grams, labelled = _labelled(words, k)
     count = len(grams)
     kept = min(kept, count)
-    chosen = np.empty((sketches, kept), np.uint64)
-    for t in range(sketches):
-        h = (labelled ^ _SEEDS[t]) * _ODD[8 + t]
+    places = np.empty((sketches, kept), np.int64)
+    step = max(1, 1_000_000 // count)  # sketches at once, so that a very long text takes bounded memory
+    for t in range(0, sketches, step):
+        u = min(t + step, sketches)
+        h = (labelled ^ _SEEDS[t:u, None]) * _ODD[8 + t : 8 + u, None]
         h ^= h >> np.uint64(32)
-        least = np.argpartition(h, kept - 1)[:kept] if kept < count else np.arange(count)
-        chosen[t] = grams[np.sort(least)]
+        for r in range(kept):
+            places[t:u, r] = least = h.argmin(1)
+            h[np.arange(u - t), least] = np.iinfo(np.uint64).max
+    places.sort(axis=1)
+    chosen = grams[places]
     out = np.arange(sketches, dtype=np.uint64)
     for column in chosen.T:
         out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
@@ -215,70 +222,107 @@ def _sketched(k: int, sketches: int, kept: int, anchors: int, anchor_words: int,
     return run
 
 
-def _agreeing(q, i: int, s, among: np.ndarray, least: float) -> np.ndarray:
-    """Those of the targets ``among`` that are of about the length of query i and agree with it in enough bins.
+def _agree(n: np.ndarray, signatures: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether the texts of rows ``a`` and ``b`` are of about the same length and agree in enough bins.
 
     Words that no edit touches are common to two texts, so ``most`` edits leave them a least Jaccard
     similarity of their words wherever the edits are.
     """
-    longer, shorter = np.maximum(q["n"][i], s["n"][among]), np.minimum(q["n"][i], s["n"][among])
+    longer, shorter = np.maximum(n[a], n[b]), np.minimum(n[a], n[b])
     most = ((1 - least) * longer + 1e-9).astype(np.int64)
-    fits = (longer - shorter <= most) & (s["id"][among] != q["id"][i])
-    among, longer, shorter, most = among[fits], longer[fits], shorter[fits], most[fits]
-    if not len(among):
-        return among
-    own, others = q["signature"][i], s["signature"][among]
-    equal = np.count_nonzero((others == own) & (own != 0), axis=1)
-    filled = np.count_nonzero(others | own, axis=1)
-    share = (longer - most) / (shorter + most)
-    return among[equal >= (share - ERRORS * np.sqrt(share * (1 - share) / len(own))) * filled]
+    out = longer - shorter <= most
+    share = np.minimum((longer - most) / (shorter + most), 1.0)
+    wanted = share - ERRORS * np.sqrt(share * (1 - share) / signatures.shape[1])
+    near = np.flatnonzero(out)
+    for at in range(0, len(near), CHUNK):
+        rows = near[at : at + CHUNK]
+        x, y = signatures[a[rows]], signatures[b[rows]]
+        equal = np.count_nonzero((x == y) & (x != 0), axis=1)
+        out[rows] = equal >= wanted[rows] * np.count_nonzero(x | y, axis=1)
+    return out
+
+
+def _agreeing(group, i: int, among: np.ndarray, least: float) -> np.ndarray:
+    """Those of the rows ``among`` of a group that agree with its row i and have another id."""
+    among = among[group["id"][among] != group["id"][i]]
+    return among[_agree(group["n"], group["signature"], np.full(len(among), i), among, least)]
+
+
+def _arrays(table, columns) -> dict[str, np.ndarray]:
+    """Columns of a table as arrays, and its signatures as a matrix."""
+    rows = {c: table.column(c).to_numpy() for c in columns}
+    rows["signature"] = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+    return rows
+
+
+def _small_pairs(starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows within the ``chosen`` groups, in parts of bounded size; the first row of a pair comes first in its group."""
+    for size in np.unique(sizes[chosen]):
+        first, second = np.triu_indices(size, 1)
+        groups = starts[chosen & (sizes == size)]
+        step = max(1, 4 * CHUNK // len(first))
+        for at in range(0, len(groups), step):
+            part = groups[at : at + step, None]
+            yield (part + first).ravel(), (part + second).ravel()
 
 
 def _stars(least: float):
     """Pairs of a tile that are worth aligning, at most one for each text.
 
-    In a bucket of one tile the texts that agree with the least of them form a star, then those left.
+    In a bucket of one tile the texts that agree with the least of them form a star, then those
+    left; in a small one each text is paired with the least that it agrees with.
     """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for group in sorted_groups(batches, 3):
-            q, s, one = _sides(group, ("id", "n"))
-            if not len(q["id"]) or not len(s["id"]):
-                continue
-            a, b = [], []
-            if one:
-                left = np.ones(len(q["id"]), bool)
-                for i in np.argsort(q["id"], kind="stable"):
-                    if left[i]:
-                        left[i] = False
-                        own = _agreeing(q, i, s, np.flatnonzero(left), least)
-                        left[own] = False
-                        a += [q["id"][i]] * len(own)
-                        b += q["id"][own].tolist()
-            else:
-                ranked = np.argsort(s["id"], kind="stable")
-                for i in range(len(q["id"])):
-                    for part in (ranked[:32], ranked[32:]):
-                        own = _agreeing(q, i, s, part, least)
-                        if len(own):
-                            a.append(q["id"][i])
-                            b.append(s["id"][own[0]])
-                            break
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for table, starts in whole_groups(batches, 3):
+            rows = _arrays(table, ("id", "n", "query", "target"))
+            ids, both = rows["id"], rows["query"] & rows["target"]
+            sizes = np.diff(np.append(starts, len(ids)))
+            one = np.logical_and.reduceat(both, starts)
+            small = one & (sizes > 1) & (sizes <= SMALL)
+            a_out, b_out = [], []
+            for a, b in _small_pairs(starts, sizes, small):
+                ok = (ids[a] != ids[b]) & _agree(rows["n"], rows["signature"], a, b, least)
+                a, b = a[ok], b[ok]
+                b, at = np.unique(b, return_index=True)
+                a_out.append(ids[a[at]])
+                b_out.append(ids[b])
+            for start, size, whole in zip(starts[~small], sizes[~small], one[~small], strict=True):
+                group = {c: v[start : start + size] for c, v in rows.items()}
+                queries, targets = np.flatnonzero(group["query"]), np.flatnonzero(group["target"])
+                a, b = [], []
+                if whole:
+                    left = np.ones(size, bool)
+                    for i in range(size):
+                        if left[i]:
+                            left[i] = False
+                            own = _agreeing(group, i, np.flatnonzero(left), least)
+                            left[own] = False
+                            a += [i] * len(own)
+                            b += own.tolist()
+                else:
+                    for i in queries:
+                        for part in (targets[:32], targets[32:]):
+                            own = _agreeing(group, i, part, least)
+                            if len(own):
+                                a.append(i)
+                                b.append(own[0])
+                                break
+                a_out.append(group["id"][a] if a else np.empty(0, np.int64))
+                b_out.append(group["id"][b] if b else np.empty(0, np.int64))
+            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a_out, b_out))
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _sides(group, columns) -> tuple[dict, dict, bool]:
-    """The queries and the targets of a tile, and whether they are the same rows."""
-    rows = {c: group.column(c).to_numpy() for c in columns}
-    rows["signature"] = np.stack([np.frombuffer(x, np.uint8) for x in group.column("signature").to_pylist()])
-    query, target = group.column("query").to_numpy(), group.column("target").to_numpy()
-    rows["row"] = np.arange(group.num_rows)
-    return {c: v[query] for c, v in rows.items()}, {c: v[target] for c, v in rows.items()}, bool((query & target).all())
+def _sides(group, columns) -> tuple[dict, np.ndarray, np.ndarray]:
+    """The rows of a tile, and which of them are queries and targets."""
+    rows = _arrays(group, columns)
+    return rows, np.flatnonzero(group.column("query").to_numpy()), np.flatnonzero(group.column("target").to_numpy())
 
 
 def _apart(least: float):
@@ -287,22 +331,31 @@ def _apart(least: float):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for group in sorted_groups(batches, 3):
-            component = group.column("component").to_numpy()
-            if (component == component[0]).all():
-                continue
-            q, s, _ = _sides(group, ("id", "n", "component"))
-            if not len(q["id"]) or not len(s["id"]):
+        for table, starts in whole_groups(batches, 3):
+            component = table.column("component").to_numpy()
+            sizes = np.diff(np.append(starts, len(component)))
+            mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+            if not mixed.any():
                 continue
-            met = np.zeros(group.num_rows, bool)
-            for i in range(len(q["id"])):
-                own = _agreeing(q, i, s, np.flatnonzero(s["component"] != q["component"][i]), least)
-                if len(own):
-                    met[q["row"][i]] = True
-                    met[s["row"][own]] = True
-            rows = np.flatnonzero(met)
-            if len(rows):
-                yield from group.take(pa.array(rows)).select(["key", "i", "j", "id", "query", "target"]).to_batches()
+            rows = _arrays(table, ("id", "n", "query", "target"))
+            one = np.logical_and.reduceat(rows["query"] & rows["target"], starts)
+            small = mixed & one & (sizes <= SMALL)
+            met = np.zeros(len(component), bool)
+            for a, b in _small_pairs(starts, sizes, small):
+                other = (component[a] != component[b]) & (rows["id"][a] != rows["id"][b])
+                a, b = a[other], b[other]
+                ok = _agree(rows["n"], rows["signature"], a, b, least)
+                met[a[ok]] = met[b[ok]] = True
+            for start, size in zip(starts[mixed & ~small], sizes[mixed & ~small], strict=True):
+                group = {c: v[start : start + size] for c, v in rows.items()}
+                own_component, targets = component[start : start + size], np.flatnonzero(group["target"])
+                for i in np.flatnonzero(group["query"]):
+                    own = _agreeing(group, i, targets[own_component[targets] != own_component[i]], least)
+                    if len(own):
+                        met[start + i] = True
+                        met[start + own] = True
+            if met.any():
+                yield from table.take(pa.array(np.flatnonzero(met))).select(["key", "i", "j", "id", "query", "target"]).to_batches()
 
     return run
 
@@ -319,9 +372,10 @@ def _links_apart(least: float):
         import pyarrow as pa
 
         for group in sorted_groups(batches, 3):
-            q, s, _ = _sides(group, ("id", "n", "component", "key"))
-            if not len(q["id"]) or not len(s["id"]):
+            rows, queries, targets = _sides(group, ("id", "n", "component", "key"))
+            if not len(queries) or not len(targets):
                 continue
+            ids, n, component = rows["id"], rows["n"], rows["component"]
             held = group.column("keys").to_pylist()
             none = np.iinfo(np.int64).min
             keys = np.full((len(held), max(map(len, held))), none)
@@ -337,31 +391,30 @@ def _links_apart(least: float):
                 return x
 
             a_out, b_out = [], []
-            for i in range(len(q["id"])):
-                a = int(q["row"][i])
-                others = _agreeing(q, i, s, np.flatnonzero((s["component"] != q["component"][i]) & (s["id"] > q["id"][i])), least)
+            for a in queries.tolist():
+                others = _agreeing(rows, a, targets[(component[targets] != component[a]) & (ids[targets] > ids[a])], least)
                 if not len(others):
                     continue
-                theirs = keys[s["row"][others]]
+                theirs = keys[others]
                 shared = np.isin(theirs, keys[a]) & (theirs != none)
                 count = np.maximum(shared.sum(1), 1)
-                turn = (q["id"][i] % count + s["id"][others] % count) % count
-                dealt = shared & (shared.cumsum(1) == turn[:, None] + 1) & (theirs == q["key"][i])
+                turn = (ids[a] % count + ids[others] % count) % count
+                dealt = shared & (shared.cumsum(1) == turn[:, None] + 1) & (theirs == rows["key"][a])
                 others = others[dealt.any(1)]
                 if not len(others):
                     continue
                 marked[labelled[a]] = True
-                common = np.array([marked[labelled[r]].sum() for r in s["row"][others]])
+                common = np.array([marked[labelled[r]].sum() for r in others])
                 marked[labelled[a]] = False
-                longer = np.maximum(q["n"][i], s["n"][others])
+                longer = np.maximum(n[a], n[others])
                 most = ((1 - least) * longer + 1e-9).astype(np.int64)
                 own = plain[a].tolist()
-                for j, edits in zip(others[longer - common <= most], most[longer - common <= most], strict=True):
-                    ca, cb = root(int(q["component"][i])), root(int(s["component"][j]))
-                    if ca != cb and edit_distance(own, plain[int(s["row"][j])].tolist(), int(edits)) <= edits:
+                for b, edits in zip(others[longer - common <= most], most[longer - common <= most], strict=True):
+                    ca, cb = root(int(component[a])), root(int(component[b]))
+                    if ca != cb and edit_distance(own, plain[int(b)].tolist(), int(edits)) <= edits:
                         parent[max(ca, cb)] = min(ca, cb)
-                        a_out.append(int(q["id"][i]))
-                        b_out.append(int(s["id"][j]))
+                        a_out.append(int(ids[a]))
+                        b_out.append(int(ids[b]))
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
@@ -426,13 +479,16 @@ def near_duplicates(
     firsts = sketched.join(least, ["h1", "h2"]).where("id = rep").dropDuplicates(["id", "h1", "h2"])
     firsts = stored(firsts.select("id", "n", "keys", "signature"), "texts")
     keyed = firsts.select("id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    # Keys that the same texts share, as many keys of close copies are, make one bucket.
+    mark = F.xxhash64("id")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("times"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit(2**31 - 1))).alias("y"))
+    shared = shared.where("times > 1").groupBy("times", "x", "y").agg(F.min("key").alias("key")).select("key")
     members = keyed.join(shared, "key")
     buckets = stored(members.join(firsts.select("id", "n", "signature"), "id").select("key", "id", "n", "signature"), "buckets")
 
     def in_tiles(rows: DataFrame, columns: list[str]) -> DataFrame:
         out = rows.select("key", "i", "j", *columns, "query", "target")
-        return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
     tiles = tiled(buckets, "key", "id", tile)
     found = in_tiles(tiles, ["id", "n", "signature"]).mapInArrow(_stars(min_similarity), "a bigint, b bigint")
@@ -452,7 +508,8 @@ def near_duplicates(
     # A text may agree with members of stars alone, so that it is in no star itself.
     ids = stored(apart.select(F.col("id").alias("node")).distinct(), "nodes")
     texts = stored(usable.join(ids, F.col("id") == F.col("node"), "left_semi"), "candidates")
-    known = stored(firsts.join(ids, F.col("id") == F.col("node"), "left_semi"), "apart_texts")
+    held = buckets.join(ids, F.col("id") == F.col("node"), "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    known = stored(firsts.drop("keys").join(held, "id"), "apart_texts")
     known = known.join(components, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
     more = apart.join(known, "id").join(texts, "id")
     more = in_tiles(more, ["id", "n", "signature", "component", "keys", "text"]).mapInArrow(_links_apart(min_similarity), "a bigint, b bigint")
