@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -15,16 +17,16 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
-#: Prime number of small maps that the rank map is dealt into; Spark scans a map from its start.
-BUCKETS = 65_521
 #: Longer words are merged with a heap in the task instead: a fold takes time in the square of the length.
 MAX_FOLD_BYTES = 256
-#: Distinct words that a task remembers before it starts anew.
-MAX_WORDS = 200_000
-#: Pieces of text between spaces whose split a task remembers; others are split again.
-MAX_PIECES = 60_000
+#: Distinct words, and pieces of text between spaces, that a task remembers before it starts anew.
+MAX_WORDS = 500_000
+#: Texts, and about so many characters of them, that are encoded at once.
+TEXTS, CHARS = 500, 4_000_000
 #: White space as the tokenizer's pattern means it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: No rank; a token of a fold is a number of its pair's rank, its place in the word and its id, of so many bits.
+NO_RANK, PLACE_BITS, ID_BITS = 2**17 - 1, 9, 17
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,61 +46,86 @@ def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return pairs
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The merges as one literal: an array of small maps from a pair's key to its rank.
+def _prime(least: int) -> int:
+    n = least | 1
+    while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
 
-    The optimizer folds this constant expression once; it grows with the vocabulary alone.
-    """
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for (a, b), rank in merge_pairs(ranks).items():
-        key = a * 65_536 + b
-        buckets[key % BUCKETS][str(key)] = rank
-    text = json.dumps(buckets, separators=(",", ":"))
-    return F.from_json(F.lit(text), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
+@functools.lru_cache(maxsize=2)
+def rank_tables(path: str) -> tuple[int, int, str, str, str]:
+    """The merges as a perfect hash of pairs, made once a session: two moduli and three tables as JSON.
 
-def byte_pair_ranks(ranks: dict[bytes, int]) -> Column:
-    """The ranks of all pairs of single bytes by 256 times the first id plus the second, a literal."""
+    The slot of a pair's key is (key + shifts[key mod m]) mod n; ``slots`` holds the key and the
+    rank, or 0.  The third table has the ranks of pairs of single bytes.
+    """
+    ranks = load_ranks(path)
+    if sorted(r for t, r in ranks.items() if len(t) == 1) != list(range(256)) or max(ranks.values()) >= 65_536:
+        raise ValueError("the ranks 0 to 255 are to be the single bytes, and all to be below 65,536")
+    keys = {a << 16 | b: r for (a, b), r in merge_pairs(ranks).items()}
+    m, n = _prime(len(keys) * 2 // 5 + 65_536), _prime(len(keys) * 3 // 2 + 65_536)  # m * n exceeds all keys, so that some shift parts any two
+    held: dict[int, list[int]] = {}
+    for key in keys:
+        held.setdefault(key % m, []).append(key)
+    slots, shifts, shift = [0] * n, [0] * m, 0
+    for place, own in sorted(held.items(), key=lambda x: -len(x[1])):
+        while any(slots[(k + shift) % n] for k in own):
+            shift = (shift + 7919) % n
+        shifts[place] = shift
+        for k in own:
+            slots[(k + shift) % n] = k << ID_BITS | keys[k]
+    if 0 not in keys and not slots[shifts[0] % n]:
+        slots[shifts[0] % n] = 1 << 62  # the pair of key 0 is no merge
     single = {r: t for t, r in ranks.items() if len(t) == 1}
-    pairs = [ranks.get(single[a] + single[b]) for a in range(256) for b in range(256)]
-    return F.from_json(F.lit(json.dumps(pairs)), "array<bigint>")
+    pairs = [ranks.get(single[a] + single[b], NO_RANK) for a in range(256) for b in range(256)]
+    return m, n, *(json.dumps(x, separators=(",", ":")) for x in (slots, shifts, pairs))
 
 
-def fold_word(word: Column, merges: Column, byte_pairs: Column) -> Column:
-    """Folds ranked merges over one word, an array of ids of single bytes.
+def fold_word(word: Column, ranks_path: str) -> Column:
+    """Folds ranked merges over one word, an array of ids of single bytes, by a literal rank map.
 
-    Steps take turns: one finds the leftmost pair of the lowest rank, the next merges it, so that
-    two steps for each byte are enough.  The state holds the ids, between two sentinels, the
-    ranks of adjacent pairs, of which a merge looks up the two that it changes, and the pair found.
+    The state is the word's tokens between two sentinels, each one number: the rank of the pair that
+    it begins, its place and its id.  The least number is the leftmost pair of the lowest rank; a
+    step merges it, so that a step for each byte but one is enough, and looks up two ranks.  A
+    word of one id of any kind is returned as it is.
     """
+    m, n, *tables = rank_tables(ranks_path)
+    slots, shifts, byte_pairs = (F.from_json(F.lit(t), "array<bigint>") for t in tables)
+
+    def long(x: int) -> Column:
+        return F.lit(x).cast("bigint")
+
+    rank_at, one = ID_BITS + PLACE_BITS, F.lit(1)
+    none, ids, low = long(NO_RANK), long(2**ID_BITS - 1), long(2**rank_at - 1)
+    places, far = long(2**rank_at - 2**ID_BITS), long(2**PLACE_BITS - 1)
 
-    def rank(a: Column, b: Column) -> Column:
-        key = a * F.lit(65_536) + b
-        return F.try_element_at(F.get(merges, F.pmod(key, F.lit(BUCKETS)).cast("int")), key)
+    def rank(key: Column) -> Column:
+        slot = (key + F.get(shifts, (key % long(m)).cast("int"))) % long(n)
+        return F.least(none, F.get(slots, slot.cast("int")).bitwiseXOR(F.shiftleft(key, ID_BITS)))  # another key leaves a bit above the rank
 
-    def state(ids: Column, ranks: Column, low: Column, at: Column) -> Column:
-        return F.struct(ids.alias("ids"), ranks.alias("ranks"), low.alias("low"), at.alias("at"))
+    def looked_up(x: Column) -> Column:
+        return F.shiftleft(rank(F.shiftright(x, rank_at)), rank_at).bitwiseOR(x.bitwiseAND(low))
 
-    none, end = F.lit(None).cast("bigint"), F.lit(-1).cast("bigint")
+    def merged(tokens: Column, least: Column) -> Column:
+        at = F.shiftright(least, ID_BITS).bitwiseAND(far).cast("int")
+        left, new = F.get(tokens, at - 1), F.shiftright(least, rank_at)
+        before = F.shiftleft(left.bitwiseAND(ids), rank_at + 16).bitwiseOR(F.shiftleft(new, rank_at)).bitwiseOR(left.bitwiseAND(low))
+        after = F.shiftleft(new, rank_at + 16).bitwiseOR(F.shiftleft(F.get(tokens, at + 2).bitwiseAND(long(65_535)), rank_at)).bitwiseOR(least.bitwiseAND(places)).bitwiseOR(new)
+        rest = F.transform(F.slice(tokens, at + 3, F.size(tokens)), lambda x: x - long(2**ID_BITS))
+        return F.flatten(F.array(F.slice(tokens, one, at - 1), F.transform(F.array(before, after), looked_up), rest))
 
-    def step(s: Column, _: Column) -> Column:
-        ids, ranks, low, p = s["ids"], s["ranks"], s["low"], s["at"]
-        least = F.array_min(ranks)
-        found = state(ids, ranks, F.coalesce(least, end), F.array_position(ranks, least).cast("int"))
-        pair = F.array(rank(F.get(ids, p - 2), low), rank(low, F.get(ids, p + 1)))
-        merged = state(
-            F.flatten(F.array(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, F.size(ids)))),
-            F.flatten(F.array(F.slice(ranks, F.lit(1), p - 2), pair, F.slice(ranks, p + 2, F.size(ranks)))),
-            none,
-            F.lit(None).cast("int"),
-        )
-        return F.when(low.isNull(), found).when(low < 0, s).otherwise(merged)
+    def step(tokens: Column, _: Column) -> Column:
+        done = long(NO_RANK << rank_at)
+        return F.get(F.transform(F.array(F.array_min(tokens)), lambda least: F.when(least >= done, tokens).otherwise(merged(tokens, least))), 0)
 
-    ends = F.array(end)
-    inner = F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word)), lambda a, b: F.get(byte_pairs, (a * 256 + b).cast("int")))
-    ranks = F.concat(F.array(none), F.when(F.size(word) > 1, inner).otherwise(F.array().cast("array<bigint>")), F.array(none))
-    start = state(F.concat(ends, word, ends), ranks, none, F.lit(None).cast("int"))
-    return F.aggregate(F.concat(word, word), start, step, lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2))
+    def token(x: Column, i: Column) -> Column:
+        own = F.coalesce(F.get(byte_pairs, (x * 256 + F.get(word, i + 1)).cast("int")), none)
+        return F.shiftleft(own, rank_at).bitwiseOR(F.shiftleft(i.cast("bigint") + 1, ID_BITS)).bitwiseOR(x)
+
+    first, last = F.array(long(NO_RANK << rank_at | NO_RANK)), F.array(long(NO_RANK << rank_at | (2**PLACE_BITS - 1) << ID_BITS | NO_RANK))
+    start = F.flatten(F.array(first, F.transform(word, token), last))
+    return F.aggregate(F.slice(word, F.lit(2), F.size(word)), start, step, lambda t: F.transform(F.slice(t, F.lit(2), F.size(t) - 2), lambda x: x.bitwiseAND(ids)))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -127,181 +154,193 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-class _Splitter:
-    """Splits texts as the pattern does.  Where each space is followed by other than white space,
-    the text between two spaces can be split by itself, so that it is split once and remembered."""
+def _pieces(pattern: str):
+    """A function that gives the words of a text, and remembers those of its pieces.
 
-    def __init__(self, pattern: str):
-        import regex
+    Where each space is followed by other than white space, the text between two spaces can be
+    split by itself, so that it is split once.
+    """
+    import regex
 
-        self.words = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
-        self.odd = re.compile(r" (?:\s|\Z)").search
+    words = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
+    return words, re.compile(r" (?:\s|\Z)").search
 
 
-def _words(ranks_path: str, pattern: str):
-    """For each batch of texts first a row of the words that are new in this task, as ids of their
-    bytes, then a row for each text."""
+def _numbered(ranks_path: str, pattern: str):
+    """Texts as numbers of their words, each batch after a row of the words that are new in this task.
+
+    A new word is the ids of its bytes; a token, or a word too long to fold, its ids in ``done``.
+    """
 
     def run(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        ranks, split = load_ranks(ranks_path), _Splitter(pattern)
+        ranks, (split, odd) = load_ranks(ranks_path), _pieces(pattern)
         single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        seen: set[str] = set()
-        known: set[str] = set()
-        kinds = pa.schema(
-            [("row", pa.int64()), ("text", pa.string()), ("words", pa.list_(pa.string())), ("bytes", pa.list_(pa.list_(pa.int64())))]
-        )
+        longs = pa.list_(pa.list_(pa.int64()))
+        kinds = pa.schema([("row", pa.int64()), ("words", pa.list_(pa.int32())), ("bytes", longs), ("done", longs), ("anew", pa.bool_())])
+        numbers: dict[str, int] = {}
+        fresh: list[str] = []
+
+        class Pieces(dict):
+            def __missing__(self, piece: str) -> list[int]:
+                own = self[piece] = numbered(" " + piece)
+                return own
+
+        def numbered(text: str) -> list[int]:
+            out = []
+            for w in split(text):
+                if (number := numbers.get(w)) is None:
+                    number = numbers[w] = len(numbers)
+                    fresh.append(w)
+                out.append(number)
+            return out
+
+        def coded(text: str | None) -> np.ndarray:
+            if not text:
+                return np.empty(0, np.int32)
+            if odd(text):
+                return np.array(numbered(text), np.int32)
+            first, *rest = text.split(" ")
+            return np.array([*numbered(first), *itertools.chain.from_iterable(map(pieces.__getitem__, rest))], np.int32)
+
+        def lists(values: np.ndarray, lengths: list[int]) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(values))
+
+        def new_words(anew: bool) -> Iterator:
+            """Folded words come first: the numbers of a batch's words are dealt again in that order."""
+            for at in range(0, max(len(fresh), 1), 20_000):
+                part = [w.encode() for w in fresh[at : at + 20_000]]
+                fold = [w if w not in ranks and len(w) <= MAX_FOLD_BYTES else b"" for w in part]
+                done = [[] if f else [ranks[w]] if w in ranks else merge_long(w, ranks) for w, f in zip(part, fold, strict=True)]
+                columns = [
+                    lists(single[np.frombuffer(b"".join(fold), np.uint8)], [len(w) for w in fold]),
+                    lists(np.fromiter(itertools.chain.from_iterable(done), np.int64), [len(x) for x in done]),
+                ]
+                whole = pa.array([0, len(part)], pa.int32())
+                columns = [pa.ListArray.from_arrays(whole, c) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, kinds.field(1).type), *columns, pa.array([anew and at == 0])], schema=kinds)
+
+        pieces, anew = Pieces(), False
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                texts, fresh = batch.column(1).to_pylist(), set()
-                reset = len(known) > MAX_WORDS
-                if reset:
-                    seen, known = set(), set()
-                for text in texts:
-                    if not text:
-                        continue
-                    if split.odd(text):
-                        fresh.update(split.words(text))
-                        continue
-                    first, *rest = text.split(" ")
-                    fresh.update(split.words(first))
-                    new = set(rest) - seen
-                    if len(seen) < MAX_PIECES:
-                        seen |= new
-                    for piece in new:
-                        fresh.update(split.words(" " + piece))
-                fresh -= known
-                known |= fresh
-                coded = [(w, b) for w in fresh if (b := w.encode()) not in ranks and len(b) <= MAX_FOLD_BYTES]
-                if reset:
-                    coded.insert(0, ("", b""))
-                for i in range(0, len(coded), 20_000):
-                    part = coded[i : i + 20_000]
-                    ends = np.cumsum([0] + [len(b) for _, b in part]).astype(np.int32)
-                    values = single[np.frombuffer(b"".join(b for _, b in part), np.uint8)]
-                    whole_row = pa.array([0, len(part)], pa.int32())
-                    words = pa.ListArray.from_arrays(whole_row, pa.array([w for w, _ in part], pa.string()))
-                    codes = pa.ListArray.from_arrays(whole_row, pa.ListArray.from_arrays(pa.array(ends), pa.array(values)))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), words, codes], schema=kinds)
-                n = len(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1).cast(pa.string()), pa.nulls(n, kinds.field(2).type), pa.nulls(n, kinds.field(3).type)], schema=kinds
-                )
+            for rows, texts in _parts(whole):
+                if len(numbers) > MAX_WORDS or len(pieces) > MAX_WORDS:
+                    numbers.clear()
+                    pieces.clear()
+                    anew = True
+                out = [coded(t) for t in texts]
+                if fresh or anew:
+                    yield from new_words(anew)
+                    fresh.clear()
+                    anew = False
+                n = len(out)
+                yield pa.RecordBatch.from_arrays([rows, lists(np.concatenate(out), [len(x) for x in out]), pa.nulls(n, longs), pa.nulls(n, longs), pa.nulls(n, pa.bool_())], schema=kinds)
 
     return run
 
 
-def _encode(ranks_path: str, pattern: str):
-    """Looks the words of each text up among the words folded before it in the same task."""
-
-    def run(batches) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        ranks, split = load_ranks(ranks_path), _Splitter(pattern)
-        words: dict[str, bytes] = {}
-        pieces: dict[str, bytes] = {}
-
-        def word(w: str) -> bytes:
-            if (got := words.get(w)) is None:
-                b = w.encode()
-                ids = [ranks[b]] if b in ranks else merge_long(b, ranks) if len(b) > MAX_FOLD_BYTES else None
-                if ids is None:
-                    raise KeyError(f"a word of {len(b)} bytes was not folded")
-                got = b"".join(x.to_bytes(4, "little") for x in ids)
-                if len(b) <= MAX_FOLD_BYTES:
-                    words[w] = got
-            return got
-
-        def joined(text: str) -> bytes:
-            return b"".join(map(word, split.words(text)))
-
-        def piece(c: str) -> bytes:
-            if (got := pieces.get(c)) is None:
-                got = joined(" " + c)
-                if len(c) <= MAX_FOLD_BYTES and len(pieces) < MAX_PIECES:
-                    pieces[c] = got
-            return got
-
-        def encode(text: str | None) -> bytes:
-            if not text:
-                return b""
-            if split.odd(text):
-                return joined(text)
-            first, *rest = text.split(" ")
-            try:
-                return joined(first) + b"".join(map(pieces.__getitem__, rest))
-            except KeyError:
-                return joined(first) + b"".join(map(piece, rest))
-
-        def coded(rows: list[int], texts: list[str | None]):
-            out = [encode(t) for t in texts]
-            ends = np.cumsum([0] + [len(b) // 4 for b in out]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(out), dtype="<u4").astype(np.int32))
-            return pa.RecordBatch.from_arrays(
-                [rows, pa.ListArray.from_arrays(pa.array(ends), values), pa.array(out, pa.binary())], names=["row", "ids", "ids_le"]
+def _parts(batch) -> Iterator[tuple]:
+    """The ids and the texts of a batch, in parts of bounded size."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    at, total = 0, np.concatenate(([0], np.cumsum(lengths)))
+    while at < batch.num_rows:
+        end = min(at + TEXTS, max(at + 1, int(np.searchsorted(total, total[at] + CHARS, "right")) - 1), batch.num_rows)
+        part = batch.slice(at, end - at)
+        yield part.column(0), part.column(1).to_pylist()
+        at = end
+
+
+def _joined(batches) -> Iterator:
+    """Texts as the ids of their words, which came before them in the same task."""
+    import numpy as np
+    import pyarrow as pa
+
+    ids, ends, n = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def grown(x: np.ndarray, size: int) -> np.ndarray:
+        return x if size <= len(x) else np.concatenate([x, np.empty(max(size - len(x), len(x)), x.dtype)])
+
+    def flat(column) -> tuple[np.ndarray, np.ndarray]:
+        inner = column.flatten()
+        return inner.flatten().to_numpy(zero_copy_only=False), np.diff(inner.offsets.to_numpy())
+
+    for batch in batches:
+        is_text = np.asarray(batch.column("words").is_valid())
+        cuts = [0, *(np.flatnonzero(is_text[1:] != is_text[:-1]) + 1).tolist(), batch.num_rows]
+        for start, end in itertools.pairwise(cuts):
+            part = batch.slice(start, end - start)
+            if start < batch.num_rows and not is_text[start]:
+                for i in range(part.num_rows):
+                    row = part.slice(i, 1)
+                    if row.column("anew")[0].as_py():
+                        n = 0
+                    (folded, sizes), (done, done_sizes) = flat(row.column("bytes")), flat(row.column("done"))
+                    both = sizes + done_sizes
+                    base, count = int(ends[n]), len(both)
+                    ids, ends = grown(ids, base + int(both.sum())), grown(ends, n + count + 1)
+                    new_ends = base + np.cumsum(both)
+                    own, of_fold = ids[base : base + int(both.sum())], np.repeat(sizes > 0, both)
+                    own[of_fold], own[~of_fold] = folded, done
+                    ends[n + 1 : n + 1 + count] = new_ends
+                    n += count
+                continue
+            numbers, words = part.column("words").flatten().to_numpy(zero_copy_only=False), part.column("words").offsets.to_numpy()
+            begins, lengths = ends[numbers], ends[numbers + 1] - ends[numbers]
+            total = np.concatenate(([0], np.cumsum(lengths)))
+            values = ids[np.repeat(begins - total[:-1], lengths) + np.arange(total[-1])]
+            offsets = total[words - words[0]]
+            raw = pa.py_buffer(values.astype("<u4").tobytes())
+            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 4).astype(np.int64).tobytes()), raw]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32))), binary], names=["row", "ids", "ids_le"]
             )
 
-        for batch in batches:
-            lists, codes = batch.column(2), batch.column(3)
-            filled = [i for i in range(batch.num_rows) if lists[i].is_valid] if lists.null_count < batch.num_rows else []
-            at = 0
-            for i in [*filled, batch.num_rows]:
-                for k in range(at, i, 500):
-                    part = batch.slice(k, min(500, i - k))
-                    yield coded(part.column(0), part.column(1).to_pylist())
-                if i < batch.num_rows:
-                    new, flat = lists[i].as_py(), codes[i].values
-                    ends = np.asarray(flat.offsets) * 4
-                    raw = np.asarray(flat.flatten()).astype("<u4").tobytes()
-                    ends = ends - ends[0]
-                    if new and new[0] == "":
-                        words.clear()
-                        pieces.clear()
-                    words.update((w, raw[ends[j] : ends[j + 1]]) for j, w in enumerate(new) if w)
-                at = i + 1
-
-    return run
-
 
 def encode(
     docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Encodes texts with byte-level BPE, each match of ``pattern`` separately, no special tokens.
 
-    Three steps run in one stage, without a shuffle: the task collects the words that are new to
-    it, Spark's higher-order functions fold the ranked merges over their bytes by a literal rank
-    map, and the task looks up the words of its texts.  It remembers ``MAX_WORDS``
-    words at most and then starts anew.  A word that is a token needs no merges, and
-    one longer than ``MAX_FOLD_BYTES`` bytes is merged with a heap, to the same ids.
+    Three steps run in one stage, without a shuffle: the task numbers the words of its texts,
+    Spark's higher-order functions fold the ranked merges over the bytes of each word that is new
+    to the task by a literal rank map, and the task puts the ids of words in the place of their
+    numbers.  It remembers ``MAX_WORDS`` words at most and then starts anew.  A word that is a
+    token needs no merges, and one longer than ``MAX_FOLD_BYTES`` bytes is merged with a heap, to
+    the same ids.
 
     Returns (id_col, ids array<int>, ids_le binary: the ids as little-endian unsigned 32-bit
     integers), a row for each input row.  Null and empty texts have no ids; null and repeated ids
     are kept; other columns are left out.  ``ranks_path`` must be readable on the executors.
     """
     ranks_path = ranks_path or public_tokenizers.path(RANK_FILE)
-    ranks = load_ranks(ranks_path)
-    if sorted(r for t, r in ranks.items() if len(t) == 1) != list(range(256)):
-        raise ValueError("the ranks 0 to 255 are to be the single bytes")
-    merges, byte_pairs = rank_map(ranks), byte_pair_ranks(ranks)
     rows = docs.select(F.col(id_col).cast("bigint").alias("row"), F.col(text_col).alias("text"))
-    worded = rows.mapInArrow(_words(ranks_path, pattern), "row bigint, text string, words array<string>, bytes array<array<bigint>>")
-    folded = worded.select("row", "text", "words", F.transform("bytes", lambda w: fold_word(w, merges, byte_pairs)).alias("bytes"))
-    coded = folded.mapInArrow(_encode(ranks_path, pattern), "row bigint, ids array<int>, ids_le binary")
-    return coded.withColumnRenamed("row", id_col)
+    numbered = rows.mapInArrow(_numbered(ranks_path, pattern), "row bigint, words array<int>, bytes array<array<bigint>>, done array<array<bigint>>, anew boolean")
+    folded = numbered.select("row", "words", F.transform("bytes", lambda w: fold_word(w, ranks_path)).alias("bytes"), "done", "anew")
+    return folded.mapInArrow(_joined, "row bigint, ids array<int>, ids_le binary").withColumnRenamed("row", id_col)
 
 
-def decode(ids: Column, ranks_path: str | None = None) -> Column:
-    """The bytes of an array of ids: their binary pieces, concatenated.  Null gives null."""
-    ranks = load_ranks(ranks_path or public_tokenizers.path(RANK_FILE))
-    pieces = [""] * (max(ranks.values()) + 1)
+@functools.lru_cache(maxsize=2)
+def token_pieces(path: str) -> str:
+    """The bytes of all tokens in the order of their ids, as JSON."""
+    ranks = load_ranks(path)
+    pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
+        pieces[rank] = token
+    return json.dumps([base64.b64encode(p).decode() for p in pieces], separators=(",", ":"))
+
+
+def decode(ids: Column, ranks_path: str | None = None) -> Column:
+    """The bytes of an array of ids: their binary pieces from one literal, concatenated.
+
+    A null array gives null; ids that are null or not in the vocabulary add no bytes.
+    """
+    # A cast between bytes and strings changes no byte, and strings are what Spark joins in one go.
+    literal = F.from_json(F.lit(token_pieces(ranks_path or public_tokenizers.path(RANK_FILE))), "array<binary>").cast("array<string>")
+    return F.array_join(F.transform(ids, lambda i: F.get(literal, i)), "").cast("binary")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
