@@ -9,7 +9,7 @@ from tidemark.llm.common import stored, table
 from tidemark.llm.mixing import hidden_prefix
 
 MAX_RATIO = 0.02
-MIN_PAGES = 5
+MIN_PAGES = 2
 
 
 def _line_key(line: Column) -> Column:
@@ -17,24 +17,29 @@ def _line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"))
 
 
+def url_host(url: Column) -> Column:
+    """The host of a URL in lower case, null where there is none: a ``host_col`` for web pages."""
+    return F.lower(F.try_parse_url(url, F.lit("HOST")))
+
+
 def boilerplate_lines(
     docs: DataFrame, host_col: str, text_col: str, max_ratio: float, min_pages: int
 ) -> DataFrame:
     """Rows (host, lines): the keys of the lines that too many pages of the host contain.
 
-    Lines that a page repeats count once for it.  Counts combine on the map side, so a hot host
-    or line is no hot task.  A host with p pages of l lines has at most l / max_ratio such lines.
+    Lines that a page repeats count once for it, and pages of equal text of a host are one page,
+    so that copies of a page do not make its lines boilerplate.  Counts combine on the map side,
+    so a hot host, page or line is no hot task; only hashes of lines are exchanged.  A host with p
+    pages of l lines has at most l / max_ratio such lines.
     """
-    host = F.col(host_col).alias("host")
-    lines = F.array_distinct(F.filter(F.split(F.col(text_col), "\n"), lambda x: F.trim(x) != ""))
-    counted = (
-        docs.select(host, F.explode(lines).alias("line"))
-        .select("host", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"))
-        .groupBy("host", "h1", "h2")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_pages)
+    text = F.col(text_col)
+    lines = F.array_distinct(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))
+    keyed = docs.where(text.isNotNull()).select(
+        F.col(host_col).alias("host"), F.xxhash64(F.lit(1), text).alias("p1"), F.xxhash64(F.lit(2), text).alias("p2"), F.transform(lines, _line_key).alias("keys")
     )
-    pages = docs.groupBy(host).agg(F.count("*").alias("pages")).withColumnRenamed("host", "page_host")
+    once = stored(keyed.groupBy("host", "p1", "p2").agg(F.first("keys").alias("keys")), "pages")
+    counted = once.select("host", F.explode("keys").alias("key")).groupBy("host", "key.h1", "key.h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    pages = once.groupBy(F.col("host").alias("page_host")).agg(F.count("*").alias("pages"))
     frequent = counted.join(pages, F.col("host").eqNullSafe(F.col("page_host"))).where(F.col("n") > max_ratio * F.col("pages"))
     return frequent.groupBy("host").agg(F.collect_list(F.struct("h1", "h2")).alias("lines"))
 
@@ -48,14 +53,14 @@ def site_line_dedup(
 ) -> DataFrame:
     """Drops lines that more than ``max_ratio`` of the pages of their host contain.
 
-    A line is dropped where at least ``min_pages`` pages of the host contain it (so that small
-    hosts do not lose what only a few pages share) and their number exceeds ``max_ratio`` times
-    the host's pages.  Lines are compared as they are; blank ones are never counted or dropped.
+    A line is dropped where another page of the host contains it (at least ``min_pages`` pages in
+    all) and their number exceeds ``max_ratio`` times the host's pages.  Pages of equal text count
+    as one.  Lines are compared as they are; blank ones are never counted or dropped.
 
     Returns the input's columns, the text without those lines, and ``n_lines`` and ``n_dropped``
     (int); input columns of these names are replaced.  Null text stays null with 0 lines, an
-    empty text is one blank line, null hosts form one host, repeated rows count as pages of their
-    own, a page that loses all lines keeps its row, and an empty table gives an empty one.
+    empty text is one blank line, null hosts form one host, repeated rows count as one page and
+    are all kept, a page that loses all lines keeps its row, and an empty table gives an empty one.
 
     The keys of a host's dropped lines are one array, bounded by its lines a page over
     ``max_ratio``.  Spark broadcasts that table where it is below its threshold and otherwise
@@ -90,10 +95,11 @@ def op4_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = f"""
 WITH lined AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
-pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+once AS (SELECT DISTINCT source, lines FROM lined WHERE lines IS NOT NULL),
+pages AS (SELECT source, count(*) AS pages FROM once GROUP BY source),
 counted AS (
   SELECT source, line, count(*) AS n
-  FROM (SELECT source, unnest(list_distinct(lines)) AS line FROM lined) WHERE trim(line) <> '' GROUP BY source, line),
+  FROM (SELECT source, unnest(list_distinct(lines)) AS line FROM once) WHERE trim(line) <> '' GROUP BY source, line),
 dropped AS (
   SELECT c.source, list(c.line) AS lines FROM counted c JOIN pages p ON c.source IS NOT DISTINCT FROM p.source
   WHERE c.n >= {MIN_PAGES} AND c.n > {MAX_RATIO} * p.pages GROUP BY c.source),
