@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 from collections.abc import Iterator
@@ -194,15 +195,20 @@ def _searched(k: int, norm2: float):
     return run
 
 
-def _search(trees: DataFrame, queries: DataFrame, sizes: DataFrame, k: int, norm2: float, tree: int, blocks: int) -> DataFrame:
-    """Meets trees and blocks of queries: a tree is a part of at most about ``tree`` vectors of a pivot."""
+def _search(trees: DataFrame, queries: DataFrame, sizes: DataFrame, k: int, norm2: float, tree: int, block: int) -> DataFrame:
+    """Meets trees and blocks of queries: a tree is a part of at most about ``tree`` vectors of a pivot.
+
+    A pivot's trees are copied once for each ``block`` queries that are routed to it, so what is
+    exchanged grows with the vectors and the routed pairs; trees without queries stay where they are.
+    """
     parts = F.greatest(F.ceil(F.col("n") / tree), F.lit(1)).cast("int")
-    sized = sizes.select("pivot", parts.alias("parts"))
-    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    routed = queries.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("blocks"))
+    sized = sizes.select("pivot", parts.alias("parts")).join(routed, "pivot")
+    block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = trees.join(sized, "pivot").select("id", "v", "pivot", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), block.alias("block"))
     right = queries.join(sized, "pivot").select(
         "query", "v", "pivot", "least", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("query"), "blocks").cast("int").alias("block"),
     )
     keys = ["pivot", "part", "block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_searched(k, norm2), "query_id bigint, vec_id bigint, score bigint")
@@ -217,10 +223,12 @@ def top_k_inner(
     block: int = BLOCK,
     id_col: str = "id",
     vector_col: str = "v",
+    query_col: str | None = None,
 ) -> DataFrame:
     """Each query's k vectors of highest inner product, exactly, ties to smaller ids.
 
-    Both tables have an id and an array<bigint> of the same length in all rows.  Pivots, a
+    Both tables have an id and an array<bigint>.  A query meets vectors of its own length, each
+    length being searched by itself.  Pivots, a
     bounded number of vectors taken by a hash of their ids, divide the vectors; each pivot's
     vectors are dealt into M-trees of about ``tree`` vectors, so a crowded pivot is many trees.
     A query first searches the trees of its nearest pivot.  The score of its k-th best there
@@ -228,19 +236,25 @@ def top_k_inner(
     pages and entries within the trees.  Queries meet trees in blocks of about ``block``; the
     driver holds the pivots, their radii and counts, of which there are at most ``pivots``.
 
-    Returns (query_id, rank int from 1, vec_id, score bigint).  Rows with a null id or vector take
-    no part, vectors of the query's own id are never its results, a query with fewer candidates
+    Returns (query_id, rank int from 1, vec_id, score bigint).  Rows with a null id, or a
+    vector that is null, empty or holds a null, take no part, vectors of the query's own id are never its results, a query with fewer candidates
     gets them all, and rows that share an id are results of their own, while of queries that share
     an id only the one with the least vector is searched.  Empty tables give an empty result.
     """
-    v = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null")
-    q = queries.select(F.col(id_col).cast("bigint").alias("query"), F.col(vector_col).alias("v")).where("query is not null and v is not null")
+    v = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")).where("id is not null and size(v) > 0 and not exists(v, x -> x is null)")
+    q = queries.select(F.col(query_col or id_col).cast("bigint").alias("query"), F.col(vector_col).alias("v")).where("query is not null and size(v) > 0 and not exists(v, x -> x is null)")
     v = stored(v, "vectors")
     q = stored(q.groupBy("query").agg(F.min("v").alias("v")), "queries")
+    schema = "query_id bigint, rank int, vec_id bigint, score bigint"
+    lengths = sorted(r[0] for r in q.select(F.size("v")).distinct().collect())
+    if len(lengths) > 1:
+        parts = [top_k_inner(v.where(F.size("v") == n), q.where(F.size("v") == n), k, tree, pivots, block, "id", "v", "query") for n in lengths]
+        return functools.reduce(DataFrame.unionByName, parts)
+    v = v.where(F.size("v") == (lengths[0] if lengths else 0))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     most, n_vectors = v.agg(F.max(norm), F.count("*")).first()
     n_queries = q.count()
-    empty = v.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    empty = v.sparkSession.createDataFrame([], schema)
     if not n_vectors or not n_queries:
         return empty
     norm2 = float(most)
@@ -252,18 +266,17 @@ def top_k_inner(
     radii = np.full(len(points), -1.0)
     for row in sizes.collect():
         radii[row["pivot"]] = row["radius"]
-    blocks = math.ceil(n_queries / block)
     trees = assigned.select("id", "v", "pivot")
     # A query has no further coordinate, so its nearest pivot differs from that of its vector.
     homed = q.select(F.col("query").alias("id"), "v").mapInArrow(_nearest(points), "query bigint, v array<bigint>, pivot int")
     homed = stored(homed, "homes")
-    first = stored(_search(trees, homed.withColumn("least", F.lit(None).cast("bigint")), sizes, k, norm2, tree, blocks), "first")
+    first = stored(_search(trees, homed.withColumn("least", F.lit(None).cast("bigint")), sizes, k, norm2, tree, block), "first")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = first.withColumn("rank", F.row_number().over(by_score))
     bounds = ranked.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     bounded = homed.join(bounds, homed["query"] == bounds["query_id"], "left").select("query", "v", "pivot", "least")
-    further = bounded.mapInArrow(_routed(points, radii, norm2), "query bigint, v array<bigint>, pivot int, least bigint")
-    rest = _search(trees, further, sizes, k, norm2, tree, blocks)
+    further = stored(bounded.mapInArrow(_routed(points, radii, norm2), "query bigint, v array<bigint>, pivot int, least bigint"), "routed")
+    rest = _search(trees, further, sizes, k, norm2, tree, block)
     return (
         first.unionByName(rest)
         .withColumn("rank", F.row_number().over(by_score))
