@@ -201,11 +201,13 @@ def fit_on(features: DataFrame, labels: DataFrame, **how) -> Discriminant:
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose quality score is ``threshold`` or more, with all their columns.
 
-    The statistics of all documents are computed for the fit and again for the filter, which
-    needs no exchange of texts.  Null and empty texts have a score too; null ids never match a
+    The fit computes statistics of labelled documents alone, found by a semi-join, and the filter
+    scores all documents where they are, without an exchange.  Null and empty texts have a score too; null ids never match a
     label; repeated rows are scored alike; an empty table gives an empty one.
     """
-    model = fit_on(feature_table(docs, id_col, text_col), labels)
+    known = learnable(labels).select("label_id").distinct()
+    labelled = docs.select(id_col, text_col).join(known, F.col(id_col) == F.col("label_id"), "left_semi")
+    model = fit_on(feature_table(labelled, id_col, text_col), labels)
     return docs.where(text_score(model, docs[text_col]) >= threshold)
 
 
