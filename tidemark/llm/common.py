@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` where the session names one.  Where it is unset, as in local
-    tests, a temporary folder is made once and stored in the session's configuration.
+    It is ``spark.checkpoint.dir`` where the session names one.  Where it is unset, a local session,
+    as in tests, makes a temporary folder once and stores it in its configuration; a cluster's
+    executors would not share that folder, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.scratch.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-tidemark-")
         spark.conf.set("tidemark.scratch.dir", found)
     return found.rstrip("/")
