@@ -19,10 +19,12 @@ from tidemark.llm.common import table
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 #: Longer words are merged with a heap in the task instead: a fold takes time in the square of the length.
 MAX_FOLD_BYTES = 256
-#: Distinct words, and pieces of text between spaces, that a task remembers before it starts anew.
-MAX_WORDS = 500_000
+#: Distinct words that a task remembers before it starts anew.
+MAX_WORDS = 400_000
+#: Pieces of text between spaces whose words a task remembers; others are split again.
+MAX_PIECES = 120_000
 #: Texts, and about so many characters of them, that are encoded at once.
-TEXTS, CHARS = 500, 4_000_000
+TEXTS, CHARS = 500, 2_000_000
 #: White space as the tokenizer's pattern means it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: No rank; a token of a fold is a number of its pair's rank, its place in the word and its id, of so many bits.
@@ -184,8 +186,10 @@ def _numbered(ranks_path: str, pattern: str):
         fresh: list[str] = []
 
         class Pieces(dict):
-            def __missing__(self, piece: str) -> list[int]:
-                own = self[piece] = numbered(" " + piece)
+            def __missing__(self, piece: str) -> tuple[int, ...]:
+                own = tuple(numbered(" " + piece))
+                if len(self) < MAX_PIECES:
+                    self[piece] = own
                 return own
 
         def numbered(text: str) -> list[int]:
@@ -225,7 +229,7 @@ def _numbered(ranks_path: str, pattern: str):
         pieces, anew = Pieces(), False
         for whole in batches:
             for rows, texts in _parts(whole):
-                if len(numbers) > MAX_WORDS or len(pieces) > MAX_WORDS:
+                if len(numbers) > MAX_WORDS:
                     numbers.clear()
                     pieces.clear()
                     anew = True

@@ -27,7 +27,8 @@ BINS, ERRORS = 128, 4.0
 TILE = 1024
 #: Buckets of up to so many texts are compared many at a time, and pairs whose signatures are held at once.
 SMALL, CHUNK = 64, 50_000
-MAX_WORDS = 300_000
+#: Words whose hashes a task remembers, and texts that are sketched at once.
+MAX_WORDS, TEXTS = 150_000, 200
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -195,8 +196,8 @@ def _sketched(k: int, sketches: int, kept: int, anchors: int, anchor_words: int,
 
         hashes = Hashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
                 if len(hashes) > MAX_WORDS:
                     hashes.clear()
                 h1, h2, n, keys, signatures = [], [], [], [], []

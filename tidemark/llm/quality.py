@@ -175,6 +175,10 @@ def text_score(model: Discriminant, text: Column) -> Column:
     return score(text)
 
 
+#: Most labelled documents that the filter's fit learns from; their ids take 8 bytes each.
+MAX_LABELLED = 20_000
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document's label is kept from the fit: crc32 of its id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -198,15 +202,16 @@ def fit_on(features: DataFrame, labels: DataFrame, **how) -> Discriminant:
     return fit(features.join(known, features["doc_id"] == known["label_id"]).select("y", "features"), **how)
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose quality score is ``threshold`` or more, with all their columns.
 
-    The fit computes statistics of labelled documents alone, found by a semi-join, and the filter
-    scores all documents where they are, without an exchange.  Null and empty texts have a score too; null ids never match a
+    The fit takes the labels of at most ``max_labelled`` documents, those of least hash of their
+    ids; the ids are sent to all tasks, so that no text is exchanged, and only these documents'
+    statistics are computed for it.  The filter scores all documents.  Null and empty texts have a score too; null ids never match a
     label; repeated rows are scored alike; an empty table gives an empty one.
     """
-    known = learnable(labels).select("label_id").distinct()
-    labelled = docs.select(id_col, text_col).join(known, F.col(id_col) == F.col("label_id"), "left_semi")
+    known = learnable(labels).select("label_id").distinct().orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
+    labelled = docs.select(id_col, text_col).join(F.broadcast(known), F.col(id_col) == F.col("label_id"), "left_semi")
     model = fit_on(feature_table(labelled, id_col, text_col), labels)
     return docs.where(text_score(model, docs[text_col]) >= threshold)
 
