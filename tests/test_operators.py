@@ -1,3 +1,4 @@
+import datetime
 import math
 
 import numpy as np
@@ -85,7 +86,63 @@ def test_estimators():
     walk = np.cumsum(rng.normal(size=2000))
     assert 0.4 < spectral.rescaled_range(np.diff(walk)) < 0.7
     assert 1.3 < spectral.higuchi_dimension(walk) < 1.7
-    assert abs(spectral.hurst_of_lags(walk) - 0.5) < 0.3
+    assert abs(spectral.hurst_of_lags(walk) - 1.0) < 0.3
+
+
+def series(spark, values):
+    return spark.createDataFrame([("a", datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i), float(v)) for i, v in enumerate(values)], "symbol string, open_time timestamp_ntz, close double")
+
+
+def test_series_estimators_equal_plain_loops(spark):
+    rng = np.random.default_rng(3)
+    x = 100 * np.exp(np.cumsum(rng.normal(scale=0.01, size=140)))
+    df = series(spark, x)
+    r = np.diff(np.log(x))
+    got = [row.hurst for row in spectral.rolling_hurst(df).orderBy("open_time").collect()]
+    assert got[99] is None
+    for i in (100, 120, 139):
+        w = r[i - 100 : i]
+        tau = [np.std(w[k:] - w[:-k]) for k in range(2, 20)]
+        assert math.isclose(got[i], 2 * np.polyfit(np.log(range(2, 20)), np.log(tau), 1)[0], rel_tol=1e-9)
+
+    rows = spectral.instant_phase(df).orderBy("open_time").collect()
+    n = len(x)
+    analytic = [sum(2 * np.exp(2j * np.pi * k * t / n) * (x * np.exp(-2j * np.pi * k * np.arange(n) / n)).sum() for k in range(1, n // 2)) for t in (0, 7, 139)]
+    for t, z in zip((0, 7, 139), analytic, strict=True):
+        z = (z + x.sum() + (x * (-1.0) ** np.arange(n)).sum() * (-1) ** t) / n
+        assert math.isclose(rows[t].amplitude, abs(z), rel_tol=1e-9) and math.isclose(rows[t].phase, np.angle(z), rel_tol=1e-7, abs_tol=1e-9)
+    turns = np.unwrap([row.phase for row in rows])
+    assert math.isclose(rows[5].frequency, (turns[6] - turns[4]) / 4 / math.pi, rel_tol=1e-9)
+
+    rows = spectral.kalman_level(df).orderBy("open_time").collect()
+    m, v, means, spreads, before = 0.0, 1.0, [], [], []  # the second state has no weight, so the filter is of one state
+    for z, row in zip(np.log(x), rows, strict=True):
+        v += 1e-4
+        before.append((m, v))
+        k = v / (v + 1e-2)
+        m, v = m + k * (z - m), (1 - k) * v
+        means.append(m)
+        spreads.append(v)
+        assert math.isclose(row.level, m, rel_tol=1e-9)
+    smooth = means[-1]
+    for t in range(len(means) - 2, -1, -1):
+        smooth = means[t] + spreads[t] / before[t + 1][1] * (smooth - before[t + 1][0])
+        assert math.isclose(rows[t].smoothed, smooth, rel_tol=1e-9)
+
+
+def test_signal_gates(spark):
+    def ticks(qty, weighted=0.5):
+        return spark.createDataFrame([("s", i, i, 50000.0 + 10 * i, q, i % 2, weighted) for i, q in enumerate(qty)], "symbol string, event_id long, ts long, price double, qty long, side int, weighted_imbalance double")
+
+    def signals(qty, **how):
+        return [r.signal for r in flow.imbalance_signals(ticks(qty), persistence=2, confidence=0.3, **how).orderBy("ts").collect()]
+
+    assert signals([54, 54]) == [None, None]  # below the threshold
+    assert signals([74, 74]) == [None, "buy"] and signals([19, 19]) == [None, "sell"]
+    assert signals([74, 19, 19]) == [None, None, "sell"]
+    assert flow.imbalance_signals(ticks([99, 99]), persistence=2, confidence=0.99).where("signal is not null").count() == 0
+    row = flow.imbalance_signals(ticks([74, 74]), persistence=2, confidence=0.3).where("signal is not null").first()
+    assert math.isclose(row.confidence, 0.4 * 49 / 99 + 0.1 + 0.04) and math.isclose(row.size, round(1000 / 50010, 6)) and row.reason.endswith("Persistent for 2 ticks")
 
 
 def test_empty_tables(spark):

@@ -66,11 +66,11 @@ def _gains(bars: DataFrame) -> DataFrame:
 
 def _rsi(rows: int):
     up, down = full(F.avg, C("gain"), rows), full(F.avg, C("loss"), rows)
-    return 100 - ratio(F.lit(100.0), 1 + ratio(up, down))
+    return F.when((down == 0) & (up > 0), 100.0).otherwise(100 - ratio(F.lit(100.0), 1 + ratio(up, down)))
 
 
 def rsi(bars: DataFrame, windows: Sequence[int] = (14, 21)) -> DataFrame:
-    """Relative strength by simple means; null where nothing was lost."""
+    """Relative strength by simple means: 100 where nothing was lost, null where nothing moved."""
     return _gains(bars).select("symbol", "open_time", *[_rsi(w).alias(f"rsi_{w}") for w in windows])
 
 

@@ -114,28 +114,58 @@ def kyle_lambda(ticks: DataFrame, rows: int = 50, least: int = 20, left: int = 1
 def tick_features(ticks: DataFrame, vol: int = 20, mom: int = 10, stats: int = 100) -> DataFrame:
     """Annualised volatility, momentum, and the slope and z-score of the imbalance over recent ticks."""
     imbalance = ratio(2 * C("qty") - 99, F.lit(99.0))
+    has = [c for c in ("weighted_imbalance", "position") if c in ticks.columns]
     df = ticks.withColumn("imbalance", imbalance).withColumn("lr", log(ratio(C("price"), back("price", 1, by_ts())))).withColumn("i", F.row_number().over(by_ts()).cast("double"))
     volatility = full(F.stddev_pop, C("lr"), vol - 1, by_ts()) * math.sqrt(252 * 24 * 60)
     momentum = ratio(C("price"), back("price", mom - 1, by_ts())) - 1
     slope = F.when(F.count("imbalance").over(frame(mom, by_ts())) == mom, F.regr_slope("imbalance", "i").over(frame(mom, by_ts())))
     mean, std = F.avg("imbalance").over(frame(stats, by_ts())), F.stddev_pop("imbalance").over(frame(stats, by_ts()))
     z = F.when(F.count("imbalance").over(frame(stats, by_ts())) >= 20, (C("imbalance") - mean) / F.greatest(std, F.lit(0.001))).otherwise(C("imbalance"))
-    return df.select("event_id", "symbol", "ts", "price", "imbalance", volatility.alias("volatility"), momentum.alias("momentum"), slope.alias("imbalance_slope"), z.alias("imbalance_z"))
+    df = df.withColumn("volatility", volatility)
+    mean, std = F.avg("volatility").over(frame(stats, by_ts())), F.stddev_pop("volatility").over(frame(stats, by_ts()))
+    v = F.when(F.count("volatility").over(frame(stats, by_ts())) >= 20, (C("volatility") - mean) / F.greatest(std, F.lit(0.001)))
+    return df.select(
+        "event_id", "symbol", "ts", "price", "imbalance", *has, "volatility", momentum.alias("momentum"), slope.alias("imbalance_slope"), z.alias("imbalance_z"), v.alias("volatility_z")
+    )
 
 
-def imbalance_signals(ticks: DataFrame, threshold: float = 0.3, persistence: int = 3, confidence: float = 0.5) -> DataFrame:
-    """Signals where the imbalance is strong, has kept its sign and does not fade; all gates as columns.
+def imbalance_signals(
+    ticks: DataFrame, threshold: float = 0.3, persistence: int = 3, confidence: float = 0.5, calm: float = -1.0, wild: float = 1.0,
+    balance: float = 10_000.0, share: float = 0.1, calm_factor: float = 1.5, wild_factor: float = 0.5,
+) -> DataFrame:
+    """Signals where the imbalance is strong, has kept its sign and does not fade, with size and reason.
 
-    The run of a sign counts every tick, and an imbalance of 0 counts as negative.
+    The run of a sign counts every tick, and an imbalance of 0 counts as negative.  Confidence is
+    0.4 of the imbalance, 0.2 of ``weighted_imbalance`` where the ticks have one, 0.2 of the run up to
+    10, 0.1 more in calm and less in wild markets, and 0.1 where the imbalance grows, within 0 and 1.
+    The size is a share of the balance, more in calm and less in wild markets, half where it adds
+    to a ``position`` that the ticks may have.
     """
     df = tick_features(ticks)
+    for c in ("weighted_imbalance", "position"):
+        df = df.withColumn(c, C(c).cast("double") if c in df.columns else F.lit(None).cast("double"))
     df = df.withColumn("sign", F.when(C("imbalance") > 0, 1).otherwise(-1)).withColumn("_o", F.struct("ts", "event_id"))
     df = run_length(df, C("sign"), "streak", ordered("symbol", "_o"), "symbol", "_o")
-    score = 0.4 * F.abs("imbalance") + 0.2 * F.least(C("streak") / 10, F.lit(1.0)) + F.when(C("sign") * C("momentum") > 0, 0.1).otherwise(0.0) + 0.2 * F.least(F.abs("imbalance_z") / 3, F.lit(1.0))
-    df = df.withColumn("confidence", F.least(score, F.lit(1.0)))
-    ok = (F.abs("imbalance") >= threshold) & (C("streak") >= persistence) & (C("confidence") >= confidence) & (C("sign") * C("imbalance_slope") >= 0)
-    signal = F.when(F.coalesce(ok, F.lit(False)), F.when(C("sign") > 0, "buy").otherwise("sell"))
-    return df.select("event_id", "symbol", "ts", "imbalance", "streak", "confidence", signal.alias("signal"))
+    one, z = F.lit(1.0), C("volatility_z")
+    score = (
+        0.4 * F.least(F.abs("imbalance"), one) + 0.2 * F.coalesce(F.least(F.abs("weighted_imbalance"), one), F.lit(0.0)) + 0.2 * F.least(C("streak") / 10, one)
+        + F.when(z < calm, 0.1).when(z > wild, -0.1).otherwise(0.0) + F.when(C("sign") * C("imbalance_slope") > 0, 0.1).otherwise(0.0)
+    )
+    df = df.withColumn("confidence", F.greatest(F.least(score, one), F.lit(0.0)))
+    adds = F.coalesce((C("position") != 0) & (F.when(C("position") > 0, 1).otherwise(-1) == C("sign")), F.lit(False))
+    base = balance * share * F.when(z < calm, calm_factor).when(z > wild, wild_factor).otherwise(1.0)
+    size = F.round(F.when(C("price") > 0, base / C("price")) * F.when(adds, 0.5).otherwise(1.0), 6)
+    ok = (F.abs("imbalance") >= threshold) & (C("streak") >= persistence) & (C("confidence") >= confidence) & ~F.coalesce(C("sign") * C("imbalance_slope") < 0, F.lit(False)) & (size > 0)
+    ok = F.coalesce(ok, F.lit(False))
+    reason = F.concat_ws(
+        "; ", F.format_string("Order book %s imbalance: %.3f", F.when(C("sign") > 0, "bid").otherwise("ask"), C("imbalance")),
+        F.when(C("streak") >= persistence, F.format_string("Persistent for %d ticks", C("streak"))),
+        F.when(z < calm, "Low volatility environment").when(z > wild, "High volatility (reduced size)"),
+    )
+    return df.select(
+        "event_id", "symbol", "ts", "imbalance", "streak", "confidence", F.when(ok, F.when(C("sign") > 0, "buy").otherwise("sell")).alias("signal"),
+        F.when(ok, size).alias("size"), F.when(ok, reason).alias("reason"),
+    )
 
 
 def volume_bars(ticks: DataFrame, size: float = 1000.0) -> DataFrame:

@@ -14,7 +14,7 @@ C = F.col
 
 
 def return_metrics(df: DataFrame, ret: str = "ret", by: str = "symbol", periods: float = 252.0) -> DataFrame:
-    """Total and annual return, volatility, Sharpe, Sortino, Omega, win rate and profit factor.
+    """Total and annual return, volatility, Sharpe, Sortino, win rate and profit factor.
 
     Deviations are of the population; the risk-free rate is 0; ratios over 0 are null.
     """
@@ -36,12 +36,12 @@ def return_metrics(df: DataFrame, ret: str = "ret", by: str = "symbol", periods:
 
 
 def drawdowns(df: DataFrame, ret: str = "ret", by: str = "symbol", order: str = "open_time") -> DataFrame:
-    """Largest and mean drawdown of summed returns, and the longest run of rows below the peak."""
+    """Largest drawdown of summed returns, its mean over rows below the peak, and the longest run of such rows."""
     w = ordered(by, order)
     d = df.where(C(ret).isNotNull()).withColumn("_sum", F.sum(ret).over(so_far(w)))
     d = d.withColumn("_dd", F.max("_sum").over(so_far(w)) - C("_sum")).withColumn("_below", (C("_dd") > 1e-12).cast("int"))
     d = run_length(d, C("_below"), "_run", w, by, order)
-    return d.groupBy(by).agg(F.max("_dd").alias("max_drawdown"), F.avg("_dd").alias("average_drawdown"), F.max(F.when(C("_below") == 1, C("_run")).otherwise(0)).alias("longest"))
+    return d.groupBy(by).agg(F.max("_dd").alias("max_drawdown"), F.coalesce(F.avg(F.when(C("_below") == 1, C("_dd"))), F.lit(0.0)).alias("average_drawdown"), F.max(F.when(C("_below") == 1, C("_run")).otherwise(0)).alias("longest"))
 
 
 def value_at_risk(df: DataFrame, ret: str = "ret", by: str = "symbol") -> DataFrame:

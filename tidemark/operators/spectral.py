@@ -6,30 +6,32 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import frame
+from tidemark.functions.exprs import log, ratio
+from tidemark.functions.windows import frame, ordered
 
 
 def hurst_of_lags(x: np.ndarray, lags: range = range(2, 20)) -> float:
     """Twice the slope of the log deviation of differences on the log of their lag."""
-    spread = np.array([np.sqrt(np.std(x[k:] - x[:-k])) for k in lags])
+    spread = np.array([np.std(x[k:] - x[:-k]) for k in lags])
     if (spread <= 0).any():
         return 0.5
     return float(2 * np.polyfit(np.log(list(lags)), np.log(spread), 1)[0])
 
 
 def rolling_hurst(bars: DataFrame, rows: int = 100) -> DataFrame:
-    """The Hurst exponent of the last ``rows`` closes; null until there are so many."""
+    """The exponent of the last ``rows`` log returns by ``hurst_of_lags``; null until there are so many."""
 
     @F.pandas_udf("double")
     def hurst(windows):  # noqa: ANN001, ANN202
         return windows.map(lambda w: hurst_of_lags(np.asarray(w, float)) if len(w) == rows else None)
 
-    df = bars.withColumn("_w", F.collect_list("close").over(frame(rows)))
+    df = bars.withColumn("_r", log(ratio(F.col("close"), F.lag("close").over(ordered()))))
+    df = df.withColumn("_w", F.collect_list("_r").over(frame(rows)))
     return df.select("symbol", "open_time", hurst("_w").alias("hurst"))
 
 
 def kalman_level(bars: DataFrame, process: float = 1e-4, noise: float = 1e-2) -> DataFrame:
-    """A two-state Kalman filter of the log close: filtered level and its innovation."""
+    """A two-state Kalman filter of the log close: filtered level, its innovation, and the level smoothed backward."""
 
     def run(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -37,9 +39,10 @@ def kalman_level(bars: DataFrame, process: float = 1e-4, noise: float = 1e-2) ->
         pdf = pdf.sort_values("open_time")
         x, p = np.zeros(2), np.eye(2)
         eye, h, q = np.eye(2), np.array([[1.0, 0.0]]), process * np.eye(2)
-        level, gap = [], []
+        level, gap, states, covariances, ahead = [], [], [], [], []
         for z in np.log(pdf["close"].to_numpy(float)):
             p = p + q
+            ahead.append((x, p))
             y = z - x[0]
             s = p[0, 0] + noise
             k = (p @ h.T / s)[:, 0]
@@ -48,13 +51,23 @@ def kalman_level(bars: DataFrame, process: float = 1e-4, noise: float = 1e-2) ->
             p = ikh @ p @ ikh.T + noise * np.outer(k, k)
             level.append(x[0])
             gap.append(y)
-        return pd.DataFrame({"symbol": pdf["symbol"], "open_time": pdf["open_time"], "level": level, "innovation": gap})
+            states.append(x)
+            covariances.append(p)
+        smooth = [states[-1]]
+        for t in range(len(states) - 2, -1, -1):  # the Rauch-Tung-Striebel pass; the transition is the identity
+            gain = covariances[t] @ np.linalg.inv(ahead[t + 1][1])
+            smooth.append(states[t] + gain @ (smooth[-1] - ahead[t + 1][0]))
+        smoothed = [s[0] for s in reversed(smooth)]
+        return pd.DataFrame({"symbol": pdf["symbol"], "open_time": pdf["open_time"], "level": level, "innovation": gap, "smoothed": smoothed})
 
-    return bars.select("symbol", "open_time", "close").groupBy("symbol").applyInPandas(run, "symbol string, open_time timestamp_ntz, level double, innovation double")
+    return bars.select("symbol", "open_time", "close").groupBy("symbol").applyInPandas(run, "symbol string, open_time timestamp_ntz, level double, innovation double, smoothed double")
 
 
 def instant_phase(bars: DataFrame) -> DataFrame:
-    """Amplitude and phase of the demeaned close by the Hilbert transform."""
+    """Amplitude and phase of the close by the Hilbert transform, and the frequency in cycles a bar.
+
+    The phase is not unwrapped; the frequency is the slope of the unwrapped phase.
+    """
 
     def run(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -67,10 +80,12 @@ def instant_phase(bars: DataFrame) -> DataFrame:
         weight[1 : (n + 1) // 2] = 2
         if n % 2 == 0:
             weight[n // 2] = 1
-        z = np.fft.ifft(np.fft.fft(x - x.mean()) * weight)
-        return pd.DataFrame({"symbol": pdf["symbol"], "open_time": pdf["open_time"], "amplitude": np.abs(z), "phase": np.unwrap(np.angle(z))})
+        z = np.fft.ifft(np.fft.fft(x) * weight)
+        phase = np.angle(z)
+        turns = np.gradient(np.unwrap(phase)) / (2 * np.pi) if n > 1 else np.full(n, np.nan)
+        return pd.DataFrame({"symbol": pdf["symbol"], "open_time": pdf["open_time"], "amplitude": np.abs(z), "phase": phase, "frequency": turns})
 
-    return bars.select("symbol", "open_time", "close").groupBy("symbol").applyInPandas(run, "symbol string, open_time timestamp_ntz, amplitude double, phase double")
+    return bars.select("symbol", "open_time", "close").groupBy("symbol").applyInPandas(run, "symbol string, open_time timestamp_ntz, amplitude double, phase double, frequency double")
 
 
 def haar_denoised(bars: DataFrame, levels: int = 3, share: float = 0.3) -> DataFrame:

@@ -120,7 +120,8 @@ _GAINS = f"""{BARS}, gains AS (SELECT *, coalesce(greatest(close - {back('close'
 
 
 def _rsi(w: int) -> str:
-    return f"100 - 100 / nullif(1 + ({full('avg', 'gain', w)}) / nullif({full('avg', 'loss', w)}, 0), 0)"
+    up, down = full("avg", "gain", w), full("avg", "loss", w)
+    return f"CASE WHEN ({down}) = 0 AND ({up}) > 0 THEN 100 ELSE 100 - 100 / nullif(1 + ({up}) / nullif(({down}), 0), 0) END"
 
 
 _FLOW = f"{BARS}, flow AS (SELECT *, taker_buy_base / nullif(volume, 0) AS ofi FROM bars), off AS (SELECT *, abs(ofi - 0.5) AS d FROM flow)"

@@ -77,7 +77,8 @@ def tick_features(spark, sf_dir):
 
 def imbalance_signals(spark, sf_dir):
     """Signals of strong, lasting imbalance."""
-    return tidy(L.imbalance_signals(A.ticks(spark, sf_dir)))
+    t = A.ticks(spark, sf_dir)
+    return tidy(L.imbalance_signals(t.withColumn("weighted_imbalance", (C("qty") - 40) / 60.0).withColumn("position", (C("event_id") % 3 - 1).cast("double"))))
 
 
 def volume_bars(spark, sf_dir):
@@ -365,8 +366,10 @@ PRED = f"{RETS}, pr AS (SELECT symbol, open_time, lead(ret) OVER ({W}) AS y, rou
 FEATURES = f"""{TICKS}, im AS (SELECT *, (2 * qty - 99) / 99.0 AS imbalance, ln(price / lag(price) OVER ({V})) AS lr, CAST(row_number() OVER ({V}) AS DOUBLE) AS i FROM ticks),
 fe AS (SELECT event_id, symbol, ts, price, imbalance, ({tick_full('stddev_pop', 'lr', 19)}) * {math.sqrt(252 * 24 * 60)!r} AS volatility, price / lag(price, 9) OVER ({V}) - 1 AS momentum,
   CASE WHEN count(imbalance) OVER t = 10 THEN regr_slope(imbalance, i) OVER t END AS imbalance_slope,
-  CASE WHEN count(imbalance) OVER h >= 20 THEN (imbalance - avg(imbalance) OVER h) / greatest(stddev_pop(imbalance) OVER h, 0.001) ELSE imbalance END AS imbalance_z
+  CASE WHEN count(imbalance) OVER h >= 20 THEN (imbalance - avg(imbalance) OVER h) / greatest(stddev_pop(imbalance) OVER h, 0.001) ELSE imbalance END AS imbalance_z, qty
   FROM im WINDOW t AS ({V} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), h AS ({V} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))"""
+VOLZ = f"""{FEATURES}, vz AS (SELECT *, CASE WHEN count(volatility) OVER g >= 20 THEN (volatility - avg(volatility) OVER g) / greatest(stddev_pop(volatility) OVER g, 0.001) END AS volatility_z
+  FROM fe WINDOW g AS ({V} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))"""
 VBARS = f"""{TICKS}, cum AS (SELECT *, sum(CAST(qty AS DOUBLE)) OVER ({V}) AS e FROM ticks WHERE qty > 0), st AS (SELECT *, e - qty AS s FROM cum),
 ex AS (SELECT *, unnest(range(CAST(floor(s / 1000) AS BIGINT), CAST(ceil(e / 1000) AS BIGINT))) AS bar FROM st), pt AS (SELECT *, least(e, (bar + 1) * 1000) - greatest(s, bar * 1000) AS part FROM ex),
 vb AS (SELECT symbol, bar, min(ts) AS first, max(ts) AS last, sum(part) AS volume, sum(CASE WHEN side = 1 THEN part ELSE 0 END) AS buy, sum(part * price) / sum(part) AS vwap, count(*) AS trades FROM pt GROUP BY ALL)"""
@@ -415,12 +418,17 @@ ORACLE_SQL = {
       k AS (SELECT *, list_filter(pairs, lambda x: abs(x.v) < 3 * sd) AS kept FROM w),
       l AS (SELECT *, len(kept) AS n, list_transform(kept, lambda x: x.v) AS vs, list_transform(kept, lambda x: x.r) AS rs, list_transform(kept, lambda x: x.v * x.r) AS vr, list_transform(kept, lambda x: x.v * x.v) AS vv FROM k)
       SELECT event_id, symbol, ts, CASE WHEN len(pairs) >= 20 AND n >= 10 THEN round(((list_sum(vr) - list_sum(vs) * list_sum(rs) / n) / (n - 1)) / nullif(list_sum(vv) / n - (list_sum(vs) / n) * (list_sum(vs) / n), 0), 5) END AS kyle_lambda FROM l""",
-    "tick_features": f"WITH {FEATURES} SELECT event_id, symbol, ts, {_r({c: c for c in ('price', 'imbalance', 'volatility', 'momentum', 'imbalance_slope', 'imbalance_z')})} FROM fe",
-    "imbalance_signals": f"""WITH {FEATURES}, s1 AS (SELECT *, CASE WHEN imbalance > 0 THEN 1 ELSE -1 END AS sg FROM fe), s2 AS (SELECT *, CASE WHEN sg = lag(sg) OVER ({V}) THEN 0 ELSE 1 END AS ch FROM s1),
+    "tick_features": f"WITH {VOLZ} SELECT event_id, symbol, ts, {_r({c: c for c in ('price', 'imbalance', 'volatility', 'momentum', 'imbalance_slope', 'imbalance_z', 'volatility_z')})} FROM vz",
+    "imbalance_signals": f"""WITH {VOLZ}, s1 AS (SELECT *, CASE WHEN imbalance > 0 THEN 1 ELSE -1 END AS sg, (qty - 40) / 60.0 AS wi, CAST(event_id % 3 - 1 AS DOUBLE) AS pos FROM vz),
+      s2 AS (SELECT *, CASE WHEN sg = lag(sg) OVER ({V}) THEN 0 ELSE 1 END AS ch FROM s1),
       s3 AS (SELECT *, sum(ch) OVER ({V}) AS isl FROM s2), s4 AS (SELECT *, row_number() OVER (PARTITION BY symbol, isl ORDER BY ts, event_id) AS streak FROM s3),
-      s5 AS (SELECT *, least(0.4 * abs(imbalance) + 0.2 * least(streak / 10.0, 1) + CASE WHEN sg * momentum > 0 THEN 0.1 ELSE 0 END + 0.2 * least(abs(imbalance_z) / 3, 1), 1) AS conf FROM s4)
-      SELECT event_id, symbol, ts, round(imbalance, 6) AS imbalance, CAST(streak AS INTEGER) AS streak, round(conf, 6) AS confidence,
-        CASE WHEN abs(imbalance) >= 0.3 AND streak >= 3 AND conf >= 0.5 AND sg * imbalance_slope >= 0 THEN CASE WHEN sg > 0 THEN 'buy' ELSE 'sell' END END AS signal FROM s5""",
+      s5 AS (SELECT *, greatest(least(0.4 * least(abs(imbalance), 1) + 0.2 * least(abs(wi), 1) + 0.2 * least(streak / 10.0, 1) + CASE WHEN volatility_z < -1 THEN 0.1 WHEN volatility_z > 1 THEN -0.1 ELSE 0 END
+        + CASE WHEN sg * imbalance_slope > 0 THEN 0.1 ELSE 0 END, 1), 0) AS conf,
+        round(1000.0 * CASE WHEN volatility_z < -1 THEN 1.5 WHEN volatility_z > 1 THEN 0.5 ELSE 1 END / price * CASE WHEN pos = sg THEN 0.5 ELSE 1 END, 6) AS size FROM s4),
+      s6 AS (SELECT *, abs(imbalance) >= 0.3 AND streak >= 3 AND conf >= 0.5 AND NOT coalesce(sg * imbalance_slope < 0, false) AND price > 0 AND size > 0 AS ok FROM s5)
+      SELECT event_id, symbol, ts, round(imbalance, 6) AS imbalance, CAST(streak AS INTEGER) AS streak, round(conf, 6) AS confidence, CASE WHEN ok THEN CASE WHEN sg > 0 THEN 'buy' ELSE 'sell' END END AS signal,
+        CASE WHEN ok THEN size END AS size, CASE WHEN ok THEN concat_ws('; ', format('Order book {{}} imbalance: {{:.3f}}', CASE WHEN sg > 0 THEN 'bid' ELSE 'ask' END, imbalance), CASE WHEN streak >= 3 THEN format('Persistent for {{}} ticks', streak) END,
+        CASE WHEN volatility_z < -1 THEN 'Low volatility environment' WHEN volatility_z > 1 THEN 'High volatility (reduced size)' END) END AS reason FROM s6""",
     "volume_bars": f"WITH {VBARS} SELECT symbol, bar, first, last, round(volume, 6) AS volume, round(buy, 6) AS buy, round(vwap, 6) AS vwap, trades FROM vb",
     "vpin": f"""WITH {VBARS}, ok AS (SELECT *, abs(2 * buy - volume) / volume AS imbalance FROM vb WHERE volume >= 1000 - 1e-9),
       v AS (SELECT *, CASE WHEN count(*) OVER f = 50 THEN avg(imbalance) OVER f END AS vpin FROM ok WINDOW f AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
@@ -445,7 +453,7 @@ ORACLE_SQL = {
     "drawdowns": f"""WITH {RETS}, c AS (SELECT *, sum(ret) OVER ({W}) AS s FROM rets WHERE ret IS NOT NULL), d AS (SELECT *, max(s) OVER ({W} ROWS UNBOUNDED PRECEDING) - s AS dd FROM c),
       b AS (SELECT *, CAST(dd > 1e-12 AS INTEGER) AS below FROM d), g AS (SELECT *, CASE WHEN below = lag(below) OVER ({W}) THEN 0 ELSE 1 END AS ch FROM b), i AS (SELECT *, sum(ch) OVER ({W}) AS isl FROM g),
       r AS (SELECT *, row_number() OVER (PARTITION BY symbol, isl ORDER BY open_time) AS run FROM i)
-      SELECT symbol, round(max(dd), 6) AS max_drawdown, round(avg(dd), 6) AS average_drawdown, CAST(max(CASE WHEN below = 1 THEN run ELSE 0 END) AS INTEGER) AS longest FROM r GROUP BY symbol""",
+      SELECT symbol, round(max(dd), 6) AS max_drawdown, round(coalesce(avg(CASE WHEN below = 1 THEN dd END), 0), 6) AS average_drawdown, CAST(max(CASE WHEN below = 1 THEN run ELSE 0 END) AS INTEGER) AS longest FROM r GROUP BY symbol""",
     "value_at_risk": f"""WITH {RETS}, k AS (SELECT symbol, ret FROM rets WHERE ret IS NOT NULL), q AS (SELECT symbol, quantile_cont(ret, 0.05) AS a, quantile_cont(ret, 0.01) AS b FROM k GROUP BY symbol)
       SELECT k.symbol, round(-max(a), 6) AS var_95, round(-avg(CASE WHEN ret <= a THEN ret END), 6) AS cvar_95, round(-max(b), 6) AS var_99, round(-avg(CASE WHEN ret <= b THEN ret END), 6) AS cvar_99
       FROM k JOIN q ON k.symbol = q.symbol GROUP BY k.symbol""",

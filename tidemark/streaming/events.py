@@ -46,12 +46,14 @@ def _book(depth: int):
 
         levels, last, stale = state.get if state.exists else ([], -1, 0)
         book = {(side, price): qty for side, price, qty in levels}
-        rows = pd.concat(list(batches)).sort_values("update_id")
+        rows, current, old = pd.concat(list(batches)).sort_values("update_id", kind="stable"), None, False
         for side, price, qty, number in zip(rows["book_side"], rows["price"], rows["qty"], rows["update_id"], strict=True):
-            if number <= last:
-                stale += 1
+            if number != current:
+                current, old = int(number), number <= last
+                stale += int(old)
+                last = max(last, current)
+            if old:
                 continue
-            last = int(number)
             if qty > 0:
                 book[side, float(price)] = float(qty)
             else:
@@ -70,7 +72,9 @@ def _book(depth: int):
 
 
 def stream_book(updates: DataFrame, depth: int = 20) -> DataFrame:
-    """Each symbol's book, updated in order of update number; stale updates are counted and skipped.
+    """Each symbol's book, updated in order of update number; stale updates are counted and skipped whole.
+
+    All levels of an update have its number, and come in one micro-batch.
 
     ``updates`` has symbol, update_id, book_side, price and qty.  The state of a symbol is bounded:
     at most ``depth`` levels a side.
