@@ -38,7 +38,12 @@ def normal_cdf(z: Column) -> Column:
 def fisher(x: Column) -> Column:
     """Fisher transform of a value clipped to just inside -1 and 1."""
     c = F.greatest(F.least(x, F.lit(1 - 1e-8)), F.lit(-1 + 1e-8))
-    return 0.5 * F.ln((1 + c) / (1 - c))
+    return F.when(x.isNotNull(), 0.5 * F.ln((1 + c) / (1 - c)))
+
+
+def inverse_fisher(x: Column) -> Column:
+    """The inverse of the Fisher transform, the hyperbolic tangent."""
+    return F.tanh(x)
 
 
 def corrected_skew(g1: Column, n: Column) -> Column:

@@ -146,16 +146,16 @@ def imbalance_signals(
         df = df.withColumn(c, C(c).cast("double") if c in df.columns else F.lit(None).cast("double"))
     df = df.withColumn("sign", F.when(C("imbalance") > 0, 1).otherwise(-1)).withColumn("_o", F.struct("ts", "event_id"))
     df = run_length(df, C("sign"), "streak", ordered("symbol", "_o"), "symbol", "_o")
-    one, z = F.lit(1.0), C("volatility_z")
+    one, z, grows = F.lit(1.0), C("volatility_z"), C("sign") * F.round("imbalance_slope", 9)  # below that is rounding alone
     score = (
         0.4 * F.least(F.abs("imbalance"), one) + 0.2 * F.coalesce(F.least(F.abs("weighted_imbalance"), one), F.lit(0.0)) + 0.2 * F.least(C("streak") / 10, one)
-        + F.when(z < calm, 0.1).when(z > wild, -0.1).otherwise(0.0) + F.when(C("sign") * C("imbalance_slope") > 0, 0.1).otherwise(0.0)
+        + F.when(z < calm, 0.1).when(z > wild, -0.1).otherwise(0.0) + F.when(grows > 0, 0.1).otherwise(0.0)
     )
     df = df.withColumn("confidence", F.greatest(F.least(score, one), F.lit(0.0)))
     adds = F.coalesce((C("position") != 0) & (F.when(C("position") > 0, 1).otherwise(-1) == C("sign")), F.lit(False))
     base = balance * share * F.when(z < calm, calm_factor).when(z > wild, wild_factor).otherwise(1.0)
     size = F.round(F.when(C("price") > 0, base / C("price")) * F.when(adds, 0.5).otherwise(1.0), 6)
-    ok = (F.abs("imbalance") >= threshold) & (C("streak") >= persistence) & (C("confidence") >= confidence) & ~F.coalesce(C("sign") * C("imbalance_slope") < 0, F.lit(False)) & (size > 0)
+    ok = (F.abs("imbalance") >= threshold) & (C("streak") >= persistence) & (C("confidence") >= confidence) & ~F.coalesce(grows < 0, F.lit(False)) & (size > 0)
     ok = F.coalesce(ok, F.lit(False))
     reason = F.concat_ws(
         "; ", F.format_string("Order book %s imbalance: %.3f", F.when(C("sign") > 0, "bid").otherwise("ask"), C("imbalance")),

@@ -153,13 +153,3 @@ def first_of(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     return best.select(*keys, "_r.*")
 
 
-def volatility_sized(df: DataFrame, balance: float = 10_000.0) -> DataFrame:
-    """Order sizes: a tenth of the balance, more in calm and less in turbulent markets."""
-    z = C("vol_z")
-    factor = F.when(z > 1, 0.5).when(z < -1, 1.5).otherwise(1.0)
-    return df.withColumn("size", F.round(ratio(balance * 0.1 * factor, C("close")), 6))
-
-
-def expanding_frame(rows: int) -> Column:
-    """Rows so far over the rows wanted: 1 once a warm-up of ``rows`` is over."""
-    return F.least(F.count("*").over(frame(rows)) / rows, F.lit(1.0))

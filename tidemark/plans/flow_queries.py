@@ -423,9 +423,9 @@ ORACLE_SQL = {
       s2 AS (SELECT *, CASE WHEN sg = lag(sg) OVER ({V}) THEN 0 ELSE 1 END AS ch FROM s1),
       s3 AS (SELECT *, sum(ch) OVER ({V}) AS isl FROM s2), s4 AS (SELECT *, row_number() OVER (PARTITION BY symbol, isl ORDER BY ts, event_id) AS streak FROM s3),
       s5 AS (SELECT *, greatest(least(0.4 * least(abs(imbalance), 1) + 0.2 * least(abs(wi), 1) + 0.2 * least(streak / 10.0, 1) + CASE WHEN volatility_z < -1 THEN 0.1 WHEN volatility_z > 1 THEN -0.1 ELSE 0 END
-        + CASE WHEN sg * imbalance_slope > 0 THEN 0.1 ELSE 0 END, 1), 0) AS conf,
+        + CASE WHEN sg * round(imbalance_slope, 9) > 0 THEN 0.1 ELSE 0 END, 1), 0) AS conf,
         round(1000.0 * CASE WHEN volatility_z < -1 THEN 1.5 WHEN volatility_z > 1 THEN 0.5 ELSE 1 END / price * CASE WHEN pos = sg THEN 0.5 ELSE 1 END, 6) AS size FROM s4),
-      s6 AS (SELECT *, abs(imbalance) >= 0.3 AND streak >= 3 AND conf >= 0.5 AND NOT coalesce(sg * imbalance_slope < 0, false) AND price > 0 AND size > 0 AS ok FROM s5)
+      s6 AS (SELECT *, abs(imbalance) >= 0.3 AND streak >= 3 AND conf >= 0.5 AND NOT coalesce(sg * round(imbalance_slope, 9) < 0, false) AND price > 0 AND size > 0 AS ok FROM s5)
       SELECT event_id, symbol, ts, round(imbalance, 6) AS imbalance, CAST(streak AS INTEGER) AS streak, round(conf, 6) AS confidence, CASE WHEN ok THEN CASE WHEN sg > 0 THEN 'buy' ELSE 'sell' END END AS signal,
         CASE WHEN ok THEN size END AS size, CASE WHEN ok THEN concat_ws('; ', format('Order book {{}} imbalance: {{:.3f}}', CASE WHEN sg > 0 THEN 'bid' ELSE 'ask' END, imbalance), CASE WHEN streak >= 3 THEN format('Persistent for {{}} ticks', streak) END,
         CASE WHEN volatility_z < -1 THEN 'Low volatility environment' WHEN volatility_z > 1 THEN 'High volatility (reduced size)' END) END AS reason FROM s6""",
