@@ -212,7 +212,8 @@ def _sketched(k: int, sketches: int, kept: int, anchors: int, anchor_words: int,
                         signatures.append(b"")
                         continue
                     coded = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                    own = np.concatenate([order_sketches(coded, k, sketches, kept), least_kmers(coded, anchor_words, anchors)])
+                    # Sketches are even and least k-mers odd.
+                    own = np.concatenate([order_sketches(coded, k, sketches, kept) & ~np.uint64(1), least_kmers(coded, anchor_words, anchors) | np.uint64(1)])
                     keys.append(np.unique(own.view(np.int64)))
                     signatures.append(word_signature(coded, bins).tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -459,9 +460,9 @@ def near_duplicates(
     the same length; banded alignment decides.
 
     1. Texts of the same words are one text, with the least id.
-    2. Within each bucket the texts that agree with the least of them are paired with it, at most
-       one pair a text.  Pairs of all buckets are verified, and linked texts form components.
-    3. The pairs of a bucket that agree and are still apart are all aligned where the bucket's
+    2. Within each bucket of a sketch the texts that agree with the least of them are paired with it,
+       at most one pair a text.  Pairs of all buckets are verified, and linked texts form components.
+    3. The pairs of a bucket of any key that agree and are still apart are all aligned where the bucket's
        texts are, so that no link within a bucket is lost; only links leave the task, and copies
        are never expanded into all pairs.
 
@@ -483,7 +484,8 @@ def near_duplicates(
     # Keys that the same texts share, as many keys of close copies are, make one bucket.
     mark = F.xxhash64("id")
     shared = keyed.groupBy("key").agg(F.count("*").alias("times"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit(2**31 - 1))).alias("y"))
-    shared = shared.where("times > 1").groupBy("times", "x", "y").agg(F.min("key").alias("key")).select("key")
+    even_first = F.struct(F.col("key").bitwiseAND(1).alias("odd"), "key")
+    shared = shared.where("times > 1").groupBy("times", "x", "y").agg(F.min(even_first).alias("one")).select("one.key")
     members = keyed.join(shared, "key")
     buckets = stored(members.join(firsts.select("id", "n", "signature"), "id").select("key", "id", "n", "signature"), "buckets")
 
@@ -492,7 +494,7 @@ def near_duplicates(
         return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
     tiles = tiled(buckets, "key", "id", tile)
-    found = in_tiles(tiles, ["id", "n", "signature"]).mapInArrow(_stars(min_similarity), "a bigint, b bigint")
+    found = in_tiles(tiles.where(F.col("key").bitwiseAND(1) == 0), ["id", "n", "signature"]).mapInArrow(_stars(min_similarity), "a bigint, b bigint")
     stars = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = stored(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     texts = stored(usable.join(ids, F.col("id") == F.col("node"), "left_semi"), "candidates")
