@@ -17,26 +17,42 @@ PHRASE = 8
 HOT = 4096
 #: Automata for each shuffle partition.
 SHARDS = 4
-#: Distinct words whose hashes a task remembers before it starts anew.
-MAX_WORDS = 300_000
-
-
-class _WordHashes(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > MAX_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Bytes of text whose words a task hashes together; a longer text is taken alone.
+TOGETHER = 1 << 20
 
 
 _ODD = np.random.default_rng(5).integers(1, 2**63, size=4096, dtype=np.uint64) | np.uint64(1)
+_BYTES = np.random.default_rng(6).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+_powers: list[np.ndarray] = []
+
+
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse; those for usual sizes are kept."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    size = max(n, 2 * TOGETHER)
+    both = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(size, base, np.uint64)
+        steps[0] = 1
+        both.append(np.cumprod(steps))
+    if size == 2 * TOGETHER:
+        _powers[:] = both
+    return both[0][:n], both[1][:n]
+
+
+def _polynomials(values: np.ndarray, begins: np.ndarray, ends: np.ndarray, mixer: int) -> np.ndarray:
+    """A 64-bit hash of each range of values: a polynomial in an odd base, whose powers can be undone."""
+    powers, back = _powers_of(len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers[:-1], out=sums[1:])
+    out = (sums[ends] - sums[begins]) * back[begins] + (ends - begins).astype(np.uint64) * _ODD[0]
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(mixer)
+    return out ^ (out >> np.uint64(30))
 
 
 def _runs_hash(words: np.ndarray, n: int) -> np.ndarray:
@@ -58,37 +74,76 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return x if size == n else np.minimum(x[: len(x) - (n - size)], x[n - size :])
 
 
-def anchored(words: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _together(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """The words of texts one after another: (hash of each word, bounds, bytes, begins, ends).
+
+    Text i has the words from ``bounds[i]`` to ``bounds[i + 1]``, and word j is the bytes from
+    ``begins[j]`` to ``ends[j]``.  Words are found and hashed without an object for each.
+    """
+    raw = b" ".join([*texts, b""])
+    coded = np.frombuffer(raw, np.uint8)
+    space = _SPACE[coded]
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(coded) and not space[0]:
+        turns = np.concatenate(([0], turns))
+    # The last byte is a space, so turns into words and out of words alternate.
+    begins, ends = turns[::2], turns[1::2]
+    bounds = np.searchsorted(begins, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64))))
+    return _polynomials(_BYTES[coded], begins, ends, 0xFF51AFD7ED558CCD), bounds, raw, begins, ends
+
+
+def anchored(words: np.ndarray, bounds: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The runs of windows with the same anchor: (first window, number of windows, anchor, weight).
 
+    ``words`` holds texts one after another, text i from ``bounds[i]`` to ``bounds[i + 1]``; windows
+    do not cross texts, and first windows are places in ``words``.
     A window's anchor depends on its words alone, so equal windows have equal anchors.  Weight is
     2 where the anchor's phrase occurs again in the same text, so that repeats within a run count.
     """
     none = np.empty(0, np.int64)
     if len(words) < window:
         return none, none, np.empty(0, np.uint64), none
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     phrases = _runs_hash(words, phrase)
     anchors = _sliding_min(phrases, window - phrase + 1)
-    starts = np.flatnonzero(np.concatenate(([True], anchors[1:] != anchors[:-1])))
-    sizes = np.diff(np.append(starts, len(anchors)))
-    ordered = np.sort(phrases)
-    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    inside = text[: len(anchors)] == text[window - 1 :]
+    changed = np.concatenate(([True], (anchors[1:] != anchors[:-1]) | (text[1 : len(anchors)] != text[: len(anchors) - 1])))
+    starts = np.flatnonzero(inside & changed)
+    # A run ends before the next place that starts a run or lies in no window.
+    stops = np.append(np.flatnonzero(changed | ~inside), len(anchors))
+    sizes = stops[np.searchsorted(stops, starts, side="right")] - starts
     own = anchors[starts]
-    weight = np.ones(len(own), np.int64) if not len(again) else 1 + np.isin(own, again)
+    # Phrases of one text that are equal are equal after the text's number is mixed in.
+    mixed = (text.astype(np.uint64) + np.uint64(1)) * _ODD[1]
+    whole = text[: len(phrases)] == text[phrase - 1 :]
+    ordered = np.sort((phrases + mixed[: len(phrases)])[whole])
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    weight = np.ones(len(own), np.int64) if not len(again) else 1 + np.isin(own + mixed[starts], again)
     return starts, sizes, own, weight
 
 
+def _slices(whole, column: int) -> Iterator:
+    """A batch in slices of about ``TOGETHER`` bytes of a text column."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = before = 0
+    while at < whole.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, before + TOGETHER, side="right")))
+        yield whole.slice(at, stop - at)
+        at, before = stop, int(ends[stop - 1])
+
+
 def _anchors(window: int, phrase: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        hashes = _WordHashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found = [anchored(hashes.of((t or "").encode().split()), window, phrase) for t in batch.column(2).to_pylist()]
-                rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                starts, _, anchors, weights = (np.concatenate([f[i] for f in found]) for i in range(4))
+            for batch in _slices(whole, 2):
+                words, bounds, *_ = _together([(t or "").encode() for t in batch.column(2).to_pylist()])
+                starts, _, anchors, weights = anchored(words, bounds, window, phrase)
+                row = np.searchsorted(bounds, starts, side="right") - 1
+                starts, rows = starts - bounds[row], pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts.astype(np.int32)), pa.array(anchors.view(np.int64)), pa.array(weights.astype(np.int32))],
                     names=["k1", "k2", "start", "anchor", "weight"],
@@ -97,20 +152,6 @@ def _anchors(window: int, phrase: int):
     return run
 
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-
-
-def _range_hashes(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each range of words: a polynomial in an odd base, whose powers can be undone."""
-    steps = np.full(len(words), _BASE, np.uint64)
-    back = np.full(len(words), _INVERSE, np.uint64)
-    steps[:1] = back[:1] = 1
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * np.cumprod(steps))))
-    out = (sums[ends] - sums[begins]) * np.cumprod(back)[begins] + (ends - begins).astype(np.uint64) * _ODD[0]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0x94D049BB133111EB)
-    return out ^ (out >> np.uint64(30))
 
 
 def _segments(window: int, phrase: int, with_text: bool):
@@ -119,50 +160,47 @@ def _segments(window: int, phrase: int, with_text: bool):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        hashes = _WordHashes()
         names = ["k1", "k2", "start", "anchor", "parts", "segment", "words"]
         for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
+            for batch in _slices(whole, 2):
                 found = batch.column(3)
                 lengths = np.asarray(found.value_lengths())
                 flat = found.flatten()
                 places, parts = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-                rows = pa.array(np.repeat(np.arange(batch.num_rows), lengths))
-                anchors, segments, texts, first = [], [], [], 0
-                for text, n in zip(batch.column(2).to_pylist(), lengths.tolist(), strict=True):
-                    own = places[first : first + n]
-                    first += n
-                    words = text.encode().split()
-                    coded = hashes.of(words)
-                    starts, sizes, all_anchors, _ = anchored(coded, window, phrase)
-                    i = np.searchsorted(starts, own)
-                    ends = own + sizes[i] + window - 1
-                    anchors.append(all_anchors[i])
-                    segments.append(_range_hashes(coded, own.astype(np.int64), ends))
-                    if with_text:
-                        texts += [b" ".join(words[a:b]) for a, b in zip(own.tolist(), ends.tolist(), strict=True)]
-                none = np.empty(0, np.uint64)
+                row = np.repeat(np.arange(batch.num_rows), lengths)
+                rows = pa.array(row)
+                words, bounds, raw, word_begins, word_ends = _together([text.encode() for text in batch.column(2).to_pylist()])
+                starts, sizes, all_anchors, _ = anchored(words, bounds, window, phrase)
+                own = places.astype(np.int64) + bounds[row]
+                i = np.searchsorted(starts, own)
+                ends = own + sizes[i] + window - 1
+                anchors, segments = all_anchors[i], _polynomials(words, own, ends, 0x94D049BB133111EB)
+                spoken = []
+                if with_text:
+                    spoken = [b" ".join(raw[a:b].split()) for a, b in zip(word_begins[own].tolist(), word_ends[ends - 1].tolist(), strict=True)]
                 columns = [
-                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places.astype(np.int32)), pa.array(np.concatenate([none, *anchors]).view(np.int64)),
-                    pa.array(parts.astype(np.int32)), pa.array(np.concatenate([none, *segments]).view(np.int64)),
-                    pa.array(texts, pa.binary()) if with_text else pa.nulls(len(places), pa.binary()),
+                    batch.column(0).take(rows), batch.column(1).take(rows), pa.array(places.astype(np.int32)), pa.array(anchors.view(np.int64)),
+                    pa.array(parts.astype(np.int32)), pa.array(segments.view(np.int64)),
+                    pa.array(spoken, pa.binary()) if with_text else pa.nulls(len(places), pa.binary()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _window_hashes(texts: list[list[bytes]], hashes: _WordHashes, window: int) -> list[list[int]]:
-    """The hashes of all windows of each text, computed over all texts at once."""
-    if not texts:
-        return []
-    runs = _runs_hash(hashes.of([w for words in texts for w in words]), window).view(np.int64)
-    out, at = [], 0
-    for words in texts:
-        out.append(runs[at : at + len(words) - window + 1].tolist())
-        at += len(words)
-    return out
+def _window_hashes(texts: list[bytes], window: int) -> Iterator[list[int]]:
+    """The hashes of all windows of each text, computed over many texts at once."""
+    at = 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= TOGETHER):
+            size += len(texts[stop])
+            stop += 1
+        words, bounds, *_ = _together(texts[at:stop])
+        runs = _runs_hash(words, window).view(np.int64) if len(words) >= window else np.empty(0, np.int64)
+        for begin, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield runs[begin : max(begin, end - window + 1)].tolist()
+        at = stop
 
 
 def _windows(window: int):
@@ -171,11 +209,10 @@ def _windows(window: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        hashes = _WordHashes()
         for batch in batches:
             anchors, found, times = [], [], []
             rows = batch.to_pylist()
-            for row, own in zip(rows, _window_hashes([row["words"].split(b" ") for row in rows], hashes, window), strict=True):
+            for row, own in zip(rows, _window_hashes([row["words"] for row in rows], window), strict=True):
                 found += own
                 anchors += [row["anchor"]] * len(own)
                 times += [row["times"]] * len(own)
@@ -196,14 +233,11 @@ def _located(window: int):
         import ahocorasick
         import pyarrow as pa
 
-        hashes = _WordHashes()
         known = set(zip(confirmed["anchor"].to_pylist(), confirmed["window"].to_pylist(), strict=True))
         rows = segments.select(["anchor", "segment", "times", "parts", "words"]).to_pylist()
         counts: dict[tuple[int, int], int] = {}
         windows = []
-        for row in rows:
-            row["words"] = row["words"].split(b" ")
-        for row, found in zip(rows, _window_hashes([row["words"] for row in rows], hashes, window), strict=True):
+        for row, found in zip(rows, _window_hashes([row["words"] for row in rows], window), strict=True):
             own = [(row["anchor"], h) for h in found]
             windows.append(own)
             if row["parts"] == 1:
@@ -213,7 +247,7 @@ def _located(window: int):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         texts = []
         for row, own in zip(rows, windows, strict=True):
-            coded = tuple(numbers.setdefault(w, len(numbers)) for w in row["words"])
+            coded = tuple(numbers.setdefault(w, len(numbers)) for w in row["words"].split(b" "))
             texts.append(coded)
             start = None
             for i, w in enumerate([*own, None]):
