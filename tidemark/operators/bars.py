@@ -18,38 +18,42 @@ from tidemark.functions.windows import back, backward_fill, fold, forward_fill,
 C = F.col
 
 
+#: Columns of the bars that a table of features keeps.
+KEEP = ("symbol", "open_time")
+
+
 def with_returns(bars: DataFrame) -> DataFrame:
     """Adds ``ret`` and ``log_ret`` against the bar before."""
     return bars.withColumn("ret", ratio(C("close"), back("close")) - 1).withColumn("log_ret", log(ratio(C("close"), back("close"))))
 
 
-def returns_volatility(bars: DataFrame, windows: Sequence[int] = (5, 10, 20)) -> DataFrame:
+def returns_volatility(bars: DataFrame, windows: Sequence[int] = (5, 10, 20), keep: Sequence[str] = KEEP) -> DataFrame:
     """Returns over several bars, and the annualised deviation of log returns."""
     df = with_returns(bars)
     return df.select(
-        "symbol", "open_time", "ret", "log_ret",
+        *keep, "ret", "log_ret",
         *[(ratio(C("close"), back("close", w)) - 1).alias(f"ret_{w}") for w in windows],
         *[(full(F.stddev_samp, C("log_ret"), w) * ANNUAL).alias(f"vol_{w}") for w in windows],
     )
 
 
-def range_volatility(bars: DataFrame, windows: Sequence[int] = (10, 20)) -> DataFrame:
+def range_volatility(bars: DataFrame, windows: Sequence[int] = (10, 20), keep: Sequence[str] = KEEP) -> DataFrame:
     """Parkinson and Garman-Klass volatility."""
     hl = F.pow(log(ratio(C("high"), C("low"))), 2)
     gk = 0.5 * hl - (2 * math.log(2) - 1) * F.pow(log(ratio(C("close"), C("open"))), 2)
     df = bars.withColumn("hl", hl).withColumn("gk", gk)
     return df.select(
-        "symbol", "open_time",
+        *keep,
         *[(F.sqrt(full(F.avg, C("hl"), w) / (4 * math.log(2))) * ANNUAL).alias(f"parkinson_{w}") for w in windows],
         # A mean below 0, which open far from close can give, counts as no volatility.
         *[(F.when(full(F.avg, C("gk"), w).isNotNull(), F.sqrt(F.greatest(full(F.avg, C("gk"), w), F.lit(0.0)))) * ANNUAL).alias(f"garman_klass_{w}") for w in windows],
     )
 
 
-def momentum_averages(bars: DataFrame, windows: Sequence[int] = (5, 10, 20, 50)) -> DataFrame:
+def momentum_averages(bars: DataFrame, windows: Sequence[int] = (5, 10, 20, 50), keep: Sequence[str] = KEEP) -> DataFrame:
     """Momentum, rate of change, moving averages and the distance of the close from them."""
     return bars.select(
-        "symbol", "open_time",
+        *keep,
         *[(C("close") - back("close", w)).alias(f"momentum_{w}") for w in windows],
         *[(100 * (ratio(C("close"), back("close", w)) - 1)).alias(f"roc_{w}") for w in windows],
         *[full(F.avg, C("close"), w).alias(f"ma_{w}") for w in windows],
@@ -69,12 +73,12 @@ def _rsi(rows: int):
     return F.when((down == 0) & (up > 0), 100.0).otherwise(100 - ratio(F.lit(100.0), 1 + ratio(up, down)))
 
 
-def rsi(bars: DataFrame, windows: Sequence[int] = (14, 21)) -> DataFrame:
+def rsi(bars: DataFrame, windows: Sequence[int] = (14, 21), keep: Sequence[str] = KEEP) -> DataFrame:
     """Relative strength by simple means: 100 where nothing was lost, null where nothing moved."""
-    return _gains(bars).select("symbol", "open_time", *[_rsi(w).alias(f"rsi_{w}") for w in windows])
+    return _gains(bars).select(*keep, *[_rsi(w).alias(f"rsi_{w}") for w in windows])
 
 
-def order_flow(bars: DataFrame, windows: Sequence[int] = (10, 20)) -> DataFrame:
+def order_flow(bars: DataFrame, windows: Sequence[int] = (10, 20), keep: Sequence[str] = KEEP) -> DataFrame:
     """The takers' buying share: mean, deviation and z-score, and its mean distance from one half."""
     df = bars.withColumn("ofi", ratio(C("taker_buy_base"), C("volume")))
     df = df.withColumn("off", F.abs(C("ofi") - 0.5))
@@ -82,17 +86,17 @@ def order_flow(bars: DataFrame, windows: Sequence[int] = (10, 20)) -> DataFrame:
     for w in windows:
         mean, std = full(F.avg, C("ofi"), w), full(F.stddev_samp, C("ofi"), w)
         out += [mean.alias(f"ofi_ma_{w}"), std.alias(f"ofi_std_{w}"), ratio(C("ofi") - mean, std).alias(f"ofi_z_{w}"), full(F.avg, C("off"), w).alias(f"vpin_proxy_{w}")]
-    return df.select("symbol", "open_time", "ofi", *out)
+    return df.select(*keep, "ofi", *out)
 
 
-def illiquidity(bars: DataFrame, rows: int = 20) -> DataFrame:
+def illiquidity(bars: DataFrame, rows: int = 20, keep: Sequence[str] = KEEP) -> DataFrame:
     """Amihud illiquidity and its mean, and the deviation of returns over the mean volume."""
     df = with_returns(bars).withColumn("amihud", ratio(F.abs("ret"), C("quote_volume")))
     kyle = ratio(full(F.stddev_samp, C("ret"), rows), full(F.avg, C("volume"), rows))
-    return df.select("symbol", "open_time", (C("amihud") * 1e6).alias("amihud"), (full(F.avg, C("amihud"), rows) * 1e6).alias("amihud_ma"), kyle.alias("kyle_proxy"))
+    return df.select(*keep, (C("amihud") * 1e6).alias("amihud"), (full(F.avg, C("amihud"), rows) * 1e6).alias("amihud_ma"), kyle.alias("kyle_proxy"))
 
 
-def forward_targets(bars: DataFrame, horizons: Sequence[int] = (1, 5, 15)) -> DataFrame:
+def forward_targets(bars: DataFrame, horizons: Sequence[int] = (1, 5, 15), keep: Sequence[str] = KEEP) -> DataFrame:
     """Returns, directions and volatility over the next bars; a direction without a return is 0."""
     df = with_returns(bars)
     out = []
@@ -103,15 +107,15 @@ def forward_targets(bars: DataFrame, horizons: Sequence[int] = (1, 5, 15)) -> Da
         if h > 1:
             df = df.withColumn(f"_vol_{h}", full(F.stddev_samp, C("ret"), h))
             out.append(F.lead(f"_vol_{h}", h).over(ordered()).alias(f"target_volatility_{h}"))
-    return df.select("symbol", "open_time", *out)
+    return df.select(*keep, *out)
 
 
-def time_features(bars: DataFrame) -> DataFrame:
+def time_features(bars: DataFrame, keep: Sequence[str] = KEEP) -> DataFrame:
     """Hour, weekday and month on the circle, the weekend, and trading sessions in UTC."""
     hour, day, month = F.hour("open_time"), F.weekday("open_time"), F.month("open_time")
     turn = lambda x, n: x * (2 * math.pi / n)
     return bars.select(
-        "symbol", "open_time",
+        *keep,
         F.sin(turn(hour, 24)).alias("hour_sin"), F.cos(turn(hour, 24)).alias("hour_cos"),
         F.sin(turn(day, 7)).alias("day_sin"), F.cos(turn(day, 7)).alias("day_cos"),
         F.sin(turn(month, 12)).alias("month_sin"), F.cos(turn(month, 12)).alias("month_cos"),
@@ -121,6 +125,17 @@ def time_features(bars: DataFrame) -> DataFrame:
     )
 
 
+def feature_frame(bars: DataFrame, targets: bool = True) -> DataFrame:
+    """One table of the bars with their returns, volatility, momentum, RSI, flow, illiquidity, times and targets.
+
+    Each operator hands on the columns before it, so all windows share one exchange and one sort.
+    """
+    df = bars
+    for add in (returns_volatility, range_volatility, momentum_averages, rsi, order_flow, illiquidity, time_features, *((forward_targets,) if targets else ())):
+        df = add(df, keep=[c for c in df.columns if c not in ("ret", "log_ret")] if add is returns_volatility else df.columns)
+    return df
+
+
 def true_range(bars: DataFrame) -> DataFrame:
     """Adds ``tr``: the largest of the range and the distances to the close before."""
     prev = back("close")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import bar_queries, desk_queries, flow_queries, model_queries
+from tidemark.plans import bar_queries, desk_queries, flow_queries, model_queries, score_queries
 
-QUERIES = {**bar_queries.QUERIES, **flow_queries.QUERIES, **model_queries.QUERIES, **desk_queries.QUERIES}
-ORACLE_SQL = {**bar_queries.ORACLE_SQL, **flow_queries.ORACLE_SQL, **desk_queries.ORACLE_SQL}
+QUERIES = {**bar_queries.QUERIES, **flow_queries.QUERIES, **model_queries.QUERIES, **desk_queries.QUERIES, **score_queries.QUERIES}
+ORACLE_SQL = {**bar_queries.ORACLE_SQL, **flow_queries.ORACLE_SQL, **desk_queries.ORACLE_SQL, **score_queries.ORACLE_SQL}
