@@ -65,8 +65,11 @@ def reward_hacking(returns: DataFrame, threshold: float = 0.5, by: str = "model"
 
 
 def against_buy_and_hold(df: DataFrame, by: str = "symbol", order: str = "open_time") -> DataFrame:
-    """A strategy's compound return and that of holding the asset; ``df`` has ``strategy`` and ``close``."""
-    d = df.withColumn("_ret", C("close") / back("close", 1, ordered(by, order)) - 1)
+    """A strategy's compound return and that of holding the asset; ``df`` has ``strategy`` and ``close``.
+
+    A return that is null, as that from a price of zero, counts as none.
+    """
+    d = df.withColumn("_ret", ratio(C("close"), back("close", 1, ordered(by, order))) - 1)
     grown = lambda x: F.product(1 + F.coalesce(x, F.lit(0.0))) - 1
     g = d.groupBy(by).agg(grown(C("strategy")).alias("agent_return"), grown(C("_ret")).alias("baseline_return"))
     return g.withColumn("excess_return", C("agent_return") - C("baseline_return")).withColumn("outperformed", (C("excess_return") > 0).cast("int"))
@@ -108,7 +111,7 @@ def split_order(df: DataFrame, parts: Sequence[str] = ("train", "validate", "tes
     at = F.unix_micros(C(order).cast("timestamp"))
     bounds = [f(F.when(C("part") == p, at)).alias(f"{n}_{p}") for p in parts for n, f in (("first", F.min), ("last", F.max))]
     times = df.where(C("part").isin(*parts)).groupBy(by, order).agg(F.count_distinct("part").alias("_k")).groupBy(C(by).alias("_by")).agg(F.count_if(C("_k") > 1).alias("shared"))
-    g = df.groupBy(by).agg(*bounds).join(times, C(by) == C("_by"))
+    g = df.groupBy(by).agg(*bounds).join(times, C(by).eqNullSafe(C("_by")), "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     gaps = [((C(f"first_{b}") - C(f"last_{a}")) / 1e6).alias(f"gap_{a}_{b}") for a, b in zip(parts, parts[1:], strict=False)]
     ok = C("shared") == 0
     for a, b in zip(parts, parts[1:], strict=False):

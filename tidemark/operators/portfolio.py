@@ -61,8 +61,9 @@ def positions(fills: DataFrame, mode: str = "correct") -> DataFrame:
     ``correct``: a fill against the position closes up to its size at the entry price, and any rest
     opens the other side.  ``reference``: a partial close averages into the entry instead and books
     nothing.  Fills need ``symbol``, ``open_time`` (a struct that orders them), ``price``, ``qty``
-    and ``side`` (1 or -1).
+    and ``side`` (1 or -1).  Rows without a quantity above 0 and a price are no fills and left out.
     """
+    fills = fills.where("qty > 0 and price is not null")
     if mode not in ("correct", "reference"):
         raise ValueError(f"unknown mode: {mode}")
 

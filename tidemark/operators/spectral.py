@@ -31,7 +31,10 @@ def rolling_hurst(bars: DataFrame, rows: int = 100) -> DataFrame:
 
 
 def kalman_level(bars: DataFrame, process: float = 1e-4, noise: float = 1e-2) -> DataFrame:
-    """A two-state Kalman filter of the log close: filtered level, its innovation, and the level smoothed backward."""
+    """A two-state Kalman filter of the log close: filtered level, its innovation, and the level smoothed backward.
+
+    A bar without a close above 0 observes nothing: its state is predicted and its innovation is null.
+    """
 
     def run(pdf):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -40,9 +43,16 @@ def kalman_level(bars: DataFrame, process: float = 1e-4, noise: float = 1e-2) ->
         x, p = np.zeros(2), np.eye(2)
         eye, h, q = np.eye(2), np.array([[1.0, 0.0]]), process * np.eye(2)
         level, gap, states, covariances, ahead = [], [], [], [], []
-        for z in np.log(pdf["close"].to_numpy(float)):
+        closes = pdf["close"].to_numpy(float)
+        for z in np.where(closes > 0, np.log(np.where(closes > 0, closes, 1.0)), np.nan):
             p = p + q
             ahead.append((x, p))
+            if np.isnan(z):
+                level.append(x[0])
+                gap.append(None)
+                states.append(x)
+                covariances.append(p)
+                continue
             y = z - x[0]
             s = p[0, 0] + noise
             k = (p @ h.T / s)[:, 0]

@@ -22,7 +22,7 @@ BARS = f"""{TICKS}, bars AS (
     sum(CASE WHEN side = 1 THEN price * qty ELSE 0 END) AS taker_buy_quote FROM ticks GROUP BY ALL)"""
 W = "PARTITION BY symbol ORDER BY open_time"
 RETS = f"""{BARS}, rets AS (
-  SELECT *, close / lag(close) OVER w - 1 AS ret, ln(close / lag(close) OVER w) AS log_ret FROM bars WINDOW w AS ({W}))"""
+  SELECT *, close / nullif(lag(close) OVER w, 0) - 1 AS ret, CASE WHEN close / nullif(lag(close) OVER w, 0) > 0 THEN ln(close / nullif(lag(close) OVER w, 0)) END AS log_ret FROM bars WINDOW w AS ({W}))"""
 
 
 def full(agg: str, x: str, rows: int) -> str:
@@ -115,7 +115,8 @@ QUERIES = {
     }.items()
 }
 
-_HL, _GK = "pow(ln(high / low), 2)", f"0.5 * pow(ln(high / low), 2) - {2 * math.log(2) - 1!r} * pow(ln(close / open), 2)"
+_LN = lambda a, b: f"CASE WHEN {a} / nullif({b}, 0) > 0 THEN ln({a} / nullif({b}, 0)) END"
+_HL, _GK = f"pow({_LN('high', 'low')}, 2)", f"0.5 * pow({_LN('high', 'low')}, 2) - {2 * math.log(2) - 1!r} * pow({_LN('close', 'open')}, 2)"
 _GAINS = f"""{BARS}, gains AS (SELECT *, coalesce(greatest(close - {back('close')}, 0), 0) AS gain, coalesce(greatest({back('close')} - close, 0), 0) AS loss FROM bars)"""
 
 
@@ -148,15 +149,15 @@ ORACLE_SQL = {
     "ohlcv_bars": rounded({c: c for c in ("open", "high", "low", "close", "volume", "quote_volume", "taker_buy_base", "taker_buy_quote")}, "bars", plain=("trades",)),
     "returns_volatility": rounded(
         {"ret": "ret", "log_ret": "log_ret"}
-        | {f"ret_{w}": f"close / {back('close', w)} - 1" for w in (5, 10, 20)}
+        | {f"ret_{w}": f"close / nullif({back('close', w)}, 0) - 1" for w in (5, 10, 20)}
         | {f"vol_{w}": f"({full('stddev_samp', 'log_ret', w)}) * {ANNUAL!r}" for w in (5, 10, 20)}, "rets", RETS),
     "range_volatility": rounded(
         {f"parkinson_{w}": f"sqrt(({full('avg', 'hl', w)}) / {4 * math.log(2)!r}) * {ANNUAL!r}" for w in (10, 20)}
         | {f"garman_klass_{w}": f"sqrt(greatest({full('avg', 'gk', w)}, CASE WHEN ({full('avg', 'gk', w)}) IS NOT NULL THEN 0 END)) * {ANNUAL!r}" for w in (10, 20)},
         "r", f"{BARS}, r0 AS (SELECT *, {_HL} AS hl, {_GK} AS gk FROM bars), r AS (SELECT * FROM r0)"),
     "momentum_averages": rounded(
-        {f"momentum_{w}": f"close - {back('close', w)}" for w in (5, 10, 20, 50)} | {f"roc_{w}": f"100 * (close / {back('close', w)} - 1)" for w in (5, 10, 20, 50)}
-        | {f"ma_{w}": full("avg", "close", w) for w in (5, 10, 20, 50)} | {f"ma_distance_{w}": f"close / ({full('avg', 'close', w)}) - 1" for w in (5, 10, 20, 50)}, "bars"),
+        {f"momentum_{w}": f"close - {back('close', w)}" for w in (5, 10, 20, 50)} | {f"roc_{w}": f"100 * (close / nullif({back('close', w)}, 0) - 1)" for w in (5, 10, 20, 50)}
+        | {f"ma_{w}": full("avg", "close", w) for w in (5, 10, 20, 50)} | {f"ma_distance_{w}": f"close / nullif({full('avg', 'close', w)}, 0) - 1" for w in (5, 10, 20, 50)}, "bars"),
     "rsi": rounded({f"rsi_{w}": _rsi(w) for w in (14, 21)}, "gains", _GAINS),
     "order_flow": rounded(
         {"ofi": "ofi"} | {f"ofi_ma_{w}": full("avg", "ofi", w) for w in (10, 20)} | {f"ofi_std_{w}": full("stddev_samp", "ofi", w) for w in (10, 20)}
@@ -166,19 +167,19 @@ ORACLE_SQL = {
         {"amihud": "amihud * 1e6", "amihud_ma": f"({full('avg', 'amihud', 20)}) * 1e6", "kyle_proxy": f"({full('stddev_samp', 'ret', 20)}) / nullif({full('avg', 'volume', 20)}, 0)"},
         "a", f"{RETS}, a AS (SELECT *, abs(ret) / nullif(quote_volume, 0) AS amihud FROM rets)"),
     "forward_targets": rounded(
-        {f"target_return_{h}": f"lead(close, {h}) OVER ({W}) / close - 1" for h in (1, 5, 15)} | {f"target_volatility_{h}": f"lead(v{h}, {h}) OVER ({W})" for h in (5, 15)},
+        {f"target_return_{h}": f"lead(close, {h}) OVER ({W}) / nullif(close, 0) - 1" for h in (1, 5, 15)} | {f"target_volatility_{h}": f"lead(v{h}, {h}) OVER ({W})" for h in (5, 15)},
         "v", f"{RETS}, v AS (SELECT *, {full('stddev_samp', 'ret', 5)} AS v5, {full('stddev_samp', 'ret', 15)} AS v15 FROM rets)",
-        tuple(f"CAST(coalesce(lead(close, {h}) OVER ({W}) / close - 1 > 0, false) AS INTEGER) AS target_direction_{h}" for h in (1, 5, 15))),
+        tuple(f"CAST(coalesce(lead(close, {h}) OVER ({W}) / nullif(close, 0) - 1 > 0, false) AS INTEGER) AS target_direction_{h}" for h in (1, 5, 15))),
     "time_features": rounded(
         {f"{n}_{f}": f"{f}({_T(x, k)})" for n, x, k in (("hour", "hour(open_time)", 24), ("day", "(isodow(open_time) - 1)", 7), ("month", "month(open_time)", 12)) for f in ("sin", "cos")},
         "bars", plain=("CAST(isodow(open_time) >= 6 AS INTEGER) AS is_weekend", "CAST(hour(open_time) < 8 AS INTEGER) AS asia",
                        "CAST(hour(open_time) BETWEEN 7 AND 15 AS INTEGER) AS europe", "CAST(hour(open_time) BETWEEN 13 AND 21 AS INTEGER) AS us")),
-    "atr": rounded({"tr": "tr"} | {f"atr_{w}": full("avg", "tr", w) for w in (14, 20)} | {f"atr_pct_{w}": f"({full('avg', 'tr', w)}) / close" for w in (14, 20)}, "trs", _TR, digits=7),
+    "atr": rounded({"tr": "tr"} | {f"atr_{w}": full("avg", "tr", w) for w in (14, 20)} | {f"atr_pct_{w}": f"({full('avg', 'tr', w)}) / nullif(close, 0)" for w in (14, 20)}, "trs", _TR, digits=7),
     "volatility_regime": rounded(
         {"vol_regime": "v10 / nullif(v50, 0)", "vol_z": f"(v10 - ({full('avg', 'v10', 50)})) / nullif({full('stddev_samp', 'v10', 50)}, 0)", "vol_of_vol": full("stddev_samp", "v10", 20)},
         "v", f"{RETS}, v AS (SELECT *, {full('stddev_samp', 'log_ret', 10)} AS v10, {full('stddev_samp', 'log_ret', 50)} AS v50 FROM rets)"),
     "sharpe_and_gap": rounded(
-        {"rolling_sharpe": f"(close / {back('close', 20)} - 1) / (({full('stddev_samp', 'ret', 20)}) * {math.sqrt(20)!r} + 1e-10)", "gap": f"open / {back('close', 8)} - 1"}, "rets", RETS),
+        {"rolling_sharpe": f"(close / nullif({back('close', 20)}, 0) - 1) / (({full('stddev_samp', 'ret', 20)}) * {math.sqrt(20)!r} + 1e-10)", "gap": f"open / nullif({back('close', 8)}, 0) - 1"}, "rets", RETS),
     "volume_profile": rounded(
         {"relative_volume": f"volume / nullif({full('avg', 'volume', 20)}, 0)", "volume_z": f"(volume - ({full('avg', 'volume', 20)})) / nullif({full('stddev_samp', 'volume', 20)}, 0)",
          "dollar_volume_ratio": f"quote_volume / nullif({full('avg', 'quote_volume', 20)}, 0)", "trade_size_ratio": f"size / nullif({full('avg', 'size', 20)}, 0)",
@@ -189,7 +190,7 @@ ORACLE_SQL = {
     "spread_efficiency": rounded(
         {"spread": "spread", "spread_ma": full("avg", "spread", 20), "spread_z": f"(spread - ({full('avg', 'spread', 20)})) / nullif({full('stddev_samp', 'spread', 20)}, 0)",
          "efficiency": "efficiency", "efficiency_ma": full("avg", "efficiency", 20)},
-        "s", f"{RETS}, s AS (SELECT *, 1e4 * ((high - low) / close) AS spread, abs(ret) / nullif(ln(1 + volume), 0) * 1000 AS efficiency FROM rets)"),
+        "s", f"{RETS}, s AS (SELECT *, 1e4 * ((high - low) / nullif(close, 0)) AS spread, abs(ret) / nullif(ln(1 + volume), 0) * 1000 AS efficiency FROM rets)"),
     "ema": _recursive({f"ema_{s}": _EMA(_A[s], "n.close", f"f.ema_{s}") for s in (12, 26, 50)}, {f"ema_{s}": "close" for s in (12, 26, 50)})
         + " SELECT symbol, open_time, round(close, 6) AS close, round(ema_12, 6) AS ema_12, round(ema_26, 6) AS ema_26, round(ema_50, 6) AS ema_50 FROM done",
     "macd": _recursive({"f": _F, "s": _S, "g": _EMA(_A[9], f"(({_F}) - ({_S}))", "f.g")}, {"f": "close", "s": "close", "g": "0"})
@@ -200,7 +201,7 @@ ORACLE_SQL = {
         "o3", f"""{_GAINS}, o1 AS (SELECT *, {_rsi(14)} AS rsi, (high + low + close) / 3 AS tp FROM gains),
         o2 AS (SELECT *, (rsi - ({full('min', 'rsi', 14)})) / nullif(({full('max', 'rsi', 14)}) - ({full('min', 'rsi', 14)}), 0) AS stoch FROM o1), o3 AS (SELECT *, {full('avg', 'stoch', 3)} AS k FROM o2)"""),
     "bands": rounded(
-        {"bollinger_width": f"4 * ({full('stddev_samp', 'close', 20)}) / ({full('avg', 'close', 20)})",
+        {"bollinger_width": f"4 * ({full('stddev_samp', 'close', 20)}) / nullif({full('avg', 'close', 20)}, 0)",
          "bollinger_position": f"(close - (({full('avg', 'close', 20)}) - 2 * ({full('stddev_samp', 'close', 20)}))) / nullif(4 * ({full('stddev_samp', 'close', 20)}), 0)",
          "price_z": f"(close - ({full('avg', 'close', 20)})) / nullif({full('stddev_samp', 'close', 20)}, 0)"}, "bars"),
     "adx": rounded(
@@ -217,7 +218,7 @@ ORACLE_SQL = {
         {f"autocorr_{k}": f"CASE WHEN count(ret) OVER ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 50 THEN corr(ret, l{k}) OVER ({W} ROWS BETWEEN {49 - k} PRECEDING AND CURRENT ROW) END" for k in (1, 5)},
         "l", f"{RETS}, l AS (SELECT *, {back('ret', 1)} AS l1, {back('ret', 5)} AS l5 FROM rets)"),
     "extremes": rounded(
-        {"from_high": "close / hh - 1", "from_low": "close / ll - 1", "range_position": "(close - ll) / nullif(hh - ll, 0)"},
+        {"from_high": "close / nullif(hh, 0) - 1", "from_low": "close / nullif(ll, 0) - 1", "range_position": "(close - ll) / nullif(hh - ll, 0)"},
         "x", f"{BARS}, x AS (SELECT *, {full('max', 'high', 20)} AS hh, {full('min', 'low', 20)} AS ll FROM bars)",
         (f"CAST(coalesce(high > {back('hh')}, false) AS INTEGER) AS higher_high", f"CAST(coalesce(low < {back('ll')}, false) AS INTEGER) AS lower_low")),
     "streaks": f"""WITH {BARS}, u AS (SELECT *, CAST(coalesce(close > {back('close')}, false) AS INTEGER) AS up FROM bars),
@@ -230,7 +231,7 @@ ORACLE_SQL = {
     "fill_policies": f"""WITH {BARS}, x AS (SELECT symbol, open_time, CASE WHEN volume > 50 THEN taker_buy_base END AS x FROM bars),
       f AS (SELECT *, last_value(x IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING) AS a, first_value(x IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM x)
       SELECT symbol, open_time, round(a, 6) AS forward, round(coalesce(a, b), 6) AS both_ways FROM f""",
-    "feature_validation": f"""WITH {RETS}, f AS (SELECT ret, ({full('stddev_samp', 'log_ret', 20)}) * {ANNUAL!r} AS vol_20, close / {back('close', 10)} - 1 AS ret_10, CAST(1 AS DOUBLE) AS one FROM rets)
+    "feature_validation": f"""WITH {RETS}, f AS (SELECT ret, ({full('stddev_samp', 'log_ret', 20)}) * {ANNUAL!r} AS vol_20, close / nullif({back('close', 10)}, 0) - 1 AS ret_10, CAST(1 AS DOUBLE) AS one FROM rets)
       """ + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, CAST(sum(CASE WHEN isinf({c}) THEN 1 ELSE 0 END) AS BIGINT) AS infinite, min({c}) IS NOT DISTINCT FROM max({c}) AS constant, CAST(sum(CASE WHEN abs({c}) > 1e10 THEN 1 ELSE 0 END) AS BIGINT) AS huge FROM f" for c in ("ret", "vol_20", "ret_10", "one")),
     "chronological_split": f"""WITH {BARS}, n AS (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
       c AS (SELECT *, CAST(floor(n * CAST(0.7 AS DOUBLE)) AS BIGINT) AS a, CAST(floor(n * CAST(0.85 AS DOUBLE)) AS BIGINT) AS b FROM n),

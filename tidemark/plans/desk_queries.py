@@ -199,7 +199,7 @@ def reward_hacking(spark, sf_dir):
 
 def against_buy_and_hold(spark, sf_dir):
     """The strategy's compound return against holding."""
-    return tidy(E.against_buy_and_hold(P.backtest(P.moving_average_signal(A.bars(spark, sf_dir).where("close > 1")))), 3)
+    return tidy(E.against_buy_and_hold(P.backtest(P.moving_average_signal(A.bars(spark, sf_dir)))), 3)
 
 
 def go_no_go(spark, sf_dir):
@@ -258,7 +258,7 @@ def toxicity(spark, sf_dir):
     t = A.ticks(spark, sf_dir)
     w = Window.partitionBy("symbol").orderBy("ts", "event_id")
     known = C("event_id") % 3 == 0
-    t = t.withColumn("impact", F.abs(C("price") / F.lag("price", 5).over(w) - 1) / 1000).withColumn("vpin", F.when(known, C("qty") / 100)).withColumn("vpin_cdf", F.when(known, (C("qty") + 1) / 101))
+    t = t.withColumn("impact", F.abs(ratio(C("price"), F.lag("price", 5).over(w)) - 1) / 1000).withColumn("vpin", F.when(known, C("qty") / 100)).withColumn("vpin_cdf", F.when(known, (C("qty") + 1) / 101))
     return tidy(E.toxicity(t), 5)
 
 
@@ -349,7 +349,7 @@ ORACLE_SQL = {
       h AS (SELECT symbol AS model, CASE WHEN abs(t) > 1e-8 THEN (t - v) / abs(t) ELSE 0 END AS gap, s / (abs(t) + 1e-8) < 0.1 AND t > 0.01 AS even, n > 10 AND drops > 0.1 * n AS sudden FROM g WHERE t IS NOT NULL),
       c AS (SELECT *, CASE WHEN gap > 0.5 THEN 0.4 ELSE 0 END + CASE WHEN even THEN 0.3 ELSE 0 END + CASE WHEN sudden THEN 0.3 ELSE 0 END AS x FROM h)
       SELECT model, round(gap, 3) AS performance_gap, CAST(even AS INTEGER) AS too_even, CAST(sudden AS INTEGER) AS sudden_drops, round(CAST(x AS DOUBLE), 3) AS confidence, CAST(x > 0.5 AS INTEGER) AS detected FROM c""",
-    "against_buy_and_hold": f"""WITH {BT.replace('GROUP BY ALL)', 'GROUP BY ALL HAVING arg_max(price, ts) > 1)', 1)}, g AS (SELECT symbol, product(1 + strategy) - 1 AS a, product(1 + coalesce(close / lag_close - 1, 0)) - 1 AS b FROM (SELECT *, lag(close) OVER ({W}) AS lag_close FROM bt) GROUP BY symbol)
+    "against_buy_and_hold": f"""WITH {BT}, g AS (SELECT symbol, product(1 + strategy) - 1 AS a, product(1 + coalesce(close / nullif(lag_close, 0) - 1, 0)) - 1 AS b FROM (SELECT *, lag(close) OVER ({W}) AS lag_close FROM bt) GROUP BY symbol)
       SELECT symbol, round(a, 3) AS agent_return, round(b, 3) AS baseline_return, round(a - b, 3) AS excess_return, CAST(a - b > 0 AS INTEGER) AS outperformed FROM g""",
     "go_no_go": f"""WITH {FOLDS}, c AS (SELECT *, {_PASS('direction_accuracy > 0.5', 'sharpe > 0', 'win_rate > 0.45', 'profit_factor > 0.8')} AS criteria FROM folds)
       SELECT model, fold, criteria, CASE WHEN criteria >= 3 THEN 'GO' ELSE 'NO-GO' END AS decision, {_OUT('<', 0)} AS below, {_OUT('>', 1)} AS above, CAST({_OUT('>', 1)} = '' AND NOT coalesce(sharpe > 5, false) AS INTEGER) AS passed FROM c""",
@@ -369,7 +369,7 @@ ORACLE_SQL = {
         CASE WHEN taker_buy_base > 0 THEN CASE WHEN taker_buy_base > volume / 2 THEN 1 ELSE -1 END WHEN close > open THEN 1 ELSE -1 END AS side FROM m""",
     "hawkes_estimate": f"""WITH {TICKS}, d AS (SELECT symbol, (epoch_us(ts) - lag(epoch_us(ts)) OVER ({V})) / 1e6 AS gap FROM ticks), g AS (SELECT symbol, count(gap) AS n, avg(gap) AS m, var_pop(gap) AS v FROM d GROUP BY symbol)
       SELECT symbol, n, {_r({'mu': 'CASE WHEN n >= 50 AND m > 0 THEN 1 / m END', 'alpha': 'CASE WHEN n >= 50 AND m > 0 THEN CASE WHEN v / (m * m) > 1 THEN least(1 - 1 / (v / (m * m)), 0.99) ELSE 0 END / m END', 'beta': 'CASE WHEN n >= 50 AND m > 0 THEN 1 / m END'}, 7)} FROM g""",
-    "toxicity": f"""WITH {TICKS}, i AS (SELECT *, abs(price / lag(price, 5) OVER ({V}) - 1) / 1000 AS impact, CASE WHEN event_id % 3 = 0 THEN qty / 100.0 END AS vp, CASE WHEN event_id % 3 = 0 THEN (qty + 1) / 101.0 END AS vc FROM ticks),
+    "toxicity": f"""WITH {TICKS}, i AS (SELECT *, abs(price / nullif(lag(price, 5) OVER ({V}), 0) - 1) / 1000 AS impact, CASE WHEN event_id % 3 = 0 THEN qty / 100.0 END AS vp, CASE WHEN event_id % 3 = 0 THEN (qty + 1) / 101.0 END AS vc FROM ticks),
       a AS (SELECT *, count(*) OVER f AS n, abs(2 * sum(CAST(side = 1 AS INTEGER)) OVER f - count(*) OVER f) / CAST(count(*) OVER f AS DOUBLE) AS im, CASE WHEN count(impact) OVER f >= 10 THEN avg(impact) OVER f END AS adverse FROM i WINDOW f AS ({V} ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)),
       p AS (SELECT *, CASE WHEN n >= 100 THEN 0.5 * (1 + tanh(2 * (im - 0.3))) END AS pin, least(1, adverse * 200) AS ad FROM a),
       t AS (SELECT *, (coalesce(vc * 0.4, 0) + coalesce(ad * 0.3, 0) + coalesce(pin * 0.3, 0)) / nullif(CASE WHEN vc IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN ad IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN pin IS NOT NULL THEN 0.3 ELSE 0 END, 0) AS tox FROM p)

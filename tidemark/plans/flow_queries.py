@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.exprs import ratio
 from tidemark.functions.windows import so_far
 from tidemark.operators import bars as B
 from tidemark.operators import flow as L
@@ -304,7 +305,7 @@ def ks_shift(spark, sf_dir):
     v = s.groupBy("symbol", "volume").agg(F.count_if(C("part") == "train").alias("x"), F.count_if(C("part") == "test").alias("y"))
     w = so_far(B.ordered("symbol", "volume"))
     v = v.withColumn("x", F.sum("x").over(w)).withColumn("y", F.sum("y").over(w)).join(n, C("symbol") == C("s"))
-    return tidy(v.groupBy("symbol").agg(F.max(F.abs(C("x") / C("a") - C("y") / C("b"))).alias("ks")))
+    return tidy(v.groupBy("symbol").agg(F.max(F.abs(ratio(C("x"), C("a")) - ratio(C("y"), C("b")))).alias("ks")))
 
 
 def purged_folds(spark, sf_dir):
@@ -358,13 +359,13 @@ QUOTES = f"""{TICKS}, quotes AS (SELECT event_id, symbol, ts, price - 0.0005 * p
   CAST(qty + 1 AS DOUBLE) AS bid_size, CAST(100 - qty + 1 AS DOUBLE) AS ask_size FROM ticks)"""
 LOG = """trades AS (SELECT o_orderkey AS id, o_orderpriority AS symbol, o_orderdate AS ts, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority), 2) AS pnl,
   o_totalprice AS notional, o_custkey AS version FROM orders)"""
-FILLS = """fills AS (SELECT l_suppkey AS symbol, l_shipdate AS ts, l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part, l_extendedprice / l_quantity AS price,
+FILLS = """fills AS (SELECT l_suppkey AS symbol, l_shipdate AS ts, l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part, l_extendedprice / nullif(l_quantity, 0) AS price,
   l_quantity AS qty, CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END AS side FROM lineitem)"""
 ORDERS = """o AS (SELECT o_custkey AS symbol, o_orderdate AS ts, o_orderkey AS id, CAST(o_orderkey % 50 AS DOUBLE) AS qty, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END AS side,
   o_totalprice / 100 AS price FROM orders)"""
 PRED = f"{RETS}, pr AS (SELECT symbol, open_time, lead(ret) OVER ({W}) AS y, round(-ret / 10, 8) AS p FROM rets), known AS (SELECT * FROM pr WHERE y IS NOT NULL AND p IS NOT NULL)"
-FEATURES = f"""{TICKS}, im AS (SELECT *, (2 * qty - 99) / 99.0 AS imbalance, ln(price / lag(price) OVER ({V})) AS lr, CAST(row_number() OVER ({V}) AS DOUBLE) AS i FROM ticks),
-fe AS (SELECT event_id, symbol, ts, price, imbalance, ({tick_full('stddev_pop', 'lr', 19)}) * {math.sqrt(252 * 24 * 60)!r} AS volatility, price / lag(price, 9) OVER ({V}) - 1 AS momentum,
+FEATURES = f"""{TICKS}, im AS (SELECT *, (2 * qty - 99) / 99.0 AS imbalance, CASE WHEN price / nullif(lag(price) OVER ({V}), 0) > 0 THEN ln(price / nullif(lag(price) OVER ({V}), 0)) END AS lr, CAST(row_number() OVER ({V}) AS DOUBLE) AS i FROM ticks),
+fe AS (SELECT event_id, symbol, ts, price, imbalance, ({tick_full('stddev_pop', 'lr', 19)}) * {math.sqrt(252 * 24 * 60)!r} AS volatility, price / nullif(lag(price, 9) OVER ({V}), 0) - 1 AS momentum,
   CASE WHEN count(imbalance) OVER t = 10 THEN regr_slope(imbalance, i) OVER t END AS imbalance_slope,
   CASE WHEN count(imbalance) OVER h >= 20 THEN (imbalance - avg(imbalance) OVER h) / greatest(stddev_pop(imbalance) OVER h, 0.001) ELSE imbalance END AS imbalance_z, qty
   FROM im WINDOW t AS ({V} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), h AS ({V} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))"""
@@ -373,7 +374,7 @@ VOLZ = f"""{FEATURES}, vz AS (SELECT *, CASE WHEN count(volatility) OVER g >= 20
 VBARS = f"""{TICKS}, cum AS (SELECT *, sum(CAST(qty AS DOUBLE)) OVER ({V}) AS e FROM ticks WHERE qty > 0), st AS (SELECT *, e - qty AS s FROM cum),
 ex AS (SELECT *, unnest(range(CAST(floor(s / 1000) AS BIGINT), CAST(ceil(e / 1000) AS BIGINT))) AS bar FROM st), pt AS (SELECT *, least(e, (bar + 1) * 1000) - greatest(s, bar * 1000) AS part FROM ex),
 vb AS (SELECT symbol, bar, min(ts) AS first, max(ts) AS last, sum(part) AS volume, sum(CASE WHEN side = 1 THEN part ELSE 0 END) AS buy, sum(part * price) / sum(part) AS vwap, count(*) AS trades FROM pt GROUP BY ALL)"""
-BT = f"""{BARS}, sg AS (SELECT *, CAST(coalesce(sign(({full('avg', 'close', 5)}) - ({full('avg', 'close', 20)})), 0) AS DOUBLE) AS position, coalesce(close / {back('close')} - 1, 0) AS ret FROM bars),
+BT = f"""{BARS}, sg AS (SELECT *, CAST(coalesce(sign(({full('avg', 'close', 5)}) - ({full('avg', 'close', 20)})), 0) AS DOUBLE) AS position, coalesce(close / nullif({back('close')}, 0) - 1, 0) AS ret FROM bars),
 bt AS (SELECT *, coalesce(lag(position) OVER ({W}), 0) * ret - abs(position - coalesce(lag(position) OVER ({W}), 0)) * 0.0015 AS strategy FROM sg)"""
 
 
@@ -391,7 +392,7 @@ def _down(x: str) -> str:
 
 _YEAR = repr(math.sqrt(252.0))
 _RANK = lambda x: f"rank() OVER (PARTITION BY symbol ORDER BY {x}) + (count(*) OVER (PARTITION BY symbol, {x}) - 1) / 2.0"
-_STEP = """WITH RECURSIVE {fills}, nf AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, order_id, line, part, price, qty) AS i FROM fills),
+_STEP = """WITH RECURSIVE {fills}, nf AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, order_id, line, part, price, qty) AS i FROM fills WHERE qty > 0),
 st AS (SELECT symbol, i, CAST(side * qty AS DOUBLE) AS q, CAST(price AS DOUBLE) AS e, CAST(0 AS DOUBLE) AS r FROM nf WHERE i = 1
   UNION ALL SELECT n.symbol, n.i, s.q + n.side * n.qty,
     CASE WHEN s.q = 0 OR sign(s.q) = n.side {avg} THEN (abs(s.q) * s.e + n.qty * n.price) / (abs(s.q) + n.qty) WHEN s.q + n.side * n.qty <> 0 AND sign(s.q + n.side * n.qty) = n.side THEN n.price ELSE s.e END,
@@ -411,9 +412,9 @@ ORACLE_SQL = {
       f AS (SELECT *, coalesce((CASE WHEN bid > pb THEN bid_size WHEN bid < pb THEN -ps ELSE bid_size - ps END) + (CASE WHEN ask < pa THEN -ask_size WHEN ask > pa THEN pz ELSE -(ask_size - pz) END), 0) AS ofi FROM p)
       SELECT event_id, symbol, ts, round(ofi, 6) AS ofi, CASE WHEN count(ofi) OVER h >= 20 THEN round((ofi - avg(ofi) OVER h) / nullif(stddev_pop(ofi) OVER h, 0), 6) END AS ofi_z
       FROM f WINDOW h AS ({V} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""",
-    "spread_impact": f"""WITH {QUOTES}, m AS (SELECT *, (bid + ask) / 2 AS mid FROM quotes), i AS (SELECT *, (ask - bid) / mid AS eff, abs(mid - lag(mid, 5) OVER ({V})) / lag(mid, 5) OVER ({V}) AS imp FROM m)
+    "spread_impact": f"""WITH {QUOTES}, m AS (SELECT *, (bid + ask) / 2 AS mid FROM quotes), i AS (SELECT *, (ask - bid) / nullif(mid, 0) AS eff, abs(mid - lag(mid, 5) OVER ({V})) / nullif(lag(mid, 5) OVER ({V}), 0) AS imp FROM m)
       SELECT event_id, symbol, ts, {_r({'effective_bps': '1e4 * eff', 'impact_bps': '1e4 * imp', 'realised_bps': '1e4 * (CASE WHEN imp IS NOT NULL THEN greatest(eff - 2 * imp, 0) END)'}, 4)} FROM i""",
-    "kyle_lambda": f"""WITH {TICKS}, p AS (SELECT *, CAST(CASE WHEN side = 1 THEN qty ELSE -qty END AS DOUBLE) AS v, price / lag(price) OVER ({V}) - 1 AS r FROM ticks),
+    "kyle_lambda": f"""WITH {TICKS}, p AS (SELECT *, CAST(CASE WHEN side = 1 THEN qty ELSE -qty END AS DOUBLE) AS v, price / nullif(lag(price) OVER ({V}), 0) - 1 AS r FROM ticks),
       w AS (SELECT event_id, symbol, ts, list({{'v': v, 'r': r}}) OVER f AS pairs, stddev_pop(v) OVER f AS sd FROM p WHERE r IS NOT NULL WINDOW f AS ({V} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
       k AS (SELECT *, list_filter(pairs, lambda x: abs(x.v) < 3 * sd) AS kept FROM w),
       l AS (SELECT *, len(kept) AS n, list_transform(kept, lambda x: x.v) AS vs, list_transform(kept, lambda x: x.r) AS rs, list_transform(kept, lambda x: x.v * x.r) AS vr, list_transform(kept, lambda x: x.v * x.v) AS vv FROM k)
@@ -424,7 +425,7 @@ ORACLE_SQL = {
       s3 AS (SELECT *, sum(ch) OVER ({V}) AS isl FROM s2), s4 AS (SELECT *, row_number() OVER (PARTITION BY symbol, isl ORDER BY ts, event_id) AS streak FROM s3),
       s5 AS (SELECT *, greatest(least(0.4 * least(abs(imbalance), 1) + 0.2 * least(abs(wi), 1) + 0.2 * least(streak / 10.0, 1) + CASE WHEN volatility_z < -1 THEN 0.1 WHEN volatility_z > 1 THEN -0.1 ELSE 0 END
         + CASE WHEN sg * round(imbalance_slope, 9) > 0 THEN 0.1 ELSE 0 END, 1), 0) AS conf,
-        round(1000.0 * CASE WHEN volatility_z < -1 THEN 1.5 WHEN volatility_z > 1 THEN 0.5 ELSE 1 END / price * CASE WHEN pos = sg THEN 0.5 ELSE 1 END, 6) AS size FROM s4),
+        round(1000.0 * CASE WHEN volatility_z < -1 THEN 1.5 WHEN volatility_z > 1 THEN 0.5 ELSE 1 END / nullif(price, 0) * CASE WHEN pos = sg THEN 0.5 ELSE 1 END, 6) AS size FROM s4),
       s6 AS (SELECT *, abs(imbalance) >= 0.3 AND streak >= 3 AND conf >= 0.5 AND NOT coalesce(sg * round(imbalance_slope, 9) < 0, false) AND price > 0 AND size > 0 AS ok FROM s5)
       SELECT event_id, symbol, ts, round(imbalance, 6) AS imbalance, CAST(streak AS INTEGER) AS streak, round(conf, 6) AS confidence, CASE WHEN ok THEN CASE WHEN sg > 0 THEN 'buy' ELSE 'sell' END END AS signal,
         CASE WHEN ok THEN size END AS size, CASE WHEN ok THEN concat_ws('; ', format('Order book {{}} imbalance: {{:.3f}}', CASE WHEN sg > 0 THEN 'bid' ELSE 'ask' END, imbalance), CASE WHEN streak >= 3 THEN format('Persistent for {{}} ticks', streak) END,
@@ -487,7 +488,7 @@ ORACLE_SQL = {
     "backtest": f"WITH {BT} SELECT symbol, open_time, {_r({'close': 'close', 'position': 'position', 'ret': 'ret', 'strategy': 'strategy', 'equity': f'CASE WHEN min(1 + strategy) OVER ({W}) > 0 THEN 10000 * exp(sum(ln(greatest(1 + strategy, 1e-300))) OVER ({W})) ELSE 0 END'}, 5)} FROM bt",
     "round_trips": f"""WITH {BT}, p AS (SELECT *, lag(position) OVER ({W}) AS bef FROM bt), c AS (SELECT * FROM p WHERE bef IS NOT NULL AND position <> bef),
       t AS (SELECT *, lead(open_time) OVER ({W}) AS xt, lead(close) OVER ({W}) AS x FROM c)
-      SELECT symbol, open_time AS entry_time, xt AS exit_time, {_r({'position': 'position', 'entry': 'close', 'exit': 'x', 'trade_return': 'position * (x / close - 1)'}, 5)} FROM t WHERE position <> 0 AND x IS NOT NULL""",
+      SELECT symbol, open_time AS entry_time, xt AS exit_time, {_r({'position': 'position', 'entry': 'close', 'exit': 'x', 'trade_return': 'position * (x / nullif(close, 0) - 1)'}, 5)} FROM t WHERE position <> 0 AND x IS NOT NULL""",
     "walk_forward": f"""WITH {BT}, n AS (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bt),
       f AS (SELECT n.*, g.fold, i - g.fold * 50 AS a FROM n JOIN range(0, 100000) g(fold) ON g.fold * 50 <= i AND i < g.fold * 50 + 150 AND g.fold * 50 + 150 <= n)
       SELECT symbol, CAST(fold AS INTEGER) AS fold, round(sum(CASE WHEN a < 100 THEN strategy END), 5) AS train_return, round(sum(CASE WHEN a >= 100 THEN strategy END), 5) AS test_return, min(open_time) AS start, max(open_time) AS stop FROM f GROUP BY ALL""",
@@ -496,7 +497,7 @@ ORACLE_SQL = {
     "risk_checks": f"""WITH {ORDERS}, p AS (SELECT *, coalesce(sum(side * qty) OVER ({TR} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM o),
       v AS (SELECT *, CASE WHEN qty <= 0 THEN 'rejected: quantity' WHEN qty * price > 80000 THEN 'rejected: notional' WHEN abs(pos + side * qty) > 60 AND 60 - abs(pos) <= 0 THEN 'rejected: position' WHEN abs(pos + side * qty) > 60 THEN 'adjust' ELSE 'approved' END AS verdict FROM p)
       SELECT symbol, ts, id, round(pos, 6) AS position, verdict, CASE WHEN verdict = 'adjust' THEN round(least(60 - abs(pos), qty), 6) END AS allowed FROM v""",
-    "price_jumps": f"WITH {ORDERS}, m AS (SELECT *, abs(price / lag(price) OVER ({TR}) - 1) AS mv FROM o) SELECT symbol, ts, id, round(price, 6) AS price, round(mv, 6) AS move, CAST(coalesce(mv > 0.5, false) AS INTEGER) AS jump FROM m",
+    "price_jumps": f"WITH {ORDERS}, m AS (SELECT *, abs(price / nullif(lag(price) OVER ({TR}), 0) - 1) AS mv FROM o) SELECT symbol, ts, id, round(price, 6) AS price, round(mv, 6) AS move, CAST(coalesce(mv > 0.5, false) AS INTEGER) AS jump FROM m",
     "rate_limit_rolling": f"""WITH {TICKS}, r AS (SELECT event_id, symbol, ts, count(*) OVER (PARTITION BY symbol ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS recent FROM ticks)
       SELECT *, CAST(recent > 5 AS INTEGER) AS limited FROM r""",
     "rate_limit_session": f"""WITH {TICKS}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER ({V}) <= 3600000000 THEN 0 ELSE 1 END AS nw FROM ticks), s AS (SELECT *, CAST(sum(nw) OVER ({V}) AS BIGINT) AS session FROM g)

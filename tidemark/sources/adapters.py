@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.exprs import ratio
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named table of a data folder."""
@@ -72,6 +74,6 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as fills; side 1 buys, -1 sells."""
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"),
-        F.col("l_partkey").alias("part"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"),
+        F.col("l_partkey").alias("part"), ratio(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("qty"),
         F.when(F.col("l_linestatus") == "O", 1).otherwise(-1).alias("side"),
     )
