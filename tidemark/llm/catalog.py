@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op3_byte_bpe
 from tidemark.llm.centroids import OP13_SQL, op13_ns_bounds
+from tidemark.llm.chat import OP12_SQL, op12_prefix_chats
 from tidemark.llm.lattice import op2_lattice_links
 from tidemark.llm.lines import OP4_SQL, op4_site_line_dedup
 from tidemark.llm.mixing import OP1_SQL, op1_source_mix
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_warc_segments": op9_warc_segments,
     "op10_quality_qda": op10_quality_qda,
     "op11_segment_resample": op11_segment_resample,
+    "op12_prefix_chats": op12_prefix_chats,
     "op13_ns_bounds": op13_ns_bounds,
 }
 
@@ -36,5 +38,6 @@ ORACLE_SQL = {
     "op7_mtree_top5": OP7_SQL,
     "op9_warc_segments": OP9_SQL,
     "op11_segment_resample": OP11_SQL,
+    "op12_prefix_chats": OP12_SQL,
     "op13_ns_bounds": OP13_SQL,
 }
