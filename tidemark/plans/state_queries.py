@@ -10,6 +10,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import manifold
 from tidemark.plans.flow_queries import tidy
 from tidemark.sources import adapters as A
+from tidemark.streaming.books import replay_books
 
 C = F.col
 
@@ -26,5 +27,17 @@ def nonstationarity(spark, sf_dir):
     return tidy(manifold.nonstationarity(_features(spark, sf_dir), ["ret", "spread", "flow", "size"]))
 
 
-QUERIES = {f.__name__: f for f in (nonstationarity,)}
+def replayed_updates(updates: DataFrame) -> DataFrame:
+    """Each symbol's first update as a snapshot, the others as updates after it."""
+    first = updates.groupBy(C("symbol").alias("s")).agg(F.min("update_id").alias("begin"))
+    joined = updates.join(first, C("symbol").eqNullSafe(C("s")))
+    return joined.select(*updates.columns, F.when(C("update_id") == C("begin"), "snapshot").otherwise("update").alias("kind"))
+
+
+def book_replay(spark, sf_dir):
+    """Each symbol's book of twenty levels a side after a snapshot and all updates, and what became of the updates."""
+    return tidy(replay_books(replayed_updates(A.book_updates(spark, sf_dir))))
+
+
+QUERIES = {f.__name__: f for f in (nonstationarity, book_replay)}
 ORACLE_SQL: dict[str, str] = {}
