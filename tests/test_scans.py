@@ -100,3 +100,107 @@ def test_nonstationarity_of_odd_rows(spark):
     got = manifold.nonstationarity(df, columns).collect()
     assert sorted((r.symbol, r.regime) for r in got).count(("flat", 0)) == 60 and sum(r.symbol == "gaps" for r in got) == 1
     assert manifold.nonstationarity(df.limit(0), columns).count() == 0
+
+
+def plain_model(x, k, iterations, tolerance):
+    """Expectation and maximisation along the whole series."""
+    n, d = x.shape
+    sizes = np.argsort((x**2).sum(1), kind="stable")
+    means, covs = [], []
+    for s in range(k):
+        own = x[sizes[s * (n // k) : (s + 1) * (n // k) if s < k - 1 else n]]
+        means.append(own.mean(0))
+        covs.append(np.atleast_2d(np.cov(own.T)) + np.eye(d) * 1e-4)
+    means, covs, start = np.array(means), np.array(covs), np.full(k, 1 / k)
+    a = np.eye(k) * 0.9 + 0.1 / k
+    a /= a.sum(1, keepdims=True)
+    last_like = -np.inf
+    for _ in range(iterations):
+        e, alpha, scale = densities(x, means, covs), np.zeros((n, k)), np.zeros(n)
+        for t in range(n):
+            v = start * e[0] if t == 0 else (alpha[t - 1] @ a) * e[t]
+            scale[t] = v.sum()
+            alpha[t] = v / scale[t]
+        beta = np.ones((n, k))
+        for t in range(n - 2, -1, -1):
+            beta[t] = a @ (e[t + 1] * beta[t + 1]) / scale[t + 1]
+        gamma = alpha * beta
+        gamma /= gamma.sum(1, keepdims=True)
+        xi = alpha[:-1, :, None] * a[None] * (e[1:] * beta[1:])[:, None, :]
+        xi /= xi.sum((1, 2), keepdims=True)
+        start = gamma[0]
+        a = xi.sum(0) / gamma[:-1].sum(0)[:, None]
+        a /= a.sum(1, keepdims=True)
+        w = gamma.sum(0)
+        means = gamma.T @ x / w[:, None]
+        covs = np.array([((x - means[s]) * gamma[:, s : s + 1]).T @ (x - means[s]) / w[s] + np.eye(d) * 1e-4 for s in range(k)])
+        like = np.log(scale).sum()
+        if abs(like - last_like) < tolerance:
+            break
+        last_like = like
+    return start, a, means, covs, gamma[-1], like
+
+
+def densities(x, means, covs):
+    d = x.shape[1]
+    out = [np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)) / np.sqrt((2 * np.pi) ** d * np.linalg.det(c)) for m, c in zip(means, covs, strict=True)]
+    return np.maximum(np.stack(out, 1), 1e-100)
+
+
+def plain_decode(x, start, a, means, covs, first=True):
+    e, n, k = densities(x, means, covs), len(x), len(start)
+    alpha, delta, back = np.zeros((n, k)), np.zeros((n, k)), np.zeros((n, k), int)
+    for t in range(n):
+        v = start * e[0] if t == 0 and first else ((start if t == 0 else alpha[t - 1]) @ a) * e[t]
+        alpha[t] = v / v.sum()
+        if t == 0 and first:
+            delta[0] = np.log(start + 1e-100) + np.log(e[0])
+        else:
+            s = (np.log(start + 1e-100) if t == 0 else delta[t - 1])[:, None] + np.log(a + 1e-100)
+            back[t], delta[t] = s.argmax(0), s.max(0) + np.log(e[t])
+    beta = np.ones((n, k))
+    for t in range(n - 2, -1, -1):
+        beta[t] = a @ (e[t + 1] * beta[t + 1])
+        beta[t] /= beta[t].sum()
+    gamma = alpha * beta
+    path = [int(delta[-1].argmax())]
+    for t in range(n - 1, 0, -1):
+        path.append(int(back[t][path[-1]]))
+    return alpha, gamma / gamma.sum(1, keepdims=True), path[::-1]
+
+
+def switching(rng, n, d):
+    state, out = 0, []
+    for _ in range(n):
+        state = state if rng.random() < 0.95 else int(rng.integers(3))
+        out.append(rng.normal(size=d) * (0.3, 1.0, 0.5)[state] + (0.0, 1.0, -2.0)[state])
+    return np.array(out)
+
+
+@pytest.mark.parametrize(("width", "d"), [(30 * 3600, 2), (10**9, 1)])
+def test_hidden_regimes_equal_whole_series(spark, width, d):
+    from tidemark.operators import regimes
+
+    rng = np.random.default_rng(2)
+    data = {"a": switching(rng, 200, d), "b": switching(rng, 90, d), "short": switching(rng, 5, d)}
+    df, columns = series(spark, data)
+    models = regimes.fit(df, columns, iterations=8, tolerance=0.5, width=width)
+    got = {r.symbol: regimes.Model(np.array(r.model), 3, d) for r in models.collect()}
+    assert set(got) == {"a", "b"}
+    rows = regimes.decode(df, models, columns, width=width).collect()
+    later = {k: switching(rng, 70, d) for k in got}
+    online = regimes.decode(series(spark, later)[0], models, columns, online=True, width=width).collect()
+    for key, m in got.items():
+        start, a, means, covs, last, like = plain_model(data[key], 3, 8, 0.5)
+        for mine, theirs in ((m.start, start), (m.transition, a), (m.means, means), (m.covs, covs), (m.last, last), (m.likelihood, like)):
+            assert np.allclose(mine, theirs, rtol=1e-6, atol=1e-8)
+        own = sorted((r for r in rows if r.symbol == key), key=lambda r: r.open_time)
+        alpha, gamma, path = plain_decode(data[key], start, a, means, covs)
+        assert np.allclose([r.filtered for r in own], alpha, atol=1e-8) and np.allclose([r.smoothed for r in own], gamma, atol=1e-8)
+        assert [r.path for r in own] == path and [r.state for r in own] == alpha.argmax(1).tolist()
+        assert own[0].change_probability is None and np.isclose(own[5].change_probability, 1 - alpha[5][alpha[4].argmax()])
+        assert np.isclose(own[7].entropy, -(np.clip(alpha[7], 1e-10, 1) * np.log(np.clip(alpha[7], 1e-10, 1))).sum())
+        own = sorted((r for r in online if r.symbol == key), key=lambda r: r.open_time)
+        alpha, gamma, path = plain_decode(later[key], last, a, means, covs, first=False)
+        assert np.allclose([r.filtered for r in own], alpha, atol=1e-8) and [r.path for r in own] == path
+        assert np.isclose(own[0].change_probability, 1 - alpha[0][last.argmax()])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import log, ratio
 from tidemark.operators import bars as B
-from tidemark.operators import manifold
+from tidemark.operators import manifold, regimes
 from tidemark.plans.flow_queries import tidy
 from tidemark.sources import adapters as A
 from tidemark.streaming.books import replay_books
@@ -39,5 +39,13 @@ def book_replay(spark, sf_dir):
     return tidy(replay_books(replayed_updates(A.book_updates(spark, sf_dir))))
 
 
-QUERIES = {f.__name__: f for f in (nonstationarity, book_replay)}
+def hidden_regimes(spark, sf_dir):
+    """Three regimes of each symbol's returns and ranges, fitted on its first 70 % of bars, and the regime of each later bar."""
+    b = B.split(_features(spark, sf_dir))
+    models = regimes.fit(b.where("part = 'train'"), ["ret", "spread"], iterations=10)
+    d = regimes.decode(b.where("part <> 'train'"), models, ["ret", "spread"], online=True)
+    return tidy(d.select("symbol", "open_time", *[F.element_at("filtered", i + 1).alias(f"regime_{i}") for i in range(3)], "state", "path", "entropy", "change_probability"), 5)
+
+
+QUERIES = {f.__name__: f for f in (nonstationarity, book_replay, hidden_regimes)}
 ORACLE_SQL: dict[str, str] = {}
