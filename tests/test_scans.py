@@ -204,3 +204,28 @@ def test_hidden_regimes_equal_whole_series(spark, width, d):
         alpha, gamma, path = plain_decode(later[key], last, a, means, covs, first=False)
         assert np.allclose([r.filtered for r in own], alpha, atol=1e-8) and [r.path for r in own] == path
         assert np.isclose(own[0].change_probability, 1 - alpha[0][last.argmax()])
+
+
+def test_linear_recursions_equal_a_loop(spark):
+    from tidemark.functions.scans import fading, linear
+
+    rng = np.random.default_rng(3)
+    data = {"a": rng.normal(size=(300, 1)), "b": rng.normal(size=(1, 1)), "c": rng.normal(size=(40, 1))}
+    data["c"][7] = np.nan
+    df, _ = series(spark, data)
+    turn = np.array([[0.9, -0.3], [0.3, 0.9]])
+    for width in (5 * 3600, 10**9):
+        got = linear(df, "symbol", "open_time", ["f0"], fading([0.99, 0.5], [1.0, 2.0]), lambda x: np.array([x[0], -x[0]]), ["p", "q"], width).collect()
+        mixed = linear(df, "symbol", "open_time", ["f0"], lambda x: (np.repeat(turn[None], len(x), 0), x * [1.0, 0.0]), lambda _: np.array([5.0, 1.0]), ["p", "q"], width).collect()
+        for key, x in data.items():
+            values = x[~np.isnan(x[:, 0]), 0]
+            s, m, want, want_mixed = np.array([values[0], -values[0]]), np.array([5.0, 1.0]), [], []
+            for i, v in enumerate(values):
+                if i:
+                    s = np.array([0.99, 0.5]) * s + np.array([1.0, 2.0]) * v
+                    m = turn @ m + [v, 0.0]
+                want.append(s)
+                want_mixed.append(m)
+            for rows, w in ((got, want), (mixed, want_mixed)):
+                own = sorted((r for r in rows if r.symbol == key), key=lambda r: r.open_time)
+                assert np.allclose([(r.p, r.q) for r in own], w) and [r.f0 for r in own] == values.tolist()

@@ -110,3 +110,51 @@ def with_carry(blocks: DataFrame, carries: DataFrame, keys: Sequence[str], name:
     for k in [*keys, "block"]:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
     return blocks.join(c, on).drop(*[f"_{k}" for k in [*keys, "block"]])
+
+
+def linear(
+    df: DataFrame, key: str, order: str, columns: Sequence[str], step: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], begin: Callable[[np.ndarray], np.ndarray], names: Sequence[str], width: int = WIDTH
+) -> DataFrame:
+    """Runs s = A s + b along each key's rows, by blocks: key, order, columns, and the state after each row as ``names``.
+
+    ``step`` maps rows' values (n, columns) to A (n, m, m) and b (n, m); ``begin`` gives the state
+    after a key's first row from its values.  Rows without finite values are left out.
+    """
+    m, d = len(names), len(columns)
+
+    def local(row: dict) -> tuple[np.ndarray, np.ndarray]:
+        x = row["x"].reshape(-1, d)
+        a, b = step(x)
+        if row["first"]:
+            a, b = a.copy(), b.copy()
+            a[0], b[0] = 0.0, begin(x[0])
+        return a, b
+
+    def part(row: dict) -> list[dict]:
+        a, b = local(row)
+        whole, rest = np.eye(m), np.zeros(m)
+        for x, y in zip(a, b, strict=True):
+            whole, rest = x @ whole, x @ rest + y
+        return [{"block": row["block"], "part": np.concatenate([whole.ravel(), rest])}]
+
+    def rows(row: dict) -> list[dict]:
+        a, b = local(row)
+        s, out = row["carry"], np.empty_like(b)
+        for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            s = x @ s + y
+            out[i] = s
+        values = row["x"].reshape(-1, d)
+        return [{"at": row["at"], **{f"x{i}": values[:, i] for i in range(d)}, **{f"s{i}": out[:, i] for i in range(m)}}]
+
+    blocks = in_blocks(df, [key], order, columns, width)
+    carries = carried(over_blocks(blocks, part, "block bigint, part array<double>", [key]), [key], lambda s, p: p[: m * m].reshape(m, m) @ s + p[m * m :], lambda _: np.zeros(m))
+    fields = [*[f"x{i}" for i in range(d)], *[f"s{i}" for i in range(m)]]
+    done = over_blocks(with_carry(blocks, carries, [key]), rows, "at array<bigint>, " + ", ".join(f"{f} array<double>" for f in fields), [key])
+    out = done.select(key, F.explode(F.arrays_zip("at", *fields)).alias("r"))
+    return out.select(key, F.timestamp_micros("r.at").cast(df.schema[order].dataType).alias(order), *[F.col(f"r.{f}").alias(n) for f, n in zip(fields, [*columns, *names], strict=True)])
+
+
+def fading(alphas: Sequence[float], gains: Sequence[float]) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Steps of independent recursions s = alpha s + gain x of one column."""
+    a, g = np.diag(np.asarray(alphas, float)), np.asarray(gains, float)
+    return lambda x: (np.repeat(a[None], len(x), 0), x[:, :1] * g)

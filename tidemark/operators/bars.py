@@ -9,11 +9,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ANNUAL, corrected_kurtosis, corrected_skew, log, ratio
-from tidemark.functions.windows import back, backward_fill, fold, forward_fill, frame, full, ordered, run_length
+from tidemark.functions.scans import fading, linear
+from tidemark.functions.windows import back, backward_fill, forward_fill, frame, full, ordered, run_length
 
 C = F.col
 
@@ -27,7 +29,7 @@ def with_returns(bars: DataFrame) -> DataFrame:
     return bars.withColumn("ret", ratio(C("close"), back("close")) - 1).withColumn("log_ret", log(ratio(C("close"), back("close"))))
 
 
-def returns_volatility(bars: DataFrame, windows: Sequence[int] = (5, 10, 20), keep: Sequence[str] = KEEP) -> DataFrame:
+def returns_volatility(bars: DataFrame, windows: Sequence[int] = (5, 10, 20, 50, 100, 200), keep: Sequence[str] = KEEP) -> DataFrame:
     """Returns over several bars, and the annualised deviation of log returns."""
     df = with_returns(bars)
     return df.select(
@@ -37,7 +39,7 @@ def returns_volatility(bars: DataFrame, windows: Sequence[int] = (5, 10, 20), ke
     )
 
 
-def range_volatility(bars: DataFrame, windows: Sequence[int] = (10, 20), keep: Sequence[str] = KEEP) -> DataFrame:
+def range_volatility(bars: DataFrame, windows: Sequence[int] = (10, 20, 50, 100), keep: Sequence[str] = KEEP) -> DataFrame:
     """Parkinson and Garman-Klass volatility."""
     hl = F.pow(log(ratio(C("high"), C("low"))), 2)
     gk = 0.5 * hl - (2 * math.log(2) - 1) * F.pow(log(ratio(C("close"), C("open"))), 2)
@@ -50,14 +52,14 @@ def range_volatility(bars: DataFrame, windows: Sequence[int] = (10, 20), keep: S
     )
 
 
-def momentum_averages(bars: DataFrame, windows: Sequence[int] = (5, 10, 20, 50), keep: Sequence[str] = KEEP) -> DataFrame:
+def momentum_averages(bars: DataFrame, windows: Sequence[int] = (5, 10, 20, 50, 100), distances: Sequence[int] = (5, 10, 20, 50, 100, 200), keep: Sequence[str] = KEEP) -> DataFrame:
     """Momentum, rate of change, moving averages and the distance of the close from them."""
     return bars.select(
         *keep,
         *[(C("close") - back("close", w)).alias(f"momentum_{w}") for w in windows],
         *[(100 * (ratio(C("close"), back("close", w)) - 1)).alias(f"roc_{w}") for w in windows],
         *[full(F.avg, C("close"), w).alias(f"ma_{w}") for w in windows],
-        *[(ratio(C("close"), full(F.avg, C("close"), w)) - 1).alias(f"ma_distance_{w}") for w in windows],
+        *[(ratio(C("close"), full(F.avg, C("close"), w)) - 1).alias(f"ma_distance_{w}") for w in distances],
     )
 
 
@@ -78,15 +80,17 @@ def rsi(bars: DataFrame, windows: Sequence[int] = (14, 21), keep: Sequence[str]
     return _gains(bars).select(*keep, *[_rsi(w).alias(f"rsi_{w}") for w in windows])
 
 
-def order_flow(bars: DataFrame, windows: Sequence[int] = (10, 20), keep: Sequence[str] = KEEP) -> DataFrame:
-    """The takers' buying share: mean, deviation and z-score, and its mean distance from one half."""
+def order_flow(bars: DataFrame, windows: Sequence[int] = (10, 20, 50), proxies: Sequence[int] = (50, 100), keep: Sequence[str] = KEEP) -> DataFrame:
+    """The takers' buying share, volumes and trades with means, deviations and z-scores, and the share's mean distance from one half."""
     df = bars.withColumn("ofi", ratio(C("taker_buy_base"), C("volume")))
     df = df.withColumn("off", F.abs(C("ofi") - 0.5))
     out = []
     for w in windows:
-        mean, std = full(F.avg, C("ofi"), w), full(F.stddev_samp, C("ofi"), w)
-        out += [mean.alias(f"ofi_ma_{w}"), std.alias(f"ofi_std_{w}"), ratio(C("ofi") - mean, std).alias(f"ofi_z_{w}"), full(F.avg, C("off"), w).alias(f"vpin_proxy_{w}")]
-    return df.select(*keep, "ofi", *out)
+        for name, x in (("ofi", C("ofi")), ("volume", C("volume"))):
+            mean, std = full(F.avg, x, w), full(F.stddev_samp, x, w)
+            out += [mean.alias(f"{name}_ma_{w}"), std.alias(f"{name}_std_{w}"), ratio(x - mean, std).alias(f"{name}_z_{w}")]
+        out.append(full(F.avg, C("trades"), w).alias(f"trades_ma_{w}"))
+    return df.select(*keep, "ofi", *out, *[full(F.avg, C("off"), w).alias(f"vpin_proxy_{w}") for w in proxies])
 
 
 def illiquidity(bars: DataFrame, rows: int = 20, keep: Sequence[str] = KEEP) -> DataFrame:
@@ -96,7 +100,7 @@ def illiquidity(bars: DataFrame, rows: int = 20, keep: Sequence[str] = KEEP) ->
     return df.select(*keep, (C("amihud") * 1e6).alias("amihud"), (full(F.avg, C("amihud"), rows) * 1e6).alias("amihud_ma"), kyle.alias("kyle_proxy"))
 
 
-def forward_targets(bars: DataFrame, horizons: Sequence[int] = (1, 5, 15), keep: Sequence[str] = KEEP) -> DataFrame:
+def forward_targets(bars: DataFrame, horizons: Sequence[int] = (1, 5, 15, 30), keep: Sequence[str] = KEEP) -> DataFrame:
     """Returns, directions and volatility over the next bars; a direction without a return is 0."""
     df = with_returns(bars)
     out = []
@@ -142,7 +146,7 @@ def true_range(bars: DataFrame) -> DataFrame:
     return bars.withColumn("tr", F.greatest(C("high") - C("low"), F.abs(C("high") - prev), F.abs(C("low") - prev)))
 
 
-def atr(bars: DataFrame, windows: Sequence[int] = (14, 20)) -> DataFrame:
+def atr(bars: DataFrame, windows: Sequence[int] = (14, 20, 50)) -> DataFrame:
     """Mean true range, and that as a share of the close."""
     df = true_range(bars)
     means = {w: full(F.avg, C("tr"), w) for w in windows}
@@ -157,70 +161,63 @@ def volatility_regime(bars: DataFrame) -> DataFrame:
     return df.select("symbol", "open_time", ratio(C("v10"), C("v50")).alias("vol_regime"), z.alias("vol_z"), full(F.stddev_samp, C("v10"), 20).alias("vol_of_vol"))
 
 
-def sharpe_and_gap(bars: DataFrame, rows: int = 20, gap: int = 8) -> DataFrame:
+def sharpe_and_gap(bars: DataFrame, windows: Sequence[int] = (20, 50), gap: int = 8) -> DataFrame:
     """The return of some bars over its deviation, and the open against the close ``gap`` bars before."""
     df = with_returns(bars)
-    std = full(F.stddev_samp, C("ret"), rows)
-    sharpe = (ratio(C("close"), back("close", rows)) - 1) / (std * math.sqrt(rows) + 1e-10)
-    return df.select("symbol", "open_time", sharpe.alias("rolling_sharpe"), (ratio(C("open"), back("close", gap)) - 1).alias("gap"))
+    sharpe = [((ratio(C("close"), back("close", w)) - 1) / (full(F.stddev_samp, C("ret"), w) * math.sqrt(w) + 1e-10)).alias(f"rolling_sharpe_{w}") for w in windows]
+    return df.select("symbol", "open_time", *sharpe, (ratio(C("open"), back("close", gap)) - 1).alias("gap"))
 
 
-def volume_profile(bars: DataFrame, rows: int = 20) -> DataFrame:
-    """Relative volume, its z-score, dollar volume, trade size, VWAP, cumulative delta and buy pressure."""
+def volume_profile(bars: DataFrame, rows: int = 20, windows: Sequence[int] = (20, 50), deltas: Sequence[int] = (10, 20, 50), long: int = 50) -> DataFrame:
+    """Relative volume, its z-score, dollar volume, trades, trade size, VWAP, cumulative delta and buy pressure.
+
+    ``windows`` are those of volumes, ``deltas`` those of the cumulative delta, ``long`` that of trades and
+    their size, ``rows`` that of the others.
+    """
     typical = (C("high") + C("low") + C("close")) / 3
     df = bars.withColumn("tpv", typical * C("volume")).withColumn("delta", 2 * C("taker_buy_base") - C("volume")).withColumn("size", ratio(C("volume"), C("trades")))
-    mean, std = full(F.avg, C("volume"), rows), full(F.stddev_samp, C("volume"), rows)
     volume = full(F.sum, C("volume"), rows)
     vwap = ratio(full(F.sum, C("tpv"), rows), volume)
+    trades = full(F.avg, C("trades"), long)
     return df.select(
-        "symbol", "open_time", ratio(C("volume"), mean).alias("relative_volume"), ratio(C("volume") - mean, std).alias("volume_z"),
+        "symbol", "open_time",
+        *[ratio(C("volume"), full(F.avg, C("volume"), w)).alias(f"relative_volume_{w}") for w in windows],
+        *[ratio(C("volume") - full(F.avg, C("volume"), w), full(F.stddev_samp, C("volume"), w)).alias(f"volume_z_{w}") for w in windows],
         ratio(C("quote_volume"), full(F.avg, C("quote_volume"), rows)).alias("dollar_volume_ratio"),
-        ratio(C("size"), full(F.avg, C("size"), rows)).alias("trade_size_ratio"), vwap.alias("vwap"), (ratio(C("close"), vwap) - 1).alias("vwap_distance"),
-        full(F.sum, C("delta"), rows).alias("cvd"), ratio(full(F.sum, C("delta"), rows), volume).alias("cvd_share"),
+        trades.alias("trades_ma"), ratio(C("trades") - trades, full(F.stddev_samp, C("trades"), long)).alias("trades_z"), C("size").alias("trade_size"),
+        ratio(C("size"), full(F.avg, C("size"), long)).alias("trade_size_ratio"), vwap.alias("vwap"), (ratio(C("close"), vwap) - 1).alias("vwap_distance"),
+        *[full(F.sum, C("delta"), w).alias(f"cvd_{w}") for w in deltas], *[ratio(full(F.sum, C("delta"), w), full(F.sum, C("volume"), w)).alias(f"cvd_share_{w}") for w in deltas],
         ratio(full(F.sum, C("taker_buy_base"), rows), volume).alias("buy_pressure"),
     )
 
 
-def spread_efficiency(bars: DataFrame, rows: int = 20) -> DataFrame:
-    """The range in basis points with mean and z-score, and the absolute return against log volume."""
+def spread_efficiency(bars: DataFrame, rows: int = 20, windows: Sequence[int] = (20, 50)) -> DataFrame:
+    """The range in basis points with means and z-scores, and the absolute return against log volume."""
     df = with_returns(bars).withColumn("spread", 1e4 * ratio(C("high") - C("low"), C("close")))
     df = df.withColumn("efficiency", ratio(F.abs("ret"), F.log1p("volume")) * 1000)
-    mean, std = full(F.avg, C("spread"), rows), full(F.stddev_samp, C("spread"), rows)
-    return df.select("symbol", "open_time", "spread", mean.alias("spread_ma"), ratio(C("spread") - mean, std).alias("spread_z"), "efficiency", full(F.avg, C("efficiency"), rows).alias("efficiency_ma"))
-
-
-def _ema_step(spans: Sequence[int], value: str = "close"):
-    def step(state, row):
-        fields = []
-        for s in spans:
-            a = 2 / (s + 1)
-            x = row[value]
-            fields.append(F.coalesce(a * x + (1 - a) * state[f"ema_{s}"], x).alias(f"ema_{s}"))
-        return F.struct(*fields)
-
-    return step
+    out = []
+    for w in windows:
+        mean, std = full(F.avg, C("spread"), w), full(F.stddev_samp, C("spread"), w)
+        out += [mean.alias(f"spread_ma_{w}"), ratio(C("spread") - mean, std).alias(f"spread_z_{w}")]
+    return df.select("symbol", "open_time", "spread", *out, "efficiency", full(F.avg, C("efficiency"), rows).alias("efficiency_ma"))
 
 
 def ema(bars: DataFrame, spans: Sequence[int] = (12, 26, 50)) -> DataFrame:
-    """Exponential means of the close, from its first value on, by a fold over the symbol's bars."""
-    start = F.struct(*[F.lit(None).cast("double").alias(f"ema_{s}") for s in spans])
-    df = fold(bars, ["close"], start, _ema_step(spans))
-    return df.select("symbol", "open_time", "close", *[f"state.ema_{s}" for s in spans])
+    """Exponential means of the close, from its first value on, and the close's distance from them; computed by blocks of time."""
+    rates = [2 / (s + 1) for s in spans]
+    df = linear(bars, "symbol", "open_time", ["close"], fading([1 - a for a in rates], rates), lambda x: np.repeat(x[0], len(spans)), [f"ema_{s}" for s in spans])
+    return df.select("*", *[(ratio(C("close"), C(f"ema_{s}")) - 1).alias(f"ema_distance_{s}") for s in spans])
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """MACD, its signal line and histogram: exponential means of exponential means, in one fold."""
-    a_f, a_s, a_g = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
-    null = F.lit(None).cast("double")
-
-    def step(state, row):
-        f = F.coalesce(a_f * row["close"] + (1 - a_f) * state["f"], row["close"])
-        s = F.coalesce(a_s * row["close"] + (1 - a_s) * state["s"], row["close"])
-        return F.struct(f.alias("f"), s.alias("s"), F.coalesce(a_g * (f - s) + (1 - a_g) * state["g"], f - s).alias("g"))
-
-    df = fold(bars, ["close"], F.struct(null.alias("f"), null.alias("s"), null.alias("g")), step)
-    line = C("state.f") - C("state.s")
-    return df.select("symbol", "open_time", line.alias("macd"), C("state.g").alias("macd_signal"), (line - C("state.g")).alias("macd_hist"))
+    """MACD, its signal line, histogram and the histogram's change: exponential means of exponential means, computed by blocks of time."""
+    f, s, g = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
+    # The signal takes the two means after their own step, so its row holds theirs.
+    a = np.array([[1 - f, 0, 0], [0, 1 - s, 0], [g * (1 - f), -g * (1 - s), 1 - g]])
+    b = np.array([f, s, g * (f - s)])
+    df = linear(bars, "symbol", "open_time", ["close"], lambda x: (np.repeat(a[None], len(x), 0), x * b), lambda x: np.array([x[0], x[0], 0.0]), ["f", "s", "g"])
+    df = df.select("symbol", "open_time", (C("f") - C("s")).alias("macd"), C("g").alias("macd_signal"), (C("f") - C("s") - C("g")).alias("macd_hist"))
+    return df.withColumn("macd_hist_change", C("macd_hist") - back("macd_hist"))
 
 
 def oscillators(bars: DataFrame) -> DataFrame:
@@ -229,18 +226,22 @@ def oscillators(bars: DataFrame) -> DataFrame:
     low, high = full(F.min, C("rsi"), 14), full(F.max, C("rsi"), 14)
     df = df.withColumn("stoch", ratio(C("rsi") - low, high - low))
     df = df.withColumn("stoch_k", full(F.avg, C("stoch"), 3))
-    hh, ll = full(F.max, C("high"), 14), full(F.min, C("low"), 14)
+    williams = []
+    for w in (14, 21):
+        hh, ll = full(F.max, C("high"), w), full(F.min, C("low"), w)
+        williams.append((-100 * ratio(hh - C("close"), hh - ll)).alias(f"williams_{w}"))
     cci = ratio(C("tp") - full(F.avg, C("tp"), 20), 0.015 * full(F.stddev_samp, C("tp"), 20))
-    return df.select("symbol", "open_time", "stoch", "stoch_k", full(F.avg, C("stoch_k"), 3).alias("stoch_d"), (-100 * ratio(hh - C("close"), hh - ll)).alias("williams"), cci.alias("cci"))
+    return df.select("symbol", "open_time", "stoch", "stoch_k", full(F.avg, C("stoch_k"), 3).alias("stoch_d"), *williams, cci.alias("cci"))
 
 
-def bands(bars: DataFrame, rows: int = 20) -> DataFrame:
+def bands(bars: DataFrame, windows: Sequence[int] = (20, 50), scores: Sequence[int] = (20, 50, 100)) -> DataFrame:
     """Bollinger width and position, and the z-score of the close."""
-    mean, std = full(F.avg, C("close"), rows), full(F.stddev_samp, C("close"), rows)
-    return bars.select(
-        "symbol", "open_time", ratio(4 * std, mean).alias("bollinger_width"), ratio(C("close") - (mean - 2 * std), 4 * std).alias("bollinger_position"),
-        ratio(C("close") - mean, std).alias("price_z"),
-    )
+    out = []
+    for w in windows:
+        mean, std = full(F.avg, C("close"), w), full(F.stddev_samp, C("close"), w)
+        out += [ratio(4 * std, mean).alias(f"bollinger_width_{w}"), ratio(C("close") - (mean - 2 * std), 4 * std).alias(f"bollinger_position_{w}")]
+    out += [ratio(C("close") - full(F.avg, C("close"), w), full(F.stddev_samp, C("close"), w)).alias(f"price_z_{w}") for w in scores]
+    return bars.select("symbol", "open_time", *out)
 
 
 def adx(bars: DataFrame, rows: int = 14) -> DataFrame:
@@ -271,7 +272,7 @@ def moments(bars: DataFrame, windows: Sequence[int] = (20, 50)) -> DataFrame:
     return df.select("symbol", "open_time", *out)
 
 
-def autocorrelation(bars: DataFrame, rows: int = 50, lags: Sequence[int] = (1, 5)) -> DataFrame:
+def autocorrelation(bars: DataFrame, rows: int = 50, lags: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """The correlation of returns with earlier ones within a window."""
     df = with_returns(bars)
     out = []
@@ -282,14 +283,19 @@ def autocorrelation(bars: DataFrame, rows: int = 50, lags: Sequence[int] = (1, 5
     return df.select("symbol", "open_time", *out)
 
 
-def extremes(bars: DataFrame, rows: int = 20) -> DataFrame:
+def extremes(bars: DataFrame, windows: Sequence[int] = (20, 50, 100)) -> DataFrame:
     """New highs and lows against the window before, distances from them, and the place in the range."""
-    hh, ll = full(F.max, C("high"), rows), full(F.min, C("low"), rows)
-    df = bars.withColumn("hh", hh).withColumn("ll", ll)
-    return df.select(
-        "symbol", "open_time", F.coalesce((C("high") > back("hh")).cast("int"), F.lit(0)).alias("higher_high"), F.coalesce((C("low") < back("ll")).cast("int"), F.lit(0)).alias("lower_low"),
-        (ratio(C("close"), C("hh")) - 1).alias("from_high"), (ratio(C("close"), C("ll")) - 1).alias("from_low"), ratio(C("close") - C("ll"), C("hh") - C("ll")).alias("range_position"),
-    )
+    df = bars
+    for w in windows:
+        df = df.withColumn(f"hh_{w}", full(F.max, C("high"), w)).withColumn(f"ll_{w}", full(F.min, C("low"), w))
+    out = []
+    for w in windows:
+        hh, ll = C(f"hh_{w}"), C(f"ll_{w}")
+        out += [
+            F.coalesce((C("high") > back(f"hh_{w}")).cast("int"), F.lit(0)).alias(f"higher_high_{w}"), F.coalesce((C("low") < back(f"ll_{w}")).cast("int"), F.lit(0)).alias(f"lower_low_{w}"),
+            (ratio(C("close"), hh) - 1).alias(f"from_high_{w}"), (ratio(C("close"), ll) - 1).alias(f"from_low_{w}"), ratio(C("close") - ll, hh - ll).alias(f"range_position_{w}"),
+        ]
+    return df.select("symbol", "open_time", *out)
 
 
 def streaks(bars: DataFrame) -> DataFrame:
@@ -334,7 +340,7 @@ def split(bars: DataFrame, train: float = 0.7, validate: float = 0.15, embargo:
     return df.withColumn("part", part).drop("_i", "_n", "_a", "_b")
 
 
-def sequences(df: DataFrame, features: Sequence[str], label: str, rows: int = 10) -> DataFrame:
+def sequences(df: DataFrame, features: Sequence[str], label: str, rows: int = 60) -> DataFrame:
     """The last ``rows`` rows before each one as arrays, with its own label; only where all are there."""
     w = ordered().rowsBetween(-rows, -1)
     out = df.withColumn("_seq", F.collect_list(F.array(*[C(c).cast("double") for c in features])).over(w))

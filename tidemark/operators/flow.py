@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import log, normal_cdf, ratio
-from tidemark.functions.windows import as_of, back, fold, frame, full, ordered, run_length, so_far
+from tidemark.functions.scans import fading, linear
+from tidemark.functions.windows import as_of, back, frame, full, ordered, run_length, so_far
 
 C = F.col
 
@@ -206,8 +208,8 @@ def bulk_classified(bars: DataFrame, rows: int = 100, least: int = 10) -> DataFr
 def decayed_flow(bars: DataFrame, decay: float = 0.99) -> DataFrame:
     """A running sum of the takers' net volume that fades with each bar."""
     df = bars.withColumn("x", 2 * C("taker_buy_base") - C("volume"))
-    out = fold(df, ["x"], F.lit(0.0), lambda s, r: decay * s + r["x"])
-    return out.select("symbol", "open_time", C("x").alias("ofi"), C("state").alias("decayed_ofi"))
+    out = linear(df, "symbol", "open_time", ["x"], fading([decay], [1.0]), lambda x: x[:1], ["decayed_ofi"])
+    return out.withColumnRenamed("x", "ofi")
 
 
 def hawkes_intensity(ticks: DataFrame, base: float = 0.1, jump: float = 0.5, fade: float = 1.0, unit: float = 3600.0) -> DataFrame:
@@ -216,15 +218,10 @@ def hawkes_intensity(ticks: DataFrame, base: float = 0.1, jump: float = 0.5, fad
     Between events it fades by exp(-fade * elapsed units); each event adds ``jump``.
     """
     events = ticks.where("qty >= 90").groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("open_time")).agg(F.count("*").alias("n"))
-    events = events.withColumn("t", F.unix_timestamp(C("open_time").cast("timestamp")).cast("double") / unit)
-
-    def step(s, r):
-        before = F.coalesce(s["level"] * F.exp(-fade * (r["t"] - s["t"])), F.lit(0.0))
-        return F.struct(r["t"].alias("t"), before.alias("before"), (before + jump).alias("level"))
-
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("before"), F.lit(0.0).alias("level"))
-    out = fold(events, ["t", "n"], start, step)
-    return out.select("symbol", "open_time", "n", (base + C("state.before")).alias("intensity"))
+    events = events.withColumn("kept", F.exp(-fade * (F.unix_timestamp(C("open_time").cast("timestamp")) - F.unix_timestamp(back(C("open_time")).cast("timestamp"))) / unit))
+    rows = events.select("symbol", "open_time", C("n").cast("double").alias("n"), F.coalesce("kept", F.lit(0.0)).alias("kept"))
+    out = linear(rows, "symbol", "open_time", ["n", "kept"], lambda x: (x[:, 1].reshape(-1, 1, 1), jump * x[:, 1:]), lambda _: np.zeros(1), ["before"])
+    return out.select("symbol", "open_time", C("n").cast("bigint").alias("n"), (base + C("before")).alias("intensity"))
 
 
 def trade_through(ticks: DataFrame, q: DataFrame, rows: int = 100) -> DataFrame:

@@ -77,8 +77,8 @@ def chronological_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums over the sequences of ten bars before each bar."""
-    s = B.sequences(A.bars(spark, sf_dir), ["close", "volume"], "trades", 10)
+    """Sums over the sequences of sixty bars before each bar."""
+    s = B.sequences(A.bars(spark, sf_dir), ["close", "volume"], "trades")
     total = lambda k: F.aggregate(F.transform("sequence", lambda x: x[k]), F.lit(0.0), lambda a, x: a + x)
     return s.select("symbol", "open_time", F.size("sequence").alias("length"), F.round(total(0), 4).alias("closes"), F.round(total(1), 4).alias("volumes"), "trades")
 
@@ -115,6 +115,8 @@ QUERIES = {
     }.items()
 }
 
+#: Windows of returns and averages.
+_LONG = (5, 10, 20, 50, 100, 200)
 _LN = lambda a, b: f"CASE WHEN {a} / nullif({b}, 0) > 0 THEN ln({a} / nullif({b}, 0)) END"
 _HL, _GK = f"pow({_LN('high', 'low')}, 2)", f"0.5 * pow({_LN('high', 'low')}, 2) - {2 * math.log(2) - 1!r} * pow({_LN('close', 'open')}, 2)"
 _GAINS = f"""{BARS}, gains AS (SELECT *, coalesce(greatest(close - {back('close')}, 0), 0) AS gain, coalesce(greatest({back('close')} - close, 0), 0) AS loss FROM bars)"""
@@ -149,61 +151,62 @@ ORACLE_SQL = {
     "ohlcv_bars": rounded({c: c for c in ("open", "high", "low", "close", "volume", "quote_volume", "taker_buy_base", "taker_buy_quote")}, "bars", plain=("trades",)),
     "returns_volatility": rounded(
         {"ret": "ret", "log_ret": "log_ret"}
-        | {f"ret_{w}": f"close / nullif({back('close', w)}, 0) - 1" for w in (5, 10, 20)}
-        | {f"vol_{w}": f"({full('stddev_samp', 'log_ret', w)}) * {ANNUAL!r}" for w in (5, 10, 20)}, "rets", RETS),
+        | {f"ret_{w}": f"close / nullif({back('close', w)}, 0) - 1" for w in _LONG}
+        | {f"vol_{w}": f"({full('stddev_samp', 'log_ret', w)}) * {ANNUAL!r}" for w in _LONG}, "rets", RETS),
     "range_volatility": rounded(
-        {f"parkinson_{w}": f"sqrt(({full('avg', 'hl', w)}) / {4 * math.log(2)!r}) * {ANNUAL!r}" for w in (10, 20)}
-        | {f"garman_klass_{w}": f"sqrt(greatest({full('avg', 'gk', w)}, CASE WHEN ({full('avg', 'gk', w)}) IS NOT NULL THEN 0 END)) * {ANNUAL!r}" for w in (10, 20)},
+        {f"parkinson_{w}": f"sqrt(({full('avg', 'hl', w)}) / {4 * math.log(2)!r}) * {ANNUAL!r}" for w in _LONG[1:5]}
+        | {f"garman_klass_{w}": f"sqrt(greatest({full('avg', 'gk', w)}, CASE WHEN ({full('avg', 'gk', w)}) IS NOT NULL THEN 0 END)) * {ANNUAL!r}" for w in _LONG[1:5]},
         "r", f"{BARS}, r0 AS (SELECT *, {_HL} AS hl, {_GK} AS gk FROM bars), r AS (SELECT * FROM r0)"),
     "momentum_averages": rounded(
-        {f"momentum_{w}": f"close - {back('close', w)}" for w in (5, 10, 20, 50)} | {f"roc_{w}": f"100 * (close / nullif({back('close', w)}, 0) - 1)" for w in (5, 10, 20, 50)}
-        | {f"ma_{w}": full("avg", "close", w) for w in (5, 10, 20, 50)} | {f"ma_distance_{w}": f"close / nullif({full('avg', 'close', w)}, 0) - 1" for w in (5, 10, 20, 50)}, "bars"),
+        {f"momentum_{w}": f"close - {back('close', w)}" for w in _LONG[:5]} | {f"roc_{w}": f"100 * (close / nullif({back('close', w)}, 0) - 1)" for w in _LONG[:5]}
+        | {f"ma_{w}": full("avg", "close", w) for w in _LONG[:5]} | {f"ma_distance_{w}": f"close / nullif({full('avg', 'close', w)}, 0) - 1" for w in _LONG}, "bars"),
     "rsi": rounded({f"rsi_{w}": _rsi(w) for w in (14, 21)}, "gains", _GAINS),
     "order_flow": rounded(
-        {"ofi": "ofi"} | {f"ofi_ma_{w}": full("avg", "ofi", w) for w in (10, 20)} | {f"ofi_std_{w}": full("stddev_samp", "ofi", w) for w in (10, 20)}
-        | {f"ofi_z_{w}": f"(ofi - ({full('avg', 'ofi', w)})) / nullif({full('stddev_samp', 'ofi', w)}, 0)" for w in (10, 20)}
-        | {f"vpin_proxy_{w}": full("avg", "d", w) for w in (10, 20)}, "off", _FLOW),
+        {"ofi": "ofi"} | {f"{x}_ma_{w}": full("avg", x, w) for w in (10, 20, 50) for x in ("ofi", "volume", "trades")} | {f"{x}_std_{w}": full("stddev_samp", x, w) for w in (10, 20, 50) for x in ("ofi", "volume")}
+        | {f"{x}_z_{w}": f"({x} - ({full('avg', x, w)})) / nullif({full('stddev_samp', x, w)}, 0)" for w in (10, 20, 50) for x in ("ofi", "volume")}
+        | {f"vpin_proxy_{w}": full("avg", "d", w) for w in (50, 100)}, "off", _FLOW),
     "illiquidity": rounded(
         {"amihud": "amihud * 1e6", "amihud_ma": f"({full('avg', 'amihud', 20)}) * 1e6", "kyle_proxy": f"({full('stddev_samp', 'ret', 20)}) / nullif({full('avg', 'volume', 20)}, 0)"},
         "a", f"{RETS}, a AS (SELECT *, abs(ret) / nullif(quote_volume, 0) AS amihud FROM rets)"),
     "forward_targets": rounded(
-        {f"target_return_{h}": f"lead(close, {h}) OVER ({W}) / nullif(close, 0) - 1" for h in (1, 5, 15)} | {f"target_volatility_{h}": f"lead(v{h}, {h}) OVER ({W})" for h in (5, 15)},
-        "v", f"{RETS}, v AS (SELECT *, {full('stddev_samp', 'ret', 5)} AS v5, {full('stddev_samp', 'ret', 15)} AS v15 FROM rets)",
-        tuple(f"CAST(coalesce(lead(close, {h}) OVER ({W}) / nullif(close, 0) - 1 > 0, false) AS INTEGER) AS target_direction_{h}" for h in (1, 5, 15))),
+        {f"target_return_{h}": f"lead(close, {h}) OVER ({W}) / nullif(close, 0) - 1" for h in (1, 5, 15, 30)} | {f"target_volatility_{h}": f"lead(v{h}, {h}) OVER ({W})" for h in (5, 15, 30)},
+        "v", f"{RETS}, v AS (SELECT *, {full('stddev_samp', 'ret', 5)} AS v5, {full('stddev_samp', 'ret', 15)} AS v15, {full('stddev_samp', 'ret', 30)} AS v30 FROM rets)",
+        tuple(f"CAST(coalesce(lead(close, {h}) OVER ({W}) / nullif(close, 0) - 1 > 0, false) AS INTEGER) AS target_direction_{h}" for h in (1, 5, 15, 30))),
     "time_features": rounded(
         {f"{n}_{f}": f"{f}({_T(x, k)})" for n, x, k in (("hour", "hour(open_time)", 24), ("day", "(isodow(open_time) - 1)", 7), ("month", "month(open_time)", 12)) for f in ("sin", "cos")},
         "bars", plain=("CAST(isodow(open_time) >= 6 AS INTEGER) AS is_weekend", "CAST(hour(open_time) < 8 AS INTEGER) AS asia",
                        "CAST(hour(open_time) BETWEEN 7 AND 15 AS INTEGER) AS europe", "CAST(hour(open_time) BETWEEN 13 AND 21 AS INTEGER) AS us")),
-    "atr": rounded({"tr": "tr"} | {f"atr_{w}": full("avg", "tr", w) for w in (14, 20)} | {f"atr_pct_{w}": f"({full('avg', 'tr', w)}) / nullif(close, 0)" for w in (14, 20)}, "trs", _TR, digits=7),
+    "atr": rounded({"tr": "tr"} | {f"atr_{w}": full("avg", "tr", w) for w in (14, 20, 50)} | {f"atr_pct_{w}": f"({full('avg', 'tr', w)}) / nullif(close, 0)" for w in (14, 20, 50)}, "trs", _TR, digits=7),
     "volatility_regime": rounded(
         {"vol_regime": "v10 / nullif(v50, 0)", "vol_z": f"(v10 - ({full('avg', 'v10', 50)})) / nullif({full('stddev_samp', 'v10', 50)}, 0)", "vol_of_vol": full("stddev_samp", "v10", 20)},
         "v", f"{RETS}, v AS (SELECT *, {full('stddev_samp', 'log_ret', 10)} AS v10, {full('stddev_samp', 'log_ret', 50)} AS v50 FROM rets)"),
     "sharpe_and_gap": rounded(
-        {"rolling_sharpe": f"(close / nullif({back('close', 20)}, 0) - 1) / (({full('stddev_samp', 'ret', 20)}) * {math.sqrt(20)!r} + 1e-10)", "gap": f"open / nullif({back('close', 8)}, 0) - 1"}, "rets", RETS),
+        {f"rolling_sharpe_{w}": f"(close / nullif({back('close', w)}, 0) - 1) / (({full('stddev_samp', 'ret', w)}) * {math.sqrt(w)!r} + 1e-10)" for w in (20, 50)} | {"gap": f"open / nullif({back('close', 8)}, 0) - 1"}, "rets", RETS),
     "volume_profile": rounded(
-        {"relative_volume": f"volume / nullif({full('avg', 'volume', 20)}, 0)", "volume_z": f"(volume - ({full('avg', 'volume', 20)})) / nullif({full('stddev_samp', 'volume', 20)}, 0)",
-         "dollar_volume_ratio": f"quote_volume / nullif({full('avg', 'quote_volume', 20)}, 0)", "trade_size_ratio": f"size / nullif({full('avg', 'size', 20)}, 0)",
+        {f"relative_volume_{w}": f"volume / nullif({full('avg', 'volume', w)}, 0)" for w in (20, 50)} | {f"volume_z_{w}": f"(volume - ({full('avg', 'volume', w)})) / nullif({full('stddev_samp', 'volume', w)}, 0)" for w in (20, 50)}
+        | {"dollar_volume_ratio": f"quote_volume / nullif({full('avg', 'quote_volume', 20)}, 0)", "trades_ma": full("avg", "trades", 50), "trades_z": f"(trades - ({full('avg', 'trades', 50)})) / nullif({full('stddev_samp', 'trades', 50)}, 0)",
+         "trade_size": "size", "trade_size_ratio": f"size / nullif({full('avg', 'size', 50)}, 0)",
          "vwap": f"({full('sum', 'tpv', 20)}) / nullif({full('sum', 'volume', 20)}, 0)", "vwap_distance": f"close / nullif(({full('sum', 'tpv', 20)}) / nullif({full('sum', 'volume', 20)}, 0), 0) - 1",
-         "cvd": full("sum", "delta", 20), "cvd_share": f"({full('sum', 'delta', 20)}) / nullif({full('sum', 'volume', 20)}, 0)",
-         "buy_pressure": f"({full('sum', 'taker_buy_base', 20)}) / nullif({full('sum', 'volume', 20)}, 0)"},
+         "buy_pressure": f"({full('sum', 'taker_buy_base', 20)}) / nullif({full('sum', 'volume', 20)}, 0)"}
+        | {f"cvd_{w}": full("sum", "delta", w) for w in (10, 20, 50)} | {f"cvd_share_{w}": f"({full('sum', 'delta', w)}) / nullif({full('sum', 'volume', w)}, 0)" for w in (10, 20, 50)},
         "p", f"{BARS}, p AS (SELECT *, (high + low + close) / 3 * volume AS tpv, 2 * taker_buy_base - volume AS delta, volume / trades AS size FROM bars)"),
     "spread_efficiency": rounded(
-        {"spread": "spread", "spread_ma": full("avg", "spread", 20), "spread_z": f"(spread - ({full('avg', 'spread', 20)})) / nullif({full('stddev_samp', 'spread', 20)}, 0)",
-         "efficiency": "efficiency", "efficiency_ma": full("avg", "efficiency", 20)},
+        {"spread": "spread", "efficiency": "efficiency", "efficiency_ma": full("avg", "efficiency", 20)}
+        | {f"spread_ma_{w}": full("avg", "spread", w) for w in (20, 50)} | {f"spread_z_{w}": f"(spread - ({full('avg', 'spread', w)})) / nullif({full('stddev_samp', 'spread', w)}, 0)" for w in (20, 50)},
         "s", f"{RETS}, s AS (SELECT *, 1e4 * ((high - low) / nullif(close, 0)) AS spread, abs(ret) / nullif(ln(1 + volume), 0) * 1000 AS efficiency FROM rets)"),
     "ema": _recursive({f"ema_{s}": _EMA(_A[s], "n.close", f"f.ema_{s}") for s in (12, 26, 50)}, {f"ema_{s}": "close" for s in (12, 26, 50)})
-        + " SELECT symbol, open_time, round(close, 6) AS close, round(ema_12, 6) AS ema_12, round(ema_26, 6) AS ema_26, round(ema_50, 6) AS ema_50 FROM done",
+        + " SELECT symbol, open_time, round(close, 6) AS close, round(ema_12, 6) AS ema_12, round(ema_26, 6) AS ema_26, round(ema_50, 6) AS ema_50, " + ", ".join(f"round(close / nullif(ema_{s}, 0) - 1, 6) AS ema_distance_{s}" for s in (12, 26, 50)) + " FROM done",
     "macd": _recursive({"f": _F, "s": _S, "g": _EMA(_A[9], f"(({_F}) - ({_S}))", "f.g")}, {"f": "close", "s": "close", "g": "0"})
-        + " SELECT symbol, open_time, round(f - s, 6) AS macd, round(g, 6) AS macd_signal, round(f - s - g, 6) AS macd_hist FROM done",
+        + " SELECT symbol, open_time, round(f - s, 6) AS macd, round(g, 6) AS macd_signal, round(f - s - g, 6) AS macd_hist, round(f - s - g - lag(f - s - g) OVER (" + W + "), 6) AS macd_hist_change FROM done",
     "oscillators": rounded(
-        {"stoch": "stoch", "stoch_k": "k", "stoch_d": full("avg", "k", 3), "williams": f"-100 * ((({full('max', 'high', 14)}) - close) / nullif(({full('max', 'high', 14)}) - ({full('min', 'low', 14)}), 0))",
+        {"stoch": "stoch", "stoch_k": "k", "stoch_d": full("avg", "k", 3), } | {f"williams_{w}": f"-100 * ((({full('max', 'high', w)}) - close) / nullif(({full('max', 'high', w)}) - ({full('min', 'low', w)}), 0))" for w in (14, 21)} | {
          "cci": f"(tp - ({full('avg', 'tp', 20)})) / nullif(0.015 * ({full('stddev_samp', 'tp', 20)}), 0)"},
         "o3", f"""{_GAINS}, o1 AS (SELECT *, {_rsi(14)} AS rsi, (high + low + close) / 3 AS tp FROM gains),
         o2 AS (SELECT *, (rsi - ({full('min', 'rsi', 14)})) / nullif(({full('max', 'rsi', 14)}) - ({full('min', 'rsi', 14)}), 0) AS stoch FROM o1), o3 AS (SELECT *, {full('avg', 'stoch', 3)} AS k FROM o2)"""),
     "bands": rounded(
-        {"bollinger_width": f"4 * ({full('stddev_samp', 'close', 20)}) / nullif({full('avg', 'close', 20)}, 0)",
-         "bollinger_position": f"(close - (({full('avg', 'close', 20)}) - 2 * ({full('stddev_samp', 'close', 20)}))) / nullif(4 * ({full('stddev_samp', 'close', 20)}), 0)",
-         "price_z": f"(close - ({full('avg', 'close', 20)})) / nullif({full('stddev_samp', 'close', 20)}, 0)"}, "bars"),
+        {f"bollinger_width_{w}": f"4 * ({full('stddev_samp', 'close', w)}) / nullif({full('avg', 'close', w)}, 0)" for w in (20, 50)}
+        | {f"bollinger_position_{w}": f"(close - (({full('avg', 'close', w)}) - 2 * ({full('stddev_samp', 'close', w)}))) / nullif(4 * ({full('stddev_samp', 'close', w)}), 0)" for w in (20, 50)}
+        | {f"price_z_{w}": f"(close - ({full('avg', 'close', w)})) / nullif({full('stddev_samp', 'close', w)}, 0)" for w in (20, 50, 100)}, "bars"),
     "adx": rounded(
         {"plus_di": "p", "minus_di": "m", "adx": full("avg", "dx", 14)},
         "d3", f"""{_TR}, d1 AS (SELECT *, high - {back('high')} AS up, {back('low')} - low AS down FROM trs),
@@ -215,12 +218,12 @@ ORACLE_SQL = {
         SELECT k.symbol, k.open_time, round((k.close - (d.e - 2 * k.a)) / nullif(4 * k.a, 0), 6) AS keltner_position FROM k JOIN done d USING (symbol, open_time)""",
     "moments": rounded({f"{n}_{w}": full(a, "log_ret", w) for w in (20, 50) for n, a in (("skew", "skewness"), ("kurt", "kurtosis"))}, "rets", RETS),
     "autocorrelation": rounded(
-        {f"autocorr_{k}": f"CASE WHEN count(ret) OVER ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 50 THEN corr(ret, l{k}) OVER ({W} ROWS BETWEEN {49 - k} PRECEDING AND CURRENT ROW) END" for k in (1, 5)},
-        "l", f"{RETS}, l AS (SELECT *, {back('ret', 1)} AS l1, {back('ret', 5)} AS l5 FROM rets)"),
+        {f"autocorr_{k}": f"CASE WHEN count(ret) OVER ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 50 THEN corr(ret, l{k}) OVER ({W} ROWS BETWEEN {49 - k} PRECEDING AND CURRENT ROW) END" for k in (1, 5, 10)},
+        "l", f"{RETS}, l AS (SELECT *, {back('ret', 1)} AS l1, {back('ret', 5)} AS l5, {back('ret', 10)} AS l10 FROM rets)"),
     "extremes": rounded(
-        {"from_high": "close / nullif(hh, 0) - 1", "from_low": "close / nullif(ll, 0) - 1", "range_position": "(close - ll) / nullif(hh - ll, 0)"},
-        "x", f"{BARS}, x AS (SELECT *, {full('max', 'high', 20)} AS hh, {full('min', 'low', 20)} AS ll FROM bars)",
-        (f"CAST(coalesce(high > {back('hh')}, false) AS INTEGER) AS higher_high", f"CAST(coalesce(low < {back('ll')}, false) AS INTEGER) AS lower_low")),
+        {f"from_high_{w}": f"close / nullif(hh{w}, 0) - 1" for w in (20, 50, 100)} | {f"from_low_{w}": f"close / nullif(ll{w}, 0) - 1" for w in (20, 50, 100)} | {f"range_position_{w}": f"(close - ll{w}) / nullif(hh{w} - ll{w}, 0)" for w in (20, 50, 100)},
+        "x", f"{BARS}, x AS (SELECT *, {', '.join(f'{full(a, c, w)} AS {n}{w}' for w in (20, 50, 100) for a, c, n in (('max', 'high', 'hh'), ('min', 'low', 'll')))} FROM bars)",
+        tuple(f"CAST(coalesce({c} {s} {back(f'{n}{w}')}, false) AS INTEGER) AS {name}_{w}" for w in (20, 50, 100) for c, s, n, name in (("high", ">", "hh", "higher_high"), ("low", "<", "ll", "lower_low")))),
     "streaks": f"""WITH {BARS}, u AS (SELECT *, CAST(coalesce(close > {back('close')}, false) AS INTEGER) AS up FROM bars),
       c AS (SELECT *, CASE WHEN up = {back('up')} THEN 0 ELSE 1 END AS ch FROM u), i AS (SELECT *, sum(ch) OVER ({W}) AS isl FROM c),
       n AS (SELECT *, row_number() OVER (PARTITION BY symbol, isl ORDER BY open_time) AS run FROM i)
@@ -238,8 +241,8 @@ ORACLE_SQL = {
       p AS (SELECT *, CASE WHEN i < a - 2 THEN 'train' WHEN i >= a + 2 AND i < b - 2 THEN 'validate' WHEN i >= b + 2 THEN 'test' END AS part FROM c)
       SELECT symbol, part, count(*) AS n, min(open_time) AS first, max(open_time) AS last FROM p GROUP BY ALL""",
     "training_sequences": f"""WITH {BARS}, s AS (SELECT symbol, open_time, trades, count(*) OVER f AS c, sum(close) OVER f AS a, sum(volume) OVER f AS b FROM bars
-        WINDOW f AS ({W} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
-      SELECT symbol, open_time, CAST(c AS INTEGER) AS length, round(a, 4) AS closes, round(b, 4) AS volumes, trades FROM s WHERE c = 10""",
+        WINDOW f AS ({W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
+      SELECT symbol, open_time, CAST(c AS INTEGER) AS length, round(a, 4) AS closes, round(b, 4) AS volumes, trades FROM s WHERE c = 60""",
     "train_scaling": f"""WITH {BARS}, n AS (SELECT *, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM bars),
       q AS (SELECT symbol, quantile_cont(volume, 0.25) AS a, quantile_cont(volume, 0.5) AS b, quantile_cont(volume, 0.75) AS c FROM n WHERE i < floor(n * CAST(0.7 AS DOUBLE)) GROUP BY symbol)
       SELECT n.symbol, open_time, round((volume - b) / nullif(c - a, 0), 6) AS volume_scaled FROM n LEFT JOIN q ON n.symbol = q.symbol""",
