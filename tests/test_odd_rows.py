@@ -8,6 +8,18 @@ from conftest import DATA
 from tidemark.plans import catalog
 
 
+@pytest.fixture(scope="module", autouse=True)
+def interpreted(spark):
+    """Tables this small take longer to compile for than to read."""
+    settings = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 @pytest.fixture(scope="module")
 def odd_dir(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("odd"))
@@ -15,6 +27,11 @@ def odd_dir(spark, tmp_path_factory):
     return path
 
 
+@pytest.fixture(scope="module")
+def con(odd_dir):
+    return database(odd_dir)
+
+
 @pytest.fixture(scope="module")
 def empty_dir(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("none"))
@@ -23,10 +40,10 @@ def empty_dir(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
-def test_odd_rows(spark, odd_dir, name):
+def test_odd_rows(spark, odd_dir, con, name):
     df = catalog.QUERIES[name](spark, odd_dir)
     if name in catalog.ORACLE_SQL:
-        same(df, database(odd_dir), catalog.ORACLE_SQL[name])
+        same(df, con, catalog.ORACLE_SQL[name])
     else:
         df.collect()
 

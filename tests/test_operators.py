@@ -9,6 +9,7 @@ from tidemark.functions.exprs import fisher, normal_cdf
 from tidemark.functions.windows import as_of, fold, run_length
 from tidemark.operators import flow, portfolio, spectral
 from tidemark.operators.validation import deflated_sharpe, purged_folds
+from tidemark.sources.adapters import with_imbalance
 
 
 def numbered(spark, values, name="x"):
@@ -132,7 +133,7 @@ def test_series_estimators_equal_plain_loops(spark):
 
 def test_signal_gates(spark):
     def ticks(qty, weighted=0.5):
-        return spark.createDataFrame([("s", i, i, 50000.0 + 10 * i, q, i % 2, weighted) for i, q in enumerate(qty)], "symbol string, event_id long, ts long, price double, qty long, side int, weighted_imbalance double")
+        return with_imbalance(spark.createDataFrame([("s", i, i, 50000.0 + 10 * i, q, i % 2, weighted) for i, q in enumerate(qty)], "symbol string, event_id long, ts long, price double, qty long, side int, weighted_imbalance double"))
 
     def signals(qty, **how):
         return [r.signal for r in flow.imbalance_signals(ticks(qty), persistence=2, confidence=0.3, **how).orderBy("ts").collect()]

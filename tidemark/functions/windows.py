@@ -102,3 +102,55 @@ def as_of(left: DataFrame, right: DataFrame, values: Sequence[str], key: str = K
     w = Window.partitionBy(key).orderBy(order, "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
     joined = a.unionByName(b).withColumn("_right", F.last("_right", ignorenulls=True).over(w)).where("_row is not null")
     return joined.select(key, order, "_row.*", *[F.col(f"_right.{v}").alias(f"right_{v}") for v in values])
+
+
+def stretched(df: DataFrame, key: str = KEY, order: str = "ts", rows: int = 1_000_000) -> DataFrame:
+    """Adds ``_stretch`` (int) and ``_begin`` (microseconds): each key's time cut into equal parts, as many as it has times ``rows`` rows.
+
+    Keys, counts and time bounds are one small table, one row a key.  Rows without a time are in the first.
+    """
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    bounds = df.groupBy(F.col(key).alias("_k")).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.count("*").alias("_n"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / rows))).cast("bigint")
+    bounds = bounds.select("_k", "_lo", width.alias("_width"))
+    joined = df.join(bounds, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_stretch", F.coalesce(F.floor((at - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("int"))
+    return joined.withColumn("_begin", F.col("_lo") + F.col("_stretch") * F.col("_width")).drop("_k")
+
+
+def by_stretches(
+    df: DataFrame, operator: Callable[[DataFrame], DataFrame], reach: int, key: str = KEY, order: str = "ts", tie: str = "event_id", rows: int = 1_000_000
+) -> DataFrame:
+    """Applies ``operator``, whose windows by ``key`` look back at most ``reach`` rows, to stretches of each key's time.
+
+    A key of many rows is so many tasks instead of one.  Each stretch gets, besides its own rows, the
+    ``reach`` rows before it, from as many earlier stretches as hold them; what the operator makes
+    of those is left out again.  While it runs, the key is a struct of the key and the stretch's
+    begin.  Rows without a time come first.  The operator must keep ``key`` and ``order``, and be one row for one row.
+    """
+    d = stretched(df, key, order, rows)
+    counts = d.groupBy(key, "_stretch").agg(F.count("*").alias("_c"), F.first("_begin").alias("_b"))
+    w = Window.partitionBy(key).orderBy("_stretch")
+    counts = counts.withColumn("_end", F.sum("_c").over(so_far(w)))
+    ahead = F.collect_list(F.struct(F.col("_b").alias("b"), (F.col("_end") - F.col("_c")).alias("start"))).over(w.rowsBetween(1, max(reach, 1)))
+    counts = counts.withColumn("_later", F.filter(ahead, lambda x: x["start"] - F.col("_end") < reach))
+    counts = counts.select(F.col(key).alias("_k"), F.col("_stretch").alias("_s"), "_end", "_later")
+    d = d.join(counts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_stretch") == F.col("_s")))
+    left = F.row_number().over(Window.partitionBy(key, "_stretch").orderBy(F.desc_nulls_last(order), F.desc_nulls_last(tie)))
+    d = d.withColumn("_left", left)
+    wanted = F.transform(F.filter("_later", lambda x: x["start"] - F.col("_end") + F.col("_left") <= reach), lambda x: x["b"])
+    d = d.withColumn("_to", F.explode(F.concat(F.array("_begin"), wanted))).withColumn(key, F.struct(F.col(key).alias("key"), F.col("_to").alias("begin"), F.col("_to").eqNullSafe(F.col("_lo")).alias("first")))
+    out = operator(d.select(*df.columns))
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    own = F.when(at.isNull(), F.col(key)["first"]).otherwise(at >= F.col(key)["begin"])
+    return out.where(own).withColumn(key, F.col(key)["key"])
+
+
+def running_total(df: DataFrame, value: Column, name: str, key: str = KEY, order: str = "ts", tie: str = "event_id", rows: int = 1_000_000) -> DataFrame:
+    """Adds the sum of ``value`` over a key's rows up to each: sums of stretches, their running sum, and the sum within the stretch."""
+    d = stretched(df.withColumn("_value", value), key, order, rows)
+    sums = d.groupBy(key, "_stretch").agg(F.sum("_value").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(key).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.select(F.col(key).alias("_k"), F.col("_stretch").alias("_s"), before.alias("_before"))
+    d = d.join(sums, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_stretch") == F.col("_s")))
+    within = F.sum("_value").over(so_far(Window.partitionBy(key, "_stretch").orderBy(order, tie)))
+    return d.withColumn(name, F.col("_before") + within).select(*df.columns, name)

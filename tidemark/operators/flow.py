@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import log, normal_cdf, ratio
 from tidemark.functions.scans import fading, linear
-from tidemark.functions.windows import as_of, back, frame, full, ordered, run_length, so_far
+from tidemark.functions.windows import as_of, back, frame, full, ordered, run_length, running_total
 
 C = F.col
 
@@ -71,15 +71,6 @@ def book_vwap(updates: DataFrame, size: float = 100.0) -> DataFrame:
     return out.join(mids, C("symbol") == C("s")).select("symbol", "book_side", vwap.alias("vwap"), (1e4 * sign * ratio(vwap - C("mid"), C("mid"))).alias("slippage_bps"))
 
 
-def quotes(ticks: DataFrame) -> DataFrame:
-    """Ticks as quotes around the price, sizes from the quantity and the side."""
-    half = 0.0005 * C("price") * (1 + C("side"))
-    return ticks.select(
-        "event_id", "symbol", "ts", (C("price") - half).alias("bid"), (C("price") + half).alias("ask"), (C("qty") + 1).cast("double").alias("bid_size"),
-        (100 - C("qty") + 1).cast("double").alias("ask_size"),
-    )
-
-
 def quote_flow(q: DataFrame) -> DataFrame:
     """Order-flow imbalance of successive quotes: the six cases of moved and kept best prices."""
     p = lambda c: back(c, 1, by_ts())
@@ -114,10 +105,9 @@ def kyle_lambda(ticks: DataFrame, rows: int = 50, least: int = 20, left: int = 1
 
 
 def tick_features(ticks: DataFrame, vol: int = 20, mom: int = 10, stats: int = 100) -> DataFrame:
-    """Annualised volatility, momentum, and the slope and z-score of the imbalance over recent ticks."""
-    imbalance = ratio(2 * C("qty") - 99, F.lit(99.0))
+    """Annualised volatility, momentum, and the slope and z-score of the ``imbalance`` over recent ticks."""
     has = [c for c in ("weighted_imbalance", "position") if c in ticks.columns]
-    df = ticks.withColumn("imbalance", imbalance).withColumn("lr", log(ratio(C("price"), back("price", 1, by_ts())))).withColumn("i", F.row_number().over(by_ts()).cast("double"))
+    df = ticks.withColumn("lr", log(ratio(C("price"), back("price", 1, by_ts())))).withColumn("i", F.row_number().over(by_ts()).cast("double"))
     volatility = full(F.stddev_pop, C("lr"), vol - 1, by_ts()) * math.sqrt(252 * 24 * 60)
     momentum = ratio(C("price"), back("price", mom - 1, by_ts())) - 1
     slope = F.when(F.count("imbalance").over(frame(mom, by_ts())) == mom, F.regr_slope("imbalance", "i").over(frame(mom, by_ts())))
@@ -170,14 +160,13 @@ def imbalance_signals(
     )
 
 
-def volume_bars(ticks: DataFrame, size: float = 1000.0) -> DataFrame:
+def volume_bars(ticks: DataFrame, size: float = 1000.0, rows: int = 1_000_000) -> DataFrame:
     """Bars of equal volume: a trade that overflows a bar is split among as many as it fills.
 
     The bar number comes from the running volume; no state is carried between bars.
     """
-    w = ordered("symbol", ["ts", "event_id"])
     q = C("qty").cast("double")
-    df = ticks.where("qty > 0").withColumn("end", F.sum(q).over(so_far(w))).withColumn("start", C("end") - q)
+    df = running_total(ticks.where("qty > 0"), q, "end", rows=rows).withColumn("start", C("end") - q)
     bars = F.sequence(F.floor(C("start") / size).cast("bigint"), (F.ceil(C("end") / size) - 1).cast("bigint"))
     df = df.withColumn("bar", F.explode(bars)).withColumn("part", F.least(C("end"), (C("bar") + 1) * size) - F.greatest(C("start"), C("bar") * size))
     return df.groupBy("symbol", "bar").agg(
@@ -213,11 +202,11 @@ def decayed_flow(bars: DataFrame, decay: float = 0.99) -> DataFrame:
 
 
 def hawkes_intensity(ticks: DataFrame, base: float = 0.1, jump: float = 0.5, fade: float = 1.0, unit: float = 3600.0) -> DataFrame:
-    """The intensity of a self-exciting process just before each hourly burst of large trades.
+    """The intensity of a self-exciting process just before each hourly burst of ``ticks``.
 
     Between events it fades by exp(-fade * elapsed units); each event adds ``jump``.
     """
-    events = ticks.where("qty >= 90").groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("open_time")).agg(F.count("*").alias("n"))
+    events = ticks.groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("open_time")).agg(F.count("*").alias("n"))
     events = events.withColumn("kept", F.exp(-fade * (F.unix_timestamp(C("open_time").cast("timestamp")) - F.unix_timestamp(back(C("open_time")).cast("timestamp"))) / unit))
     rows = events.select("symbol", "open_time", C("n").cast("double").alias("n"), F.coalesce("kept", F.lit(0.0)).alias("kept"))
     out = linear(rows, "symbol", "open_time", ["n", "kept"], lambda x: (x[:, 1].reshape(-1, 1, 1), jump * x[:, 1:]), lambda _: np.zeros(1), ["before"])

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import fisher, inverse_fisher, ratio
+from tidemark.functions.windows import as_of, by_stretches
 from tidemark.operators import bars as B
 from tidemark.operators import desk as D
 from tidemark.operators import evaluation as E
@@ -16,7 +17,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import portfolio as P
 from tidemark.operators.validation import purged_folds
 from tidemark.plans.bar_queries import BARS, RETS, TICKS, W
-from tidemark.plans.flow_queries import BT, FILLS, LOG, STATE, V, _r, tidy
+from tidemark.plans.flow_queries import BT, FILLS, LOG, STATE, VPIN, V, _r, tidy
 from tidemark.sources import adapters as A
 
 C = F.col
@@ -122,7 +123,7 @@ def warm_up(spark, sf_dir):
 
 def mid_atr(spark, sf_dir):
     """Mean absolute change of the last fourteen ticks."""
-    return tidy(D.mid_atr(A.ticks(spark, sf_dir)))
+    return tidy(by_stretches(A.ticks(spark, sf_dir), D.mid_atr, 15))
 
 
 def book_health(spark, sf_dir):
@@ -254,12 +255,13 @@ def hawkes_estimate(spark, sf_dir):
 
 
 def toxicity(spark, sf_dir):
-    """Toxicity of the flow at each tick from impact and imbalance, with a rank on every third."""
+    """Toxicity of the flow at each tick, from its price impact, its imbalance, and the last volume bar's VPIN and rank."""
     t = A.ticks(spark, sf_dir)
-    w = Window.partitionBy("symbol").orderBy("ts", "event_id")
-    known = C("event_id") % 3 == 0
-    t = t.withColumn("impact", F.abs(ratio(C("price"), F.lag("price", 5).over(w)) - 1) / 1000).withColumn("vpin", F.when(known, C("qty") / 100)).withColumn("vpin_cdf", F.when(known, (C("qty") + 1) / 101))
-    return tidy(E.toxicity(t), 5)
+    impact = by_stretches(A.quotes(t), L.spread_impact, 5).select(C("event_id").alias("e"), (C("impact_bps") / 1e4).alias("impact"))
+    t = t.join(impact, C("event_id") == C("e")).drop("e")
+    v = L.vpin(t).select("symbol", C("last").alias("ts"), "vpin", "vpin_cdf")
+    known = as_of(t, v, ["vpin", "vpin_cdf"]).withColumnsRenamed({"right_vpin": "vpin", "right_vpin_cdf": "vpin_cdf"})
+    return tidy(by_stretches(known, E.toxicity, 1105), 5)
 
 
 def fisher_pair(spark, sf_dir):
@@ -369,7 +371,10 @@ ORACLE_SQL = {
         CASE WHEN taker_buy_base > 0 THEN CASE WHEN taker_buy_base > volume / 2 THEN 1 ELSE -1 END WHEN close > open THEN 1 ELSE -1 END AS side FROM m""",
     "hawkes_estimate": f"""WITH {TICKS}, d AS (SELECT symbol, (epoch_us(ts) - lag(epoch_us(ts)) OVER ({V})) / 1e6 AS gap FROM ticks), g AS (SELECT symbol, count(gap) AS n, avg(gap) AS m, var_pop(gap) AS v FROM d GROUP BY symbol)
       SELECT symbol, n, {_r({'mu': 'CASE WHEN n >= 50 AND m > 0 THEN 1 / m END', 'alpha': 'CASE WHEN n >= 50 AND m > 0 THEN CASE WHEN v / (m * m) > 1 THEN least(1 - 1 / (v / (m * m)), 0.99) ELSE 0 END / m END', 'beta': 'CASE WHEN n >= 50 AND m > 0 THEN 1 / m END'}, 7)} FROM g""",
-    "toxicity": f"""WITH {TICKS}, i AS (SELECT *, abs(price / nullif(lag(price, 5) OVER ({V}), 0) - 1) / 1000 AS impact, CASE WHEN event_id % 3 = 0 THEN qty / 100.0 END AS vp, CASE WHEN event_id % 3 = 0 THEN (qty + 1) / 101.0 END AS vc FROM ticks),
+    "toxicity": f"""WITH {VPIN}, vp AS (SELECT symbol, last AS at, vpin, CASE WHEN len(hist) >= 50 AND vpin IS NOT NULL THEN len(list_filter(hist, lambda x: x <= vpin)) / len(hist) END AS vpin_cdf FROM h),
+      qm AS (SELECT event_id, symbol, ts, price, side, price - 0.0005 * price * (1 + side) AS bid, price + 0.0005 * price * (1 + side) AS ask FROM ticks), qi AS (SELECT *, (bid + ask) / 2 AS mid FROM qm),
+      i0 AS (SELECT event_id, symbol, ts, side, abs(mid - lag(mid, 5) OVER ({V})) / nullif(lag(mid, 5) OVER ({V}), 0) AS impact FROM qi),
+      i AS (SELECT i0.*, vp.vpin AS vp, vp.vpin_cdf AS vc FROM i0 ASOF LEFT JOIN vp ON i0.symbol = vp.symbol AND i0.ts >= vp.at),
       a AS (SELECT *, count(*) OVER f AS n, abs(2 * sum(CAST(side = 1 AS INTEGER)) OVER f - count(*) OVER f) / CAST(count(*) OVER f AS DOUBLE) AS im, CASE WHEN count(impact) OVER f >= 10 THEN avg(impact) OVER f END AS adverse FROM i WINDOW f AS ({V} ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)),
       p AS (SELECT *, CASE WHEN n >= 100 THEN 0.5 * (1 + tanh(2 * (im - 0.3))) END AS pin, least(1, adverse * 200) AS ad FROM a),
       t AS (SELECT *, (coalesce(vc * 0.4, 0) + coalesce(ad * 0.3, 0) + coalesce(pin * 0.3, 0)) / nullif(CASE WHEN vc IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN ad IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN pin IS NOT NULL THEN 0.3 ELSE 0 END, 0) AS tox FROM p)

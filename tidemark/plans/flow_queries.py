@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import ratio
-from tidemark.functions.windows import so_far
+from tidemark.functions.windows import by_stretches, so_far
 from tidemark.operators import bars as B
 from tidemark.operators import flow as L
 from tidemark.operators import metrics as M
@@ -58,12 +58,12 @@ def book_vwap(spark, sf_dir):
 
 def quote_flow(spark, sf_dir):
     """Order-flow imbalance of quotes with its z-score."""
-    return tidy(L.quote_flow(L.quotes(A.ticks(spark, sf_dir))))
+    return tidy(by_stretches(A.quotes(A.ticks(spark, sf_dir)), L.quote_flow, 100))
 
 
 def spread_impact(spark, sf_dir):
     """Effective and realised spread and price impact of quotes."""
-    return tidy(L.spread_impact(L.quotes(A.ticks(spark, sf_dir))), 4)
+    return tidy(by_stretches(A.quotes(A.ticks(spark, sf_dir)), L.spread_impact, 5), 4)
 
 
 def kyle_lambda(spark, sf_dir):
@@ -73,12 +73,12 @@ def kyle_lambda(spark, sf_dir):
 
 def tick_features(spark, sf_dir):
     """Volatility, momentum, imbalance slope and z-score of ticks."""
-    return tidy(L.tick_features(A.ticks(spark, sf_dir)))
+    return tidy(by_stretches(A.with_imbalance(A.ticks(spark, sf_dir)), L.tick_features, 120))
 
 
 def imbalance_signals(spark, sf_dir):
     """Signals of strong, lasting imbalance."""
-    t = A.ticks(spark, sf_dir)
+    t = A.with_imbalance(A.ticks(spark, sf_dir))
     return tidy(L.imbalance_signals(t.withColumn("weighted_imbalance", (C("qty") - 40) / 60.0).withColumn("position", (C("event_id") % 3 - 1).cast("double"))))
 
 
@@ -104,13 +104,13 @@ def decayed_flow(spark, sf_dir):
 
 def hawkes_intensity(spark, sf_dir):
     """Self-exciting intensity of hours with large trades."""
-    return tidy(L.hawkes_intensity(A.ticks(spark, sf_dir)))
+    return tidy(L.hawkes_intensity(A.ticks(spark, sf_dir).where("qty >= 90")))
 
 
 def trade_through_asof(spark, sf_dir):
     """Trades against the quote before them."""
     t = A.ticks(spark, sf_dir)
-    return tidy(L.trade_through(t, L.quotes(t)))
+    return tidy(L.trade_through(t, A.quotes(t)))
 
 
 def return_metrics(spark, sf_dir):
@@ -374,6 +374,9 @@ VOLZ = f"""{FEATURES}, vz AS (SELECT *, CASE WHEN count(volatility) OVER g >= 20
 VBARS = f"""{TICKS}, cum AS (SELECT *, sum(CAST(qty AS DOUBLE)) OVER ({V}) AS e FROM ticks WHERE qty > 0), st AS (SELECT *, e - qty AS s FROM cum),
 ex AS (SELECT *, unnest(range(CAST(floor(s / 1000) AS BIGINT), CAST(ceil(e / 1000) AS BIGINT))) AS bar FROM st), pt AS (SELECT *, least(e, (bar + 1) * 1000) - greatest(s, bar * 1000) AS part FROM ex),
 vb AS (SELECT symbol, bar, min(ts) AS first, max(ts) AS last, sum(part) AS volume, sum(CASE WHEN side = 1 THEN part ELSE 0 END) AS buy, sum(part * price) / sum(part) AS vwap, count(*) AS trades FROM pt GROUP BY ALL)"""
+VPIN = f"""{VBARS}, ok AS (SELECT *, abs(2 * buy - volume) / volume AS imbalance FROM vb WHERE volume >= 1000 - 1e-9),
+      v AS (SELECT *, CASE WHEN count(*) OVER f = 50 THEN avg(imbalance) OVER f END AS vpin FROM ok WINDOW f AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+      h AS (SELECT *, list_filter(list(vpin) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL) AS hist FROM v)"""
 BT = f"""{BARS}, sg AS (SELECT *, CAST(coalesce(sign(({full('avg', 'close', 5)}) - ({full('avg', 'close', 20)})), 0) AS DOUBLE) AS position, coalesce(close / nullif({back('close')}, 0) - 1, 0) AS ret FROM bars),
 bt AS (SELECT *, coalesce(lag(position) OVER ({W}), 0) * ret - abs(position - coalesce(lag(position) OVER ({W}), 0)) * 0.0015 AS strategy FROM sg)"""
 
@@ -431,9 +434,7 @@ ORACLE_SQL = {
         CASE WHEN ok THEN size END AS size, CASE WHEN ok THEN concat_ws('; ', format('Order book {{}} imbalance: {{:.3f}}', CASE WHEN sg > 0 THEN 'bid' ELSE 'ask' END, imbalance), CASE WHEN streak >= 3 THEN format('Persistent for {{}} ticks', streak) END,
         CASE WHEN volatility_z < -1 THEN 'Low volatility environment' WHEN volatility_z > 1 THEN 'High volatility (reduced size)' END) END AS reason FROM s6""",
     "volume_bars": f"WITH {VBARS} SELECT symbol, bar, first, last, round(volume, 6) AS volume, round(buy, 6) AS buy, round(vwap, 6) AS vwap, trades FROM vb",
-    "vpin": f"""WITH {VBARS}, ok AS (SELECT *, abs(2 * buy - volume) / volume AS imbalance FROM vb WHERE volume >= 1000 - 1e-9),
-      v AS (SELECT *, CASE WHEN count(*) OVER f = 50 THEN avg(imbalance) OVER f END AS vpin FROM ok WINDOW f AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
-      h AS (SELECT *, list_filter(list(vpin) OVER (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL) AS hist FROM v)
+    "vpin": f"""WITH {VPIN}
       SELECT symbol, bar, last, round(imbalance, 6) AS imbalance, round(vpin, 6) AS vpin, CASE WHEN len(hist) >= 50 AND vpin IS NOT NULL THEN round(len(list_filter(hist, lambda x: x <= vpin)) / len(hist), 6) END AS vpin_cdf,
         CASE WHEN vpin IS NULL THEN 'UNKNOWN' WHEN vpin < 0.3 THEN 'LOW' WHEN vpin < 0.5 THEN 'MEDIUM' WHEN vpin < 0.7 THEN 'HIGH' ELSE 'EXTREME' END AS regime FROM h""",
     "decayed_flow": f"""WITH RECURSIVE {BARS}, n AS (SELECT *, 2 * taker_buy_base - volume AS x, row_number() OVER ({W}) AS i FROM bars),

@@ -25,6 +25,20 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_imbalance(ticks: DataFrame) -> DataFrame:
+    """Adds ``imbalance``, from -1 to 1, as the quantity's place between 0 and 99."""
+    return ticks.withColumn("imbalance", ratio(2 * F.col("qty") - 99, F.lit(99.0)))
+
+
+def quotes(ticks: DataFrame) -> DataFrame:
+    """Ticks as quotes around the price, sizes from the quantity and the side."""
+    half = 0.0005 * F.col("price") * (1 + F.col("side"))
+    return ticks.select(
+        "event_id", "symbol", "ts", (F.col("price") - half).alias("bid"), (F.col("price") + half).alias("ask"), (F.col("qty") + 1).cast("double").alias("bid_size"),
+        (100 - F.col("qty") + 1).cast("double").alias("ask_size"),
+    )
+
+
 def resample(trades: DataFrame, every: str = "hour") -> DataFrame:
     """Bars of a fixed length with open, high, low, close and volumes, one aggregation by symbol and time.
 
