@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.exprs import ratio
+from tidemark.functions.scans import linear
 from tidemark.functions.windows import as_of, fold, frame, ordered, so_far
 
 C = F.col
@@ -85,6 +89,68 @@ def rebalanced_weights(
     return out.select(by, order, *[C(f"state.{m}").alias(f"weight_{m}") for m in models])
 
 
+def hit_weights(predictions: DataFrame, models: Sequence[str], rows: int = 100, least: int = 10, rate: float = 0.1, by: str = "symbol", order: str = "open_time") -> DataFrame:
+    """Weights of models after each outcome, from equal ones on.
+
+    A model's score is 0.7 of how often its sign was right in the last ``rows`` outcomes (0 counts as
+    above) and 0.3 of 1 / (1 + mean squared error), a half before ``least`` outcomes; weights move to the
+    shares of scores by ``rate``.  The history of outcomes is a bounded window, and the weights, a
+    linear recursion, run by blocks of time.  Rows without an outcome or a prediction are left out.
+    """
+    f = frame(rows, ordered(by, order))
+    known = predictions.where(" and ".join(f"{c} is not null" for c in ["actual", *models]))
+    score = {}
+    for m in models:
+        right = F.avg(((C(m) >= 0) == (C("actual") >= 0)).cast("double")).over(f)
+        error = F.avg((C(m) - C("actual")) * (C(m) - C("actual"))).over(f)
+        score[m] = F.when(F.count(m).over(f) >= least, 0.7 * right + 0.3 / (1 + error)).otherwise(0.5)
+    scored = known.select(by, order, *[x.alias(m) for m, x in score.items()])
+    total = sum((C(m) for m in models[1:]), C(models[0]))
+    shares = scored.select(by, order, *[(C(m) / total).alias(m) for m in models])
+    k = len(models)
+    return linear(
+        shares, by, order, models, lambda x: (np.repeat((1 - rate) * np.eye(k)[None], len(x), 0), rate * x), lambda x: (1 - rate) / k + rate * x, [f"weight_{m}" for m in models]
+    ).select(by, order, *[f"weight_{m}" for m in models])
+
+
+#: What of a weight stays when a regime is unstable, by family: (of the base factor, of 1, of the regime's weight).
+FAMILIES = {"tree": (0.9, 0.1, 0.0), "deep": (1.0, 0.0, 0.0), "agent": (0.8, 0.0, 0.2)}
+
+
+def regime_weights(df: DataFrame, families: dict[str, str], factor: float = 0.3) -> DataFrame:
+    """Weights less the trust that an unstable regime takes from each family of models, divided by their sum.
+
+    ``df`` has ``weight_`` and each model's name, and ``regime_weight`` (0 to 1); adds ``adjusted_`` and the name.
+    """
+    base = 1 - factor * (1 - C("regime_weight"))
+    raw = {m: C(f"weight_{m}") * (base * FAMILIES[kind][0] + FAMILIES[kind][1] + C("regime_weight") * FAMILIES[kind][2]) for m, kind in families.items()}
+    total = sum(list(raw.values())[1:], next(iter(raw.values())))
+    return df.select("*", *[ratio(x, total).alias(f"adjusted_{m}") for m, x in raw.items()])
+
+
+def signal_gate(df: DataFrame, models: Sequence[str], warm_up: int = 100, least: float = 0.6, by: str = "symbol", order: str = "open_time") -> DataFrame:
+    """Confidence in each prediction, and the signals that pass.
+
+    ``df`` has ``prediction``, the models' ``weight_`` columns, ``regime_weight`` and ``score``, how
+    non-stationary the series is.  ``model_confidence`` is half the prediction's strength up to 1 and
+    half the weights' concentration, 1 less their entropy by the largest; ``confidence`` is 0.6 of it
+    and 0.4 of the regime's weight.  A signal has 0.6 of the strength and 0.4 of 1 less ``score``
+    and passes from row ``warm_up`` on if that is ``least`` or more.
+    """
+    strength = F.least(F.abs("prediction"), F.lit(1.0))
+    total = sum((C(f"weight_{m}") for m in models[1:]), C(f"weight_{models[0]}"))
+    shares = [C(f"weight_{m}") / total for m in models]
+    parts = [F.when(x > 0, x * F.ln(x)).otherwise(0.0) for x in shares]
+    concentration = 1 + sum(parts[1:], parts[0]) / math.log(len(models)) if len(models) > 1 else F.lit(1.0)
+    model = F.when(total > 0, 0.5 * strength + 0.5 * concentration).otherwise(0.0)
+    signal = 0.6 * strength + 0.4 * (1 - F.coalesce("score", F.lit(0.5)))
+    warm = F.row_number().over(ordered(by, order)) >= warm_up
+    return df.select(
+        "*", model.alias("model_confidence"), F.when(warm, 0.6 * model + 0.4 * C("regime_weight")).otherwise(0.0).alias("confidence"), signal.alias("signal_confidence"),
+        F.when(warm & (signal >= least), F.signum("prediction")).alias("signal"),
+    )
+
+
 def ensemble(predictions: DataFrame, models: Sequence[str], every: int = 100, rows: int = 20, by: str = "symbol", order: str = "step") -> DataFrame:
     """The weighted mean of models' predictions, by the weights of the last rebalancing before a row.
 

@@ -142,9 +142,15 @@ def cleaned(df: DataFrame, columns: Sequence[str], needed: Sequence[str] = (), z
 
 
 def table_hash(df: DataFrame) -> DataFrame:
-    """Rows and a hash of a table that does not depend on their order."""
-    one = F.xxhash64(*[C(c) for c in sorted(df.columns)])
-    return df.agg(F.count("*").alias("n"), F.bit_xor(one).alias("xor_hash"), F.sum(F.pmod(one, F.lit(2**31))).alias("sum_hash"))
+    """Rows and hashes of a table that do not depend on their order.
+
+    A row's hash is the sha256 of its columns' texts, by name, doubles to six decimals and nulls as
+    ``\\N``; of these are taken the exclusive or of their first 60 bits and the sum of their first 32.
+    """
+    text = lambda c, t: F.coalesce(F.format_string("%.6f", C(c)) if t in ("double", "float") else C(c).cast("string"), F.lit("\\N"))
+    digest = F.sha2(F.concat_ws("\x1f", *[text(c, t) for c, t in sorted(df.dtypes)]), 256)
+    part = lambda n: F.conv(F.substring(digest, 1, n), 16, 10).cast("bigint")
+    return df.agg(F.count("*").alias("n"), F.bit_xor(part(15)).alias("xor_hash"), F.sum(part(8)).alias("sum_hash"))
 
 
 def bar_proxies(bars: DataFrame) -> DataFrame:

@@ -10,24 +10,22 @@ from tidemark.functions.exprs import log, ratio
 from tidemark.functions.windows import frame, ordered
 
 
-def hurst_of_lags(x: np.ndarray, lags: range = range(2, 20)) -> float:
-    """Twice the slope of the log deviation of differences on the log of their lag."""
-    spread = np.array([np.std(x[k:] - x[:-k]) for k in lags])
-    if (spread <= 0).any():
-        return 0.5
-    return float(2 * np.polyfit(np.log(list(lags)), np.log(spread), 1)[0])
-
-
-def rolling_hurst(bars: DataFrame, rows: int = 100) -> DataFrame:
-    """The exponent of the last ``rows`` log returns by ``hurst_of_lags``; null until there are so many."""
-
-    @F.pandas_udf("double")
-    def hurst(windows):  # noqa: ANN001, ANN202
-        return windows.map(lambda w: hurst_of_lags(np.asarray(w, float)) if len(w) == rows else None)
+def rolling_hurst(bars: DataFrame, rows: int = 100, lags: range = range(2, 20)) -> DataFrame:
+    """Twice the slope of the log deviation of differences on the log of their lag, over the last ``rows`` log returns.
 
+    Null until there are so many; a half where some lag's differences do not vary.  The deviation of
+    a lag's differences within the window is one over ``rows`` less the lag of them.
+    """
     df = bars.withColumn("_r", log(ratio(F.col("close"), F.lag("close").over(ordered()))))
-    df = df.withColumn("_w", F.collect_list("_r").over(frame(rows)))
-    return df.select("symbol", "open_time", hurst("_w").alias("hurst"))
+    df = df.withColumns({f"_d{k}": F.col("_r") - F.lag("_r", k).over(ordered()) for k in lags})
+    df = df.withColumns({f"_s{k}": F.stddev_pop(f"_d{k}").over(frame(rows - k)) for k in lags})
+    logs = [np.log(k) for k in lags]
+    mean = float(np.mean(logs))
+    squares = float(sum((x - mean) ** 2 for x in logs))
+    slope = sum((F.ln(f"_s{k}") * float((x - mean) / squares) for k, x in zip(lags[1:], logs[1:], strict=True)), F.ln(f"_s{lags[0]}") * float((logs[0] - mean) / squares))
+    flat = F.least(*[F.col(f"_s{k}") for k in lags]) <= 0
+    value = F.when(F.count("_r").over(frame(rows)) == rows, F.when(flat, 0.5).otherwise(2 * slope))
+    return df.select("symbol", "open_time", value.alias("hurst"))
 
 
 def kalman_level(bars: DataFrame, process: float = 1e-4, noise: float = 1e-2) -> DataFrame:
@@ -173,28 +171,22 @@ def tail_risk(returns: DataFrame, threshold: float = 0.95, level: float = 0.99)
 
     Shape and scale come from probability-weighted moments of the losses above the threshold; null
     for less than ten of them.  Expects (symbol, ret); the shortfall is infinite for a shape of 1 or more.
+    Only losses above the threshold are sorted.
     """
-
-    def run(pdf):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        loss = -pdf["ret"].dropna().to_numpy(float)
-        loss = loss[loss > 0]
-        var = es = None
-        if len(loss):
-            u = np.quantile(loss, threshold)
-            over = np.sort(loss[loss > u] - u)
-            if len(over) >= 10:
-                n = len(over)
-                b0, b1 = over.mean(), (over * (n - np.arange(1, n + 1)) / (n - 1)).sum() / n
-                shape = 2 - b0 / (b0 - 2 * b1)
-                scale = 2 * b0 * b1 / (b0 - 2 * b1)
-                p = (1 - level) / (n / len(loss))
-                var = u + (scale / shape * (p**-shape - 1) if abs(shape) > 1e-9 else -scale * np.log(p))
-                es = var / (1 - shape) + (scale - shape * u) / (1 - shape) if shape < 1 else np.inf
-        return pd.DataFrame({"symbol": [pdf["symbol"].iloc[0]], "losses": [len(loss)], "var": [var], "shortfall": [es]}).astype({"var": float, "shortfall": float})
-
-    return returns.select("symbol", "ret").groupBy("symbol").applyInPandas(run, "symbol string, losses bigint, var double, shortfall double")
+    c = F.col
+    loss = returns.select("symbol", F.when(-c("ret") > 0, -c("ret")).alias("loss"))
+    g = loss.groupBy("symbol").agg(F.count("loss").alias("losses"), F.percentile("loss", threshold).alias("u"))
+    over = loss.join(g.select(c("symbol").alias("_s"), c("u").alias("_u")), c("symbol") == c("_s")).where(c("loss") > c("_u")).select("symbol", (c("loss") - c("_u")).alias("e"))
+    w = ordered("symbol", "e")
+    over = over.withColumn("i", F.row_number().over(w)).groupBy(c("symbol").alias("_s")).agg(F.count("*").alias("n"), F.avg("e").alias("b0"), F.sum(c("e") * c("i")).alias("ranked"), F.sum("e").alias("total"))
+    d = g.join(over, c("symbol") == c("_s"), "left")
+    n = c("n").cast("double")
+    b1 = (n * c("total") - c("ranked")) / F.nullif(n - 1, F.lit(0.0)) / n
+    d = d.withColumn("b1", F.when(c("n") >= 10, b1)).withColumn("shape", 2 - ratio(c("b0"), c("b0") - 2 * c("b1"))).withColumn("scale", ratio(2 * c("b0") * c("b1"), c("b0") - 2 * c("b1")))
+    p = (1 - level) / (n / c("losses"))
+    var = c("u") + F.when(F.abs("shape") > 1e-9, ratio(c("scale"), c("shape")) * (F.pow(p, -c("shape")) - 1)).otherwise(-c("scale") * F.ln(p))
+    shortfall = F.when(c("shape") < 1, ratio(c("var"), 1 - c("shape")) + ratio(c("scale") - c("shape") * c("u"), 1 - c("shape"))).when(c("shape") >= 1, float("inf"))
+    return d.withColumn("var", var).select("symbol", "losses", "var", shortfall.alias("shortfall"))
 
 
 def filtered_correlation(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -9,6 +9,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import portfolio as P
 from tidemark.operators import spectral as S
 from tidemark.operators.validation import overfitting_probability
+from tidemark.plans.flow_queries import tidy
 from tidemark.sources import adapters as A
 
 
@@ -34,7 +35,7 @@ def fractal_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tail_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tail risk of bar returns by symbol."""
-    return S.tail_risk(B.with_returns(A.bars(spark, sf_dir)))
+    return tidy(S.tail_risk(B.with_returns(A.bars(spark, sf_dir))))
 
 
 def filtered_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def overfitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probability that the best of five symbols' strategies in half of six periods is below the middle in the other half."""
     b = P.backtest(P.moving_average_signal(A.bars(spark, sf_dir)))
     scores = b.groupBy(F.col("symbol").alias("strategy"), (F.dayofmonth("open_time") % 6).alias("part")).agg(F.avg("strategy").alias("score"))
-    return overfitting_probability(scores)
+    return tidy(overfitting_probability(scores))
 
 
 QUERIES = {f.__name__: f for f in (kalman_level, instant_phase, haar_denoised, fractal_measures, tail_risk, filtered_correlation, overfitting)}

@@ -150,4 +150,29 @@ ORACLE_SQL = {
       SELECT event_id, symbol, round(priority, 8) AS priority, CAST(place AS INTEGER) AS place, round(p, 8) AS probability, round(raw / max(raw) OVER (PARTITION BY symbol), 8) AS weight FROM s""",
     "normal_scores": f"""WITH {BARS}, r AS (SELECT symbol, open_time, (row_number() OVER (PARTITION BY symbol ORDER BY volume, open_time) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY symbol) AS p FROM bars)
       SELECT symbol, open_time, round({ppf('p')}, 6) AS score FROM r""",
+    # Queries registered elsewhere, whose SQL needs the parts above.
+    "bulk_classified": f"""WITH {BARS}, l AS (SELECT *, close / nullif(lag(close) OVER ({W}), 0) AS q FROM bars), k AS (SELECT *, CASE WHEN q > 0 THEN ln(q) END AS lr FROM l),
+      z AS (SELECT *, count(lr) OVER f AS c, (q - 1) / greatest(stddev_pop(lr) OVER f, 1e-8) AS z FROM k WINDOW f AS ({W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+      s AS (SELECT *, CASE WHEN c < 10 THEN 0.5 WHEN z IS NOT NULL THEN {cdf("z")} END AS s FROM z) SELECT symbol, open_time, round(volume * s, 4) AS buy_volume, round(volume * (1 - s), 4) AS sell_volume FROM s""",
+    "fold_sharpe": f"""WITH {_TESTED}, e AS (SELECT symbol, CAST(fold AS INTEGER) AS fold, avg(strategy) / nullif(stddev_samp(strategy), 0) * {_YEAR} AS sharpe FROM tf GROUP BY ALL)
+      SELECT symbol, fold, round(sharpe, 4) AS sharpe, round(avg(sharpe) OVER (PARTITION BY symbol), 4) AS mean, round(stddev_pop(sharpe) OVER (PARTITION BY symbol), 4) AS std FROM e""",
+    "overfitting": f"""WITH {BT}, s AS (SELECT symbol, dayofmonth(open_time) % 6 AS part, avg(strategy) AS score FROM bt GROUP BY ALL),
+      h AS (SELECT a.x * 100 + b.x * 10 + c.x AS half, [a.x, b.x, c.x] AS inside FROM range(0, 6) a(x), range(0, 6) b(x), range(0, 6) c(x) WHERE a.x < b.x AND b.x < c.x),
+      m AS (SELECT half, symbol, avg(score) FILTER (list_contains(inside, part)) AS a, avg(score) FILTER (NOT list_contains(inside, part)) AS b FROM s CROSS JOIN h GROUP BY ALL),
+      r AS (SELECT *, (rank() OVER (PARTITION BY half ORDER BY b NULLS FIRST) + (count(*) OVER (PARTITION BY half, b) - 1) / 2) / count(*) OVER (PARTITION BY half) AS r, row_number() OVER (PARTITION BY half ORDER BY a DESC NULLS LAST, symbol) AS best FROM m),
+      x AS (SELECT greatest(least(r, 1 - 1e-10), 1e-10) AS x FROM r WHERE best = 1) SELECT count(*) AS halves, round(avg(CAST(ln(x / (1 - x)) < 0 AS DOUBLE)), 6) AS pbo FROM x""",
+    "tail_risk": f"""WITH {RETS}, l AS (SELECT symbol, CASE WHEN ret < 0 THEN -ret END AS loss FROM rets), g AS (SELECT symbol, count(loss) AS losses, quantile_cont(loss, 0.95) AS u FROM l GROUP BY symbol),
+      o AS (SELECT l.symbol, loss - u AS e, row_number() OVER (PARTITION BY l.symbol ORDER BY loss) AS i, count(*) OVER (PARTITION BY l.symbol) AS n FROM l JOIN g ON g.symbol = l.symbol WHERE loss > u),
+      b AS (SELECT symbol, any_value(n) AS n, avg(e) AS b0, sum(e * (n - i) / (n - 1)) / any_value(n) AS b1 FROM o WHERE n >= 10 GROUP BY symbol),
+      p AS (SELECT *, 2 - b0 / nullif(b0 - 2 * b1, 0) AS shape, 2 * b0 * b1 / nullif(b0 - 2 * b1, 0) AS scale FROM b),
+      v AS (SELECT g.symbol, losses, u, shape, scale, u + CASE WHEN abs(shape) > 1e-9 THEN scale / shape * (pow(0.01 / (n / losses), -shape) - 1) ELSE -scale * ln(0.01 / (n / losses)) END AS var FROM g LEFT JOIN p ON p.symbol = g.symbol)
+      SELECT symbol, losses, round(var, 6) AS var, CASE WHEN shape < 1 THEN round(var / (1 - shape) + (scale - shape * u) / (1 - shape), 6) WHEN shape >= 1 THEN 'inf'::DOUBLE END AS shortfall FROM v""",
+    "rolling_hurst": f"""WITH {BARS}, q AS (SELECT *, close / nullif(lag(close) OVER ({W}), 0) AS q FROM bars), r AS (SELECT *, CASE WHEN q > 0 THEN ln(q) END AS r FROM q),
+      d AS (SELECT *, {', '.join(f'r - lag(r, {k}) OVER ({W}) AS d{k}' for k in range(2, 20))} FROM r),
+      s AS (SELECT symbol, open_time, count(r) OVER ({W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS c, {', '.join(f'stddev_pop(d{k}) OVER ({W} ROWS BETWEEN {99 - k} PRECEDING AND CURRENT ROW) AS s{k}' for k in range(2, 20))} FROM d),
+      u AS (SELECT symbol, open_time, c, least({', '.join(f's{k}' for k in range(2, 20))}) AS low, unnest([{', '.join(f'ln({k}::DOUBLE)' for k in range(2, 20))}]) AS x, unnest([{', '.join(f'CASE WHEN s{k} > 0 THEN ln(s{k}) END' for k in range(2, 20))}]) AS y FROM s)
+      SELECT symbol, open_time, round(CASE WHEN any_value(c) = 100 THEN CASE WHEN any_value(low) <= 0 THEN 0.5 ELSE 2 * regr_slope(y, x) END END, 5) AS hurst FROM u GROUP BY symbol, open_time""",
+    "table_hash": """WITH h AS (SELECT sha256(concat_ws(chr(31), {})) AS h FROM orders) SELECT count(*) AS n, bit_xor(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS xor_hash, CAST(sum(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS BIGINT) AS sum_hash FROM h""".format(
+        ", ".join("coalesce(" + ("printf('%.6f', o_totalprice)" if c == "o_totalprice" else f"CAST({c} AS VARCHAR)") + ", '\\N')" for c in ("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"))
+    ),
 }

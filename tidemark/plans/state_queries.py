@@ -1,4 +1,4 @@
-"""Queries on recursions that run by blocks: non-stationarity and hidden regimes."""
+"""Queries on states: non-stationarity, hidden regimes, books, moving weights and weekly pauses, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import log, ratio
+from tidemark.functions.solar import sunset_seconds
 from tidemark.operators import bars as B
+from tidemark.operators import calendar as K
+from tidemark.operators import ensemble as N
 from tidemark.operators import manifold, regimes
+from tidemark.plans.bar_queries import RETS, TICKS, W
 from tidemark.plans.flow_queries import tidy
 from tidemark.sources import adapters as A
 from tidemark.streaming.books import replay_books
@@ -47,5 +51,51 @@ def hidden_regimes(spark, sf_dir):
     return tidy(d.select("symbol", "open_time", *[F.element_at("filtered", i + 1).alias(f"regime_{i}") for i in range(3)], "state", "path", "entropy", "change_probability"), 5)
 
 
-QUERIES = {f.__name__: f for f in (nonstationarity, book_replay, hidden_regimes)}
-ORACLE_SQL: dict[str, str] = {}
+#: Three simple models, one of each family.
+FAMILIES = {"follow": "tree", "fade": "deep", "older": "agent"}
+
+
+def _guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = B.with_returns(A.bars(spark, sf_dir))
+    return r.select("symbol", "open_time", C("ret").alias("actual"), B.back("ret").alias("follow"), (-B.back("ret")).alias("fade"), B.back("ret", 2).alias("older")).where("older is not null and follow is not null and actual is not null")
+
+
+def hit_weights(spark, sf_dir):
+    """Weights of three models by their last hundred outcomes."""
+    return tidy(N.hit_weights(_guesses(spark, sf_dir), list(FAMILIES)))
+
+
+def trading_gate(spark, sf_dir):
+    """Predictions by weights that the regime adjusts, confidence in them, and the signals that pass the gate."""
+    g = _guesses(spark, sf_dir)
+    w = N.hit_weights(g, list(FAMILIES))
+    # A prediction has the weights after the outcome before it.
+    w = w.select("symbol", "open_time", *[F.coalesce(F.lag(f"weight_{m}").over(B.ordered()), F.lit(1 / len(FAMILIES))).alias(f"weight_{m}") for m in FAMILIES])
+    n = manifold.nonstationarity(_features(spark, sf_dir), ["ret", "spread", "flow", "size"]).select("symbol", "open_time", "score", "regime_weight")
+    d = N.regime_weights(g.join(w, ["symbol", "open_time"]).join(n, ["symbol", "open_time"]), FAMILIES)
+    d = d.withColumn("prediction", sum((C(f"adjusted_{m}") * C(m) for m in list(FAMILIES)[1:]), C("adjusted_follow") * C("follow")))
+    out = N.signal_gate(d, list(FAMILIES))
+    return tidy(out.select("symbol", "open_time", "prediction", *[f"adjusted_{m}" for m in FAMILIES], "model_confidence", "confidence", "signal_confidence", "signal"))
+
+
+def sabbath(spark, sf_dir):
+    """Whether each tick falls in the weekly pause from Friday's to Saturday's sunset, and when that changes next."""
+    return tidy(K.sabbath(A.ticks(spark, sf_dir).select("event_id", "symbol", "ts")), 0)
+
+
+QUERIES = {f.__name__: f for f in (nonstationarity, book_replay, hidden_regimes, hit_weights, trading_gate, sabbath)}
+
+_SCORES = ", ".join(
+    f"CASE WHEN count(*) OVER f >= 10 THEN 0.7 * avg(CAST(({m} >= 0) = (actual >= 0) AS DOUBLE)) OVER f + 0.3 / (1 + avg(({m} - actual) * ({m} - actual)) OVER f) ELSE 0.5::DOUBLE END AS {m}" for m in FAMILIES
+)
+_SUNSET = lambda day: sunset_seconds(day, K.LATITUDE, K.LONGITUDE)
+ORACLE_SQL = {
+    "hit_weights": f"""WITH RECURSIVE {RETS}, g AS (SELECT symbol, open_time, ret AS actual, lag(ret) OVER ({W}) AS follow, -lag(ret) OVER ({W}) AS fade, lag(ret, 2) OVER ({W}) AS older FROM rets),
+      k AS (SELECT *, row_number() OVER ({W}) AS i FROM g WHERE older IS NOT NULL AND follow IS NOT NULL AND actual IS NOT NULL), s AS MATERIALIZED (SELECT symbol, open_time, i, {_SCORES} FROM k WINDOW f AS ({W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+      w AS (SELECT symbol, open_time, i, {', '.join(f'0.9::DOUBLE / 3 + 0.1::DOUBLE * {m} / (follow + fade + older) AS w_{m}' for m in FAMILIES)} FROM s WHERE i = 1
+        UNION ALL SELECT s.symbol, s.open_time, s.i, {', '.join(f'0.9::DOUBLE * w_{m} + 0.1::DOUBLE * {m} / (follow + fade + older)' for m in FAMILIES)} FROM w JOIN s ON s.symbol = w.symbol AND s.i = w.i + 1)
+      SELECT symbol, open_time, {', '.join(f'round(w_{m}, 6) AS weight_{m}' for m in FAMILIES)} FROM w""",
+    "sabbath": f"""WITH {TICKS}, t AS (SELECT event_id, symbol, ts, epoch_us(ts) / 1e6 AS sec, CAST(floor((epoch_us(ts) / 1e6 + ({K.LONGITUDE * 240.0!r})) / 86400) AS INTEGER) AS d FROM ticks),
+      f AS (SELECT *, d - (((d - 1) % 7) + 7) % 7 AS friday FROM t), p AS (SELECT friday, {_SUNSET('friday')} - {60 * K.BUFFER} AS pause, {_SUNSET('(friday + 1)')} AS resume, {_SUNSET('(friday + 7)')} - {60 * K.BUFFER} AS again FROM (SELECT DISTINCT friday FROM f))
+      SELECT event_id, symbol, ts, CAST(sec >= pause AND sec <= resume AS INTEGER) AS paused, round(CASE WHEN sec >= pause AND sec <= resume THEN resume WHEN sec < pause THEN pause ELSE again END, 0) AS next_event FROM f JOIN p ON p.friday = f.friday""",
+}
