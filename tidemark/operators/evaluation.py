@@ -184,11 +184,14 @@ def toxicity(trades: DataFrame, rows: int = 1000, least: int = 100, history: int
     (may be null).  Of the weights 0.4 (VPIN), 0.3 and 0.3 those of known parts count.
     """
     w = ordered("symbol", ["ts", "event_id"])
-    f = w.rowsBetween(-(rows - 1), 0)
-    n = F.count("side").over(f)
-    imbalance = F.abs(2 * F.sum((C("side") == 1).cast("bigint")).over(f) - n) / n
-    d = trades.withColumn("pin", F.when(n >= least, 0.5 * (1 + F.tanh(2 * (imbalance - 0.3)))))
-    d = d.withColumn("adverse", F.when(F.count("impact").over(f) >= 10, F.avg("impact").over(f)))
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    # Sums over the last rows are differences of running sums, which cost the same for any number of rows.
+    sums = {"_n": C("side").isNotNull().cast("bigint"), "_buys": F.coalesce((C("side") == 1).cast("bigint"), F.lit(0)), "_known": C("impact").isNotNull().cast("bigint"), "_impact": F.coalesce("impact", F.lit(0.0))}
+    d = trades.withColumns({k: F.sum(x).over(run) for k, x in sums.items()})
+    n, buys, known, impact = (C(k) - F.coalesce(F.lag(k, rows).over(w), F.lit(0)) for k in sums)
+    imbalance = F.abs(ratio(2 * buys - n, n))
+    d = d.withColumn("pin", F.when(n >= least, 0.5 * (1 + F.tanh(2 * (imbalance - 0.3)))))
+    d = d.withColumn("adverse", F.when(known >= 10, ratio(impact, known)))
     parts = ((C("vpin_cdf"), 0.4), (F.least(F.lit(1.0), C("adverse") * 10_000 / 50), 0.3), (C("pin"), 0.3))
     total = sum((F.when(x.isNotNull(), wt).otherwise(0.0) for x, wt in parts[1:]), F.when(parts[0][0].isNotNull(), parts[0][1]).otherwise(0.0))
     summed = sum((F.coalesce(x * wt, F.lit(0.0)) for x, wt in parts[1:]), F.coalesce(parts[0][0] * parts[0][1], F.lit(0.0)))

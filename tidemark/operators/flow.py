@@ -96,10 +96,15 @@ def kyle_lambda(ticks: DataFrame, rows: int = 50, least: int = 20, left: int = 1
     volume = F.when(C("side") == 1, C("qty")).otherwise(-C("qty")).cast("double")
     df = ticks.withColumn("v", volume).withColumn("r", ratio(C("price"), back("price", 1, by_ts())) - 1)
     df = df.where(C("r").isNotNull()).withColumn("pairs", F.collect_list(F.struct("v", "r")).over(frame(rows, by_ts()))).withColumn("sd", F.stddev_pop("v").over(frame(rows, by_ts())))
-    df = df.withColumn("kept", F.filter("pairs", lambda x: F.abs(x["v"]) < 3 * C("sd")))
-    n = F.size("kept")
-    total = lambda f: F.aggregate("kept", F.lit(0.0), lambda a, x: a + f(x))
-    sv, sr, svr, svv = total(lambda x: x["v"]), total(lambda x: x["r"]), total(lambda x: x["v"] * x["r"]), total(lambda x: x["v"] * x["v"])
+    names = ("n", "sv", "sr", "svr", "svv")
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
+
+    def add(a: Column, x: Column) -> Column:
+        more = (F.lit(1.0), x["v"], x["r"], x["v"] * x["r"], x["v"] * x["v"])
+        return F.when(F.abs(x["v"]) < 3 * C("sd"), F.struct(*[(a[k] + y).alias(k) for k, y in zip(names, more, strict=True)])).otherwise(a)
+
+    df = df.withColumn("sums", F.aggregate("pairs", zero, add))
+    n, sv, sr, svr, svv = (C(f"sums.{k}") for k in names)
     value = ratio((svr - sv * sr / n) / (n - 1), svv / n - (sv / n) * (sv / n))
     return df.select("event_id", "symbol", "ts", F.when((F.size("pairs") >= least) & (n >= left), value).alias("kyle_lambda"))
 

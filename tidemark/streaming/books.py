@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 DEPTH = 20
 DAY = 24 * 3600 * 1000
 LEVEL = "book_side string, price double"
 COUNTS = "last_update_id bigint, ready boolean, applied bigint, stale bigint, ignored bigint, today bigint, day bigint"
 BOOK = "symbol string, last_update_id bigint, best_bid double, best_ask double, bid_levels int, ask_levels int, applied bigint, stale bigint, ignored bigint, applied_today bigint"
-NAMES = [f.split()[0] for f in BOOK.split(", ")]
+_TYPES = {"string": StringType(), "bigint": LongType(), "double": DoubleType(), "int": IntegerType()}
+ROW = StructType([StructField(f.split()[0], _TYPES[f.split()[1]]) for f in BOOK.split(", ")])
+NAMES = ROW.names
 ORDER = ["update_id", "kind", "book_side", "price", "qty"]
 VALUES = ["book_side", "price", "qty", "at"]
 #: Where streams with this state keep it: the map and value state need this store.
@@ -62,8 +66,9 @@ class Book:
 
     def take(self, number: int, kind: str, rows: list) -> None:
         """All rows (side, price, quantity, milliseconds) of one number."""
-        levels = [(s, float(p), float(q)) for s, p, q, _ in rows if s in self.sides and p == p and q == q]
-        day = max((int(t // DAY) for *_, t in rows if t == t), default=self.day)
+        known = lambda x: x is not None and x == x
+        levels = [(s, float(p), float(q)) for s, p, q, _ in rows if s in self.sides and known(p) and known(q)]
+        day = max((int(t // DAY) for *_, t in rows if known(t)), default=self.day)
         if day > self.day:
             self.today, self.day = 0, day
         if kind == "snapshot":
@@ -125,8 +130,10 @@ class BookProcessor(StatefulProcessor):
         import pandas as pd
 
         book = self._load()
-        for (number, kind), group in _updates(pd.concat(list(rows)).sort_values(ORDER, kind="stable")):
-            book.take(int(number), kind, list(zip(*[group[c] for c in VALUES], strict=True)))
+        pdf = pd.concat(list(rows)).sort_values(ORDER, kind="stable")
+        pdf = pdf[pdf["update_id"].notna()]
+        for (number, kind), own in _runs([pdf[c].tolist() for c in ["update_id", "kind", *VALUES]], 2):
+            book.take(int(number), kind, own)
         self._keep(book)
         if book.day >= 0:
             due = (book.day + 1) * DAY
@@ -158,12 +165,14 @@ def _frame(row: tuple):  # noqa: ANN202
     return pd.DataFrame([row], columns=NAMES).astype({"symbol": object})
 
 
-def _updates(pdf) -> Iterator:  # noqa: ANN001
-    return iter(pdf[pdf["update_id"].notna()].groupby(["update_id", "kind"], sort=False))
+def _runs(columns: list[list], keys: int) -> Iterator:
+    """Successive rows of equal first ``keys`` values: the key and the other values."""
+    for key, rows in groupby(zip(*columns, strict=True), key=lambda r: r[:keys]):
+        yield key, [r[keys:] for r in rows]
 
 
 def _input(updates: DataFrame) -> DataFrame:
-    kind = F.col("kind") if "kind" in updates.columns else F.lit("update")
+    kind = F.coalesce("kind", F.lit("update")) if "kind" in updates.columns else F.lit("update")
     return updates.select("symbol", kind.alias("kind"), "update_id", "ts", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "book_side", F.col("price").cast("double").alias("price"), F.col("qty").cast("double").alias("qty"))
 
 
@@ -189,24 +198,31 @@ def replay_books(updates: DataFrame, depth: int = DEPTH) -> DataFrame:
     """
 
     def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        def done(book: Book, symbol: str):  # noqa: ANN202
+            return pa.RecordBatch.from_pylist([dict(zip(NAMES, book.row(symbol), strict=True))], schema=to_arrow_schema(schema))
+
         # A symbol's update may go on in the next batch: its rows wait until another begins.
         symbol, book, at, waiting = None, None, None, []
-        for pdf in batches:
-            for (name, number, kind), group in pdf.groupby(["symbol", "update_id", "kind"], sort=False, dropna=False):
+        for batch in batches:
+            for (name, number, kind), own in _runs([batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ["symbol", "update_id", "kind", *VALUES]], 3):
                 if book is not None and (name, number, kind) != (symbol, *at):
-                    book.take(int(at[0]), at[1], waiting)
+                    book.take(at[0], at[1], waiting)
                     waiting = []
                     if name != symbol:
-                        yield _frame(book.row(symbol))
+                        yield done(book, symbol)
                         book = None
                 symbol, book, at = name, book or Book(depth), (number, kind)
-                waiting += zip(*[group[c] for c in VALUES], strict=True)
+                waiting += own
         if book is not None:
-            book.take(int(at[0]), at[1], waiting)
-            yield _frame(book.row(symbol))
+            book.take(at[0], at[1], waiting)
+            yield done(book, symbol)
 
+    schema = ROW
     ordered = _input(updates).where("update_id is not null").repartition("symbol").sortWithinPartitions("symbol", *ORDER)
-    return ordered.drop("ts").mapInPandas(run, BOOK)
+    return ordered.drop("ts").mapInArrow(run, BOOK)
 
 
 def recovered_levels(spark: SparkSession, checkpoint: str) -> DataFrame:
