@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -99,6 +100,42 @@ def test_token_files(spark):
     assert len(shard.rules) and list(shard.has_id) == [True, False, True]
 
 
+def pair_counts(symbols):
+    """Occurrences of each pair of neighbours; those of equal symbols from the left without overlap."""
+    counts, k = Counter(), 0
+    for symbol, run in itertools.groupby(symbols):
+        n = len(list(run))
+        counts[symbol, symbol] += n // 2
+        k += n
+        if k < len(symbols):
+            counts[symbol, symbols[k]] += 1
+    return counts
+
+
+def test_grammars_end_when_no_pair_is_frequent():
+    rng = np.random.default_rng(8)
+    cases = [(rng.integers(0, k, int(n)), k) for k in (1, 2, 3, 5) for n in rng.integers(0, 400, 20)]
+    cases += [(np.zeros(1000, np.int64), 1), (np.tile(rng.integers(0, 50, 500), 40), 50)]
+    for ids, base in cases:
+        for least in (2, 4):
+            rules, lengths, symbols = tokenfile.compress(ids, base, least)
+            assert max(pair_counts(symbols.tolist()).values(), default=0) < least
+            assert (rules < base + np.arange(len(rules))[:, None]).all()
+            assert (tokenfile.expand(symbols, rules, lengths, base) == ids).all()
+            for k in range(0, len(rules), 7):
+                assert len(tokenfile.expand(np.array([base + k]), rules, lengths, base)) == lengths[k]
+
+
+def test_pieces_are_encoded_as_in_their_texts():
+    import public_tokenizers as P
+
+    encoder = tokenfile._Encoder(P.path(tokenfile.TOKENIZER))
+    odd = ["abc'''s x'sy don't.'s \xe9'll$'m a.b,c!! x''", "ab" * 200 + "??", "\u0130stanbul.. \ufb01## </s> \xaa~~ <|endoftext|>.!", "a_b_ c__ (e) f)]'"]
+    for text, ids in zip(odd, encoder(odd), strict=True):
+        assert encoder.tokenizer.encode(text, add_special_tokens=False).ids == ids.tolist()
+    assert max(map(len, encoder.known)) <= tokenfile.LONG_PIECE
+
+
 def test_passages(spark):
     def brute(rows, window):
         words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import unicodedata
 from array import array
@@ -21,13 +22,11 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Tokens after which a shard ends; a document is never cut.
 SHARD_TOKENS = 1 << 20
-#: A pair becomes a rule in a round where it occurs so often.
-MIN_PAIRS = 16
-ROUNDS = 10
-#: Rules made in one round at most, the most frequent pairs first; later rounds take up the rest.
-RULES_A_ROUND = 4096
-#: Pieces of text whose ids a Python worker remembers.
+#: A pair becomes a rule if it occurs so often: a rule takes 12 bytes and an occurrence saves 4.
+LEAST = 4
+#: Pieces of text whose ids a Python worker remembers, none of more characters than ``LONG_PIECE``.
 MAX_REMEMBERED = 1_000_000
+LONG_PIECE = 64
 
 _MAGIC = b"TDRP"
 _HEAD = struct.Struct("<4sHHIIIIQ")  # magic, version, 0, first rule's id, rules, symbols, documents, tokens
@@ -36,85 +35,120 @@ _HEAD = struct.Struct("<4sHHIIIIQ")  # magic, version, 0, first rule's id, rules
 # --- the grammar -----------------------------------------------------------------------------
 
 
-_SLOT_BITS = 16
-
-
-def _slot(key: np.ndarray) -> np.ndarray:
+def _mixed(key: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
+        out = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return out ^ (out >> np.uint64(32))
 
 
-def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over ids below ``base``: (rules as pairs, their expansion lengths, sequence).
 
-    Each round counts the adjacent pairs and turns the frequent ones into nonterminals at once;
-    where two such pairs overlap, the more frequent one is replaced, or the first of equals.
-    Rule k is id base + k and refers to earlier ids only.
+    It ends when no pair of neighbours occurs ``least`` times; occurrences of a pair of equal
+    symbols are counted from the left without overlap.  Each round replaces all occurrences of a
+    pair that are more frequent than the occurrences they overlap with, so the most frequent pair
+    is always replaced whole.  A pair that has become rare cannot become frequent again unless a
+    new symbol is in it, so a queue holds the places of frequent pairs and of neighbours of new
+    symbols, and a round reads no other place.  Rule k is id base + k and refers to earlier ids only.
     """
-    seq = ids.astype(np.int64)
-    rules, lengths = [np.empty((0, 2), np.int64)], [np.ones(0, np.int64)]
-    n_rules = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * MIN_PAIRS:
+    least = max(least, 2)
+    n = len(ids)
+    # Neighbours by place; places -1 and n, kept at the end, are outside of the sequence.
+    seq = np.append(ids.astype(np.int64), [-1, -1])
+    right = np.append(np.arange(1, n + 1), [n, n])
+    left = np.append(np.arange(-1, n - 1), [-1, -1])
+    alive = np.append(np.ones(n, bool), [False, False])
+    # Rank of the pair that starts at a place, 0 for places out of the queue.
+    rank, queued = np.zeros(n + 2, np.int64), np.zeros(n + 2, bool)
+    rules, n_rules = [np.empty((0, 2), np.int64)], 0
+    queue = np.arange(max(n - 1, 0))
+    while len(queue) >= least:
+        key = (seq[queue] << 32) | seq[right[queue]]
+        # Pairs whose slot of a hashed table is too rare are too rare themselves; the rest is sorted.
+        slot = (_mixed(key) >> np.uint64(64 - max(10, len(key).bit_length() + 1))).astype(np.int64)
+        able = np.bincount(slot)[slot] >= least
+        queue, key = queue[able], key[able]
+        if not len(queue):
             break
-        key = (seq[:-1] << 32) | seq[1:]
-        ordered = np.sort(key)
-        at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(at, len(ordered)))
-        pairs = ordered[at]
-        frequent = np.flatnonzero(counts >= MIN_PAIRS)
-        if len(frequent) > RULES_A_ROUND:
-            frequent = np.sort(frequent[np.argsort(-counts[frequent], kind="stable")[:RULES_A_ROUND]])
-        if not len(frequent):
+        order = np.argsort(key)
+        ordered = key[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        pair = np.empty(len(key), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        pairs = ordered[new]
+        # In a run of equal symbols every second place counts.
+        counted = np.ones(len(queue), bool)
+        same = np.flatnonzero(seq[queue] == seq[right[queue]])
+        if len(same):
+            at, kind = queue[same], seq[queue[same]]
+            begins = np.concatenate(([True], (right[at[:-1]] != at[1:]) | (kind[1:] != kind[:-1])))
+            number = np.arange(len(at))
+            counted[same] = (number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0
+        counts = np.bincount(pair[counted], minlength=len(pairs))
+        live = counts[pair] >= least
+        if not live.any():
             break
-        pairs, counts = pairs[frequent], counts[frequent]
-        # A hashed table finds each position's pair; of pairs in one slot the most frequent stays,
-        # and the others wait for a later round.
-        slots = np.zeros(1 << _SLOT_BITS, np.int64)
-        by_count = np.argsort(counts, kind="stable")
-        slots[_slot(pairs[by_count])] = by_count
-        where = slots[_slot(key)]
-        weight = np.where(pairs[where] == key, counts[where], 0)
-        before = np.concatenate(([0], weight[:-1]))
-        after = np.concatenate((weight[1:], [0]))
-        chosen = np.flatnonzero((weight > 0) & (weight > before) & (weight >= after))
-        used = np.bincount(where[chosen], minlength=len(pairs))
-        good = used >= MIN_PAIRS
-        chosen = chosen[good[where[chosen]]]
-        if not len(chosen):
-            break
-        new_id = np.cumsum(good) - 1 + base + n_rules
-        made = pairs[good]
-        all_lengths = np.concatenate(lengths)
-
-        def length(x: np.ndarray, known: np.ndarray = all_lengths) -> np.ndarray:
-            return np.where(x < base, 1, known[np.maximum(x - base, 0)] if len(known) else 1)
-
-        left, right = made >> 32, made & 0xFFFFFFFF
-        rules.append(np.stack([left, right], 1))
-        lengths.append(length(left) + length(right))
-        n_rules += len(made)
-        seq[chosen] = new_id[where[chosen]]
-        keep = np.ones(len(seq), bool)
-        keep[chosen + 1] = False
-        seq = seq[keep]
-    return np.concatenate(rules), np.concatenate(lengths), seq
-
-
-def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that a sequence of symbols stands for."""
+        queue, pair, counted = queue[live], pair[live], counted[live]
+        ranks = np.empty(len(pairs), np.int64)
+        ranks[np.lexsort((_mixed(pairs), counts))] = np.arange(1, len(pairs) + 1)
+        own = ranks[pair]
+        rank[queue] = own
+        chosen = counted & (own >= rank[left[queue]]) & (own >= rank[right[queue]])
+        rank[queue] = 0
+        used = np.bincount(pair[chosen], minlength=len(pairs))
+        made = used >= least
+        chosen &= made[pair]
+        ids_of = np.cumsum(made) - 1 + base + n_rules
+        rules.append(np.stack([pairs[made] >> 32, pairs[made] & 0xFFFFFFFF], 1))
+        n_rules += int(made.sum())
+        at = queue[chosen]
+        gone = right[at]
+        after = right[gone]
+        alive[gone] = False
+        seq[at] = ids_of[pair[chosen]]
+        right[at] = after
+        left[after[after < n]] = at[after < n]
+        # A place may come twice: as a frequent pair and beside a new symbol.
+        queued[queue[~chosen]] = queued[at] = queued[left[at]] = True
+        queue = np.flatnonzero(queued)
+        queued[queue] = False
+        queue = queue[alive[queue] & (right[queue] < n)]
+    made = np.concatenate(rules)
+    return made, _expansions(made, base), seq[:n][alive[:n]]
+
+
+def _expansions(rules: np.ndarray, base: int) -> np.ndarray:
+    """The number of ids that each rule stands for; rules of one level of nesting at a time."""
+    lengths = np.zeros(len(rules), np.int64)
+    waiting = np.arange(len(rules))
+    while len(waiting):
+        sides = rules[waiting]
+        known = np.where(sides < base, 1, lengths[np.maximum(sides - base, 0)])
+        ready = (known > 0).all(1)
+        lengths[waiting[ready]] = known[ready].sum(1)
+        waiting = waiting[~ready]
+    return lengths
+
+
+def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The ids that a sequence of symbols stands for; each symbol of the derivation is visited once."""
     seq = seq.astype(np.int64)
+
+    def sizes(x: np.ndarray) -> np.ndarray:
+        out = np.ones(len(x), np.int64)
+        inner = x >= base
+        out[inner] = lengths[x[inner] - base]
+        return out
+
+    ends = np.cumsum(sizes(seq))
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    at = ends - sizes(seq)
     while len(seq):
         inner = seq >= base
-        if not inner.any():
-            break
-        start = np.cumsum(np.where(inner, 2, 1)) - np.where(inner, 2, 1)
-        out = np.empty(len(seq) + int(inner.sum()), np.int64)
-        out[start[~inner]] = seq[~inner]
-        pair = rules[seq[inner] - base]
-        out[start[inner]], out[start[inner] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+        out[at[~inner]] = seq[~inner]
+        pair, at = rules[seq[inner] - base], at[inner]
+        seq, at = pair.T.reshape(-1), np.concatenate((at, at + sizes(pair[:, 0])))
+    return out
 
 
 class Shard:
@@ -137,7 +171,7 @@ class Shard:
             return out
 
         self.rules = take(2 * n_rules, "<u4").reshape(-1, 2).astype(np.int64)
-        self.lengths = take(n_rules, "<u8").astype(np.int64)
+        self.lengths = take(n_rules, "<u4").astype(np.int64)
         self.symbols = take(n_symbols, "<u4").astype(np.int64)
         self.doc_ids = take(n_docs, "<i8")
         self.has_id = take(n_docs, "u1").astype(bool)
@@ -156,7 +190,7 @@ class Shard:
         first = int(np.searchsorted(self.ends, start, side="right"))
         last = int(np.searchsorted(self.ends, stop, side="left"))
         offset = int(self.ends[first - 1]) if first else 0
-        return expand(self.symbols[first : last + 1], self.rules, self.base)[start - offset : stop - offset]
+        return expand(self.symbols[first : last + 1], self.rules, self.lengths, self.base)[start - offset : stop - offset]
 
     def document(self, i: int) -> np.ndarray:
         """The ids of the shard's document ``i``."""
@@ -169,7 +203,7 @@ def shard_bytes(doc_ids: list[int | None], ids: list[np.ndarray], base: int) ->
     rules, lengths, symbols = compress(flat, base)
     head = _HEAD.pack(_MAGIC, 1, 0, base, len(rules), len(symbols), len(doc_ids), len(flat))
     parts = [
-        rules.astype("<u4"), lengths.astype("<u8"), symbols.astype("<u4"),
+        rules.astype("<u4"), lengths.astype("<u4"), symbols.astype("<u4"),
         np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is not None for x in doc_ids], "u1"),
         np.array([len(x) for x in ids], "<u8"),
     ]
@@ -234,12 +268,12 @@ class _Encoder:
         if len(known) > MAX_REMEMBERED:
             known.clear()
         split = [None if any(x in t for x in self.special) else _pieces(t) for t in texts]
-        new = set().union(*(parts for parts in split if parts)) - known.keys()
+        new = set().union(*(parts for parts in split if parts)).difference(known)
         # A word with closing punctuation is the word and the punctuation, split by the tokenizer too.
         tails: dict[str, tuple[str, str]] = {}
         direct = set()
         for piece in new:
-            core = piece.rstrip(".,;:!?")
+            core = piece.rstrip(string.punctuation)
             if core and len(core) < len(piece) and core.isalpha():
                 tails[piece] = core, piece[len(core) :]
                 direct.update(tails[piece])
@@ -254,7 +288,12 @@ class _Encoder:
             known[piece] = known[core] + known[tail]
         whole = iter(self._ids([t for t, parts in zip(texts, split, strict=True) if parts is None]))
         raw = (next(whole) if parts is None else b"".join(map(known.__getitem__, parts)) for parts in split)
-        return [np.frombuffer(b, np.uint32).astype(np.int64) for b in raw]
+        out = [np.frombuffer(b, np.uint32).astype(np.int64) for b in raw]
+        for piece in new:
+            if len(piece) > LONG_PIECE:
+                for x in (piece, *tails.get(piece, ())):
+                    known.pop(x, None)
+        return out
 
 
 def _shards(path: str, end_id: int | None, shard_tokens: int):
