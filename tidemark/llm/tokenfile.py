@@ -41,6 +41,17 @@ def _mixed(key: np.ndarray) -> np.ndarray:
         return out ^ (out >> np.uint64(32))
 
 
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of so many bits in ascending order, and the place that each came from."""
+    own = len(key).bit_length()
+    if bits + own > 63:
+        order = np.argsort(key)
+        return key[order], order
+    # Sorting numbers that end in their place is several times faster than sorting places.
+    both = np.sort((key << own) | np.arange(len(key)))
+    return both >> own, both & ((1 << own) - 1)
+
+
 def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over ids below ``base``: (rules as pairs, their expansion lengths, sequence).
 
@@ -54,43 +65,38 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
     least = max(least, 2)
     n = len(ids)
     # Neighbours by place; places -1 and n, kept at the end, are outside of the sequence.
-    seq = np.append(ids.astype(np.int64), [-1, -1])
-    right = np.append(np.arange(1, n + 1), [n, n])
-    left = np.append(np.arange(-1, n - 1), [-1, -1])
+    seq, right, left = np.full(n + 2, -1, np.int32), np.full(n + 2, n, np.int32), np.full(n + 2, -1, np.int32)
+    seq[:n], right[:n], left[:n] = ids, np.arange(1, n + 1), np.arange(-1, n - 1)
     alive = np.append(np.ones(n, bool), [False, False])
     # Rank of the pair that starts at a place, 0 for places out of the queue.
-    rank, queued = np.zeros(n + 2, np.int64), np.zeros(n + 2, bool)
+    rank, queued = np.zeros(n + 2, np.int32), np.zeros(n + 2, bool)
     rules, n_rules = [np.empty((0, 2), np.int64)], 0
     queue = np.arange(max(n - 1, 0))
     while len(queue) >= least:
-        key = (seq[queue] << 32) | seq[right[queue]]
-        # Pairs whose slot of a hashed table is too rare are too rare themselves; the rest is sorted.
-        slot = (_mixed(key) >> np.uint64(64 - max(10, len(key).bit_length() + 1))).astype(np.int64)
-        able = np.bincount(slot)[slot] >= least
-        queue, key = queue[able], key[able]
-        if not len(queue):
-            break
-        order = np.argsort(key)
-        ordered = key[order]
+        bits = (base + n_rules).bit_length()
+        first, second = seq[queue], seq[right[queue]]
+        ordered, order = _sorted((first.astype(np.int64) << bits) | second, 2 * bits)
         new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        pair = np.empty(len(key), np.int64)
-        pair[order] = np.cumsum(new) - 1
+        pair = np.empty(len(queue), np.int32)
+        pair[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         pairs = ordered[new]
         # In a run of equal symbols every second place counts.
         counted = np.ones(len(queue), bool)
-        same = np.flatnonzero(seq[queue] == seq[right[queue]])
+        same = np.flatnonzero(first == second)
         if len(same):
-            at, kind = queue[same], seq[queue[same]]
+            at, kind = queue[same], first[same]
             begins = np.concatenate(([True], (right[at[:-1]] != at[1:]) | (kind[1:] != kind[:-1])))
             number = np.arange(len(at))
             counted[same] = (number - np.maximum.accumulate(np.where(begins, number, 0))) % 2 == 0
         counts = np.bincount(pair[counted], minlength=len(pairs))
-        live = counts[pair] >= least
-        if not live.any():
+        frequent = np.flatnonzero(counts >= least)
+        if not len(frequent):
             break
+        ranks = np.zeros(len(pairs), np.int32)
+        by_count = np.lexsort((_mixed(pairs[frequent]), counts[frequent]))
+        ranks[frequent[by_count]] = np.arange(1, len(frequent) + 1)
+        live = ranks[pair] > 0
         queue, pair, counted = queue[live], pair[live], counted[live]
-        ranks = np.empty(len(pairs), np.int64)
-        ranks[np.lexsort((_mixed(pairs), counts))] = np.arange(1, len(pairs) + 1)
         own = ranks[pair]
         rank[queue] = own
         chosen = counted & (own >= rank[left[queue]]) & (own >= rank[right[queue]])
@@ -99,7 +105,7 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
         made = used >= least
         chosen &= made[pair]
         ids_of = np.cumsum(made) - 1 + base + n_rules
-        rules.append(np.stack([pairs[made] >> 32, pairs[made] & 0xFFFFFFFF], 1))
+        rules.append(np.stack([pairs[made] >> bits, pairs[made] & ((1 << bits) - 1)], 1))
         n_rules += int(made.sum())
         at = queue[chosen]
         gone = right[at]
@@ -114,7 +120,7 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray
         queued[queue] = False
         queue = queue[alive[queue] & (right[queue] < n)]
     made = np.concatenate(rules)
-    return made, _expansions(made, base), seq[:n][alive[:n]]
+    return made, _expansions(made, base), seq[:n][alive[:n]].astype(np.int64)
 
 
 def _expansions(rules: np.ndarray, base: int) -> np.ndarray:
