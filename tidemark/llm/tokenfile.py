@@ -218,8 +218,7 @@ def shard_bytes(doc_ids: list[int | None], ids: list[np.ndarray], base: int) ->
 
 # --- encoding --------------------------------------------------------------------------------
 
-_remembered: dict[str, dict[str, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+_remembered: dict[str, _Pieces] = {}
 _SEPARATORS = re.compile(r"[\x1c-\x1f]").search
 
 
@@ -244,6 +243,33 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+class _Pieces(dict):
+    """The ids of pieces of text as bytes, found when first asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.letters = dict(enumerate(_byte_letters()))
+
+    def __missing__(self, piece: str) -> bytes:
+        core = piece.rstrip(string.punctuation)
+        if core and len(core) < len(piece) and core.isalpha():
+            # A word with closing punctuation is the word and the punctuation, split by the tokenizer too.
+            ids = self[core] + self[piece[len(core) :]]
+        elif piece.isalpha() and piece.islower() and unicodedata.is_normalized("NFC", piece):
+            # A word of lower-case letters is one match of the pattern, for the model alone.
+            word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        else:
+            ids = self.whole(piece)
+        if len(piece) <= LONG_PIECE:
+            self[piece] = ids
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        """The ids of a text by the tokenizer."""
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+
 class _Encoder:
     """Encodes texts piece by piece; a worker remembers pieces' ids across tasks."""
 
@@ -251,54 +277,21 @@ class _Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        if path not in _tokenizers:
-            _tokenizers[path] = Tokenizer.from_file(path)
-        self.tokenizer = _tokenizers[path]
+        if path not in _remembered:
+            _remembered[path] = _Pieces(Tokenizer.from_file(path))
+        self.known = _remembered[path]
+        self.tokenizer = self.known.tokenizer
         # Special tokens are found in the text as it is written, so such a text is encoded whole.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = _remembered.setdefault(path, {})
-        self.letters = dict(enumerate(_byte_letters()))
-        self.model = self.tokenizer.model
-
-    def _word(self, word: str) -> bytes:
-        """The ids of a word of lower-case letters: one match of the pattern, for the model alone."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        if len(known) > MAX_REMEMBERED:
-            known.clear()
-        split = [None if any(x in t for x in self.special) else _pieces(t) for t in texts]
-        new = set().union(*(parts for parts in split if parts)).difference(known)
-        # A word with closing punctuation is the word and the punctuation, split by the tokenizer too.
-        tails: dict[str, tuple[str, str]] = {}
-        direct = set()
-        for piece in new:
-            core = piece.rstrip(string.punctuation)
-            if core and len(core) < len(piece) and core.isalpha():
-                tails[piece] = core, piece[len(core) :]
-                direct.update(tails[piece])
-            else:
-                direct.add(piece)
-        direct = [x for x in direct if x not in known]
-        words = [x for x in direct if x.isalpha() and x.islower() and unicodedata.is_normalized("NFC", x)]
-        known.update(zip(words, map(self._word, words), strict=True))
-        direct = [x for x in direct if x not in known]
-        known.update(zip(direct, self._ids(direct), strict=True))
-        for piece, (core, tail) in tails.items():
-            known[piece] = known[core] + known[tail]
-        whole = iter(self._ids([t for t, parts in zip(texts, split, strict=True) if parts is None]))
-        raw = (next(whole) if parts is None else b"".join(map(known.__getitem__, parts)) for parts in split)
-        out = [np.frombuffer(b, np.uint32).astype(np.int64) for b in raw]
-        for piece in new:
-            if len(piece) > LONG_PIECE:
-                for x in (piece, *tails.get(piece, ())):
-                    known.pop(x, None)
+        known, out = self.known, []
+        for text in texts:
+            if len(known) > MAX_REMEMBERED:
+                known.clear()
+            whole = any(x in text for x in self.special)
+            raw = known.whole(text) if whole else b"".join(map(known.__getitem__, _pieces(text)))
+            out.append(np.frombuffer(raw, np.uint32).astype(np.int64))
         return out
 
 
