@@ -138,22 +138,17 @@ def _expansions(rules: np.ndarray, base: int) -> np.ndarray:
 
 def expand(seq: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
     """The ids that a sequence of symbols stands for; each symbol of the derivation is visited once."""
-    seq = seq.astype(np.int64)
-
-    def sizes(x: np.ndarray) -> np.ndarray:
-        out = np.ones(len(x), np.int64)
-        inner = x >= base
-        out[inner] = lengths[x[inner] - base]
-        return out
-
-    ends = np.cumsum(sizes(seq))
-    out = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
-    at = ends - sizes(seq)
+    sizes = np.concatenate((np.ones(base, np.int32), lengths.astype(np.int32)))
+    first, second = (np.ascontiguousarray(side, np.int32) for side in rules.T)
+    own = sizes[seq]
+    out = np.empty(int(own.sum()), np.int32)
+    at = np.cumsum(own) - own
     while len(seq):
         inner = seq >= base
         out[at[~inner]] = seq[~inner]
-        pair, at = rules[seq[inner] - base], at[inner]
-        seq, at = pair.T.reshape(-1), np.concatenate((at, at + sizes(pair[:, 0])))
+        rule, at = seq[inner] - base, at[inner]
+        left = first[rule]
+        seq, at = np.concatenate((left, second[rule])), np.concatenate((at, at + sizes[left]))
     return out
 
 
@@ -219,7 +214,7 @@ def shard_bytes(doc_ids: list[int | None], ids: list[np.ndarray], base: int) ->
 # --- encoding --------------------------------------------------------------------------------
 
 _remembered: dict[str, _Pieces] = {}
-_SEPARATORS = re.compile(r"[\x1c-\x1f]").search
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def _pieces(text: str) -> list[str]:
@@ -229,10 +224,10 @@ def _pieces(text: str) -> list[str]:
     have the same ids as in the text.  Texts where that order matters stay as they are.
     """
     low = text.lower()
-    if "\u03a3" in text or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+    if not text.isascii() and ("\u03a3" in text or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))):
         low = text
     # Python takes four control characters for white space that the tokenizer does not.
-    return re.split(r"[ \n\r\t]+", low) if _SEPARATORS(low) else low.split()
+    return re.split(r"[ \n\r\t]+", low) if any(x in low for x in _SEPARATORS) else low.split()
 
 
 def _byte_letters() -> list[str]:
