@@ -373,35 +373,36 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return shards.join(stored(offsets, "offsets"), "part").withColumn("start", F.col("offset") + F.col("before"))
 
 
-def _documents(batches) -> Iterator:
-    import pyarrow as pa
-
-    for batch in batches:
-        for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            shard = Shard(data.as_py())
-            at = np.append(shard.starts, shard.n_tokens)
-            flat = shard.tokens(0, shard.n_tokens).astype(np.int32)
-            for i in range(0, len(shard.sizes), 500):
-                own = at[i : i + 501]
-                rows = pa.array([int(x) if ok else None for x, ok in zip(shard.doc_ids[i : i + 500], shard.has_id[i : i + 500], strict=True)], pa.int64())
-                values = pa.array(flat[own[0] : own[-1]])
-                values_le = flat[own[0] : own[-1]].astype("<u4").tobytes()
-                ids = pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), values)
-                raw = [values_le[4 * a : 4 * b] for a, b in zip(own[:-1] - own[0], own[1:] - own[0], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [rows, pa.array(own[:-1] + start), ids, pa.array(raw, pa.binary())], names=["doc_id", "start", "ids", "ids_le"]
-                )
-
-
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids array<int>, ids_le binary: little-endian 32-bit) of all documents written."""
-    return read_shards(spark, path).select("start", "data").mapInArrow(
-        _documents, "doc_id bigint, start bigint, ids array<int>, ids_le binary"
-    )
+def _documents(with_ids: bool):
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                shard = Shard(data.as_py())
+                at = np.append(shard.starts, shard.n_tokens)
+                flat = shard.tokens(0, shard.n_tokens).astype(np.int32)
+                for i in range(0, len(shard.sizes), 500):
+                    own = at[i : i + 501]
+                    rows = pa.array([int(x) if ok else None for x, ok in zip(shard.doc_ids[i : i + 500], shard.has_id[i : i + 500], strict=True)], pa.int64())
+                    values_le = flat[own[0] : own[-1]].astype("<u4").tobytes()
+                    raw = [values_le[4 * a : 4 * b] for a, b in zip(own[:-1] - own[0], own[1:] - own[0], strict=True)]
+                    columns = [rows, pa.array(own[:-1] + start), pa.array(np.diff(own)), pa.array(raw, pa.binary())]
+                    if with_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(flat[own[0] : own[-1]])))
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_le", "ids"][: len(columns)])
+
+    return run
+
+
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_le binary: little-endian 32-bit, ids array<int> if asked for) of all documents written."""
+    kinds = "doc_id bigint, start bigint, n_tokens bigint, ids_le binary" + (", ids array<int>" if with_ids else "")
+    return read_shards(spark, path).select("start", "data").mapInArrow(_documents(with_ids), kinds)
 
 
 def op8_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's place, size and checksum, read back from written shards."""
     path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path)
-    return read_tokens(spark, path).select("doc_id", "start", F.size("ids").cast("bigint").alias("n_tokens"), F.crc32("ids_le").alias("ids_crc32"))
+    return read_tokens(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
