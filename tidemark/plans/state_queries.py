@@ -1,4 +1,4 @@
-"""Queries on states: non-stationarity, hidden regimes, books, moving weights and weekly pauses, and their SQL."""
+"""Queries on states: non-stationarity, hidden regimes, books, moving weights, weekly pauses and wavelets, and their SQL."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ from tidemark.functions.solar import sunset_seconds
 from tidemark.operators import bars as B
 from tidemark.operators import calendar as K
 from tidemark.operators import ensemble as N
-from tidemark.operators import manifold, regimes
-from tidemark.plans.bar_queries import RETS, TICKS, W
+from tidemark.operators import manifold, regimes, wavelets
+from tidemark.plans.bar_queries import BARS, RETS, TICKS, W
 from tidemark.plans.flow_queries import tidy
 from tidemark.sources import adapters as A
 from tidemark.streaming.books import replay_books
@@ -83,13 +83,41 @@ def sabbath(spark, sf_dir):
     return tidy(K.sabbath(A.ticks(spark, sf_dir).select("event_id", "symbol", "ts")), 0)
 
 
-QUERIES = {f.__name__: f for f in (nonstationarity, book_replay, hidden_regimes, hit_weights, trading_gate, sabbath)}
+def wavelet_coefficients(spark, sf_dir):
+    """Four levels of wavelet coefficients of each symbol's closes."""
+    d = wavelets.decompose(A.bars(spark, sf_dir))
+    return tidy(d.select("symbol", "level", C("i").alias("place"), C("a").alias("approximation"), C("d").alias("detail")))
+
+
+def wavelet_denoised(spark, sf_dir):
+    """Closes without small wavelet details."""
+    return tidy(wavelets.denoised(A.bars(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (nonstationarity, book_replay, hidden_regimes, hit_weights, trading_gate, sabbath, wavelet_coefficients, wavelet_denoised)}
 
 _SCORES = ", ".join(
     f"CASE WHEN count(*) OVER f >= 10 THEN 0.7 * avg(CAST(({m} >= 0) = (actual >= 0) AS DOUBLE)) OVER f + 0.3 / (1 + avg(({m} - actual) * ({m} - actual)) OVER f) ELSE 0.5::DOUBLE END AS {m}" for m in FAMILIES
 )
+_LOW, _HIGH = wavelets.filters("db4")
+_TAPS = ", ".join(f"({j}, {a!r}, {b!r})" for j, (a, b) in enumerate(zip(_LOW, _HIGH, strict=True)))
+_LEVELS = f"""{BARS}, taps(j, low, high) AS (VALUES {_TAPS}),
+      l0 AS MATERIALIZED (SELECT symbol, open_time, close, CAST(row_number() OVER ({W}) - 1 AS BIGINT) AS i, count(*) OVER (PARTITION BY symbol) AS n, close AS a FROM bars WHERE isfinite(close))""" + "".join(
+    f""", p{k} AS (SELECT symbol, n, i, j, low, high, (((2 * i + 1 - j) % (2 * n)) + 2 * n) % (2 * n) AS p FROM (SELECT symbol, n, unnest(range((n + 7) // 2)) AS i FROM (SELECT DISTINCT symbol, n FROM l{k - 1})) CROSS JOIN taps),
+      l{k} AS MATERIALIZED (SELECT p.symbol, (p.n + 7) // 2 AS n, p.i, sum(low * a) AS a, sum(high * a) AS d FROM p{k} p JOIN l{k - 1} x ON x.symbol = p.symbol AND x.i = CASE WHEN p.p < p.n THEN p.p ELSE 2 * p.n - 1 - p.p END GROUP BY ALL)"""
+    for k in range(1, 5)
+)
+_RAISED = ", r4 AS (SELECT symbol, i, a FROM l4)" + "".join(
+    f""", c{k} AS (SELECT l.symbol, l.i, r.a, sign(d) * greatest(abs(d) - 0.3 * max(abs(d)) OVER (PARTITION BY l.symbol), 0) AS d FROM l{k} l JOIN r{k} r ON r.symbol = l.symbol AND r.i = l.i),
+      r{k - 1} AS MATERIALIZED (SELECT symbol, 2 * c.i + 1 - j AS i, sum(low * a + high * d) AS a FROM c{k} c CROSS JOIN taps GROUP BY ALL)"""
+    for k in range(4, 0, -1)
+)
 _SUNSET = lambda day: sunset_seconds(day, K.LATITUDE, K.LONGITUDE)
 ORACLE_SQL = {
+    "wavelet_coefficients": f"WITH {_LEVELS} "
+    + " UNION ALL ".join(f"SELECT symbol, {k} AS level, i AS place, round(a, 6) AS approximation, round(d, 6) AS detail FROM l{k}" for k in range(1, 5)),
+    "wavelet_denoised": f"""WITH {_LEVELS}{_RAISED} SELECT b.symbol, b.open_time, round(b.close, 6) AS close, round(r.a, 6) AS denoised
+      FROM bars b LEFT JOIN l0 ON l0.symbol = b.symbol AND l0.open_time = b.open_time LEFT JOIN r0 r ON r.symbol = l0.symbol AND r.i = l0.i""",
     "hit_weights": f"""WITH RECURSIVE {RETS}, g AS (SELECT symbol, open_time, ret AS actual, lag(ret) OVER ({W}) AS follow, -lag(ret) OVER ({W}) AS fade, lag(ret, 2) OVER ({W}) AS older FROM rets),
       k AS (SELECT *, row_number() OVER ({W}) AS i FROM g WHERE older IS NOT NULL AND follow IS NOT NULL AND actual IS NOT NULL), s AS MATERIALIZED (SELECT symbol, open_time, i, {_SCORES} FROM k WINDOW f AS ({W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
       w AS (SELECT symbol, open_time, i, {', '.join(f'0.9::DOUBLE / 3 + 0.1::DOUBLE * {m} / (follow + fade + older) AS w_{m}' for m in FAMILIES)} FROM s WHERE i = 1
