@@ -1,12 +1,15 @@
-"""Queries on states: non-stationarity, hidden regimes, books, moving weights, weekly pauses and wavelets, and their SQL."""
+"""Queries on states: non-stationarity, hidden regimes, books, moving weights, weekly pauses, wavelets and replay logs, and their SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import log, ratio
 from tidemark.functions.solar import sunset_seconds
+from tidemark.functions.tables import shared_folder
 from tidemark.operators import bars as B
 from tidemark.operators import calendar as K
 from tidemark.operators import ensemble as N
@@ -14,6 +17,7 @@ from tidemark.operators import manifold, regimes, wavelets
 from tidemark.plans.bar_queries import BARS, RETS, TICKS, W
 from tidemark.plans.flow_queries import tidy
 from tidemark.sources import adapters as A
+from tidemark.sources import replay
 from tidemark.streaming.books import replay_books
 
 C = F.col
@@ -94,7 +98,29 @@ def wavelet_denoised(spark, sf_dir):
     return tidy(wavelets.denoised(A.bars(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (nonstationarity, book_replay, hidden_regimes, hit_weights, trading_gate, sabbath, wavelet_coefficients, wavelet_denoised)}
+def _logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks in a replay log, a session a symbol, as read back; every 50th is lost on the way and every 40th written twice."""
+    t = replay.numbered(A.ticks(spark, sf_dir).withColumn("session", C("symbol")))
+    data = F.struct(C("price").cast("decimal(18,6)").alias("price"), F.struct(C("ts").alias("at"), F.array(C("qty").cast("decimal(38,0)")).alias("sizes")).alias("order"))
+    t = t.select("event_id", "session", "seq", "ts", F.when(C("side") == 1, "buy").otherwise("sell").alias("type"), data.alias("data"))
+    path = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    replay.write_log(t.where("event_id % 50 <> 0"), path)
+    replay.write_log(t.where("event_id % 40 = 0 and event_id % 50 <> 0"), path)
+    return replay.read_log(spark, path, t.schema["data"].dataType)
+
+
+def replayed_ticks(spark, sf_dir):
+    """Ticks written to a replay log and read back, each once, with exact decimals and times."""
+    d = replay.once(_logged(spark, sf_dir))
+    return d.select("session", "seq", "type", C("data.price").alias("price"), C("data.order.at").alias("at"), F.element_at("data.order.sizes", 1).cast("bigint").alias("qty"))
+
+
+def sequence_gaps(spark, sf_dir):
+    """Where the sequence numbers of a replay log jump."""
+    return replay.gaps(_logged(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (replayed_ticks, sequence_gaps, nonstationarity, book_replay, hidden_regimes, hit_weights, trading_gate, sabbath, wavelet_coefficients, wavelet_denoised)}
 
 _SCORES = ", ".join(
     f"CASE WHEN count(*) OVER f >= 10 THEN 0.7 * avg(CAST(({m} >= 0) = (actual >= 0) AS DOUBLE)) OVER f + 0.3 / (1 + avg(({m} - actual) * ({m} - actual)) OVER f) ELSE 0.5::DOUBLE END AS {m}" for m in FAMILIES
@@ -112,8 +138,12 @@ _RAISED = ", r4 AS (SELECT symbol, i, a FROM l4)" + "".join(
       r{k - 1} AS MATERIALIZED (SELECT symbol, 2 * c.i + 1 - j AS i, sum(low * a + high * d) AS a FROM c{k} c CROSS JOIN taps GROUP BY ALL)"""
     for k in range(4, 0, -1)
 )
+_NUMBERED = f"{TICKS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS seq FROM ticks), kept AS (SELECT * FROM numbered WHERE event_id % 50 <> 0)"
 _SUNSET = lambda day: sunset_seconds(day, K.LATITUDE, K.LONGITUDE)
 ORACLE_SQL = {
+    "replayed_ticks": f"""WITH {_NUMBERED} SELECT symbol AS session, seq, CASE WHEN side = 1 THEN 'buy' ELSE 'sell' END AS type, CAST(price AS DECIMAL(18, 6)) AS price, ts AS at, qty FROM kept""",
+    "sequence_gaps": f"""WITH {_NUMBERED}, g AS (SELECT symbol AS session, lag(seq) OVER (PARTITION BY symbol ORDER BY seq) AS after, seq AS before FROM kept)
+      SELECT *, before - after - 1 AS missing FROM g WHERE before > after + 1""",
     "wavelet_coefficients": f"WITH {_LEVELS} "
     + " UNION ALL ".join(f"SELECT symbol, {k} AS level, i AS place, round(a, 6) AS approximation, round(d, 6) AS detail FROM l{k}" for k in range(1, 5)),
     "wavelet_denoised": f"""WITH {_LEVELS}{_RAISED} SELECT b.symbol, b.open_time, round(b.close, 6) AS close, round(r.a, 6) AS denoised
