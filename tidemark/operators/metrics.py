@@ -146,6 +146,14 @@ def pnl_heatmap(trades: DataFrame) -> DataFrame:
     return grid.join(sums, (C("month") == C("m")) & (C("weekday") == C("d")), "left").select("month", "weekday", F.coalesce("pnl", F.lit(0.0)).alias("pnl"))
 
 
+def hourly_heatmap(trades: DataFrame) -> DataFrame:
+    """Profit by hour and weekday (Monday: 0), with a row for each of the 168 pairs, 0 where nothing was traded."""
+    grid = trades.sparkSession.range(168).select((C("id") / 7).cast("int").alias("hour"), (C("id") % 7).cast("int").alias("weekday"))
+    sums = trades.groupBy(F.hour("ts").alias("h"), F.weekday("ts").alias("d")).agg(F.sum("pnl").alias("pnl"), F.count("pnl").alias("trades"))
+    joined = grid.join(sums, (C("hour") == C("h")) & (C("weekday") == C("d")), "left")
+    return joined.select("hour", "weekday", F.coalesce("pnl", F.lit(0.0)).alias("pnl"), F.coalesce("trades", F.lit(0)).cast("bigint").alias("trades"))
+
+
 def pnl_pivot(trades: DataFrame) -> DataFrame:
     """Profit by month, a column for each weekday from Monday, 0."""
     return trades.withColumn("_d", F.weekday("ts")).groupBy(F.month("ts").alias("month")).pivot("_d", list(range(7))).agg(F.sum("pnl")).na.fill(0.0).select("month", *[C(str(i)).alias(f"day_{i}") for i in range(7)])

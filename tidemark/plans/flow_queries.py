@@ -170,6 +170,12 @@ def pnl_heatmap(spark, sf_dir):
     return tidy(M.pnl_heatmap(A.trades_log(spark, sf_dir)), 2)
 
 
+def hourly_heatmap(spark, sf_dir):
+    """What a crossing of moving averages earned by hour and weekday."""
+    b = P.backtest(P.moving_average_signal(A.bars(spark, sf_dir)))
+    return tidy(M.hourly_heatmap(b.select(C("open_time").alias("ts"), C("strategy").alias("pnl"))), 5)
+
+
 def pnl_pivot(spark, sf_dir):
     """Profit by month, weekdays as columns."""
     return tidy(M.pnl_pivot(A.trades_log(spark, sf_dir)), 2)
@@ -319,7 +325,7 @@ def purged_folds(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     book_state, book_levels, book_vwap, quote_flow, spread_impact, kyle_lambda, tick_features, imbalance_signals, volume_bars, vpin, bulk_classified, decayed_flow, hawkes_intensity,
     trade_through_asof, return_metrics, drawdowns, value_at_risk, alpha_beta, prediction_metrics, information_coefficient, quantile_returns, trade_summary, daily_sharpe, equity_drawdown,
-    pnl_heatmap, pnl_pivot, pnl_histogram, version_performance, parity_compare, replay_summary, backtest, round_trips, walk_forward, position_fold, position_fold_averaged, risk_checks, price_jumps,
+    pnl_heatmap, hourly_heatmap, pnl_pivot, pnl_histogram, version_performance, parity_compare, replay_summary, backtest, round_trips, walk_forward, position_fold, position_fold_averaged, risk_checks, price_jumps,
     rate_limit_rolling, rate_limit_session, loss_breaker, latest_position, top_trades, dedup_first, index_sets, open_interest_change, feature_leakage, ks_shift, purged_folds,
 )}
 
@@ -479,6 +485,9 @@ ORACLE_SQL = {
       p AS (SELECT *, max(equity) OVER (ORDER BY day) AS peak FROM e) SELECT day, trades, {_r({'pnl': 'pnl', 'equity': 'equity', 'drawdown': 'equity - peak', 'drawdown_share': '(equity - peak) / peak'}, 2)} FROM p""",
     "pnl_heatmap": f"""WITH {LOG}, s AS (SELECT month(ts) AS m, isodow(ts) - 1 AS d, sum(pnl) AS pnl FROM trades GROUP BY ALL)
       SELECT CAST(a.month AS INTEGER) AS month, CAST(b.weekday AS INTEGER) AS weekday, round(coalesce(pnl, 0), 2) AS pnl FROM range(1, 13) a(month) CROSS JOIN range(0, 7) b(weekday) LEFT JOIN s ON s.m = a.month AND s.d = b.weekday""",
+    "hourly_heatmap": f"""WITH {BT}, s AS (SELECT hour(open_time) AS h, isodow(open_time) - 1 AS d, sum(strategy) AS pnl, count(strategy) AS trades FROM bt GROUP BY ALL)
+      SELECT CAST(a.hour AS INTEGER) AS hour, CAST(b.weekday AS INTEGER) AS weekday, round(coalesce(pnl, 0), 5) AS pnl, coalesce(trades, 0) AS trades
+      FROM range(0, 24) a(hour) CROSS JOIN range(0, 7) b(weekday) LEFT JOIN s ON s.h = a.hour AND s.d = b.weekday""",
     "pnl_pivot": f"WITH {LOG} SELECT CAST(month(ts) AS INTEGER) AS month, {', '.join(f'round(coalesce(sum(pnl) FILTER (isodow(ts) = {i + 1}), 0), 2) AS day_{i}' for i in range(7))} FROM trades GROUP BY ALL",
     "pnl_histogram": f"""WITH {LOG}, e AS (SELECT min(pnl) AS lo, max(pnl) AS hi FROM trades)
       SELECT coalesce(CAST(least(floor((pnl - lo) * 50 / nullif(hi - lo, 0)), 49) AS INTEGER), 0) AS bin, count(*) AS n, round(sum(pnl), 2) AS pnl FROM trades, e GROUP BY ALL""",

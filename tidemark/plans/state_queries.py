@@ -14,6 +14,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import calendar as K
 from tidemark.operators import ensemble as N
 from tidemark.operators import manifold, regimes, wavelets
+from tidemark.operators.safety import safety_verdicts
 from tidemark.plans.bar_queries import BARS, RETS, TICKS, W
 from tidemark.plans.flow_queries import tidy
 from tidemark.sources import adapters as A
@@ -120,7 +121,13 @@ def sequence_gaps(spark, sf_dir):
     return replay.gaps(_logged(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (replayed_ticks, sequence_gaps, nonstationarity, book_replay, hidden_regimes, hit_weights, trading_gate, sabbath, wavelet_coefficients, wavelet_denoised)}
+def safety_chain(spark, sf_dir):
+    """The first safety rule that each user's ticks, taken as orders, break."""
+    users = A.table(spark, sf_dir, "events").select(C("event_id").alias("id"), C("user_id").alias("account"))
+    return tidy(safety_verdicts(A.ticks(spark, sf_dir).withColumnRenamed("event_id", "id").join(users, "id")))
+
+
+QUERIES = {f.__name__: f for f in (safety_chain, replayed_ticks, sequence_gaps, nonstationarity, book_replay, hidden_regimes, hit_weights, trading_gate, sabbath, wavelet_coefficients, wavelet_denoised)}
 
 _SCORES = ", ".join(
     f"CASE WHEN count(*) OVER f >= 10 THEN 0.7 * avg(CAST(({m} >= 0) = (actual >= 0) AS DOUBLE)) OVER f + 0.3 / (1 + avg(({m} - actual) * ({m} - actual)) OVER f) ELSE 0.5::DOUBLE END AS {m}" for m in FAMILIES
