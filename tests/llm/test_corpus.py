@@ -231,8 +231,11 @@ def test_near_duplicates(spark):
         got = {r.doc_id: (r.component_id, r.kept) for r in near.near_duplicates(texts(spark, rows), tile=tile).collect()}
         assert {got[i][0] for i in (100, 101, 102, *range(200, 220))} == {100}
         assert got[103] == (103, True) and got[105] == (104, False) and got[106] == (106, True)
-    left = sorted(r.doc_id for r in near.drop_near_duplicates(texts(spark, rows + [(103, rows[3][1])])).collect())
-    assert left == [100, 103, 104, 106]
+    clashing = texts(spark, rows + [(103, rows[3][1])]).withColumns({c: F.lit(c) for c in ("gone", "twice", "n", "_gone", "node", "id")})
+    left = near.drop_near_duplicates(clashing)
+    assert left.columns == clashing.columns
+    left = left.collect()
+    assert sorted(r.doc_id for r in left) == [100, 103, 104, 106] and {(r.gone, r.twice, r.n) for r in left} == {("gone", "twice", "n")}
     assert near.near_duplicates(texts(spark, [])).count() == 0
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import connected_components, sorted_groups, stored, table, tiled, whole_groups
+from tidemark.llm.mixing import hidden_prefix
 
 WORDS = 5
 MIN_SIMILARITY = 0.8
@@ -532,12 +533,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The document of least id stays of each group, one row of it; rows with a null id or text stay.
     """
     found = near_duplicates(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **how)
-    gone = stored(found.where("not kept").select(F.col(id_col).alias("gone")).distinct(), "gone")
-    left = docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
-    alike = left.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("twice")).agg(F.count("*").alias("n")).where("n > 1").select("twice")
-    alike = stored(alike, "twice")
-    once = left.join(alike, F.col(id_col) == F.col("twice"), "left_anti")
-    first = left.join(alike, F.col(id_col) == F.col("twice"), "left_semi").dropDuplicates([id_col])
+    p = hidden_prefix(docs)
+    gone = stored(found.where("not kept").select(F.col(id_col).alias(f"{p}gone")).distinct(), "gone")
+    left = docs.join(gone, F.col(id_col) == F.col(f"{p}gone"), "left_anti")
+    alike = left.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(f"{p}twice")).agg(F.count("*").alias(f"{p}n")).where(F.col(f"{p}n") > 1)
+    alike = stored(alike.select(f"{p}twice"), "twice")
+    once = left.join(alike, F.col(id_col) == F.col(f"{p}twice"), "left_anti")
+    first = left.join(alike, F.col(id_col) == F.col(f"{p}twice"), "left_semi").dropDuplicates([id_col])
     return once.unionByName(first)
 
 
