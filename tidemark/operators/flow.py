@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import log, normal_cdf, ratio
 from tidemark.functions.scans import fading, linear
-from tidemark.functions.windows import as_of, back, frame, full, ordered, run_length, running_total
+from tidemark.functions.windows import as_of, back, blocked_mean, frame, full, ordered, run_length, running_total
 
 C = F.col
 
@@ -184,7 +184,7 @@ def vpin(ticks: DataFrame, size: float = 1000.0, bars: int = 50) -> DataFrame:
     """Mean imbalance of the last complete volume bars, and its share of history at or below it."""
     b = volume_bars(ticks, size).where(C("volume") >= size - 1e-9).withColumn("imbalance", F.abs(2 * C("buy") - C("volume")) / C("volume"))
     w = ordered("symbol", "bar")
-    b = b.withColumn("vpin", full(F.avg, C("imbalance"), bars, w))
+    b = b.withColumn("vpin", blocked_mean(C("imbalance"), bars, w))
     history = F.collect_list("vpin").over(frame(1000, w))
     share = ratio(F.size(F.filter(history, lambda v: v <= C("vpin"))), F.size(history))
     return b.select("symbol", "bar", "last", "imbalance", "vpin", F.when((F.size(history) >= 50) & C("vpin").isNotNull(), share).alias("vpin_cdf"))
