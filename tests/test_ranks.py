@@ -28,3 +28,9 @@ def test_ranks_of_vpin_equal_sql(spark):
     got = sorted(tuple(r) for r in catalog.QUERIES["vpin"](spark, BIG).select("symbol", "bar", "vpin", "vpin_cdf", "regime").collect())
     want = database(BIG).execute(f"SELECT symbol, bar, vpin, vpin_cdf, regime FROM ({catalog.ORACLE_SQL['vpin']}) ORDER BY symbol, bar").fetchall()
     assert got == want
+
+
+def test_toxicity_equals_sql(spark):
+    columns = "event_id, symbol, ts, toxicity, toxicity_z, regime"
+    got = sorted(tuple(r) for r in catalog.QUERIES["toxicity"](spark, BIG).selectExpr(*columns.split(", ")).collect())
+    assert got == database(BIG).execute(f"SELECT {columns} FROM ({catalog.ORACLE_SQL['toxicity']}) ORDER BY event_id").fetchall()
