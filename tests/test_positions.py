@@ -42,7 +42,7 @@ def test_positions_equal_a_loop(spark, mode):
         assert tuple(last[k].state) == got[-1]
 
 
-@pytest.mark.parametrize("name", ["position_fold_averaged"])
+@pytest.mark.parametrize("name", ["position_fold", "position_fold_averaged"])
 def test_no_history_is_gathered(spark, name):
     plan = catalog.QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "aggregate(" not in plan
