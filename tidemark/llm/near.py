@@ -6,10 +6,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, sorted_groups, stored, table, tiled, whole_groups
+from tidemark.llm.common import connected_components, sorted_groups, stored, table, whole_groups
 from tidemark.llm.mixing import hidden_prefix
 
 WORDS = 5
@@ -272,19 +272,17 @@ def _small_pairs(starts: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> I
 def _stars(least: float):
     """Pairs of a tile that are worth aligning, at most one for each text.
 
-    In a bucket of one tile the texts that agree with the least of them form a star, then those
-    left; in a small one each text is paired with the least that it agrees with.
+    The texts that agree with the least of them form a star, then those left; in a small tile each
+    text is paired with the least that it agrees with.
     """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
         for table, starts in whole_groups(batches, 3):
-            rows = _arrays(table, ("id", "n", "query", "target"))
-            ids, both = rows["id"], rows["query"] & rows["target"]
-            sizes = np.diff(np.append(starts, len(ids)))
-            one = np.logical_and.reduceat(both, starts)
-            small = one & (sizes > 1) & (sizes <= SMALL)
+            rows = _arrays(table, ("id", "n"))
+            ids, sizes = rows["id"], np.diff(np.append(starts, table.num_rows))
+            small = (sizes > 1) & (sizes <= SMALL)
             a_out, b_out = [], []
             for a, b in _small_pairs(starts, sizes, small):
                 ok = (ids[a] != ids[b]) & _agree(rows["n"], rows["signature"], a, b, least)
@@ -292,27 +290,16 @@ def _stars(least: float):
                 b, at = np.unique(b, return_index=True)
                 a_out.append(ids[a[at]])
                 b_out.append(ids[b])
-            for start, size, whole in zip(starts[~small], sizes[~small], one[~small], strict=True):
+            for start, size in zip(starts[~small], sizes[~small], strict=True):
                 group = {c: v[start : start + size] for c, v in rows.items()}
-                queries, targets = np.flatnonzero(group["query"]), np.flatnonzero(group["target"])
-                a, b = [], []
-                if whole:
-                    left = np.ones(size, bool)
-                    for i in range(size):
-                        if left[i]:
-                            left[i] = False
-                            own = _agreeing(group, i, np.flatnonzero(left), least)
-                            left[own] = False
-                            a += [i] * len(own)
-                            b += own.tolist()
-                else:
-                    for i in queries:
-                        for part in (targets[:32], targets[32:]):
-                            own = _agreeing(group, i, part, least)
-                            if len(own):
-                                a.append(i)
-                                b.append(own[0])
-                                break
+                a, b, left = [], [], np.ones(size, bool)
+                for i in range(size):
+                    if left[i]:
+                        left[i] = False
+                        own = _agreeing(group, i, np.flatnonzero(left), least)
+                        left[own] = False
+                        a += [i] * len(own)
+                        b += own.tolist()
                 a_out.append(group["id"][a] if a else np.empty(0, np.int64))
                 b_out.append(group["id"][b] if b else np.empty(0, np.int64))
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a_out, b_out))
@@ -358,7 +345,7 @@ def _apart(least: float):
                         met[start + i] = True
                         met[start + own] = True
             if met.any():
-                yield from table.take(pa.array(np.flatnonzero(met))).select(["key", "i", "j", "id", "query", "target"]).to_batches()
+                yield from table.take(pa.array(np.flatnonzero(met))).select(["key", "i", "j", "id", "query", "target", "alone"]).to_batches()
 
     return run
 
@@ -375,10 +362,10 @@ def _links_apart(least: float):
         import pyarrow as pa
 
         for group in sorted_groups(batches, 3):
-            rows, queries, targets = _sides(group, ("id", "n", "component", "key"))
+            rows, queries, targets = _sides(group, ("id", "n", "component", "key", "alone"))
             if not len(queries) or not len(targets):
                 continue
-            ids, n, component = rows["id"], rows["n"], rows["component"]
+            ids, n, component, alone = rows["id"], rows["n"], rows["component"], rows["alone"]
             held = group.column("keys").to_pylist()
             none = np.iinfo(np.int64).min
             keys = np.full((len(held), max(map(len, held))), none)
@@ -395,13 +382,13 @@ def _links_apart(least: float):
 
             a_out, b_out = [], []
             for a in queries.tolist():
-                others = _agreeing(rows, a, targets[(component[targets] != component[a]) & (ids[targets] > ids[a])], least)
+                others = _agreeing(rows, a, targets[(component[targets] != component[a]) & (alone[a] | alone[targets] | (ids[targets] > ids[a]))], least)
                 if not len(others):
                     continue
                 theirs = keys[others]
                 shared = np.isin(theirs, keys[a]) & (theirs != none)
                 count = np.maximum(shared.sum(1), 1)
-                turn = (ids[a] % count + ids[others] % count) % count
+                turn = (ids[a] % count + ids[others] % count) % count  # the same whichever of the two is the query
                 dealt = shared & (shared.cumsum(1) == turn[:, None] + 1) & (theirs == rows["key"][a])
                 others = others[dealt.any(1)]
                 if not len(others):
@@ -440,6 +427,57 @@ def _aligned(least: float):
     return run
 
 
+def _star_tiles(buckets: DataFrame, tile: int) -> DataFrame:
+    """Adds ``i`` and ``j`` (int): a bucket of more than ``tile`` texts is dealt into tiles, each text into one and the least text into all."""
+    hot = buckets.groupBy("key").agg(F.count("*").alias("_n"), F.min("id").alias("_least")).where(F.col("_n") > tile)
+    hot = stored(hot.select(F.col("key").alias("_hot"), "_least", F.ceil(F.col("_n") / tile).cast("int").alias("_k")), "hot")
+    dealt = buckets.join(hot, F.col("key") == F.col("_hot"), "left")
+    own = F.array(F.coalesce(F.pmod(F.xxhash64("id", "key"), F.col("_k")).cast("int"), F.lit(0)))
+    tiles = F.when(F.col("id") == F.col("_least"), F.sequence(F.lit(0), F.col("_k") - 1)).otherwise(own)
+    return dealt.withColumn("i", F.explode(tiles)).select(*buckets.columns, "i", F.lit(0).alias("j"))
+
+
+def _apart_tiles(rows: DataFrame, tile: int, least: float) -> DataFrame:
+    """Deals buckets' texts, with their components, into tiles in which all pairs meet that may agree and are of different components.
+
+    Adds ``i``, ``j`` (int), ``query``, ``target`` and ``alone`` (boolean).  A bucket of up to ``tile``
+    texts is one tile.  Larger ones of one component need no tile.  In the others texts that
+    agree are of about the same length, so targets are dealt by bands of length, in which a text and one that
+    agrees with it are at most one apart; queries go to their own band and to the next.  If one component
+    has most of a bucket its texts are targets alone, and the others are queries of the band before too.
+    ``alone`` marks a row of a pair that does not meet the other way round as well.
+    """
+    yes, no = F.lit(True), F.lit(False)
+    hot = rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > tile)
+    hot = stored(hot.select(F.col("key").alias("_hot")), "hot")
+    cold = rows.join(hot, F.col("key") == F.col("_hot"), "left_anti").withColumns({"i": F.lit(0), "j": F.lit(0), "query": yes, "target": yes, "alone": no})
+    large = stored(rows.join(hot, F.col("key") == F.col("_hot"), "left_semi"), "large")
+    sizes = large.groupBy("key", "component").agg(F.count("*").alias("_n")).groupBy(F.col("key").alias("_hot"))
+    mixed = sizes.agg(F.max(F.struct("_n", "component")).alias("_most"), F.sum("_n").alias("_all")).where("_most._n < _all")
+    mixed = mixed.select("_hot", F.when(F.col("_most._n") * 2 > F.col("_all"), F.col("_most.component")).alias("_major"))
+    # Slightly wider than the greatest quotient of lengths, so that rounding parts no pair.
+    band = F.floor(F.ln("n") / F.ln(F.lit(1.01 / max(least, 0.01)))).cast("int") + 1
+    large = large.join(mixed, F.col("key") == F.col("_hot")).withColumn("_own", band).withColumn("_main", F.coalesce(F.col("component") == F.col("_major"), no))
+    visits = F.when(F.col("_main"), F.array("_own")).otherwise(F.sequence(F.when(F.col("_major").isNull(), F.col("_own")).otherwise(F.col("_own") - 1), F.col("_own") + 1))
+    large = large.withColumn("_band", F.explode(visits)).withColumns({"_query": ~F.col("_main"), "_target": F.col("_band") == F.col("_own")})
+    sides = large.groupBy(F.col("key").alias("_key"), F.col("_band").alias("_b")).agg(F.count_if("_query").alias("_q"), F.count_if("_target").alias("_t"))
+    parts = lambda c: F.ceil(F.col(c) / tile).cast("int")
+    sides = sides.where("_q > 0 and _t > 0").select("_key", "_b", parts("_q").alias("_kq"), parts("_t").alias("_kt"))
+    large = large.join(sides, (F.col("key") == F.col("_key")) & (F.col("_band") == F.col("_b")))
+    row, column = F.pmod(F.xxhash64("id"), F.col("_kq")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("_kt")).cast("int")
+
+    def place(i: Column, j: Column, query: Column, target: Column) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), query.alias("query"), target.alias("target"))
+
+    across = F.transform(F.sequence(F.lit(0), F.col("_kt") - 1), lambda j: place(row, j, yes, F.col("_target") & (j == column)))
+    down = F.transform(F.filter(F.sequence(F.lit(0), F.col("_kq") - 1), lambda i: F.col("_target") & (~F.col("_query") | (i != row))), lambda i: place(i, column, no, yes))
+    large = large.withColumn("_place", F.explode(F.when(F.col("_query"), F.concat(across, down)).otherwise(down)))
+    # The band is part of the tile's number.
+    i, alone = F.shiftleft(F.col("_band"), 20) + F.col("_place.i"), F.col("_main") | (F.col("_band") != F.col("_own"))
+    large = large.select(*rows.columns, i.alias("i"), "_place.j", "_place.query", "_place.target", alone.alias("alone"))
+    return cold.unionByName(large)
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = WORDS,
@@ -467,7 +505,8 @@ def near_duplicates(
        texts are, so that no link within a bucket is lost; only links leave the task, and copies
        are never expanded into all pairs.
 
-    Buckets of more than ``tile`` texts are dealt into tiles.  Only texts of candidates are
+    Buckets of more than ``tile`` texts are dealt into tiles: for stars each text into one, for what is
+    still apart by bands of length and only where components differ.  Only texts of candidates are
     exchanged and kept.  Returns (id_col, component_id bigint: the least id of the
     group, kept boolean: whether it is that id), a row for each input row.  Null texts and ids
     link with nothing (a null id has a null component and is kept); texts without words are
@@ -491,11 +530,10 @@ def near_duplicates(
     buckets = stored(members.join(firsts.select("id", "n", "signature"), "id").select("key", "id", "n", "signature"), "buckets")
 
     def in_tiles(rows: DataFrame, columns: list[str]) -> DataFrame:
-        out = rows.select("key", "i", "j", *columns, "query", "target")
+        out = rows.select("key", "i", "j", *columns)
         return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
-    tiles = tiled(buckets, "key", "id", tile)
-    found = in_tiles(tiles.where(F.col("key").bitwiseAND(1) == 0), ["id", "n", "signature"]).mapInArrow(_stars(min_similarity), "a bigint, b bigint")
+    found = in_tiles(_star_tiles(buckets.where(F.col("key").bitwiseAND(1) == 0), tile), ["id", "n", "signature"]).mapInArrow(_stars(min_similarity), "a bigint, b bigint")
     stars = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = stored(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     texts = stored(usable.join(ids, F.col("id") == F.col("node"), "left_semi"), "candidates")
@@ -504,9 +542,10 @@ def near_duplicates(
     links = stored(stars.join(a, "a").join(b, "b").mapInArrow(_aligned(min_similarity), "a bigint, b bigint"), "links")
 
     components = stored(connected_components(links), "components")
-    labelled = tiles.join(components, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
-    apart = in_tiles(labelled, ["id", "n", "signature", "component"]).mapInArrow(
-        _apart(min_similarity), "key bigint, i int, j int, id bigint, query boolean, target boolean"
+    labelled = buckets.join(components, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    sides = ["query", "target", "alone"]
+    apart = in_tiles(_apart_tiles(labelled, tile, min_similarity), ["id", "n", "signature", "component", *sides]).mapInArrow(
+        _apart(min_similarity), "key bigint, i int, j int, id bigint, query boolean, target boolean, alone boolean"
     )
     apart = stored(apart, "apart")
     # A text may agree with members of stars alone, so that it is in no star itself.
@@ -516,7 +555,7 @@ def near_duplicates(
     known = stored(firsts.drop("keys").join(held, "id"), "apart_texts")
     known = known.join(components, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
     more = apart.join(known, "id").join(texts, "id")
-    more = in_tiles(more, ["id", "n", "signature", "component", "keys", "text"]).mapInArrow(_links_apart(min_similarity), "a bigint, b bigint")
+    more = in_tiles(more, ["id", "n", "signature", "component", "keys", "text", *sides]).mapInArrow(_links_apart(min_similarity), "a bigint, b bigint")
     links = links.unionByName(stored(more, "links"))
     components = connected_components(links)
     classes = sketched.select("id", "h1", "h2").join(least, ["h1", "h2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
