@@ -1,10 +1,11 @@
 """Means that are compared with one another are added in the order that the SQL adds them in."""
 
+import os
 import random
 
 import duckdb
 import pandas as pd
-from compare import database
+from compare import TABLES, database
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import blocked_mean, ordered
@@ -34,3 +35,16 @@ def test_toxicity_equals_sql(spark):
     columns = "event_id, symbol, ts, toxicity, toxicity_z, regime"
     got = sorted(tuple(r) for r in catalog.QUERIES["toxicity"](spark, BIG).selectExpr(*columns.split(", ")).collect())
     assert got == database(BIG).execute(f"SELECT {columns} FROM ({catalog.ORACLE_SQL['toxicity']}) ORDER BY event_id").fetchall()
+
+
+def test_toxicity_of_repeated_and_missing_ids_equals_sql(spark, tmp_path):
+    """Impact stands beside its tick; ids that several ticks share, or that are null, neither multiply nor drop rows."""
+    events = f"SELECT * FROM '{BIG.removesuffix('0.1')}0.01/events.parquet'"
+    for table in TABLES:
+        if table != "events":
+            os.symlink(f"{BIG}/{table}.parquet", tmp_path / f"{table}.parquet")
+    shifted = "e.* REPLACE (CASE WHEN event_id % 1000 <> 7 THEN event_id END AS event_id, ts + to_days(CAST(40 * k AS INTEGER)) AS ts)"
+    duckdb.sql(f"COPY (SELECT {shifted} FROM ({events}) e, range(3) r(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    columns = "ts, symbol, event_id, adverse, pin, informed, toxicity, toxicity_z, regime"
+    got = [tuple(r) for r in catalog.QUERIES["toxicity"](spark, str(tmp_path)).selectExpr(*columns.split(", ")).orderBy("ts").collect()]
+    assert got == database(tmp_path).execute(f"SELECT {columns} FROM ({catalog.ORACLE_SQL['toxicity']}) ORDER BY ts").fetchall()

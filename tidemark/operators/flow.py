@@ -82,13 +82,13 @@ def quote_flow(q: DataFrame) -> DataFrame:
     return df.select("event_id", "symbol", "ts", "ofi", F.when(enough, ratio(C("ofi") - mean, std)).alias("ofi_z"))
 
 
-def spread_impact(q: DataFrame, horizon: int = 5) -> DataFrame:
-    """Effective spread, price impact over some quotes and realised spread, in basis points."""
+def spread_impact(q: DataFrame, horizon: int = 5, keep: Sequence[str] = ()) -> DataFrame:
+    """Effective spread, price impact over some quotes and realised spread, in basis points; with the columns ``keep``."""
     df = q.withColumn("mid", (C("bid") + C("ask")) / 2)
     effective = ratio(C("ask") - C("bid"), C("mid"))
     impact = ratio(F.abs(C("mid") - back("mid", horizon, by_ts())), back("mid", horizon, by_ts()))
     realised = F.when(impact.isNotNull(), F.greatest(effective - 2 * impact, F.lit(0.0)))
-    return df.select("event_id", "symbol", "ts", (1e4 * effective).alias("effective_bps"), (1e4 * impact).alias("impact_bps"), (1e4 * realised).alias("realised_bps"))
+    return df.select("event_id", "symbol", "ts", (1e4 * effective).alias("effective_bps"), (1e4 * impact).alias("impact_bps"), (1e4 * realised).alias("realised_bps"), *keep)
 
 
 def kyle_lambda(ticks: DataFrame, rows: int = 50, least: int = 20, left: int = 10) -> DataFrame:

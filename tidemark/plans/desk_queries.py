@@ -256,9 +256,9 @@ def hawkes_estimate(spark, sf_dir):
 
 def toxicity(spark, sf_dir):
     """Toxicity of the flow at each tick, from its price impact, its imbalance, and the last volume bar's VPIN and rank."""
-    t = A.ticks(spark, sf_dir)
-    impact = by_stretches(A.quotes(t), L.spread_impact, 5).select(C("event_id").alias("e"), (C("impact_bps") / 1e4).alias("impact"))
-    t = t.join(impact, C("event_id") == C("e")).drop("e")
+    own = ["price", "qty", "side"]
+    t = by_stretches(A.quotes(A.ticks(spark, sf_dir), own), lambda q: L.spread_impact(q, keep=own), 5)
+    t = t.select("event_id", "symbol", "ts", *own, (C("impact_bps") / 1e4).alias("impact"))
     v = L.vpin(t).select("symbol", C("last").alias("ts"), "vpin", "vpin_cdf")
     known = as_of(t, v, ["vpin", "vpin_cdf"]).withColumnsRenamed({"right_vpin": "vpin", "right_vpin_cdf": "vpin_cdf"})
     return tidy(by_stretches(known, E.toxicity, 1105), 5)
