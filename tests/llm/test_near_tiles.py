@@ -45,3 +45,15 @@ def test_tiles_of_one_large_group_grow_with_it(spark):
         assert near._star_tiles(buckets(spark, same), 100).count() == size + size // 100 - 1
         assert near._apart_tiles(buckets(spark, same), 100, 0.8).count() == 0
         assert near._apart_tiles(buckets(spark, same + few), 100, 0.8).count() <= 1.2 * size
+
+
+def test_buckets_of_one_component_make_no_rows(spark, monkeypatch):
+    """Of a component that has most of a large bucket only bands that another text visits go on; small buckets of one component do not."""
+    made, real = {}, near.stored
+    monkeypatch.setattr(near, "stored", lambda df, name: made.setdefault(name, real(df, name)))
+    small = [(1, i, 50, 0) for i in range(50)]
+    large = [(2, i, 50, 0) for i in range(100, 500)] + [(2, i, 300, 0) for i in range(500, 520)]
+    rows = near._apart_tiles(buckets(spark, [*small, *large, (2, 600, 310, 600), (2, 601, 900, 601)]), 100, 0.8).collect()
+    assert not [r for r in rows if r.key == 1]
+    assert made["visits"].count() == 6 and made["main"].count() == 20
+    assert {r.id for r in rows if r.target} == {600, 601, *range(500, 520)}

@@ -440,26 +440,30 @@ def _star_tiles(buckets: DataFrame, tile: int) -> DataFrame:
 def _apart_tiles(rows: DataFrame, tile: int, least: float) -> DataFrame:
     """Deals buckets' texts, with their components, into tiles in which all pairs meet that may agree and are of different components.
 
-    Adds ``i``, ``j`` (int), ``query``, ``target`` and ``alone`` (boolean).  A bucket of up to ``tile``
-    texts is one tile.  Larger ones of one component need no tile.  In the others texts that
+    Adds ``i``, ``j`` (int), ``query``, ``target`` and ``alone`` (boolean).  Buckets of one component need
+    no tile.  Others of up to ``tile`` texts are one tile.  In larger ones texts that
     agree are of about the same length, so targets are dealt by bands of length, in which a text and one that
     agrees with it are at most one apart; queries go to their own band and to the next.  If one component
     has most of a bucket its texts are targets alone, and the others are queries of the band before too.
     ``alone`` marks a row of a pair that does not meet the other way round as well.
     """
     yes, no = F.lit(True), F.lit(False)
-    hot = rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > tile)
-    hot = stored(hot.select(F.col("key").alias("_hot")), "hot")
-    cold = rows.join(hot, F.col("key") == F.col("_hot"), "left_anti").withColumns({"i": F.lit(0), "j": F.lit(0), "query": yes, "target": yes, "alone": no})
-    large = stored(rows.join(hot, F.col("key") == F.col("_hot"), "left_semi"), "large")
-    sizes = large.groupBy("key", "component").agg(F.count("*").alias("_n")).groupBy(F.col("key").alias("_hot"))
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("_n")).groupBy(F.col("key").alias("_mixed"))
     mixed = sizes.agg(F.max(F.struct("_n", "component")).alias("_most"), F.sum("_n").alias("_all")).where("_most._n < _all")
-    mixed = mixed.select("_hot", F.when(F.col("_most._n") * 2 > F.col("_all"), F.col("_most.component")).alias("_major"))
+    major = F.when(F.col("_most._n") * 2 > F.col("_all"), F.col("_most.component"))
+    mixed = stored(mixed.select("_mixed", major.alias("_major"), (F.col("_all") > tile).alias("_large")), "mixed")
+    cold = rows.join(mixed.where("not _large"), F.col("key") == F.col("_mixed"), "left_semi")
+    cold = cold.withColumns({"i": F.lit(0), "j": F.lit(0), "query": yes, "target": yes, "alone": no})
     # Slightly wider than the greatest quotient of lengths, so that rounding parts no pair.
     band = F.floor(F.ln("n") / F.ln(F.lit(1.01 / max(least, 0.01)))).cast("int") + 1
-    large = large.join(mixed, F.col("key") == F.col("_hot")).withColumn("_own", band).withColumn("_main", F.coalesce(F.col("component") == F.col("_major"), no))
-    visits = F.when(F.col("_main"), F.array("_own")).otherwise(F.sequence(F.when(F.col("_major").isNull(), F.col("_own")).otherwise(F.col("_own") - 1), F.col("_own") + 1))
-    large = large.withColumn("_band", F.explode(visits)).withColumns({"_query": ~F.col("_main"), "_target": F.col("_band") == F.col("_own")})
+    large = rows.withColumn("_own", band).join(mixed.where("_large"), F.col("key") == F.col("_mixed")).drop("_mixed", "_large")
+    first = F.when(F.col("_major").isNull(), F.col("_own")).otherwise(F.col("_own") - 1)
+    visits = large.where("not component <=> _major").withColumn("_band", F.explode(F.sequence(first, F.col("_own") + 1)))
+    visits = stored(visits.withColumns({"_main": no, "_query": yes, "_target": F.col("_band") == F.col("_own")}), "visits")
+    # Texts of the component that has most of a bucket are exchanged only where another text visits their band.
+    visited = visits.select(F.col("key").alias("_key"), F.col("_band").alias("_b")).distinct()
+    main = large.where("component = _major").join(visited, (F.col("key") == F.col("_key")) & (F.col("_own") == F.col("_b")), "left_semi")
+    large = visits.unionByName(stored(main.withColumns({"_band": F.col("_own"), "_main": yes, "_query": no, "_target": yes}), "main"))
     sides = large.groupBy(F.col("key").alias("_key"), F.col("_band").alias("_b")).agg(F.count_if("_query").alias("_q"), F.count_if("_target").alias("_t"))
     parts = lambda c: F.ceil(F.col(c) / tile).cast("int")
     sides = sides.where("_q > 0 and _t > 0").select("_key", "_b", parts("_q").alias("_kq"), parts("_t").alias("_kt"))
