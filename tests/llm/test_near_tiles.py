@@ -3,6 +3,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from tidemark.llm import near
 
 
@@ -57,3 +60,45 @@ def test_buckets_of_one_component_make_no_rows(spark, monkeypatch):
     assert not [r for r in rows if r.key == 1]
     assert made["visits"].count() == 6 and made["main"].count() == 20
     assert {r.id for r in rows if r.target} == {600, 601, *range(500, 520)}
+
+
+def test_wider_tiles_are_parted_where_texts_agree():
+    """Each pair that agrees meets once, in tiles of ``tile`` texts a side at most."""
+    rng = np.random.default_rng(4)
+    size, tile = 90, 16
+    kinds = rng.integers(1, 255, (6, near.BINS))
+    ids, n, kind = np.arange(size) * 7 % 101, rng.choice([40, 45, 50, 90], size), rng.integers(0, 6, size)
+    component, alone, query = np.where(rng.random(size) < 0.3, 0, ids), rng.random(size) < 0.2, rng.random(size) < 0.9
+    signatures = [np.where(rng.random(near.BINS) < 0.1, 0, kinds[k]).astype(np.uint8).tobytes() for k in kind]
+    for target in (np.ones(size, bool), rng.random(size) < 0.7):
+        columns = {"key": np.full(size, 5), "i": np.full(size, 3, np.int32), "j": np.full(size, 2, np.int32), "id": ids, "n": n.astype(np.int32)}
+        columns |= {"signature": signatures, "component": component, "query": query, "target": target, "alone": alone}
+        tiles = defaultdict(list)
+        large = pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
+        large = pa.RecordBatch.from_arrays(large.columns, schema=pa.schema([f.with_nullable(False) for f in large.schema]))
+        few = large.slice(0, 8).set_column(0, large.schema.field(0), pa.array(np.full(8, 4)))
+        out = list(near._apart(0.8, tile)(iter([few, large])))
+        assert len({str(b.schema) for b in out}) == 1
+        for batch in out:
+            for r in batch.to_pylist():
+                if r["key"] == 5:
+                    tiles[r["key"], r["i"], r["j"]].append(r)
+        seen, place = defaultdict(int), {int(x): k for k, x in enumerate(ids)}
+        agree = lambda a, b: near._agree(n, np.array([list(x) for x in signatures], np.uint8), np.array([a]), np.array([b]), 0.8)[0]
+        for rows in tiles.values():
+            assert sum(r["query"] for r in rows) <= tile and sum(r["target"] for r in rows) <= tile
+            for a in rows:
+                for b in rows:
+                    if a["query"] and b["target"] and (a["alone"] or b["alone"] or b["id"] > a["id"]):
+                        seen[place[a["id"]], place[b["id"]]] += 1
+        wanted = {(a, b) for a in range(size) for b in range(size) if query[a] and target[b] and component[a] != component[b] and (alone[a] or alone[b] or ids[b] > ids[a]) and agree(a, b)}
+        assert len(tiles) > 2 and len(wanted) > 50 and all(seen[p] == 1 for p in wanted)
+
+
+def test_texts_of_a_bucket_go_once_to_a_wider_tile(spark, monkeypatch):
+    """Different texts with a phrase in common are each sent once to be compared, up to ``WIDER`` tiles."""
+    dealt, real = [], near._apart_tiles
+    monkeypatch.setattr(near, "_apart_tiles", lambda *a: dealt.append(real(*a).collect()) or real(*a))
+    rows = [(i, " ".join([f"w{i}x{j}" for j in range(3)] + ["one two three"] + [f"v{i}x{j}" for j in range(3 + i % 3)])) for i in range(50)]
+    assert near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=16).where("kept").count() == 50
+    assert len(dealt[0]) == 50 and len({r.id for r in dealt[0]}) == 50

@@ -24,18 +24,27 @@ ANCHORS, ANCHOR_WORDS = 24, 3
 #: bins estimates the Jaccard similarity of the words, counted with repeats.  Texts that align have
 #: a least one, and it may be missed by so many standard errors of the estimate.
 BINS, ERRORS = 128, 4.0
-#: Texts of a bucket on each side of a comparison.
-TILE = 1024
+#: Texts of a bucket on each side of a comparison, and so many times as many where signatures alone are compared.
+TILE, WIDER = 1024, 4
 #: Buckets of up to so many texts are compared many at a time, and pairs whose signatures are held at once.
 SMALL, CHUNK = 64, 50_000
-#: Words whose hashes a task remembers, and texts that are sketched at once.
-MAX_WORDS, TEXTS = 150_000, 200
+#: Texts that are sketched at once.
+TEXTS = 200
+
+
+_SHIFTS, _FACTORS = np.array([30, 27, 31], np.uint64), np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    y = x >> _SHIFTS[0]
+    y ^= x
+    y *= _FACTORS[0]
+    z = y >> _SHIFTS[1]
+    y ^= z
+    y *= _FACTORS[1]
+    np.right_shift(y, _SHIFTS[2], out=z)
+    y ^= z
+    return y
 
 
 _SEEDS = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -53,6 +62,9 @@ def _labelled(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(k):
         grams += words[j : j + count] * _ODD[j]
     grams = _mixed(grams)
+    ordered = np.sort(grams)
+    if (ordered[1:] != ordered[:-1]).all():
+        return grams, _mixed(grams)
     order = np.argsort(grams, kind="stable")
     same = np.concatenate(([False], grams[order][1:] == grams[order][:-1]))
     first = np.maximum.accumulate(np.where(same, 0, np.arange(count)))
@@ -190,17 +202,9 @@ def _sketched(k: int, sketches: int, kept: int, anchors: int, anchor_words: int,
         import pyarrow as pa
         import xxhash
 
-        class Hashes(dict):
-            def __missing__(self, word: bytes) -> int:
-                value = self[word] = xxhash.xxh3_64_intdigest(word)
-                return value
-
-        hashes = Hashes()
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(at, TEXTS)
-                if len(hashes) > MAX_WORDS:
-                    hashes.clear()
                 h1, h2, n, keys, signatures = [], [], [], [], []
                 for text in batch.column(1).to_pylist():
                     words = text.encode().split()
@@ -212,7 +216,7 @@ def _sketched(k: int, sketches: int, kept: int, anchors: int, anchor_words: int,
                         keys.append([])
                         signatures.append(b"")
                         continue
-                    coded = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                    coded = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
                     # Sketches are even and least k-mers odd.
                     own = np.concatenate([order_sketches(coded, k, sketches, kept) & ~np.uint64(1), least_kmers(coded, anchor_words, anchors) | np.uint64(1)])
                     keys.append(np.unique(own.view(np.int64)))
@@ -315,8 +319,12 @@ def _sides(group, columns) -> tuple[dict, np.ndarray, np.ndarray]:
     return rows, np.flatnonzero(group.column("query").to_numpy()), np.flatnonzero(group.column("target").to_numpy())
 
 
-def _apart(least: float):
-    """The texts of a tile that agree with one of another component."""
+def _apart(least: float, tile: int):
+    """The texts of a tile that agree with one of another component.
+
+    A tile of more than ``tile`` texts is parted here: in order of length into blocks, of which each pair
+    whose texts agree is a tile of its own, with only the texts that do.
+    """
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -327,7 +335,7 @@ def _apart(least: float):
             mixed = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
             if not mixed.any():
                 continue
-            rows = _arrays(table, ("id", "n", "query", "target"))
+            rows = _arrays(table, ("id", "n", "query", "target", "alone"))
             one = np.logical_and.reduceat(rows["query"] & rows["target"], starts)
             small = mixed & one & (sizes <= SMALL)
             met = np.zeros(len(component), bool)
@@ -336,20 +344,59 @@ def _apart(least: float):
                 a, b = a[other], b[other]
                 ok = _agree(rows["n"], rows["signature"], a, b, least)
                 met[a[ok]] = met[b[ok]] = True
+            parted = []
             for start, size in zip(starts[mixed & ~small], sizes[mixed & ~small], strict=True):
-                group = {c: v[start : start + size] for c, v in rows.items()}
-                own_component, targets = component[start : start + size], np.flatnonzero(group["target"])
-                for i in np.flatnonzero(group["query"]):
-                    own = _agreeing(group, i, targets[own_component[targets] != own_component[i]], least)
-                    if len(own):
-                        met[start + i] = True
-                        met[start + own] = True
+                group = {c: v[start : start + size] for c, v in rows.items()} | {"component": component[start : start + size]}
+                block = np.zeros(size, np.int64)
+                block[np.argsort(group["n"], kind="stable")] = np.arange(size) // tile
+                asks, asked = _meetings(group, block, least)
+                if size <= tile:
+                    met[start : start + size] = asks[0] | asked[0]
+                else:
+                    parted += _parted(start, block, asks, asked)
+            columns = table.select(["key", "i", "j", "id", "query", "target", "alone"])
             if met.any():
-                yield from table.take(pa.array(np.flatnonzero(met))).select(["key", "i", "j", "id", "query", "target", "alone"]).to_batches()
+                yield from columns.take(pa.array(np.flatnonzero(met))).to_batches()
+            for places, number, query, target in parted:
+                out = columns.take(pa.array(places))
+                j = pa.array((out.column("j").to_numpy().astype(np.int64) << 12 | number).astype(np.int32))
+                parts = [out.column(0), out.column(1), j, out.column(3), pa.array(query), pa.array(target), out.column(6)]
+                yield from pa.table(parts, schema=columns.schema).to_batches()
 
     return run
 
 
+def _meetings(group, block: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """By block and row of a tile: whether the row agrees, as a query, with a target of the block, and as a target with a query of it.
+
+    Of two texts that meet both ways the one of lesser id is the query.
+    """
+    ids, n, component, alone = group["id"], group["n"], group["component"], group["alone"]
+    asks, asked = (np.zeros((block.max() + 1, len(ids)), bool) for _ in range(2))
+    queries, targets = np.flatnonzero(group["query"]), np.flatnonzero(group["target"])
+    targets = targets[np.argsort(n[targets], kind="stable")]
+    # Slightly wider than what _agree takes.
+    firsts = np.searchsorted(n[targets], n[queries] * least - 2)
+    lasts = np.searchsorted(n[targets], n[queries] / max(least, 0.01) + 2, "right")
+    for i, first, last in zip(queries.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
+        among = targets[first:last]
+        among = among[(component[among] != component[i]) & (alone[i] | alone[among] | (ids[among] > ids[i]))]
+        own = _agreeing(group, i, among, least)
+        asks[block[own], i] = True
+        asked[block[i], own] = True
+    return asks, asked
+
+
+def _parted(start: int, block: np.ndarray, asks: np.ndarray, asked: np.ndarray) -> Iterator[tuple]:
+    """The tiles of pairs of blocks: rows, the tile's number, and which rows are queries and targets."""
+    for q in range(len(asks)):
+        for t in range(len(asks)):
+            query, target = asks[t] & (block == q), asked[q] & (block == t)
+            if query.any():
+                places = np.flatnonzero(query | target)
+                yield start + places, q << 6 | t, query[places], target[places]
+
+
 def _links_apart(least: float):
     """Aligns the pairs of a tile that agree and are of different components, and returns links alone.
 
@@ -510,8 +557,8 @@ def near_duplicates(
        are never expanded into all pairs.
 
     Buckets of more than ``tile`` texts are dealt into tiles: for stars each text into one, for what is
-    still apart by bands of length and only where components differ.  Only texts of candidates are
-    exchanged and kept.  Returns (id_col, component_id bigint: the least id of the
+    still apart, where signatures alone are compared, those of more than ``WIDER`` times as many by bands of
+    length and only where components differ.  Only texts of candidates are exchanged and kept.  Returns (id_col, component_id bigint: the least id of the
     group, kept boolean: whether it is that id), a row for each input row.  Null texts and ids
     link with nothing (a null id has a null component and is kept); texts without words are
     copies of one another; rows that share an id are one document of all their texts.
@@ -548,8 +595,8 @@ def near_duplicates(
     components = stored(connected_components(links), "components")
     labelled = buckets.join(components, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
     sides = ["query", "target", "alone"]
-    apart = in_tiles(_apart_tiles(labelled, tile, min_similarity), ["id", "n", "signature", "component", *sides]).mapInArrow(
-        _apart(min_similarity), "key bigint, i int, j int, id bigint, query boolean, target boolean, alone boolean"
+    apart = in_tiles(_apart_tiles(labelled, WIDER * tile, min_similarity), ["id", "n", "signature", "component", *sides]).mapInArrow(
+        _apart(min_similarity, tile), "key bigint, i int, j int, id bigint, query boolean, target boolean, alone boolean"
     )
     apart = stored(apart, "apart")
     # A text may agree with members of stars alone, so that it is in no star itself.
