@@ -38,13 +38,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
-    """The id that each mergeable pair of ids becomes; it is also the rank of the merge."""
+    """The id that each mergeable pair of ids becomes; it is also the rank of the merge.
+
+    Of a token's pairs that is the one which merges over its own bytes leave last.  Merges around a pair
+    do not change the order of those within it, so no other pair of the token is ever met.
+    """
     pairs = {}
     for token, rank in ranks.items():
-        for i in range(1, len(token)):
-            a, b = ranks.get(token[:i]), ranks.get(token[i:])
-            if a is not None and b is not None:
-                pairs[a, b] = rank
+        parts = [token[i : i + 1] for i in range(len(token))]
+        while len(parts) > 2:
+            least, at = min((ranks.get(a + b, NO_RANK), i) for i, (a, b) in enumerate(itertools.pairwise(parts)))
+            if least == NO_RANK:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) == 2 and all(p in ranks for p in parts):
+            pairs[ranks[parts[0]], ranks[parts[1]]] = rank
     return pairs
 
 
