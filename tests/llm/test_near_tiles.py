@@ -102,3 +102,21 @@ def test_texts_of_a_bucket_go_once_to_a_wider_tile(spark, monkeypatch):
     rows = [(i, " ".join([f"w{i}x{j}" for j in range(3)] + ["one two three"] + [f"v{i}x{j}" for j in range(3 + i % 3)])) for i in range(50)]
     assert near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=16).where("kept").count() == 50
     assert len(dealt[0]) == 50 and len({r.id for r in dealt[0]}) == 50
+
+
+def test_texts_without_one_of_their_length_are_not_dealt(spark, monkeypatch):
+    """Of texts with a phrase in common those go on, without signatures, that may agree with one of another component."""
+    dealt, real = [], near._apart_tiles
+    monkeypatch.setattr(near, "_apart_tiles", lambda rows, *a: dealt.append(rows) or real(rows, *a))
+    rows = [(i, " ".join([f"w{i}x{j}" for j in range(3)] + ["one two three"] + [f"v{i}x{j}" for j in range(n - 6)])) for i, n in enumerate((8, 20, 60, 75, 200))]
+    assert near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("kept").count() == 5
+    assert {r.id for r in dealt[0].collect()} == {2, 3} and "signature" not in dealt[0].columns
+
+
+def test_all_that_may_agree_are_within_reach(spark):
+    random.seed(5)
+    rows = [(key, 1000 * key + i, random.randint(1, 400), random.choice([0, 1, 1000 * key + i])) for key in range(40) for i in range(key % 7 + 1)]
+    for least in (0.5, 0.8, 0.95):
+        kept = {(r.key, r.id) for r in near._within_reach(buckets(spark, rows), least).collect()}
+        wanted = {(k, a) for k, a, n, c in rows for q, b, m, d in rows if k == q and c != d and abs(n - m) <= int((1 - least) * max(n, m) + 1e-9)}
+        assert wanted <= kept and len(kept) < len(rows)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import connected_components, sorted_groups, stored, table, whole_groups
@@ -484,6 +485,19 @@ def _star_tiles(buckets: DataFrame, tile: int) -> DataFrame:
     return dealt.withColumn("i", F.explode(tiles)).select(*buckets.columns, "i", F.lit(0).alias("j"))
 
 
+def _within_reach(rows: DataFrame, least: float) -> DataFrame:
+    """The texts of buckets, with their components, that have one of another component and of about their length in a bucket.
+
+    Of two texts that agree both are kept: quarters of bands of length tell them, so that only their least and greatest components are exchanged.
+    """
+    quarter = F.floor(F.ln("n") / F.lit(math.log(1.01 / max(least, 0.01)) / 4)).cast("int")
+    rows = rows.withColumn("_own", quarter)
+    around = Window.partitionBy("_key").orderBy("_part").rangeBetween(-4, 4)
+    parts = rows.groupBy(F.col("key").alias("_key"), F.col("_own").alias("_part")).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    parts = parts.withColumns({"_lo": F.min("_lo").over(around), "_hi": F.max("_hi").over(around)}).where("_lo <> _hi")
+    return rows.join(parts, (F.col("key") == F.col("_key")) & (F.col("_own") == F.col("_part")), "left_semi").drop("_own")
+
+
 def _apart_tiles(rows: DataFrame, tile: int, least: float) -> DataFrame:
     """Deals buckets' texts, with their components, into tiles in which all pairs meet that may agree and are of different components.
 
@@ -578,13 +592,16 @@ def near_duplicates(
     even_first = F.struct(F.col("key").bitwiseAND(1).alias("odd"), "key")
     shared = shared.where("times > 1").groupBy("times", "x", "y").agg(F.min(even_first).alias("one")).select("one.key")
     members = keyed.join(shared, "key")
-    buckets = stored(members.join(firsts.select("id", "n", "signature"), "id").select("key", "id", "n", "signature"), "buckets")
+    # Signatures are most of a row, so they join a bucket's texts only where these are dealt into tiles.
+    buckets = stored(members.join(firsts.select("id", "n").distinct(), "id").select("key", "id", "n"), "buckets")
+    signed = firsts.select("id", "n", "signature")
 
     def in_tiles(rows: DataFrame, columns: list[str]) -> DataFrame:
         out = rows.select("key", "i", "j", *columns)
         return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
 
-    found = in_tiles(_star_tiles(buckets.where(F.col("key").bitwiseAND(1) == 0), tile), ["id", "n", "signature"]).mapInArrow(_stars(min_similarity), "a bigint, b bigint")
+    tiles = _star_tiles(buckets.where(F.col("key").bitwiseAND(1) == 0), tile).join(signed, ["id", "n"])
+    found = in_tiles(tiles, ["id", "n", "signature"]).mapInArrow(_stars(min_similarity), "a bigint, b bigint")
     stars = stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = stored(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     texts = stored(usable.join(ids, F.col("id") == F.col("node"), "left_semi"), "candidates")
@@ -595,7 +612,8 @@ def near_duplicates(
     components = stored(connected_components(links), "components")
     labelled = buckets.join(components, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id")).drop("node")
     sides = ["query", "target", "alone"]
-    apart = in_tiles(_apart_tiles(labelled, WIDER * tile, min_similarity), ["id", "n", "signature", "component", *sides]).mapInArrow(
+    tiles = _apart_tiles(stored(_within_reach(labelled, min_similarity), "reach"), WIDER * tile, min_similarity).join(signed, ["id", "n"])
+    apart = in_tiles(tiles, ["id", "n", "signature", "component", *sides]).mapInArrow(
         _apart(min_similarity, tile), "key bigint, i int, j int, id bigint, query boolean, target boolean, alone boolean"
     )
     apart = stored(apart, "apart")
